@@ -554,7 +554,7 @@ def lock_time(df, key, price, sec=SEC, order=ORDER, lock=0.995, floor=0.9) -> Da
     ordered = list(order)
     types = dict(df.dtypes)
     back = d.withColumns(
-        {f"_r{i}": -(F.unix_micros(o) if types[o] == "timestamp" else F.col(o)) for i, o in enumerate(ordered)}
+        {f"_r{i}": -(F.unix_micros(F.col(o).cast("timestamp")) if types[o].startswith("timestamp") else F.col(o)) for i, o in enumerate(ordered)}
     )
     s = prior(
         back, key, "_rev", [f"_r{i}" for i in range(len(ordered))],

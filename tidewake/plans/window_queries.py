@@ -142,12 +142,12 @@ def _(t):
     return r(w.jump_component(trades(t), "market", "price"), "jump").select("trade_id", "jump")
 
 
-@query("W15_flow_autocorr", sql(f"""SELECT trade_id, round(coalesce(avg(x * x1) OVER {rng(3600)}, 0), 6) AS flow_autocorr
+@query("W15_flow_autocorr", sql(f"""SELECT trade_id, round(coalesce(avg(x * x1) OVER {rng(3600)}, 0), 8) AS flow_autocorr
   FROM (SELECT *, lag(x) OVER {one('market')} AS x1 FROM (SELECT *, CASE WHEN side_buy = 1 THEN usd ELSE -usd END AS x FROM t))"""))
 def _(t):
     signed = F.when(F.col("side_buy") == 1, F.col("usd")).otherwise(-F.col("usd"))
     d = w.flow_autocorr(trades(t), "market", signed)
-    return r(d, "flow_autocorr").select("trade_id", "flow_autocorr")
+    return r(d, "flow_autocorr", digits=8).select("trade_id", "flow_autocorr")
 
 
 @query("W16_prior_distinct", sql(f"""SELECT trade_id, f AS first_seen,
@@ -292,9 +292,9 @@ def _(t):
     return w.block_features(d, ["market", "block"]).select("trade_id", "block_trades", "block_position")
 
 
-@query("W33_residualise_prior_mean", sql(f"""SELECT trade_id, round(coalesce(usd - avg(usd) OVER {pre()}, 0), 6) AS residual FROM t"""))
+@query("W33_residualise_prior_mean", sql(f"""SELECT trade_id, round(coalesce(usd - avg(usd) OVER {pre()}, 0), 8) AS residual FROM t"""))
 def _(t):
-    return r(w.residualise_prior_mean(trades(t), "taker", "usd"), "residual").select("trade_id", "residual")
+    return r(w.residualise_prior_mean(trades(t), "taker", "usd"), "residual", digits=8).select("trade_id", "residual")
 
 
 DAILY_SQL = """d AS (SELECT event_type AS k, CAST(ts AS DATE) AS day, sum(value) AS v, count(*) AS n FROM events GROUP BY ALL)"""
