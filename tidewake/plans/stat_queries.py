@@ -203,7 +203,7 @@ def _(t):
 
 
 @query("F26_to_config_json", """SELECT r_regionkey, '{"region":"' || r_name || '","nations":[' || string_agg('"' || n_name || '"', ',' ORDER BY n_name) || '],"n":' || count(*) || '}' AS config
-  FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY ALL""")
+  FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY r_regionkey, r_name""")
 def _(t):
     d = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_regionkey", "r_name").agg(
         F.sort_array(F.collect_set("n_name")).alias("nations"), F.count("*").alias("n"))
@@ -426,7 +426,7 @@ def _(t):
     return r(a.mutual_info(d, ["l_quantity"], "y"), "mi", digits=8)
 
 
-@query("A32_entropy_by", "SELECT user_id, round(-sum(n / t::DOUBLE * ln(n / t::DOUBLE)), 6) AS entropy FROM (SELECT user_id, event_type, count(*) AS n, sum(count(*)) OVER (PARTITION BY user_id) AS t FROM events GROUP BY ALL) GROUP BY 1")
+@query("A32_entropy_by", "SELECT user_id, round(-sum(n / t::DOUBLE * ln(n / t::DOUBLE)), 6) AS entropy FROM (SELECT *, sum(n) OVER (PARTITION BY user_id) AS t FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY user_id, event_type)) GROUP BY 1")
 def _(t):
     return r(a.entropy_by(t.events, "user_id", "event_type"), "entropy")
 
