@@ -47,10 +47,11 @@ def pad(tokens: Column, n: int) -> Column:
 
 
 def ngram_array(tokens: Column, n: int) -> Column:
-    """All n-grams of an array as arrays."""
-    last = F.size(tokens) - n + 1
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.slice(tokens, i, n))
-    return F.when(last >= 1, grams).otherwise(F.slice(grams, 1, 0))
+    """All n-grams of an array as structs w1..wn: the array zipped with its own shifts, so the tokens
+    are read n times and never once per position."""
+    size = F.size(tokens)
+    shifts = [F.slice(tokens, F.lit(i + 1), F.greatest(size - i, F.lit(0))).alias(f"w{i + 1}") for i in range(n)]
+    return F.slice(F.arrays_zip(*shifts), F.lit(1), F.greatest(size - n + 1, F.lit(0)))
 
 
 def sentence_tokens(df, doc, text, pattern=r"[a-z_]{2,}") -> DataFrame:
@@ -63,8 +64,7 @@ def ngrams(df, n, tokens="tokens", padded=True) -> DataFrame:
     """N-gram counts with columns w1..wn."""
     arr = pad(F.col(tokens), max(n, 2)) if padded else F.col(tokens)
     d = df.select(F.explode(ngram_array(arr, n)).alias("g"))
-    ws = [F.get("g", F.lit(i)).alias(f"w{i + 1}") for i in range(n)]
-    return d.select(*ws).groupBy(*[f"w{i + 1}" for i in range(n)]).agg(F.count(F.lit(1)).alias("n"))
+    return d.select("g.*").groupBy(*[f"w{i + 1}" for i in range(n)]).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _conditional(grams, ctx) -> DataFrame:
@@ -105,7 +105,7 @@ def perplexity(test, train, doc, tokens="tokens") -> DataFrame:
     ctx = grams.groupBy("w1").agg(F.sum("n").alias("context_n"))
     arr = pad(F.col(tokens), 2)
     t = test.select(doc, F.explode(ngram_array(arr, 2)).alias("g"))
-    t = t.groupBy(doc, F.get("g", F.lit(0)).alias("w1"), F.get("g", F.lit(1)).alias("w2")).agg(F.count(F.lit(1)).alias("m"))
+    t = t.groupBy(doc, F.col("g.w1").alias("w1"), F.col("g.w2").alias("w2")).agg(F.count(F.lit(1)).alias("m"))
     j = t.join(grams, ["w1", "w2"], "left").join(ctx, "w1", "left").withColumn("_v", vocabulary_size(train, tokens))
     p = (F.coalesce("n", F.lit(0)) + 1) / (F.coalesce("context_n", F.lit(0)) + F.col("_v"))
     return j.groupBy(doc).agg(F.exp(-F.sum(F.col("m") * F.ln(p)) / F.sum("m")).alias("perplexity"), F.sum("m").alias("n_grams"))
@@ -126,7 +126,7 @@ def bow(tf, doc, n_docs: Column, no_below=10, no_above=0.5, keep_n=None) -> Data
 
 def add_bigram_tokens(df, tokens="tokens") -> DataFrame:
     """Tokens plus their adjacent pairs, for 1-2-gram features."""
-    two = F.transform(ngram_array(F.col(tokens), 2), lambda g: F.array_join(g, " "))
+    two = F.transform(ngram_array(F.col(tokens), 2), lambda g: F.concat_ws(" ", g["w1"], g["w2"]))
     return df.withColumn(tokens, F.concat(tokens, two))
 
 
