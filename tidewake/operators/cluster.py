@@ -257,7 +257,7 @@ def similar_items(ratings, user, item, rating, min_n, k, block=256, users_per_sl
         F.col(user).cast("string").alias("u"), F.col(item).cast("bigint").alias("i"), "v",
         F.pmod(F.xxhash64(item), F.lit(blocks)).cast("int").alias("_b"), F.pmod(F.xxhash64(user, F.lit("s")), F.lit(slices)).cast("int").alias("_s"))
     left = d.withColumn("a", F.col("_b")).withColumn("b", F.explode(F.sequence(F.col("_b"), F.lit(blocks - 1))))
-    right = d.withColumn("b", F.col("_b")).withColumn("a", F.explode(F.sequence(F.lit(0), F.col("_b"))))
+    right = d.toDF(*d.columns).withColumn("b", F.col("_b")).withColumn("a", F.explode(F.sequence(F.lit(0), F.col("_b"))))
 
     def dense(pdf, users):
         items = np.unique(pdf["i"].to_numpy())

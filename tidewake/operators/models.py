@@ -13,7 +13,6 @@ from pyspark.sql.window import Window
 
 from ..functions.scalars import unit_hash
 from .evaluate import auc, ece
-from .joins import first_rows
 from .ordering import quantiles
 from .timeline import prior
 
@@ -149,11 +148,11 @@ def class_weights(df, y, out="weight") -> DataFrame:
     return df.join(g, F.col(y) == F.col("_y"), "left").withColumn(out, n / (k * F.col("_n"))).drop("_y", "_n")
 
 
-def fit_logistic(train, cols, y, reg=0.0, l1=0.0, balanced=False, family="auto"):
+def fit_logistic(train, cols, y, reg=0.0, l1=0.0, balanced=False, family="auto", iters=100):
     """Logistic regression, optionally with balanced class weights or multinomial."""
     if balanced:
         train = class_weights(train, y, "_weight")
-    est = mlc.LogisticRegression(labelCol=y, regParam=reg, elasticNetParam=l1, family=family, maxIter=100)
+    est = mlc.LogisticRegression(labelCol=y, regParam=reg, elasticNetParam=l1, family=family, maxIter=iters)
     return _fit(train, cols, est.setWeightCol("_weight") if balanced else est)
 
 
@@ -185,9 +184,9 @@ def fit_mlp(train, cols, y, hidden=(16,), classes=2, iters=50):
     return _fit(train, cols, est)
 
 
-def fit_linear_svm(train, cols, y, classes=2):
+def fit_linear_svm(train, cols, y, classes=2, iters=50):
     """Linear SVM, one against the rest beyond two classes."""
-    svc = mlc.LinearSVC(labelCol=y, maxIter=50)
+    svc = mlc.LinearSVC(labelCol=y, maxIter=iters)
     return _fit(train, cols, svc if classes == 2 else mlc.OneVsRest(classifier=svc, labelCol=y))
 
 
@@ -215,19 +214,19 @@ def regime_stats(model, df, value, vol) -> DataFrame:
 
 def fit_isotonic(oof, p, y):
     """Monotone calibration fitted on out-of-fold scores."""
-    return mlr.IsotonicRegression(featuresCol="_f", labelCol=y).fit(
+    return mlr.IsotonicRegression(featuresCol="_f", labelCol=y, predictionCol="_iso").fit(
         oof.withColumn("_f", F.col(p).cast("double")).withColumn(y, F.col(y).cast("double")))
 
 
 def apply_isotonic(model, df, p, out="p_cal", eps=1e-6) -> DataFrame:
     """Calibrated score, kept inside (eps, 1-eps)."""
     d = model.transform(df.withColumn("_f", F.col(p).cast("double")))
-    return d.withColumn(out, F.greatest(F.lit(eps), F.least(F.lit(1 - eps), F.col("prediction")))).drop("_f", "prediction")
+    return d.withColumn(out, F.greatest(F.lit(eps), F.least(F.lit(1 - eps), F.col("_iso")))).drop("_f", "_iso")
 
 
 def fit_platt(val, p, y):
     """Logistic regression on the score's log odds."""
-    return fit_logistic(_logit(val, p), ["_logit"], y)
+    return fit_logistic(_logit(val.select(p, y), p), ["_logit"], y)
 
 
 def _logit(df, p):
@@ -236,8 +235,8 @@ def _logit(df, p):
 
 
 def apply_platt(model, df, p, out="p_cal") -> DataFrame:
-    d = model.transform(_logit(df, p))
-    keep = [c for c in df.columns if c != out]
+    keep = [c for c in df.columns if c not in (out, "prediction", "probability")]
+    d = model.transform(_logit(df.select(*keep), p))
     return d.select(*keep, F.get(vector_to_array("probability"), F.lit(1)).alias(out))
 
 

@@ -28,11 +28,17 @@ def doc_features(t):
         "doc_id", "lang", "source", "quality", "toxic", F.log1p(ln).alias("log_chars"), (words / ln).alias("word_share"),
         (F.regexp_count("text", F.lit("[0-9]")) / ln).alias("digit_share"), (F.regexp_count("text", F.lit("[^A-Za-z0-9 ]")) / ln).alias("mark_share"),
         (ln / words).alias("mean_word"))
-    return sm.stratified_kfold(d, "quality", "doc_id", 3)
+    return compact(sm.stratified_kfold(d, "quality", "doc_id", 3))
+
+
+def compact(df, rows_per_task=100_000):
+    """Cached, in as many partitions as its rows fill; an iterative fit runs one job per step over them."""
+    df = df.cache()
+    return df.coalesce(max(1, -(-df.count() // rows_per_task)))
 
 
 def split(t):
-    d = doc_features(t).cache()
+    d = doc_features(t)
     return d.where("fold <> 0"), d.where("fold = 0")
 
 
@@ -141,18 +147,18 @@ def classifier_query(name, fit):
         return m.score(fit(tr), te, ["doc_id", "quality"])
 
 
-classifier_query("T12_fit_logistic", lambda d: m.fit_logistic(d, FEATS, "quality", 0.01, 0.5, True))
+classifier_query("T12_fit_logistic", lambda d: m.fit_logistic(d, FEATS, "quality", 0.01, 0.5, True, iters=20))
 classifier_query("T13_fit_tree", lambda d: m.fit_tree(d, FEATS, "quality", 5, 5))
 classifier_query("T14_fit_forest", lambda d: m.fit_forest(d, FEATS, "quality", 20, 6))
 classifier_query("T15_fit_gbt", lambda d: m.fit_gbt(d, FEATS, "quality", 10, 3))
 classifier_query("T16_fit_pca_logistic", lambda d: m.fit_pca_logistic(d, FEATS, "quality", 3))
 classifier_query("T17_fit_mlp", lambda d: m.fit_mlp(d, FEATS, "quality", (8,), 2, 30))
-classifier_query("T18_fit_linear_svm", lambda d: m.fit_linear_svm(d, FEATS, "quality"))
+classifier_query("T18_fit_linear_svm", lambda d: m.fit_linear_svm(d, FEATS, "quality", iters=15))
 
 
 @query("T19_kmeans_sweep")
 def _(t):
-    return r(cl.kmeans_sweep(doc_features(t).cache(), FEATS, [2, 3, 4]), "inertia", "silhouette")
+    return r(cl.kmeans_sweep(doc_features(t), FEATS, [2, 3, 4]), "inertia", "silhouette")
 
 
 @query("T20_kmeans_step", """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), c AS (SELECT label AS c_id, arg_min(v, vec_id) AS c FROM e JOIN embeddings USING (vec_id) GROUP BY 1),
@@ -247,37 +253,37 @@ def _(t):
 
 
 def oof(t):
-    d = doc_features(t).cache()
-    return m.oof_predictions(d, lambda x: m.fit_logistic(x, FEATS, "quality", 0.01), "fold", 3, ["doc_id", "quality", "fold"])
+    d = doc_features(t)
+    return m.oof_predictions(d, lambda x: m.fit_logistic(x, FEATS, "quality", 0.01, iters=15), "fold", 3, ["doc_id", "quality", "fold"])
 
 
 @query("T29_isotonic_calibration")
 def _(t):
-    o = oof(t).cache()
+    o = compact(oof(t))
     d = m.apply_isotonic(m.fit_isotonic(o, "p", "quality"), o, "p")
     return r(d.select("doc_id", "quality", "p", "p_cal"), "p", "p_cal")
 
 
 @query("T30_fit_calibrator")
 def _(t):
-    best, _, result = m.fit_calibrator(oof(t).cache(), "p", "quality", "fold", 3)
+    best, _, result = m.fit_calibrator(compact(oof(t)), "p", "quality", "fold", 3)
     return r(t.spark.createDataFrame([(k, v, int(k == best)) for k, v in result.items()], "calibrator string, ece double, chosen int"), "ece")
 
 
 @query("T31_oof_stack")
 def _(t):
-    d = doc_features(t).cache()
-    a = m.oof_predictions(d, lambda x: m.fit_logistic(x, FEATS, "quality", 0.01), "fold", 3, ["doc_id", "quality"]).withColumnRenamed("p", "p_logit").drop("prediction")
+    d = doc_features(t)
+    a = m.oof_predictions(d, lambda x: m.fit_logistic(x, FEATS, "quality", 0.01, iters=15), "fold", 3, ["doc_id", "quality"]).withColumnRenamed("p", "p_logit").drop("prediction")
     b = m.oof_predictions(d, lambda x: m.fit_forest(x, FEATS, "quality", 10, 4), "fold", 3, ["doc_id"]).withColumnRenamed("p", "p_forest").drop("prediction")
-    z = a.join(b, "doc_id").cache()
+    z = compact(a.join(b, "doc_id"))
     return r(m.score(m.fit_stack(z, ["p_logit", "p_forest"], "quality"), z, ["doc_id", "quality", "p_logit", "p_forest"]), "p_logit", "p_forest", "p")
 
 
 @query("T32_grid_search")
 def _(t):
-    d = doc_features(t).cache()
+    d = doc_features(t)
     folds = [(F.col("fold") != i, F.col("fold") == i) for i in range(2)]
-    got = m.grid_search(d, lambda x, reg, l1: m.fit_logistic(x, FEATS, "quality", reg, l1), [{"reg": a, "l1": b} for a in (0.001, 0.1) for b in (0.0, 1.0)], folds, "quality")
+    got = m.grid_search(d, lambda x, reg, l1: m.fit_logistic(x, FEATS, "quality", reg, l1, iters=8), [{"reg": a, "l1": b} for a in (0.001, 0.1) for b in (0.0, 1.0)], folds, "quality")
     return r(t.spark.createDataFrame([(g["reg"], g["l1"], float(a)) for g, a in got], "reg double, l1 double, auc double"), "auc")
 
 
@@ -305,32 +311,32 @@ def doc_tokens(t):
 
 @query("N17_lda_topics")
 def _(t):
-    d = toks(t).cache()
+    d = compact(toks(t), 20_000)
     mod = m.lda(d, "tokens", 4, iters=5)
     return r(m.top_words(mod), "weight", digits=4)
 
 
 @query("N17b_lda_allocation")
 def _(t):
-    d = toks(t).cache()
+    d = compact(toks(t), 20_000)
     return m.allocate(m.lda(d, "tokens", 4, tfidf=True, iters=5), n.tokens_of(t.benchmark, "item_id", "text"), "item_id").select("item_id", "topic")
 
 
 @query("N19_select_k")
 def _(t):
-    d = doc_tokens(t).cache()
+    d = compact(doc_tokens(t), 20_000)
     return r(m.select_k(d, "doc_id", "tokens", "quality", tf(t), "fold", [2, 3]), "coherence", "macro_f1", digits=4)
 
 
 @query("N37_word2vec_docs")
 def _(t):
-    _, d = m.word2vec_docs(toks(t).cache(), "tokens", 16, 20)
+    _, d = m.word2vec_docs(compact(toks(t), 20_000), "tokens", 16, 20)
     return d.select("doc_id", F.size("vector").alias("dims"), F.round(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)), 4).alias("norm"))
 
 
 @query("N38_lsa")
 def _(t):
-    _, d = m.lsa(toks(t).cache(), "tokens", 8, 300)
+    _, d = m.lsa(compact(toks(t), 20_000), "tokens", 8, 300)
     return d.select("doc_id", F.transform("vector", lambda x: F.round(x, 4)).alias("vector"))
 
 
