@@ -2,6 +2,7 @@
 
 import json
 import os
+import sys
 import time
 
 from tidewake.plans import load_all
@@ -27,6 +28,7 @@ def main():
         t0 = time.time()
         queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.time() - t0, 3)
+        print(name, times[name], file=sys.stderr, flush=True)
     sf = os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")
     print(json.dumps({"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": float(sf)}))
 

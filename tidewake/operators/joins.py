@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.window import Window
 
 from .timeline import prior
 
@@ -46,7 +44,7 @@ def join_first_per_key(left: DataFrame, dim: DataFrame, key, order) -> DataFrame
 
 
 def asof_backward(
-    left: DataFrame, right: DataFrame, by, sec: str, order, value: str, right_order, out="asof", strict=True,
+    left: DataFrame, right: DataFrame, by, sec: str, value: str, right_order, out="asof", strict=True,
     fallback: Column | None = None,
 ) -> DataFrame:
     """Last right value before each left row of the same key.
@@ -54,10 +52,9 @@ def asof_backward(
     Both sides become one timeline and the last value is a prior scan, so there is no range join.
     With ``strict`` a quote of the same second does not count.
     """
-    by, order, right_order = _keys(by), _keys(order), _keys(right_order)
+    by, right_order = _keys(by), _keys(right_order)
     carried = [c for c in left.columns if c not in by]
     l_rank, r_rank = (0, 1) if strict else (1, 0)
-    lo = F.struct(*[F.col(o).cast("string").alias(f"o{i}") for i, o in enumerate(order)])
     l = left.select(
         *by, F.col(sec).alias("_at"), F.lit(l_rank).alias("_side"), F.lit(None).cast("bigint").alias("_seq"),
         F.struct(*carried).alias("_row"), F.lit(None).cast(dict(right.dtypes)[value]).alias("_v"),

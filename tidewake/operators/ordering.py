@@ -113,8 +113,13 @@ def join_scan(df: DataFrame, scan: DataFrame, col: str, by=()) -> DataFrame:
     return df.join(s, on, "left").drop(*[f"_k_{k}" for k in (*by, col)])
 
 
-def nth_value(df: DataFrame, col: str, k: Column) -> Column:
-    """Scalar: the ``k``-th smallest value (0-based) of a column."""
+def kth(df: DataFrame, col: str, k) -> tuple | None:
+    """(value, rows below it, rows at it) of the 0-based k-th smallest value; three numbers reach the driver.
+
+    ``k`` may be a function of the column holding the number of rows.
+    """
     s = value_counts_scan(df, col)
-    hit = (F.col("n_below") <= k) & (k < F.col("n_below") + F.col("n"))
-    return s.where(hit).agg(F.max(col)).scalar()
+    at = k(F.col("n_all")) if callable(k) else F.lit(k)
+    row = s.where((F.col("n_below") <= at) & (at < F.col("n_below") + F.col("n"))).select(
+        F.col(col).alias("v"), "n_below", "n", at.cast("bigint").alias("k")).first()
+    return None if row is None else tuple(row)

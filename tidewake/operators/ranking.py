@@ -7,26 +7,31 @@ from pyspark.sql.window import Window
 
 from ..functions.scalars import unit_hash
 from .joins import first_rows
-from .ordering import nth_value
+from .ordering import kth
 
 
 def _keys(k) -> list[str]:
     return [k] if isinstance(k, str) else list(k)
 
 
-def top_fraction(df: DataFrame, score: str, pct: float, tiebreak: str, k=None) -> DataFrame:
+def top_fraction(df: DataFrame, score: str, pct: float, tiebreak: str, k: int | None = None) -> DataFrame:
     """The k = max(1, int(n*pct)) rows with the largest score, ties to the smaller id.
 
-    The k-th score, then the last id admitted at that score, are found as exact order statistics
-    of collapsed values; the selection itself is a plain filter.
+    The k-th score and, where its ties straddle the cut, the last id admitted at it are exact order
+    statistics over collapsed values; the selection itself is a plain filter.
     """
     d = df.where(F.col(score).isNotNull()).withColumn("_neg", -F.col(score))
     if k is None:
-        k = F.greatest(F.lit(1), F.floor(d.agg((F.count(F.lit(1)) * pct).alias("n")).scalar()))
-    cut = nth_value(d, "_neg", k - 1)
-    above = d.where(F.col("_neg") < cut).agg(F.count(F.lit(1))).scalar()
-    last = nth_value(d.where(F.col("_neg") == cut), tiebreak, k - above - 1)
-    return d.where((F.col("_neg") < cut) | ((F.col("_neg") == cut) & (F.col(tiebreak) <= last))).drop("_neg")
+        found = kth(d, "_neg", lambda n: F.greatest(F.lit(1), F.floor(n * F.lit(pct))) - 1)
+    else:
+        found = kth(d, "_neg", lambda n: F.least(F.lit(k), n) - 1)
+    if found is None:
+        return d.where(F.lit(False)).drop("_neg")
+    cut, below, at, last = found
+    if below + at == last + 1:
+        return d.where(F.col("_neg") <= F.lit(cut)).drop("_neg")
+    tie = kth(d.where(F.col("_neg") == F.lit(cut)), tiebreak, last - below)
+    return d.where((F.col("_neg") < F.lit(cut)) | ((F.col("_neg") == F.lit(cut)) & (F.col(tiebreak) <= F.lit(tie[0])))).drop("_neg")
 
 
 def top_groups(df: DataFrame, key: str, val: str, n: int) -> DataFrame:

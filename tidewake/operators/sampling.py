@@ -66,8 +66,7 @@ def ts_cv(df, t, init, step, folds, horizon=None) -> DataFrame:
 def sample_n(df, uid, n, seed=0) -> DataFrame:
     """min(n, N) rows with the smallest hashes, selected by a threshold."""
     d = df.withColumn("_u", -unit_hash(uid, seed=seed))
-    k = F.least(F.lit(n).cast("bigint"), d.agg(F.count(F.lit(1))).scalar())
-    return top_fraction(d, "_u", 1.0, uid, k).drop("_u")
+    return top_fraction(d, "_u", 1.0, uid, n).drop("_u")
 
 
 def poisson_weight(u: Column) -> Column:
@@ -107,6 +106,8 @@ def cluster_bootstrap_ci(df, cluster, num: Column, den: Column | None = None, b=
     """Whole clusters are resampled; rows are summed per cluster first."""
     den = F.lit(1.0) if den is None else den
     g = df.groupBy(cluster).agg(F.sum(num.cast("double")).alias("_n"), F.sum(den.cast("double")).alias("_d"))
+    # few rows, b hashes each: spread them over all cores whatever their size
+    g = g.repartition(df.sparkSession.sparkContext.defaultParallelism, cluster)
     return _ci(_replicates(g, cluster, b, seed, {"num": F.col("_n"), "den": F.col("_d")}), F.col("num") / F.col("den"))
 
 

@@ -256,7 +256,7 @@ def _(t):
   WHERE b.market = 'view' AND b.taker = a.taker AND b.sec < a.sec), a.price) AS quote FROM t a WHERE a.market = 'click'""")
 def _(t):
     d = trades(t)
-    return j.asof_backward(d.where("market = 'click'"), d.where("market = 'view'"), "taker", "sec", "trade_id", "price",
+    return j.asof_backward(d.where("market = 'click'"), d.where("market = 'view'"), "taker", "sec", "price",
                            "trade_id", "quote", fallback=F.col("price")).select("trade_id", "quote")
 
 
