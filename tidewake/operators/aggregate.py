@@ -221,7 +221,7 @@ def ols_predict(df, key, y, x, x0) -> DataFrame:
     se = F.sqrt(s2 * (1 + 1 / F.col("n") + F.pow(F.lit(float(x0)) - F.col("mx"), F.lit(2.0)) / F.col("sxx")))
     fit = F.col("a") + F.col("b") * float(x0)
     half = t_quantile_975(dof) * se
-    return g.select(*_keys(key), fit.alias("fit"), (fit - half).alias("lower"), (fit + half).alias("upper"))
+    return g.select(*_keys(key), "n", fit.alias("fit"), (fit - half).alias("lower"), (fit + half).alias("upper"))
 
 
 def monthly_returns(df, key, day, price) -> DataFrame:

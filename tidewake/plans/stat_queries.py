@@ -336,12 +336,12 @@ def _(t):
     return r(a.ols_residuals(yearly(t), "k", "n", "yr"), "residual", digits=4).select("k", "yr", "residual")
 
 
-@query("A21_ols_predict", f"""WITH {YR}, g AS (SELECT k, count(*) AS c, regr_slope(n, yr) AS b, regr_intercept(n, yr) AS a, avg(yr) AS mx, regr_sxx(n, yr) AS sxx, regr_syy(n, yr) AS syy, regr_sxy(n, yr) AS sxy FROM y GROUP BY k),
+@query("A21_ols_predict", f"""WITH {YR}, g AS (SELECT k, count(*) AS c, regr_slope(n, yr) AS b, regr_intercept(n, yr) AS a, avg(yr) AS mx, regr_sxx(n, yr) AS sxx, regr_syy(n, yr) AS syy, regr_sxy(n, yr) AS sxy FROM y GROUP BY k HAVING count(*) > 2),
   h AS (SELECT *, a + b * 2002 AS fit, sqrt((syy - sxy * sxy / sxx) / (c - 2) * (1 + 1.0 / c + (2002 - mx) * (2002 - mx) / sxx)) AS se FROM g)
   SELECT k, round(fit, 3) AS fit, round((fit - (2002 * 0)) - fit + se, 3) AS se FROM h""")
 def _(t):
     d = a.ols_predict(yearly(t), "k", "n", "yr", 2002)
-    q = a.t_quantile_975(F.lit(5))
+    q = a.t_quantile_975(F.col("n") - 2)
     return d.select("k", F.round("fit", 3).alias("fit"), F.round((F.col("upper") - F.col("fit")) / q, 3).alias("se"))
 
 
