@@ -7,10 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from ..functions.scalars import unit_hash
 from .nearest import block_topk
 from .ranking import topk_by
-from .sampling import poisson_weight
+from .sampling import with_replicates
 
 
 def keyword_hits(tf, doc, keywords, label) -> DataFrame:
@@ -141,7 +140,7 @@ def retrieval_at_k(ranked, gold, qid, cid, ks, arch="arch", b=100, seed=0) -> Da
     arr = F.array(*[F.struct(F.lit(k).alias("k"), F.coalesce((F.col("_r") <= k).cast("int"), F.lit(0)).alias("hit")) for k in ks])
     d = d.select(qid, arch, F.explode(arr).alias("x")).select(qid, arch, "x.*")
     # all (architecture, k) cells share the replicate weights of a query
-    r = d.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(b)))).withColumn("_w", poisson_weight(unit_hash(qid, "rep", seed=seed)))
+    r = with_replicates(d, qid, b, seed)
     r = r.groupBy(arch, "k", "rep").agg((F.sum(F.col("hit") * F.col("_w")) / F.sum("_w")).alias("v"))
     ci = r.groupBy(arch, "k").agg(F.percentile("v", 0.025).alias("lo"), F.percentile("v", 0.975).alias("hi"))  # b values
     return d.groupBy(arch, "k").agg(F.avg("hit").alias("hit_rate"), F.count(F.lit(1)).alias("n")).join(ci, [arch, "k"])

@@ -81,12 +81,32 @@ def poisson_weight(u: Column) -> Column:
     return c
 
 
+# fixed values: modulus and multipliers of the replicate mixer, small enough for 64-bit products
+_MOD, _STEP, _MULT = 2147483647, 1000003, (48271, 69621, 39373)
+
+
+def replicate_uniform(base: Column, rep: Column) -> Column:
+    """Uniform number per (row, replicate) from the row's hash: integer mixing, no text per replicate."""
+    h = (base + rep * _STEP) % _MOD * _MULT[0] % _MOD
+    h = h.bitwiseXOR(F.shiftright(h, 15)) * _MULT[1] % _MOD
+    h = h.bitwiseXOR(F.shiftright(h, 13)) * _MULT[2] % _MOD
+    return h / float(_MOD)
+
+
+def with_replicates(df, uid, b, seed) -> DataFrame:
+    """Each row b times, with columns rep and its Poisson weight _w (rows of weight 0 are left out)."""
+    d = df.withColumn("_base", F.floor(unit_hash(uid, seed=seed) * _MOD))
+    # the generator sits between the two steps, so the row hash is computed once per row
+    d = d.withColumn("rep", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(b).cast("bigint"))))
+    d = d.withColumn("_u", replicate_uniform(F.col("_base"), F.col("rep")))
+    return d.withColumn("_w", poisson_weight(F.col("_u"))).where("_w > 0").drop("_base", "_u")
+
+
 def _replicates(df, uid, b, seed, sums: dict[str, Column]) -> DataFrame:
-    """Weighted sums per replicate; weights are hashed per row and replicate, sums combine map-side."""
+    """Weighted sums per replicate; they combine map-side, so b rows per task shuffle."""
     d = df.select(F.col(uid).alias("_id"), *[e.alias(n) for n, e in sums.items()])
-    d = d.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(b))))
-    d = d.withColumn("_w", poisson_weight(unit_hash("_id", "rep", seed=seed)))
-    return d.where("_w > 0").groupBy("rep").agg(*[F.sum(F.col(n) * F.col("_w")).alias(n) for n in sums])
+    d = with_replicates(d, "_id", b, seed)
+    return d.groupBy("rep").agg(*[F.sum(F.col(n) * F.col("_w")).alias(n) for n in sums])
 
 
 def _ci(reps, value: Column) -> DataFrame:

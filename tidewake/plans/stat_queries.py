@@ -29,7 +29,7 @@ def preds(t):
         F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("taker"), F.col("o_orderpriority").alias("market"),
         F.unix_timestamp("o_orderdate").alias("sec"), F.col("o_totalprice").alias("usd"), y.alias("y"),
         F.round(0.7 * s.unit_hash("o_orderkey", seed=1) + F.when(y == 1, 0.3).otherwise(0.0), 3).alias("p"),
-        F.round(s.unit_hash("o_orderkey", seed=2), 3).alias("pm"))
+        F.round(s.unit_hash("o_orderkey", seed=2), 3).alias("pm")).cache()  # stands for a stored score table
 
 
 def PR(body):
@@ -608,7 +608,11 @@ W_CASE = "CASE " + " ".join(f"WHEN u < {c!r}::DOUBLE THEN {i}" for i, c in enume
 
 
 def boot(src, uid, b, seed):
-    return f"(SELECT *, {W_CASE} AS w FROM (SELECT s.*, rep, {U(f'{uid} || chr(58) || rep', seed)} AS u FROM {src} s, (SELECT unnest(generate_series(1, {b})) AS rep)))"
+    m = 2147483647
+    x = f"SELECT s.*, rep, (floor({U(uid, seed)} * {m})::BIGINT + rep * 1000003) % {m} * 48271 % {m} AS h FROM {src} s, (SELECT unnest(generate_series(1, {b})) AS rep)"
+    x = f"SELECT * REPLACE (xor(h, h >> 15) * 69621 % {m} AS h) FROM ({x})"
+    x = f"SELECT * REPLACE (xor(h, h >> 13) * 39373 % {m} AS h) FROM ({x})"
+    return f"(SELECT *, {W_CASE} AS w FROM (SELECT *, h / {m}::DOUBLE AS u FROM ({x})))"
 
 
 @query("R08_bootstrap_ci", PR(f"SELECT round(avg(v), 6) AS mean, round(quantile_cont(v, 0.025), 6) AS lo, round(quantile_cont(v, 0.975), 6) AS hi FROM (SELECT rep, sum(y * w) / sum(w)::DOUBLE AS v FROM {boot('pr', 'id', 40, 6)} GROUP BY rep)"))
