@@ -242,12 +242,13 @@ def item_stats(ratings, item, rating) -> DataFrame:
     return ratings.groupBy(item).agg(F.count(rating).alias("n"), F.avg(rating).alias("mean"))
 
 
-def similar_items(ratings, user, item, rating, min_n, k, block=256, users_per_slice=4096) -> DataFrame:
+def similar_items(ratings, user, item, rating, min_n, k, block=2048, users_per_slice=4096) -> DataFrame:
     """Pearson correlation over co-raters for every item pair with at least min_n of them, top-k per item.
 
     Items rated fewer than min_n times cannot qualify and leave first.  Items are cut into blocks and
-    users into slices; a task takes two item blocks of one slice and adds up the six co-rating sums as
-    matrix products, so a heavy user is spread over blocks and no pair list is built per user.
+    users into slices; a task takes two item blocks of one slice and adds up the six co-rating sums, so a
+    heavy user is spread over blocks and only sums leave a task.  Dense slices use matrix products, thin
+    ones add up their co-ratings directly; block and slice sizes bound both.
     """
     r = ratings.groupBy(user, item).agg(F.avg(rating).alias("v"))
     often = r.groupBy(item).agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") >= min_n)
@@ -273,6 +274,17 @@ def similar_items(ratings, user, item, rating, min_n, k, block=256, users_per_sl
     def part(key, l: pd.DataFrame, rr: pd.DataFrame) -> pd.DataFrame:
         users = np.intersect1d(l["u"].to_numpy().astype(str), rr["u"].to_numpy().astype(str))
         l, rr = l[l["u"].isin(users)], rr[rr["u"].isin(users)]
+        work = int((l["u"].value_counts() * rr["u"].value_counts()).sum())
+        if len(users) and work < l["i"].nunique() * rr["i"].nunique() * len(users) / 40:
+            z = l[["u", "i", "v"]].merge(rr[["u", "i", "v"]], on="u")
+            x, y = z["v_x"].to_numpy(), z["v_y"].to_numpy()
+            li, p = np.unique(z["i_x"].to_numpy(), return_inverse=True)
+            ri, q = np.unique(z["i_y"].to_numpy(), return_inverse=True)
+            cell, at = np.unique(p * np.int64(len(ri)) + q, return_inverse=True)
+            sums = [np.bincount(at, w, len(cell)) for w in (np.ones(len(x)), x, y, x * x, y * y, x * y)]
+            i, j = li[cell // len(ri)], ri[cell % len(ri)]
+            keep = (i < j) if key[0] == key[1] else np.ones(len(i), bool)
+            return pd.DataFrame({"i": i[keep], "j": j[keep], **{nm: v[keep] for nm, v in zip(names, sums)}})
         if not len(users):
             return pd.DataFrame({"i": [], "j": [], **{x: [] for x in names}}).astype({"i": "int64", "j": "int64"} | {x: "float64" for x in names})
         li, x, mx = dense(l, users)

@@ -367,7 +367,7 @@ def guerrero(df, key, t, v, m, grid=None) -> DataFrame:
     b = b.withColumn("lambda", F.explode(F.array(*[F.lit(float(x)) for x in grid])))
     b = b.withColumn("_r", F.col("_s") / F.pow("_m", 1 - F.col("lambda")))
     c = b.groupBy(*keys, "lambda").agg((F.stddev_samp("_r") / F.avg("_r")).alias("cv"))
-    return c.groupBy(*keys).agg(F.min_by("lambda", F.struct("cv", "lambda")).alias("lambda"), F.min("cv").alias("cv"))
+    return c.groupBy(*keys).agg(F.min_by("lambda", F.when(F.col("cv").isNotNull(), F.struct("cv", "lambda"))).alias("lambda"), F.min("cv").alias("cv"))
 
 
 def window_samples(df, key, t, v, width=80) -> DataFrame:

@@ -343,7 +343,7 @@ def _(t):
 
 
 @query("Y18_forecast_cv", M(""", f AS (SELECT *, 23940 + 36 + fold * 6 AS o FROM m, (SELECT unnest(generate_series(0, 3)) AS fold)), g AS (SELECT k, fold, avg(v) AS mean, arg_max(v, t) AS last, arg_min(v, t) AS first, max(t) AS t0, count(*) AS n FROM f WHERE t < o GROUP BY ALL),
-  e AS (SELECT k, method, v, CASE method WHEN 'mean' THEN mean WHEN 'naive' THEN last ELSE last + (t - t0) * (last - first) / (n - 1) END AS fc FROM f JOIN g USING (k, fold), (SELECT unnest(['mean', 'naive', 'drift']) AS method) WHERE t >= o AND t < o + 6)
+  e AS (SELECT k, method, v, CASE method WHEN 'mean' THEN mean WHEN 'naive' THEN last ELSE last + (t - t0) * (last - first) / (n - 1) END AS fc FROM f JOIN g USING (k, fold), (SELECT unnest(['mean', 'naive', 'drift']) AS method) WHERE t >= o AND t < o + 6 AND t <= t0 + 6)
   SELECT k, method, round(sqrt(avg((v - fc) * (v - fc))), 2) AS rmse, round(avg(abs(v - fc)), 5) AS mae, round(avg(abs((v - fc) / v)) * 100, 5) AS mape, round(1 - sum((v - fc) * (v - fc)) / (var_pop(v) * count(v)), 5) AS r2 FROM e GROUP BY ALL"""))
 def _(t):
     d = y.forecast_cv(monthly(t), "k", "t", "v", 23940 + 36, 6, 4, 6)
