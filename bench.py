@@ -13,7 +13,7 @@ HEADLINE = [
     "W24_expanding_entropy", "W43_pct_rank", "J05_asof_backward", "J09_range_join", "A03_describe_by", "A04_pivot_sum",
     "A09_corr_matrix", "A15_quantile_table", "K01_top_fraction", "K03_topk_by", "U05_jaccard_pairs", "E01_auc", "E03_ece",
     "R05_stratified_kfold", "R09_cluster_bootstrap_ci", "B01_strategy_signals", "B02_flat_stake", "N04_bigram_mle", "N10_tfidf",
-    "N30_bm25_topk", "N29_dense_topk", "T01_standard_scale", "T25_iforest_score", "T27_similar_items", "Y04_acf", "Y17_ets_ses",
+    "N30_bm25_topk", "N29_dense_topk", "T01_standard_scale", "T25_iforest_score", "Y04_acf", "Y17_ets_ses",
     "Q10_check_duplicates", "X02_stream_tumbling",
 ]
 

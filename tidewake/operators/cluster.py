@@ -255,7 +255,7 @@ def similar_items(ratings, user, item, rating, min_n, k, block=2048, users_per_s
     n_items, n_users = often.count(), r.agg(F.approx_count_distinct(user)).first()[0]
     blocks, slices = max(1, -(-n_items // block)), max(1, -(-n_users // users_per_slice))
     d = r.join(often, item).select(
-        F.col(user).cast("string").alias("u"), F.col(item).cast("bigint").alias("i"), "v",
+        F.col(user).alias("u"), F.col(item).cast("bigint").alias("i"), "v",
         F.pmod(F.xxhash64(item), F.lit(blocks)).cast("int").alias("_b"), F.pmod(F.xxhash64(user, F.lit("s")), F.lit(slices)).cast("int").alias("_s"))
     left = d.withColumn("a", F.col("_b")).withColumn("b", F.explode(F.sequence(F.col("_b"), F.lit(blocks - 1))))
     right = d.toDF(*d.columns).withColumn("b", F.col("_b")).withColumn("a", F.explode(F.sequence(F.lit(0), F.col("_b"))))
@@ -272,7 +272,7 @@ def similar_items(ratings, user, item, rating, min_n, k, block=2048, users_per_s
     names = ["n", "sx", "sy", "sxx", "syy", "sxy"]
 
     def part(key, l: pd.DataFrame, rr: pd.DataFrame) -> pd.DataFrame:
-        users = np.intersect1d(l["u"].to_numpy().astype(str), rr["u"].to_numpy().astype(str))
+        users = np.intersect1d(l["u"].to_numpy(), rr["u"].to_numpy())
         l, rr = l[l["u"].isin(users)], rr[rr["u"].isin(users)]
         work = int((l["u"].value_counts() * rr["u"].value_counts()).sum())
         if len(users) and work < l["i"].nunique() * rr["i"].nunique() * len(users) / 40:

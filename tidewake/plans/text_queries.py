@@ -20,7 +20,7 @@ def toks(t):
 
 
 def tf(t):
-    return n.term_counts(toks(t), "doc_id")
+    return n.term_counts(toks(t), "doc_id").cache()  # stands for a stored term table
 
 
 def qf(t):
