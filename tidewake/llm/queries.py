@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, url_filter, warc
+from . import langid, mixing, sentencepiece, url_filter, warc
 from .registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -56,3 +56,19 @@ def op3_mix_sources(spark, sf_dir):
 @query("op7_url_filter", url_filter.judge_sql())
 def op7_url_filter(spark, sf_dir):
     return url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op4_sentencepiece")
+def op4_sentencepiece(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = sentencepiece.decode_pieces(sentencepiece.encode_pieces(docs))
+    return done.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), "score", "ids",
+                       F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+
+
+@query("op2_language_id")
+def op2_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    profiles = langid.learn_held_out(docs.select("doc_id", "text", "lang"))
+    found = langid.identify(docs.select("doc_id", "text"), profiles)
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
