@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import langid, mixing, sentencepiece, url_filter, warc
+from . import langid, licences, mixing, quality, sentencepiece, url_filter, warc
 from .registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -72,3 +72,18 @@ def op2_language_id(spark, sf_dir):
     profiles = langid.learn_held_out(docs.select("doc_id", "text", "lang"))
     found = langid.identify(docs.select("doc_id", "text"), profiles)
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query("op5_quality_rules")
+def op5_quality_rules(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit_quality(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score_quality(docs, model)
+    return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "probability", "kept")
+
+
+@query("op8_license_scan")
+def op8_license_scan(spark, sf_dir):
+    found = licences.scan_licences(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.size("sentence_ids").cast("bigint").alias("n_sentences"), F.array_join("sentence_ids", ",").alias("sentence_ids"),
+                        F.array_join("licences", ",").alias("licences"), F.get("licences", F.lit(0)).alias("licence"))
