@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import langid, licences, mixing, quality, sentencepiece, url_filter, warc
+from . import bitcodes, langid, licences, mixing, quality, sentencepiece, url_filter, warc
 from .registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -87,3 +87,16 @@ def op8_license_scan(spark, sf_dir):
     found = licences.scan_licences(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.size("sentence_ids").cast("bigint").alias("n_sentences"), F.array_join("sentence_ids", ",").alias("sentence_ids"),
                         F.array_join("licences", ",").alias("licences"), F.get("licences", F.lit(0)).alias("licence"))
+
+
+@query("op10_bit_codes", """
+with v as (select vec_id, embedding::double[] as e from embeddings
+  where embedding is not null and vec_id is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+  and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e) as score from v q join v c on q.vec_id <> c.vec_id
+  where q.vec_id % 20 = 0 and len(q.e) = len(c.e)),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from p)
+select query_id, rank, vec_id, score from r where rank <= 20
+""")
+def op10_bit_codes(spark, sf_dir):
+    return bitcodes.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
