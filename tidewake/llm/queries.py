@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bitcodes, langid, licences, mixing, quality, sentencepiece, url_filter, warc
+from . import bitcodes, jaccard, langid, licences, mixing, quality, sentencepiece, url_filter, warc
 from .registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -100,3 +100,8 @@ select query_id, rank, vec_id, score from r where rank <= 20
 """)
 def op10_bit_codes(spark, sf_dir):
     return bitcodes.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
+@query("op9_jaccard_join")
+def op9_jaccard_join(spark, sf_dir):
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
