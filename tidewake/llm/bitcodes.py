@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import stored
+from .common import in_batches, stored
 
 QUERY_BITS = 8
 EPS = 4.0
@@ -136,7 +136,7 @@ def build_codes(rows: DataFrame, key: str = "vec_id", vector: str = "embedding")
                 [b.column("id"), b.column("vec"), b.column("dim"), pa.array(codes, pa.binary()), pa.array(norms), pa.array(corrs)],
                 names=["id", "vec", "dim", "code", "norm", "corr"])
 
-    return rows.mapInArrow(code, "id bigint, vec array<double>, dim int, code binary, norm double, corr double")
+    return in_batches(rows).mapInArrow(code, "id bigint, vec array<double>, dim int, code binary, norm double, corr double")
 
 
 def nearest(index: DataFrame, queries, k: int = 20, eps: float = EPS, block: int = BLOCK, slice_rows: int = SLICE) -> DataFrame:

@@ -6,6 +6,8 @@ import re
 import uuid
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import shared_dir
@@ -45,3 +47,23 @@ def mix64(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
+
+
+def in_batches(df: DataFrame) -> DataFrame:
+    """``df``, with its session set to hand Arrow batches of a bounded size (not row count) to Python."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    return df
+
+
+def row_slices(batches, column: str, limit: int = 4 << 20):
+    """Record batches cut into runs of rows whose ``column`` (text or list) has about ``limit`` bytes or items; no row is split."""
+    for b in batches:
+        col = b.column(column)
+        sizes = pc.list_value_length(col) if pa.types.is_list(col.type) else pc.binary_length(col)
+        ends = np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < b.num_rows:
+            stop = int(np.searchsorted(ends, (ends[start - 1] if start else 0) + limit, "right"))
+            stop = max(start + 1, stop)
+            yield b.slice(start, stop - start)
+            start = stop

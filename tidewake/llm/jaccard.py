@@ -30,7 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import TO_LOWER, WORDS, mix64, stored
+from .common import TO_LOWER, WORDS, in_batches, mix64, row_slices, stored
 from .graph import connected_components
 
 N = 5
@@ -49,7 +49,7 @@ def word_hashes(text: str | None) -> np.ndarray:
     for i, w in enumerate(words):
         h = _kept.get(w)
         if h is None:
-            if len(_kept) >= 500_000:
+            if len(_kept) >= 150_000:
                 _kept.clear()
             h = _kept[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
         out[i] = h
@@ -86,7 +86,7 @@ def describe_sets(docs: DataFrame, n: int = N) -> DataFrame:
         seen = np.zeros(cells, np.int64)
         names = ["doc_id", "size", "h1", "h2", "block", "counts"]
         none = lambda k, t: pa.nulls(k, t)
-        for b in batches:
+        for b in row_slices(batches, "text"):
             rows = []
             for t in b.column("text").to_pylist():
                 s = shingle_set(t, n)
@@ -100,7 +100,7 @@ def describe_sets(docs: DataFrame, n: int = N) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [*[none(blocks, pa.int64())] * 4, pa.array(range(blocks), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=names)
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
+    return in_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).mapInArrow(
         run, "doc_id bigint, size bigint, h1 bigint, h2 bigint, block int, counts binary")
 
 
@@ -117,7 +117,7 @@ def token_classes(parts: DataFrame) -> np.ndarray:
                                          names=["block", "classes"])
 
     out = np.zeros(1 << CELL_BITS, np.uint8)
-    for k, c in parts.repartition("block").mapInArrow(add, "block int, classes binary").collect():
+    for k, c in in_batches(parts.repartition("block")).mapInArrow(add, "block int, classes binary").collect():
         out[k * BLOCK_CELLS : (k + 1) * BLOCK_CELLS] = np.frombuffer(c, np.uint8)
     return out
 
@@ -128,7 +128,7 @@ def prefix_tokens(docs: DataFrame, classes: np.ndarray, percent: int = PERCENT,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
-        for b in batches:
+        for b in row_slices(batches, "text"):
             tokens, nodes = [], []
             for t in b.column("text").to_pylist():
                 s = shingle_set(t, n)
@@ -140,7 +140,7 @@ def prefix_tokens(docs: DataFrame, classes: np.ndarray, percent: int = PERCENT,
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(nodes))], names=["token", "node"])
 
-    return docs.select("text").mapInArrow(run, "token bigint, node bigint")
+    return in_batches(docs.select("text")).mapInArrow(run, "token bigint, node bigint")
 
 
 class _Forest:

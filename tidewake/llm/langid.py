@@ -24,12 +24,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from .common import in_batches, row_slices
 from .sentencepiece import _with
 
 TOP = 300
 MAX_N = 3
 MAX_LANGUAGES = 2000
-WORDS_KEPT = 300_000
+WORDS_KEPT = 150_000
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 _kept: dict[str, np.ndarray] = {}
@@ -71,7 +72,7 @@ def learn_profiles(docs: DataFrame, text: str = "text", lang: str = "lang", top:
     """(lang, gram, rank) with ranks from 0, from all rows whose language is not null."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in row_slices(batches, text):
             by: dict[str, Counter] = {}
             for t, k in zip(b.column(text).to_pylist(), b.column(lang).to_pylist()):
                 if t:
@@ -82,7 +83,7 @@ def learn_profiles(docs: DataFrame, text: str = "text", lang: str = "lang", top:
                     yield pa.RecordBatch.from_pydict({"lang": pa.array([k] * len(grams), pa.string()), "gram": grams, "n": n})
 
     rows = docs.select(F.col(text).cast("string").alias(text), F.col(lang).cast("string").alias(lang)).where(F.col(lang).isNotNull())
-    n = rows.mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    n = in_batches(rows).mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     by_count = [F.col("n").desc(), F.col("gram")]
     part = n.withColumn("_s", F.pmod(F.xxhash64("gram"), F.lit(64)))
     part = part.withColumn("_r", F.row_number().over(W.partitionBy("lang", "_s").orderBy(*by_count))).where(F.col("_r") <= top)
@@ -131,12 +132,12 @@ def identify(docs: DataFrame, profiles: dict[str, dict[int, int]], text: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranker = Ranker(profiles, top)
-        for b in batches:
+        for b in row_slices(batches, text):
             got = [ranker.predict(t) for t in b.column(text).to_pylist()]
             made = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], *made], names=[*keep, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, _with(docs.schema, lang_pred="string", score="double"))
+    return in_batches(docs).mapInArrow(run, _with(docs.schema, lang_pred="string", score="double"))
 
 
 def held_out(doc_id: str = "doc_id"):

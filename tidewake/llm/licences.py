@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import in_batches, row_slices
 from .sentencepiece import _with
 
 #: Known sentences of public licences, by identifier (fixed values).
@@ -155,9 +156,9 @@ def scan_licences(docs: DataFrame, text: str = "text", sentences=SENTENCES, rule
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(sentences, rules, markers)
-        for b in batches:
+        for b in row_slices(batches, text):
             ids = [scanner.identifiers(t) for t in b.column(text).to_pylist()]
             made = [pa.array(ids, kind), pa.array(list(map(scanner.licences, ids)), kind)]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], *made], names=[*keep, "sentence_ids", "licences"])
 
-    return docs.mapInArrow(run, _with(docs.schema, sentence_ids="array<string>", licences="array<string>"))
+    return in_batches(docs).mapInArrow(run, _with(docs.schema, sentence_ids="array<string>", licences="array<string>"))

@@ -26,7 +26,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame, functions as F
 
-from .common import WORDS, stored
+from .common import WORDS, in_batches, row_slices, stored
 from .sentencepiece import _with
 
 BITS = 16
@@ -70,7 +70,7 @@ def fails_base(n_words: int, n_repeat_words: int) -> bool:
 def _word_hash(word: str) -> int:
     got = _kept.get(word)
     if got is None:
-        if len(_kept) >= 500_000:
+        if len(_kept) >= 150_000:
             _kept.clear()
         got = _kept[word] = zlib.crc32(word.encode("utf-8", "surrogatepass"))
     return got
@@ -105,7 +105,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str = "quality", ma
                                                           (F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(5)) == 0).alias("calibrate"))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in row_slices(batches, "text"):
             out = []
             for t in b.column("text").to_pylist():
                 grams = hashed_grams(t, WORDS.findall(t or ""))
@@ -116,7 +116,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str = "quality", ma
                  pa.array([x[1] for x in out], pa.list_(pa.float64()))], names=["label", "calibrate", "buckets", "shares"])
 
     rows = docs.select("doc_id", "text").join(F.broadcast(few.limit(2 * max_train)), "doc_id")  # at most 2 * max_train ids
-    return rows.mapInArrow(features, "label double, calibrate boolean, buckets array<int>, shares array<double>")
+    return in_batches(rows).mapInArrow(features, "label double, calibrate boolean, buckets array<int>, shares array<double>")
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train: int = MAX_TRAIN, reg: float = 0.01):
@@ -147,7 +147,7 @@ def score_quality(docs: DataFrame, model, text: str = "text", keep_at: float = K
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for b in batches:
+        for b in row_slices(batches, text):
             counts, margins = [], []
             for t in b.column(text).to_pylist():
                 words, n = base_counts(t)
@@ -162,7 +162,7 @@ def score_quality(docs: DataFrame, model, text: str = "text", keep_at: float = K
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], *made, pa.array(margins, pa.float64())], names=[*keep, *_COLUMNS])
 
     schema = docs.select(*keep).schema
-    scored = docs.select(*keep).mapInArrow(run, _with(schema, **_COLUMNS))
+    scored = in_batches(docs.select(*keep)).mapInArrow(run, _with(schema, **_COLUMNS))
     slope, shift = (model[2], model[3]) if model else (1.0, 0.0)
     p = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("margin") * slope + shift)))
     verdict = ~F.col("base_failed") & F.coalesce(F.col("probability") >= keep_at, F.lit(True))

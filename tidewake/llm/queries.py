@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bitcodes, jaccard, langid, licences, mixing, quality, sentencepiece, url_filter, warc
+from . import bitcodes, jaccard, langid, licences, mixing, quality, sentencepiece, suffix_dedup, url_filter, warc
 from .registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -105,3 +105,9 @@ def op10_bit_codes(spark, sf_dir):
 @query("op9_jaccard_join")
 def op9_jaccard_join(spark, sf_dir):
     return jaccard.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op6_suffix_dedup")
+def op6_suffix_dedup(spark, sf_dir):
+    cut = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("bigint").alias("n_spans"), "kept_sha256")

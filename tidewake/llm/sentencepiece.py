@@ -28,10 +28,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import in_batches, row_slices
+
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 MODEL = os.environ.get("TIDEWAKE_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
-WORDS_KEPT = 400_000  #: words in a task's table; a full table is begun anew
+WORDS_KEPT = 200_000  #: words in a task's table; a full table is begun anew
+_NEVER = -float("inf")
 LONG_WORD = 64  #: longer words are not kept
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
@@ -73,31 +76,28 @@ class Pieces:
     def best(self, word: str) -> tuple[list[int], float]:
         """Ids and score of the best segmentation of a text in one pass over it."""
         n = len(word)
-        score = [0.0] + [-float("inf")] * n
-        back = [(0, 0)] * (n + 1)
-        single, floor = self.single, self.unknown_score
-
-        def spell(start: int, stop: int):
-            """Positions after an unknown character may be reached by spelling it."""
-            for q in range(max(start, 1), stop):
-                if word[q - 1] not in single and (s := score[q - 1] + floor) > score[q]:
-                    score[q], back[q] = s, (q - 1, -1)
-
-        at = 0
-        for last, (length, gain, i) in self.automaton.iter(word):
-            e = last + 1
-            if e != at:
-                spell(at, e)  # position ``at`` has seen all its pieces, those up to e - 1 have none
-                at = e
-            s = score[e - length] + gain
-            old = score[e]
-            if s > old or s == old and e - length < back[e][0]:
-                score[e], back[e] = s, (e - length, i)
-        spell(at, n + 1)
+        score = [0.0] + [_NEVER] * n
+        start, piece = [0] * (n + 1), [-1] * (n + 1)
+        if self.single.issuperset(word):
+            # the longest piece that ends at a position comes first, so it wins ties
+            for last, (length, gain, i) in self.automaton.iter(word):
+                e = last + 1
+                if (s := score[e - length] + gain) > score[e]:
+                    score[e], start[e], piece[e] = s, e - length, i
+        else:
+            ends: list[list] = [[] for _ in range(n)]
+            for last, found in self.automaton.iter(word):
+                ends[last].append(found)
+            for e in range(1, n + 1):
+                for length, gain, i in ends[e - 1]:
+                    if (s := score[e - length] + gain) > score[e]:
+                        score[e], start[e], piece[e] = s, e - length, i
+                if word[e - 1] not in self.single and (s := score[e - 1] + self.unknown_score) > score[e]:
+                    score[e], start[e], piece[e] = s, e - 1, -1
         ids: list[int] = []
         e = n
         while e:
-            b, i = back[e]
+            b, i = start[e], piece[e]
             if i >= 0:
                 ids.append(i)
             elif self.byte_ids:
@@ -145,7 +145,7 @@ def encode_pieces(docs: DataFrame, text: str = "text", model: str = MODEL) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load_pieces(model)
-        for b in batches:
+        for b in row_slices(batches, text):
             got = [None if t is None else pieces.encode(t) for t in b.column(text).to_pylist()]
             ends = np.cumsum([0] + [0 if g is None else len(g[0]) for g in got]).astype(np.int32)
             flat = np.fromiter((i for g in got if g for i in g[0]), np.int32, int(ends[-1]))
@@ -153,7 +153,7 @@ def encode_pieces(docs: DataFrame, text: str = "text", model: str = MODEL) -> Da
             scores = pa.array([None if g is None else g[1] for g in got], pa.float64())
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], ids, scores], names=[*keep, "ids", "score"])
 
-    return docs.mapInArrow(run, _with(docs.schema, ids="array<int>", score="double"))
+    return in_batches(docs).mapInArrow(run, _with(docs.schema, ids="array<int>", score="double"))
 
 
 def decode_pieces(encoded: DataFrame, ids: str = "ids", out: str = "decoded", model: str = MODEL) -> DataFrame:
@@ -162,8 +162,8 @@ def decode_pieces(encoded: DataFrame, ids: str = "ids", out: str = "decoded", mo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load_pieces(model)
-        for b in batches:
+        for b in row_slices(batches, ids, 1 << 20):
             texts = [None if i is None else pieces.decode(i) for i in b.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(texts, pa.string())], names=[*keep, out])
 
-    return encoded.mapInArrow(run, _with(encoded.schema, **{out: "string"}))
+    return in_batches(encoded).mapInArrow(run, _with(encoded.schema, **{out: "string"}))
