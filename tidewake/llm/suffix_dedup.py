@@ -226,8 +226,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with n_bytes, n_removed, removed (runs as start and length in bytes), kept (binary) and kept_sha256."""
-    made = {"n_bytes": "bigint", "n_removed": "bigint", "removed": "array<struct<start:int,length:int>>", "kept": "binary", "kept_sha256": "string"}
+    """``docs`` with n_bytes, n_removed, removed (runs as start and length in bytes), kept (binary), kept_sha256 and
+    kept_text: the kept bytes without the rest of characters that a removal cuts."""
+    made = {"n_bytes": "bigint", "n_removed": "bigint", "removed": "array<struct<start:int,length:int>>",
+            "kept": "binary", "kept_text": "string",
+            "kept_sha256": "string"}
     keep = [c for c in docs.columns if c not in made]
     doc = F.coalesce(F.col(key).cast("bigint"), F.lit(LAST))
     spans = repeated_spans(docs.select(doc.alias("doc"), F.col(text).alias("text")))
@@ -246,12 +249,12 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         edge = edge if len(edge) % 2 == 0 else np.append(edge, len(raw))
         kept = np.frombuffer(raw, np.uint8)[~gone[:-1]].tobytes()
         runs = [{"start": int(a), "length": int(b - a)} for a, b in zip(edge[::2], edge[1::2])]
-        return len(raw), len(raw) - len(kept), runs, kept, hashlib.sha256(kept).hexdigest()
+        return len(raw), len(raw) - len(kept), runs, kept, kept.decode("utf-8", "ignore"), hashlib.sha256(kept).hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in row_slices(batches, text):
             got = [cut(t, s) for t, s in zip(b.column(text).to_pylist(), b.column("_spans").to_pylist())]
-            types = [pa.int64(), pa.int64(), kind, pa.binary(), pa.string()]
+            types = [pa.int64(), pa.int64(), kind, pa.binary(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], *[pa.array([g[i] for g in got], t) for i, t in enumerate(types)]],
                                              names=[*keep, *made])
 

@@ -29,7 +29,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import shared_path
+from .common import in_batches, shared_path
 
 CHUNK_BYTES = 64 * 1024
 MIN_REVISIT = 1000
@@ -152,7 +152,7 @@ def write_archives(chunks: DataFrame, folder: str, date: str = "2020-01-01T00:00
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     store, base = fs.FileSystem.from_uri(folder)
     store.create_dir(base, recursive=True)
-    chunks.mapInArrow(write, _MANIFEST).write.parquet(f"{folder}/manifest")
+    in_batches(chunks).mapInArrow(write, _MANIFEST).write.parquet(f"{folder}/manifest")
     return spark.read.schema(_MANIFEST).parquet(f"{folder}/manifest")
 
 
