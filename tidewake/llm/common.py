@@ -29,19 +29,25 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/tidewake-{tag}-{uuid.uuid4().hex}"
 
 
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Written once to the shared folder and read again: cuts lineage and survives lost executors."""
+    """Written once to the shared folder and read again: cuts lineage and survives lost executors.
+
+    The shuffle files of the job are removed as soon as its result is stored.
+    """
     spark = df.sparkSession
     path = shared_path(spark, tag)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN_UP, "false")
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def scan_width(spark: SparkSession) -> int:
-    """Tasks for work dealt out by key: follows the session's shuffle setting."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def mix64(h: np.ndarray) -> np.ndarray:
     """Spreads the bits of 64-bit values (the finaliser of splitmix64)."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -24,13 +24,14 @@ Tokens and sets are compared by 64- and 128-bit fingerprints.  Empty tables and
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import TO_LOWER, WORDS, in_batches, mix64, row_slices, stored
+from .common import in_batches, mix64, row_slices, stored
 from .graph import connected_components
 
 N = 5
@@ -40,37 +41,65 @@ BLOCK_CELLS = 1 << 14
 BITMAP = 2048
 FAN = 8
 MAX_GROUP = 1000
-_kept: dict[str, int] = {}
-
-
-def word_hashes(text: str | None) -> np.ndarray:
-    words = WORDS.findall((text or "").translate(TO_LOWER) if text else "")
-    out = np.empty(len(words), np.uint64)
-    for i, w in enumerate(words):
-        h = _kept.get(w)
-        if h is None:
-            if len(_kept) >= 150_000:
-                _kept.clear()
-            h = _kept[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-        out[i] = h
+SLICE_BYTES = 2 << 20
+_BASE = 0x9E3779B97F4A7C15
+_BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
+_BYTE = np.random.default_rng(9).integers(0, 1 << 64, 256, dtype=np.uint64)[_LOWER]  # upper case counts as lower case
+
+
+@lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2^64 (an odd number has one)."""
+    out = []
+    for b in (_BASE, pow(_BASE, -1, 1 << 64)):
+        p = np.full(n, b, np.uint64)
+        p[0] = 1
+        out.append(np.cumprod(p))
+    return out[0], out[1]
+
+
+def word_hashes(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of the words of several texts in UTF-8, and the text that each belongs to."""
+    data = np.frombuffer(b" ".join([*raw, b""]), np.uint8)  # a blank ends every text
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    blank = _BLANK[data]
+    before = np.concatenate([[True], blank[:-1]])
+    start, end = np.flatnonzero(before & ~blank), np.flatnonzero(~before & blank)
+    power, inverse = _powers(max(4 << 20, 1 << len(data).bit_length()))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * power[: len(data)])])
+    h = mix64((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
+    edges = np.cumsum([len(r) + 1 for r in raw])
+    return h, np.searchsorted(edges, start, "right")
+
+
+def shingle_sets(texts: list[str | None], n: int = N) -> list[np.ndarray]:
+    """Ascending distinct fingerprints of the n-word shingles of each text."""
+    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    w, own = word_hashes(raw)
+    base = np.uint64(_BASE)
+    h = np.zeros(max(0, len(w) - n + 1), np.uint64)
+    for i in range(n):
+        h = mix64(h * base + w[i : len(w) - n + 1 + i]) if len(h) else h
+    first, stop = np.searchsorted(own, np.arange(len(raw))), np.searchsorted(own, np.arange(len(raw)), "right")
+    out = []
+    for a, b in zip(first.tolist(), stop.tolist()):
+        if b - a >= n:
+            out.append(np.unique(h[a : b - n + 1]))
+        elif b > a:  # the whole sequence is one shingle
+            x = np.array([b - a], np.uint64)
+            for i in range(a, b):
+                x = mix64(x * base + w[i : i + 1])
+            out.append(x)
+        else:
+            out.append(np.zeros(0, np.uint64))
     return out
 
 
 def shingle_set(text: str | None, n: int = N) -> np.ndarray:
-    """Ascending distinct fingerprints of the n-word shingles of a text."""
-    w = word_hashes(text)
-    if not len(w):
-        return w
-    base = np.uint64(0x9E3779B97F4A7C15)
-    if len(w) < n:
-        h = np.array([len(w)], np.uint64)
-        for i in range(len(w)):
-            h = mix64(h * base + w[i : i + 1])
-        return h
-    h = np.zeros(len(w) - n + 1, np.uint64)
-    for i in range(n):
-        h = mix64(h * base + w[i : len(w) - n + 1 + i])
-    return np.unique(h)
+    return shingle_sets([text], n)[0]
 
 
 def _set_hash(s: np.ndarray) -> tuple[int, int]:
@@ -86,12 +115,11 @@ def describe_sets(docs: DataFrame, n: int = N) -> DataFrame:
         seen = np.zeros(cells, np.int64)
         names = ["doc_id", "size", "h1", "h2", "block", "counts"]
         none = lambda k, t: pa.nulls(k, t)
-        for b in row_slices(batches, "text"):
-            rows = []
-            for t in b.column("text").to_pylist():
-                s = shingle_set(t, n)
-                rows.append((len(s), *_set_hash(s)))
-                np.add.at(seen, (s >> np.uint64(64 - CELL_BITS)).astype(np.int64), 1)
+        for b in row_slices(batches, "text", SLICE_BYTES):
+            sets = shingle_sets(b.column("text").to_pylist(), n)
+            rows = [(len(s), *_set_hash(s)) for s in sets]
+            at, found = np.unique(np.concatenate(sets) >> np.uint64(64 - CELL_BITS), return_counts=True)
+            seen[at.astype(np.int64)] += found
             k = len(rows)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), *[pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], none(k, pa.int32()), none(k, pa.binary())], names=names)
@@ -128,10 +156,9 @@ def prefix_tokens(docs: DataFrame, classes: np.ndarray, percent: int = PERCENT,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
-        for b in row_slices(batches, "text"):
+        for b in row_slices(batches, "text", SLICE_BYTES):
             tokens, nodes = [], []
-            for t in b.column("text").to_pylist():
-                s = shingle_set(t, n)
+            for s in shingle_sets(b.column("text").to_pylist(), n):
                 if len(s):
                     k = len(s) + (-percent * len(s)) // 100 + 1  # |x| - ceil(t |x|) + 1
                     order = np.lexsort((s, table[(s >> np.uint64(64 - CELL_BITS)).astype(np.int64)]))[:k]
@@ -248,13 +275,15 @@ def join_group(sets: list[np.ndarray], part: np.ndarray, percent: int = PERCENT)
 
 def join_groups(groups: DataFrame, reps: DataFrame, docs: DataFrame, percent: int = PERCENT, n: int = N) -> DataFrame:
     """Edges (a, b) within groups of (grp, sub, part, node) rows; texts are fetched by the nodes' documents."""
-    texts = reps.select("node", "doc_id", "h2").join(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), "doc_id")
-    rows = groups.join(texts, "node").select("grp", "sub", "part", "node", "h2", "text")
+    # groups of one node have nothing to compare; ids are joined first, so texts move to their document and to their group only
+    full = groups.groupBy("grp", "sub").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("grp", "sub")
+    named = groups.join(full, ["grp", "sub"]).join(reps.select("node", "doc_id", "h2"), "node")
+    rows = named.join(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), "doc_id").select("grp", "sub", "part", "node", "h2", "text")
 
     def run(table: pa.Table) -> pa.Table:
-        nodes, seconds, parts, sets, seen = [], [], [], [], set()
-        for node, h2, part, text in zip(*[table.column(c).to_pylist() for c in ("node", "h2", "part", "text")]):
-            s = shingle_set(text, n)
+        nodes, parts, sets, seen = [], [], [], set()
+        found = [s for b in row_slices(table.to_batches(), "text", SLICE_BYTES) for s in shingle_sets(b.column("text").to_pylist(), n)]
+        for node, h2, part, s in zip(*[table.column(c).to_pylist() for c in ("node", "h2", "part")], found):
             if (node, part) not in seen and len(s) and _set_hash(s) == (node, h2):  # an id may stand for several texts
                 seen.add((node, part))
                 nodes.append(node)
