@@ -14,7 +14,8 @@ HEADLINE = [
     "A09_corr_matrix", "A15_quantile_table", "K01_top_fraction", "K03_topk_by", "U05_jaccard_pairs", "E01_auc", "E03_ece",
     "R05_stratified_kfold", "R09_cluster_bootstrap_ci", "B01_strategy_signals", "B02_flat_stake", "N04_bigram_mle", "N10_tfidf",
     "N30_bm25_topk", "N29_dense_topk", "T01_standard_scale", "T25_iforest_score", "Y04_acf", "Y17_ets_ses",
-    "Q10_check_duplicates", "X02_stream_tumbling",
+    "Q10_check_duplicates", "X02_stream_tumbling", "T27_similar_items", "W20_prior_median_gap", "W21_whale_flag", "T22_dbscan",
+    "J13_cosine_join", "N31_rrf", "N33_retrieval_at_k", "N34_route_architectures", "T15_fit_gbt",
 ]
 
 
@@ -25,6 +26,7 @@ def main():
     spark.range(10).count()
     times = {}
     for name in HEADLINE:
+        spark.catalog.clearCache()  # no query starts from what another one left
         t0 = time.time()
         queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.time() - t0, 3)

@@ -196,8 +196,12 @@ def ols_residuals(df, key, y, x, out="residual") -> DataFrame:
     return d.drop(*[f"_k_{k}" for k in keys], "slope", "intercept")
 
 
-# two-sided 95 % Student quantiles by the Cornish-Fisher series around the normal quantile
+# fixed values: two-sided 95 % Student quantiles for 1 to 10 degrees of freedom
+T_975 = [12.706204736, 4.302652730, 3.182446305, 2.776445105, 2.570581836, 2.446911851, 2.364624252, 2.306004135, 2.262157163, 2.228138852]
+
+
 def t_quantile_975(dof: Column) -> Column:
+    """Table values up to 10 degrees of freedom, beyond them the Cornish-Fisher series around the normal quantile."""
     z = 1.959963984540054
     n = dof.cast("double")
     g = [
@@ -206,7 +210,8 @@ def t_quantile_975(dof: Column) -> Column:
         (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384,
         (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160,
     ]
-    return F.lit(z) + g[0] / n + g[1] / (n * n) + g[2] / F.pow(n, F.lit(3.0)) + g[3] / F.pow(n, F.lit(4.0))
+    series = F.lit(z) + g[0] / n + g[1] / (n * n) + g[2] / F.pow(n, F.lit(3.0)) + g[3] / F.pow(n, F.lit(4.0))
+    return F.coalesce(F.get(F.array(*[F.lit(t) for t in T_975]), dof.cast("int") - 1), series)
 
 
 def ols_predict(df, key, y, x, x0) -> DataFrame:

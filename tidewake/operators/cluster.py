@@ -51,12 +51,12 @@ def cluster_profile(df, cluster, member, t, v) -> DataFrame:
     return n.join(g, cluster).withColumn("pct_change", (F.col("last_mean") / F.col("first_mean") - 1) * 100)
 
 
-def connected_components(edges: DataFrame, nodes: DataFrame, max_rounds=50) -> DataFrame:
+def connected_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, component): smallest node id reachable.  Labels spread along edges and jump through their
     own label; each round is cut by a reliable checkpoint and the loop ends when nothing changes."""
     both = cut_lineage(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
     lab = cut_lineage(nodes.select("node", F.col("node").alias("component")))
-    for _ in range(max_rounds):
+    while True:
         near = both.join(lab, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("m"))
         nxt = lab.join(near, F.col("node") == F.col("a"), "left").select("node", F.least("component", F.coalesce("m", "component")).alias("component"), F.col("component").alias("old"))
         jump = nxt.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
@@ -66,7 +66,6 @@ def connected_components(edges: DataFrame, nodes: DataFrame, max_rounds=50) -> D
         lab = nxt.select("node", "component")
         if not changed:
             return lab
-    raise RuntimeError("components did not settle; raise max_rounds")
 
 
 def dbscan(df, uid, cols, eps, min_samples) -> DataFrame:
@@ -182,7 +181,7 @@ def _grow(x, depth, limit, rng, out):
 
 
 def iforest_score(train, df, uid, cols, n_trees=50, sample=256, seed=0, out="anomaly") -> DataFrame:
-    """Isolation-forest score, scaled by the training minimum and maximum.
+    """Isolation-forest score, scaled by the training minimum and maximum and clipped to [0, 1].
 
     One hashed sample of n_trees*sample rows (fixed by the parameters, not by the data) grows the
     trees; rows are scored in Arrow batches against the small tree arrays.
@@ -221,7 +220,8 @@ def iforest_score(train, df, uid, cols, n_trees=50, sample=256, seed=0, out="ano
     raw = path_score(*[F.col(c).cast("double") for c in cols])
     st = train.select(raw.alias("s")).agg(F.struct(F.min("s").alias("a"), F.max("s").alias("z"))).scalar()
     d = df.withColumn("_raw", raw).withColumn("_st", st)
-    return d.withColumn(out, (F.col("_raw") - F.col("_st.a")) / F.nullif(F.col("_st.z") - F.col("_st.a"), F.lit(0.0))).drop("_raw", "_st")
+    scaled = (F.col("_raw") - F.col("_st.a")) / F.nullif(F.col("_st.z") - F.col("_st.a"), F.lit(0.0))
+    return d.withColumn(out, F.when(scaled.isNotNull(), F.least(F.greatest(scaled, F.lit(0.0)), F.lit(1.0)))).drop("_raw", "_st")
 
 
 def zscore_flags(df, col, z=3.0, out="z_flag") -> DataFrame:

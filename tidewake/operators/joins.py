@@ -50,17 +50,20 @@ def asof_backward(
     """Last right value before each left row of the same key.
 
     Both sides become one timeline and the last value is a prior scan, so there is no range join.
-    With ``strict`` a quote of the same second does not count.
+    With ``strict`` a quote of the same second does not count.  Quotes of one second follow ``right_order``,
+    columns of any type.
     """
     by, right_order = _keys(by), _keys(right_order)
     carried = [c for c in left.columns if c not in by]
     l_rank, r_rank = (0, 1) if strict else (1, 0)
+    seq = F.struct(*right_order)
+    kind = right.select(seq.alias("s")).schema["s"].dataType
     l = left.select(
-        *by, F.col(sec).alias("_at"), F.lit(l_rank).alias("_side"), F.lit(None).cast("bigint").alias("_seq"),
+        *by, F.col(sec).alias("_at"), F.lit(l_rank).alias("_side"), F.lit(None).cast(kind).alias("_seq"),
         F.struct(*carried).alias("_row"), F.lit(None).cast(dict(right.dtypes)[value]).alias("_v"),
     )
     r = right.select(
-        *by, F.col(sec).alias("_at"), F.lit(r_rank).alias("_side"), F.col(right_order[0]).cast("bigint").alias("_seq"),
+        *by, F.col(sec).alias("_at"), F.lit(r_rank).alias("_side"), seq.alias("_seq"),
         F.lit(None).alias("_row"), F.col(value).alias("_v"),
     )
     both = l.unionByName(r)

@@ -323,8 +323,8 @@ def _counts(df, tokens, vocab, min_df, tfidf):
     return stages, ("_v" if tfidf else "_tf")
 
 
-def lda(df, tokens, k, vocab=2000, min_df=2, tfidf=False, iters=20):
-    """LDA pipeline on counts (or TF-IDF weights)."""
+def lda(df, tokens, k, vocab=1 << 30, min_df=1, tfidf=False, iters=20):
+    """LDA pipeline on counts (or TF-IDF weights) of all terms; ``vocab`` and ``min_df`` cut only on request."""
     stages, col = _counts(df, tokens, vocab, min_df, tfidf)
     return Pipeline(stages=[*stages, mlcl.LDA(k=k, featuresCol=col, seed=0, maxIter=iters)]).fit(df)
 
@@ -365,9 +365,9 @@ def select_k(df, doc, tokens, y, tf, fold, ks) -> DataFrame:
     return d.withColumn("rank_sum", s)
 
 
-def word2vec_docs(df, tokens, size=32, min_count=5, out="vector"):
-    """Word2Vec fitted on the token lists; documents are the mean of their word vectors."""
-    m = mlf.Word2Vec(vectorSize=size, minCount=min_count, inputCol=tokens, outputCol="_w2v", seed=0, maxIter=1).fit(df)
+def word2vec_docs(df, tokens, size=32, min_count=1, out="vector", partitions=8):
+    """Word2Vec fitted on the token lists in ``partitions`` parallel parts; documents are the mean of their word vectors."""
+    m = mlf.Word2Vec(vectorSize=size, minCount=min_count, numPartitions=partitions, inputCol=tokens, outputCol="_w2v", seed=0, maxIter=1).fit(df)
     return m, m.transform(df).withColumn(out, vector_to_array("_w2v")).drop("_w2v")
 
 

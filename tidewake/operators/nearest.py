@@ -20,24 +20,27 @@ def block_topk(
     """Top-k base rows per query: (qid, bid, score, rank); ties go to the smaller base id.
 
     ``metric`` is cosine (largest first) or l2 (smallest squared distance first, score negative).
-    ``restrict`` names a column both sides must share.
+    ``restrict`` names a column both sides must share.  Ids may be of any type; integers come back as bigint.
     """
+    whole = ("tinyint", "smallint", "int", "bigint")
+    kinds = [dict(d.dtypes)[c] for d, c in ((queries, qid), (base, bid))]
+    q_kind, b_kind = ["bigint" if k in whole else k for k in kinds]
     n_q, n_b = queries.count(), base.count()
     blocks, slices = max(1, -(-n_q // q_block)), max(1, -(-n_b // b_slice))
     group = F.col(restrict).cast("string") if restrict else F.lit("")
     q = queries.select(
-        F.col(qid).cast("bigint").alias("_id"), F.col(vec).cast("array<double>").alias("_v"), group.alias("_g"),
+        F.col(qid).cast(q_kind).alias("_id"), F.col(vec).cast("array<double>").alias("_v"), group.alias("_g"),
         F.pmod(F.xxhash64(qid), F.lit(blocks)).cast("int").alias("_blk"),
         F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("_slc"),
     )
     b = base.select(
-        F.col(bid).cast("bigint").alias("_id"), F.col(vec).cast("array<double>").alias("_v"), group.alias("_g"),
+        F.col(bid).cast(b_kind).alias("_id"), F.col(vec).cast("array<double>").alias("_v"), group.alias("_g"),
         F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_blk"),
         F.pmod(F.xxhash64(bid), F.lit(slices)).cast("int").alias("_slc"),
     )
 
     def part(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"q": [], "b": [], "score": []}).astype({"q": "int64", "b": "int64", "score": "float64"})
+        empty = pd.DataFrame({"q": left["_id"][:0], "b": right["_id"][:0], "score": np.zeros(0)})
         found = []
         for g, lg in left.groupby("_g"):
             rg = right[right["_g"] == g]
@@ -63,7 +66,7 @@ def block_topk(
 
     got = (
         q.groupBy("_blk", "_slc").cogroup(b.groupBy("_blk", "_slc"))
-        .applyInPandas(part, "q bigint, b bigint, score double")
+        .applyInPandas(part, f"q {q_kind}, b {b_kind}, score double")
     )
     # at most k * slices rows per query reach the ranking
     w = Window.partitionBy("q").orderBy(F.col("score").desc(), "b")

@@ -50,9 +50,9 @@ def check_lag(df, key, v, stored, sec, order, default=None, need=0.995, tol=1e-6
     return _result(g, "lag_match", F.col("rate") >= need, F.col("rate"))
 
 
-def check_point_in_time(df, events, key, sec, amount, uid, count_col, amount_col, n=1000, need=0.99, seed=0) -> DataFrame:
-    """Q05: stored point-in-time count and amount against a re-derivation on a hashed sample."""
-    s = pit_event_features(sample_n(df, uid, n, seed), events, key, sec, amount, "_re")
+def check_point_in_time(df, events, key, sec, amount, uid, count_col, amount_col, n=None, need=0.99, seed=0) -> DataFrame:
+    """Q05: stored point-in-time count and amount against a re-derivation of all rows, or of a hashed sample of ``n``."""
+    s = pit_event_features(df if n is None else sample_n(df, uid, n, seed), events, key, sec, amount, "_re")
     ok = (F.col("_re_count") == F.col(count_col)) & (F.abs(F.col("_re_amount") - F.col(amount_col)) < 1e-4)
     g = s.agg(F.avg(ok.cast("int")).alias("rate"))
     return _result(g, "point_in_time", F.col("rate") >= need, F.col("rate"))

@@ -22,8 +22,9 @@ def _label(c: Column, cuts, names) -> Column:
 
 def split_by_time_quantile(df, ts, cuts=(0.7, 0.85), names=("train", "val", "test"), out="split") -> DataFrame:
     """Split at exact time quantiles, which reach the rows as scalars."""
-    q = quantiles(df, ts, list(cuts), names=["a", "b"][: len(cuts)])
-    e = q.agg(F.max(F.array(*["a", "b"][: len(cuts)]))).scalar()
+    at = [f"_q{i}" for i in range(len(cuts))]
+    q = quantiles(df, ts, list(cuts), names=at)
+    e = q.agg(F.max(F.array(*at))).scalar()
     d = df.withColumn("_e", e)
     return d.withColumn(out, _label(F.col(ts), [F.get("_e", F.lit(i)) for i in range(len(cuts))], names)).drop("_e")
 

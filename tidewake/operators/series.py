@@ -203,7 +203,7 @@ def grouped_ols(df, key, y: Column, xs: dict[str, Column]) -> DataFrame:
         F.arrays_zip(F.array(*[F.lit(x) for x in names]).alias("term"), F.col("_f.beta").alias("beta"), F.col("_f.se").alias("se")),
         lambda z: z)
     d = g.select(*keys, "n", F.col("_f.r2").alias("r2"), F.col("_f.sigma").alias("sigma"), F.explode(terms).alias("z"))
-    return d.select(*keys, "z.*", (F.col("z.beta") / F.col("z.se")).alias("t"), "n", "r2", "sigma")
+    return d.select(*keys, "z.*", (F.col("z.beta") / F.nullif(F.col("z.se"), F.lit(0.0))).alias("t"), "n", "r2", "sigma")
 
 
 # fixed values: asymptotic 1, 5 and 10 % critical values

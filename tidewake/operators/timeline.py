@@ -133,12 +133,12 @@ def rolling(
     aggs = []
     for p, ks in kinds.items():
         c = F.col(p)
-        if ks & {"sum", "avg", "std"}:
+        if ks & {"sum", "avg"}:
             aggs.append(F.sum(c).alias(f"{p}s"))
         if ks & {"count", "avg", "std"}:
             aggs.append(F.count(c).alias(f"{p}n"))
         if "std" in ks:
-            aggs.append(F.sum(c * c).alias(f"{p}q"))
+            aggs += [F.avg(c).alias(f"{p}m"), (F.var_pop(c) * F.count(c)).alias(f"{p}v")]
         if "min" in ks:
             aggs.append(F.min(c).alias(f"{p}lo"))
         if "max" in ks:
@@ -154,6 +154,13 @@ def rolling(
     def frame(w: int):
         return Window.partitionBy(*keys, "_sl").orderBy(sec).rangeBetween(-w, -1)
 
+    # deviations are taken around a value of the slice, so large means do not cancel them
+    for p, ks in kinds.items():
+        if "std" in ks:
+            gap = F.col(f"{p}m") - F.avg(f"{p}m").over(Window.partitionBy(*keys, "_sl"))
+            copies = copies.withColumn(f"{p}d", gap).withColumns({
+                f"{p}s1": F.col(f"{p}n") * F.col(f"{p}d"), f"{p}s2": F.col(f"{p}v") + F.col(f"{p}n") * F.col(f"{p}d") * F.col(f"{p}d")})
+
     cols = []
     for name, (w, kind, _) in specs.items():
         p, fr = part[name], frame(w)
@@ -166,11 +173,11 @@ def rolling(
         elif kind == "max":
             c = F.max(f"{p}hi").over(fr)
         else:
-            s, n = F.sum(f"{p}s").over(fr), F.sum(f"{p}n").over(fr)
+            n = F.sum(f"{p}n").over(fr)
             if kind == "avg":
-                c = s / F.when(n > 0, n)
+                c = F.sum(f"{p}s").over(fr) / F.when(n > 0, n)
             else:
-                q = F.sum(f"{p}q").over(fr)
+                s, q = F.sum(f"{p}s1").over(fr), F.sum(f"{p}s2").over(fr)
                 c = F.sqrt(F.greatest((q - s * s / n) / F.when(n > 1, n - 1), F.lit(0.0)))
                 c = F.when(n > 1, c)
         cols.append(c.alias(name))

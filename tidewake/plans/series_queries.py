@@ -8,7 +8,7 @@ from ..functions import scalars as s
 from ..operators import quality as q, series as y, strategy as b, windows as w
 from .registry import query
 from .stat_queries import PR, PRED_SQL, T, U, preds
-from .trades import TRADES_SQL, r, trades
+from .trades import T_SQL, TRADES_SQL, r, trades
 
 BT_SQL = f"""{PRED_SQL}, bt AS (SELECT *, p - c AS edge FROM (SELECT *, id * 7919 % 100000 AS ttd, least(greatest(pm, 0.05), 0.95) AS c FROM pr))"""
 
@@ -182,12 +182,11 @@ def _(t):
 
 
 # ---- Y ----
-MS = """m AS (SELECT n_name AS k, (year(o_orderdate) * 12 + month(o_orderdate) - 1)::INTEGER AS t, round(sum(o_totalprice), 2) AS v FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
-  WHERE o_orderdate < TIMESTAMP '2001-07-01' GROUP BY ALL)"""
+MS = """m AS (SELECT n_name AS k, (year(o_orderdate) * 12 + month(o_orderdate) - 1)::INTEGER AS t, round(sum(o_totalprice), 2) AS v FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL)"""
 
 
 def monthly(t):
-    d = t.orders.where("o_orderdate < timestamp_ntz'2001-07-01'").join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    d = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
     d = d.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
     return d.groupBy(F.col("n_name").alias("k"), (F.year("o_orderdate") * 12 + F.month("o_orderdate") - 1).alias("t")).agg(
         F.round(F.sum("o_totalprice"), 2).alias("v"))
@@ -242,10 +241,10 @@ def _(t):
 @query("Y07_decompose", M(f""", f AS (SELECT *, CASE WHEN count(v) OVER (PARTITION BY k ORDER BY t ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING) = 13 THEN
   (sum(v) OVER (PARTITION BY k ORDER BY t ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) + (lag(v, 6) OVER {WK} + lead(v, 6) OVER {WK}) / 2) / 12 END AS trend, t % 12 AS s FROM m),
   ss AS (SELECT k, s, avg(v - trend) AS raw FROM f GROUP BY ALL), se AS (SELECT k, s, raw - avg(raw) OVER (PARTITION BY k) AS seasonal FROM ss)
-  SELECT k, t, round(trend, 5) AS trend, round(seasonal, 5) AS seasonal, round(v - trend - seasonal, 5) AS remainder FROM f JOIN se USING (k, s)"""))
+  SELECT k, t, round(trend, 3) AS trend, round(seasonal, 3) AS seasonal, round(v - trend - seasonal, 3) AS remainder FROM f JOIN se USING (k, s)"""))
 def _(t):
     d = y.decompose(monthly(t), "k", "t", "v", 12, season=F.col("t") % 12)
-    return r(d, "trend", "seasonal", "remainder", digits=5).select("k", "t", "trend", "seasonal", "remainder")
+    return r(d, "trend", "seasonal", "remainder", digits=3).select("k", "t", "trend", "seasonal", "remainder")
 
 
 @query("Y08_seasonal_table", M(" SELECT (t % 12 + 1)::INTEGER AS month, " + ", ".join(f'round(sum(v) FILTER (t // 12 = {yy}), 2) AS "{yy}"' for yy in (1998, 1999, 2000)) + ", round(avg(v), 2) AS season_mean FROM m GROUP BY 1"))
@@ -317,10 +316,12 @@ def _(t):
     return r(y.piecewise_trend(monthly(t).withColumn("t", F.col("t") - 23940), "k", "t", "v", [24, 48]), "beta", "se", "t", "r2", "sigma", digits=4)
 
 
-@query("Y16_scenario_predict", f"""WITH {YS}, g AS (SELECT k, count(*) AS n, regr_slope(v, yr) AS b, regr_intercept(v, yr) AS a FROM y GROUP BY k) SELECT k, sc AS scenario, round(a + b * x0, 3) AS fit FROM g, (VALUES ('low', 2002), ('high', 2010)) z(sc, x0)""")
+@query("Y16_scenario_predict", f"""WITH {YS}, g AS (SELECT k, count(*) AS n, regr_slope(v, yr) AS b, regr_intercept(v, yr) AS a, avg(yr) AS mx, regr_sxx(v, yr) AS sxx, regr_syy(v, yr) AS syy, regr_sxy(v, yr) AS sxy FROM y GROUP BY k HAVING count(*) > 2),
+  h AS (SELECT *, a + b * x0 AS fit, {T_SQL.format(dof='(n - 2)')} * sqrt((syy - sxy * sxy / sxx) / (n - 2) * (1 + 1.0 / n + (x0 - mx) * (x0 - mx) / sxx)) AS half FROM g, (VALUES ('low', 2002), ('high', 2010)) z(sc, x0))
+  SELECT k, sc AS scenario, round(fit, 3) AS fit, round(fit - half, 3) AS lower, round(fit + half, 3) AS upper FROM h""")
 def _(t):
     d = y.scenario_predict(yearly(t), "k", "v", "yr", {"low": 2002, "high": 2010})
-    return d.select("k", "scenario", F.round("fit", 3).alias("fit"))
+    return r(d, "fit", "lower", "upper", digits=3).select("k", "scenario", "fit", "lower", "upper")
 
 
 @query("Y17_ets_ses", f"WITH RECURSIVE {MS}" + """, g AS (SELECT k, list(v ORDER BY t) AS vs FROM m GROUP BY k),
@@ -391,12 +392,16 @@ def _(t):
     return r(q.check_lag(d, "taker", "price", "stored", "sec", ("ts", "trade_id"), 0.5), "detail")
 
 
-@query("Q05_check_point_in_time", "SELECT 'point_in_time' AS check_name, 1 AS passed, 1.0::DOUBLE AS detail")
+@query("Q05_check_point_in_time", """WITH o AS (SELECT o_custkey AS k, o_orderkey AS id, epoch(o_orderdate)::BIGINT AS sec, o_totalprice AS v FROM orders),
+  w AS (SELECT count(*) OVER x AS c, coalesce(sum(v) OVER x, 0) AS a, k, sec FROM o WINDOW x AS (PARTITION BY k ORDER BY sec RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  e AS (SELECT k, sec, count(*) AS n, sum(v) AS s FROM o GROUP BY ALL), u AS (SELECT k, sec, coalesce(sum(n) OVER y, 0) AS c, coalesce(sum(s) OVER y, 0) AS a FROM e
+  WINDOW y AS (PARTITION BY k ORDER BY sec ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+  SELECT 'point_in_time' AS check_name, (avg((w.c = u.c AND abs(w.a - u.a) < 1e-4)::INTEGER) >= 0.99)::INTEGER AS passed, avg((w.c = u.c AND abs(w.a - u.a) < 1e-4)::INTEGER)::DOUBLE AS detail FROM w JOIN u USING (k, sec)""")
 def _(t):
     from ..operators.joins import pit_event_features
     o = t.orders.select("o_custkey", "o_orderkey", "o_totalprice", F.unix_timestamp("o_orderdate").alias("sec"))
     stored = pit_event_features(o, o, "o_custkey", "sec", "o_totalprice")
-    return q.check_point_in_time(stored, o, "o_custkey", "sec", "o_totalprice", "o_orderkey", "pit_count", "pit_amount", 500)
+    return q.check_point_in_time(stored, o, "o_custkey", "sec", "o_totalprice", "o_orderkey", "pit_count", "pit_amount")
 
 
 @query("Q06_check_alignment", "SELECT 'unmatched_keys' AS check_name, 0 AS passed, (SELECT count(*) FROM documents)::DOUBLE - (SELECT count(*) FROM labels) AS detail UNION ALL SELECT 'range_quality', ((SELECT count(*) FROM documents) = (SELECT count(*) FROM labels))::INTEGER, (SELECT count(*) FROM documents)::DOUBLE - (SELECT count(*) FROM labels)")

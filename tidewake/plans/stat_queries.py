@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as s, text as tx
 from ..operators import aggregate as a, evaluate as e, project as p, sampling as sm
 from .registry import query
-from .trades import TRADES_SQL, r, trades
+from .trades import T_SQL, TRADES_SQL, r, trades
 
 
 def T(body):
@@ -76,14 +76,13 @@ def _(t):
     return r(trades(t).select("trade_id", *[v.alias(n) for n, v in x.items()]), *x)
 
 
-@query("F06_parse_deadline", """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN make_date(2026, month(o_orderdate), day(o_orderdate))
-  ELSE CAST(o_orderdate AS DATE) END AS deadline FROM orders WHERE NOT (o_orderkey % 3 = 0 AND month(o_orderdate) = 2 AND day(o_orderdate) = 29)""")
+@query("F06_parse_deadline", """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 AND month(o_orderdate) = 2 AND day(o_orderdate) = 29 THEN NULL
+  WHEN o_orderkey % 3 = 0 THEN make_date(2026, month(o_orderdate), day(o_orderdate)) ELSE CAST(o_orderdate AS DATE) END AS deadline FROM orders""")
 def _(t):
     day = F.date_format("o_orderdate", "MMMM d")
     q = F.concat(F.lit("Will it ship by "), F.when(F.col("o_orderkey") % 3 == 0, day).otherwise(
         F.concat(day, F.lit(", "), F.year("o_orderdate"))), F.lit("?"))
-    d = t.orders.select("o_orderkey", s.parse_deadline(q, 2026).alias("deadline"))
-    return d.where(F.col("deadline").isNotNull())
+    return t.orders.select("o_orderkey", s.parse_deadline(q, 2026).alias("deadline"))
 
 
 @query("F07_winning_side", T("SELECT trade_id, CASE k % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE CASE WHEN sec <= 1705000000 THEN 0 ELSE 1 END END::INTEGER AS winner FROM t"))
@@ -132,10 +131,10 @@ def _(t):
     return t.documents.select("doc_id", F.md5(tx.normalise_text("text")).alias("h"))
 
 
-@query("F14_apply_rules", "SELECT doc_id, length(" + rx("text", (r"(?i)\bthe\b", "a"), (r"(?i)\btion", "shun"), (r"(?i)\band\b", "plus")) + ") AS n FROM documents WHERE lang = 'en'")
+@query("F14_apply_rules", "SELECT doc_id, length(" + rx("text", (r"(?i)\bthe\b", "a"), (r"(?i)\btion", "shun"), (r"(?i)\band\b", "plus")) + ") AS n FROM documents")
 def _(t):
     rules = [(r"\bthe\b", "a"), (r"\btion", "shun"), (r"\band\b", "plus")]
-    return t.documents.where("lang = 'en'").select("doc_id", F.length(tx.apply_rules("text", rules)).cast("bigint").alias("n"))
+    return t.documents.select("doc_id", F.length(tx.apply_rules("text", rules)).cast("bigint").alias("n"))
 
 
 TOK = "regexp_extract_all(lower(text), '[a-z_]{2,}')"
@@ -338,11 +337,9 @@ def _(t):
 
 @query("A21_ols_predict", f"""WITH {YR}, g AS (SELECT k, count(*) AS c, regr_slope(n, yr) AS b, regr_intercept(n, yr) AS a, avg(yr) AS mx, regr_sxx(n, yr) AS sxx, regr_syy(n, yr) AS syy, regr_sxy(n, yr) AS sxy FROM y GROUP BY k HAVING count(*) > 2),
   h AS (SELECT *, a + b * 2002 AS fit, sqrt((syy - sxy * sxy / sxx) / (c - 2) * (1 + 1.0 / c + (2002 - mx) * (2002 - mx) / sxx)) AS se FROM g)
-  SELECT k, round(fit, 3) AS fit, round((fit - (2002 * 0)) - fit + se, 3) AS se FROM h""")
+  SELECT k, round(fit, 3) AS fit, round(fit - q * se, 3) AS lower, round(fit + q * se, 3) AS upper FROM (SELECT *, {T_SQL.format(dof='(c - 2)')} AS q FROM h)""")
 def _(t):
-    d = a.ols_predict(yearly(t), "k", "n", "yr", 2002)
-    q = a.t_quantile_975(F.col("n") - 2)
-    return d.select("k", F.round("fit", 3).alias("fit"), F.round((F.col("upper") - F.col("fit")) / q, 3).alias("se"))
+    return r(a.ols_predict(yearly(t), "k", "n", "yr", 2002), "fit", "lower", "upper", digits=3).select("k", "fit", "lower", "upper")
 
 
 DAILY = "d AS (SELECT event_type AS k, CAST(ts AS DATE) AS day, sum(value) AS v FROM events GROUP BY ALL)"
@@ -615,22 +612,22 @@ def boot(src, uid, b, seed):
     return f"(SELECT *, {W_CASE} AS w FROM (SELECT *, h / {m}::DOUBLE AS u FROM ({x})))"
 
 
-@query("R08_bootstrap_ci", PR(f"SELECT round(avg(v), 6) AS mean, round(quantile_cont(v, 0.025), 6) AS lo, round(quantile_cont(v, 0.975), 6) AS hi FROM (SELECT rep, sum(y * w) / sum(w)::DOUBLE AS v FROM {boot('pr', 'id', 40, 6)} GROUP BY rep)"))
+@query("R08_bootstrap_ci", PR(f"SELECT round(avg(v), 6) AS mean, round(quantile_cont(v, 0.025), 6) AS lo, round(quantile_cont(v, 0.975), 6) AS hi FROM (SELECT rep, sum(y * w) / sum(w)::DOUBLE AS v FROM {boot('pr', 'id', 500, 6)} GROUP BY rep)"))
 def _(t):
-    return r(sm.bootstrap_ci(preds(t), "id", F.col("y"), b=40, seed=6), "mean", "lo", "hi")
+    return r(sm.bootstrap_ci(preds(t), "id", F.col("y"), b=500, seed=6), "mean", "lo", "hi")
 
 
-@query("R09_cluster_bootstrap_ci", PR(f", c AS (SELECT taker, sum(y) AS sy, count(*) AS sn FROM pr GROUP BY 1) SELECT round(avg(v), 6) AS mean, round(quantile_cont(v, 0.025), 6) AS lo, round(quantile_cont(v, 0.975), 6) AS hi FROM (SELECT rep, sum(sy * w) / sum(sn * w)::DOUBLE AS v FROM {boot('c', 'taker', 200, 7)} GROUP BY rep)"))
+@query("R09_cluster_bootstrap_ci", PR(f", c AS (SELECT taker, sum(y) AS sy, count(*) AS sn FROM pr GROUP BY 1) SELECT round(avg(v), 6) AS mean, round(quantile_cont(v, 0.025), 6) AS lo, round(quantile_cont(v, 0.975), 6) AS hi FROM (SELECT rep, sum(sy * w) / sum(sn * w)::DOUBLE AS v FROM {boot('c', 'taker', 500, 7)} GROUP BY rep)"))
 def _(t):
-    return r(sm.cluster_bootstrap_ci(preds(t), "taker", F.col("y"), b=200, seed=7), "mean", "lo", "hi")
+    return r(sm.cluster_bootstrap_ci(preds(t), "taker", F.col("y"), b=500, seed=7), "mean", "lo", "hi")
 
 
-@query("R10_paired_bootstrap", PR(f""", v AS (SELECT rep, sum(((p - y) * (p - y) - (pm - y) * (pm - y)) * w) / sum(w)::DOUBLE AS d FROM {boot('pr', 'id', 40, 8)} GROUP BY rep)
+@query("R10_paired_bootstrap", PR(f""", v AS (SELECT rep, sum(((p - y) * (p - y) - (pm - y) * (pm - y)) * w) / sum(w)::DOUBLE AS d FROM {boot('pr', 'id', 500, 8)} GROUP BY rep)
   SELECT round(avg(d), 6) AS diff, round(quantile_cont(d, 0.025), 6) AS lo, round(quantile_cont(d, 0.975), 6) AS hi, least(1.0, 2 * least(avg((d <= 0)::INTEGER), avg((d >= 0)::INTEGER))) AS p_value,
   least(1.0, 3 * least(1.0, 2 * least(avg((d <= 0)::INTEGER), avg((d >= 0)::INTEGER)))) AS p_bonferroni FROM v"""))
 def _(t):
     sq = lambda c: (F.col(c) - F.col("y")) * (F.col(c) - F.col("y"))
-    return r(sm.paired_bootstrap(preds(t), "id", sq("p"), sq("pm"), 40, 8, 3), "diff", "lo", "hi")
+    return r(sm.paired_bootstrap(preds(t), "id", sq("p"), sq("pm"), 500, 8, 3), "diff", "lo", "hi")
 
 
 @query("R11_random_baseline", PR(" UNION ALL ".join(f"SELECT {sd} AS seed, count(*) AS n, round(avg(y), 6) AS hit_rate FROM (SELECT * FROM pr ORDER BY {U('id', sd)}, id LIMIT 300)" for sd in (11, 12))))

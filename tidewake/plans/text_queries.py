@@ -87,27 +87,27 @@ def _(t):
     return r(n.perplexity(n.tokens_of(t.benchmark, "item_id", "text"), toks(t), "item_id"), "perplexity", digits=4)
 
 
-BOW = f"WITH {TF_SQL}, d AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY 1), v AS (SELECT * FROM d WHERE df >= 10 AND df <= 0.5 * {NDOC} ORDER BY df DESC, term LIMIT 500)"
+BOW = f"WITH {TF_SQL}, d AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY 1), v AS (SELECT * FROM d WHERE df >= 10 AND df <= 0.5 * {NDOC})"
 
 
 @query("N09_bow", f"{BOW} SELECT doc_id, term, tf, df FROM tf JOIN v USING (term)")
 def _(t):
-    return n.bow(tf(t), "doc_id", n_docs(t), 10, 0.5, 500)
+    return n.bow(tf(t), "doc_id", n_docs(t), 10, 0.5)
 
 
-TFIDF = f"""{LTF_SQL}, d AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY 1), v AS (SELECT * FROM d ORDER BY total DESC, term LIMIT 1000),
+TFIDF = f"""{LTF_SQL}, d AS (SELECT term, count(*) AS df, sum(tf) AS total FROM tf GROUP BY 1), v AS (SELECT * FROM d),
   w AS (SELECT doc_id, term, tf, df, tf * (ln((1 + {NDOC}) / (1 + df)::DOUBLE) + 1) AS w FROM tf JOIN v USING (term)), x AS (SELECT doc_id, term, tf, df, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM w)"""
 
 
 @query("N10_tfidf", f"WITH {TFIDF} SELECT doc_id, term, tf, df, round(weight, 6) AS weight FROM x")
 def _(t):
-    return r(n.tfidf(tf(t), "doc_id", n_docs(t), 1000), "weight")
+    return r(n.tfidf(tf(t), "doc_id", n_docs(t)), "weight")
 
 
 @query("N10b_tfidf_bigrams")
 def _(t):
     d = n.term_counts(n.add_bigram_tokens(toks(t)), "doc_id")
-    return r(n.tfidf(d, "doc_id", n_docs(t), 2000), "weight")
+    return r(n.tfidf(d, "doc_id", n_docs(t)), "weight")
 
 
 @query("N11_presence_features", f"WITH {TFIDF}, top AS (SELECT term FROM d ORDER BY total DESC, term LIMIT 100) SELECT doc_id, term FROM tf JOIN top USING (term)")
@@ -235,7 +235,7 @@ KW_SQL = f"{TFIDF}, lw AS (SELECT quality, doc_id, term, weight FROM x JOIN labe
 
 
 def keywords(t):
-    w = n.tfidf(tf(t), "doc_id", n_docs(t), 1000).join(t.labels.select("doc_id", "quality"), "doc_id")
+    w = n.tfidf(tf(t), "doc_id", n_docs(t)).join(t.labels.select("doc_id", "quality"), "doc_id")
     return n.class_keywords(w, "doc_id", "quality", 30)
 
 

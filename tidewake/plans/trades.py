@@ -27,3 +27,8 @@ def trades(t: Tables) -> DataFrame:
 def r(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
     """Round the named double columns."""
     return df.withColumns({c: F.round(c, digits) for c in cols})
+
+# fixed values: two-sided 95 % Student quantiles for 1 to 10 degrees of freedom, then the leading terms of the series
+T_SQL = ("CASE WHEN {dof} <= 10 THEN [12.706204736, 4.302652730, 3.182446305, 2.776445105, 2.570581836, 2.446911851, 2.364624252, "
+         "2.306004135, 2.262157163, 2.228138852][{dof}::INTEGER]::DOUBLE ELSE 1.959963984540054 + 2.372271230298562 / {dof} + 2.8224986157396112 / ({dof} * {dof}) "
+         "+ 2.555849679507722 / pow({dof}, 3) + 1.5895340533938225 / pow({dof}, 4) END")

@@ -30,13 +30,13 @@ def filter_in(df: DataFrame, col: str, ids: DataFrame, id_col: str | None = None
 
 
 def scan_csv(spark, path, schema: str, sep=",", header=True, rename: dict[str, str] | None = None,
-             encoding="UTF-8", pattern: str | None = None) -> DataFrame:
+             encoding="UTF-8", pattern: str | None = None, multiline=False) -> DataFrame:
     """Delimited text with a fixed schema; ``rename`` maps localized headers.
 
     ``sep=';'`` reads semicolon files, ``sep='\\t', header=False`` headerless tab files, and one
-    call per exported sheet replaces a workbook.
+    call per exported sheet replaces a workbook.  ``multiline`` reads quoted values with line breaks.
     """
-    r = spark.read.option("sep", sep).option("header", header).option("encoding", encoding)
+    r = spark.read.option("sep", sep).option("header", header).option("encoding", encoding).option("multiLine", multiline)
     r = r.option("enforceSchema", "true").schema(schema)
     if pattern:
         r = r.option("pathGlobFilter", pattern)

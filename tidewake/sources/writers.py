@@ -18,12 +18,12 @@ def sink_bucketed(df: DataFrame, path: str, key: str, n: int) -> str:
     """N hash buckets of a key as partitions; rows of a bucket keep all writers busy."""
     d = df.withColumn("bucket", F.pmod(F.hash(key), F.lit(n)))
     # the salt spreads a hot bucket over several files
-    d = d.repartition(n * 2, "bucket", F.pmod(F.xxhash64(*d.columns), F.lit(8)))
+    d = d.repartition("bucket", F.pmod(F.xxhash64(*d.columns), F.lit(8)))
     return sink_parquet(d, path, "bucket")
 
 
 def sink_report(df: DataFrame, path: str, fmt="csv") -> str:
     """A small result table as a single CSV or JSON file."""
-    w = df.coalesce(1).write.mode("overwrite")
+    w = df.repartition(1).write.mode("overwrite")
     (w.option("header", True).csv if fmt == "csv" else w.json)(path)
     return path
