@@ -199,11 +199,12 @@ def settle(runs: DataFrame) -> DataFrame:
     """Sorts runs by rank pairs: ``gone`` for runs later than an equal one, ``open`` for first ones whose core has others."""
     seen = runs.where("not done").groupBy("core").agg(F.count(F.lit(1)).alias("seen")).where("seen > 1")
     alive = runs.join(seen, "core", "left").where("done or seen is not null").drop("seen")
-    # settled rows need no rank: they are spread instead of meeting their group
-    apart = F.when(F.col("done"), F.xxhash64("doc", "pos"))
-    first = F.rank().over(W.partitionBy("core", "full", apart).orderBy("doc", "pos")) == 1
+    # settled rows need no rank: they are spread instead of meeting their group.  The rank has a shuffle of its own, so the join
+    # above may be split where many stretches share a core
+    alive = alive.withColumn("apart", F.when(F.col("done"), F.xxhash64("doc", "pos"))).repartition("core", "full", "apart")
+    first = F.rank().over(W.partitionBy("core", "full", "apart").orderBy("doc", "pos")) == 1
     ranked = alive.withColumn("gone", F.col("done") | ~first)
-    return stored(ranked.drop("done"), "runs")
+    return stored(ranked.drop("done", "apart"), "runs")
 
 
 def still_open(ranked: DataFrame) -> DataFrame:
