@@ -38,3 +38,17 @@ def test_long_chain_is_one_component(spark):
     nodes = spark.range(n).withColumnRenamed("id", "node")
     edges = spark.range(n - 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     assert cluster.connected_components(edges, nodes).select("component").distinct().count() == 1
+
+
+def test_more_shuffle_partitions_mean_smaller_buckets(spark):
+    from tidewake.operators import ordering
+    d = spark.range(20_000).select((F.col("id") % 997).cast("double").alias("v"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "300")
+    try:
+        cuts = ordering.cut_points(d, "v")
+        sizes = [r["count"] for r in d.distinct().groupBy(ordering.bucket_of(F.col("v"), cuts)).count().collect()]
+        assert len(cuts) > 200 and max(sizes) <= 20
+        assert ordering.quantiles(d, "v", [0.5]).first()[0] == d.selectExpr("percentile(v, 0.5)").first()[0]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

@@ -44,7 +44,7 @@ def auc(df, y, p, by=None, cuts=None) -> DataFrame:
     b = g.groupBy(*by, "_b").agg(
         F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") / 2)).alias("_in"),
         F.sum("_pos").alias("_pos"), F.sum("_neg").alias("_neg"))
-    wb = _over(by, F.col("_b")).rowsBetween(Window.unboundedPreceding, -1)  # at most 64 buckets
+    wb = _over(by, F.col("_b")).rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
     b = b.withColumn("_low", F.coalesce(F.sum("_neg").over(wb), F.lit(0.0)))
     pos, neg = F.sum("_pos"), F.sum("_neg")
     return b.groupBy(*by).agg(
@@ -112,7 +112,7 @@ def average_precision(df, y, p, by=None, cuts=None) -> DataFrame:
     by = _keys(by)
     g = _score_buckets(df, y, p, by, cuts)
     b = g.groupBy(*by, "_b").agg(F.sum("_pos").alias("_bp"), F.sum(F.col("_pos") + F.col("_neg")).alias("_bn"))
-    wb = _over(by, F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)  # at most 64 buckets
+    wb = _over(by, F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
     b = b.select(*[F.col(k).alias(f"_k_{k}") for k in by], F.col("_b").alias("_kb"),
                  F.coalesce(F.sum("_bp").over(wb), F.lit(0.0)).alias("_cp"),
                  F.coalesce(F.sum("_bn").over(wb), F.lit(0.0)).alias("_cn"))

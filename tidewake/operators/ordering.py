@@ -1,9 +1,9 @@
 """Ranks, quantiles and order-based totals without a single-task sort.
 
-Values are first collapsed to (group, value, count).  A few cut points, read once from an
-approximate quantile sketch, split the value range into buckets; cumulative counts are taken
-inside a bucket and shifted by the totals of the buckets below.  The cut points only balance the
-work, so results are exact.
+Values are first collapsed to (group, value, count).  Cut points, read once from an approximate
+quantile sketch, split the value range into buckets, more of them in sessions set up for more data;
+cumulative counts are taken inside a bucket and shifted by the totals of the buckets below.  The cut
+points only balance the work, so results are exact.
 """
 
 from __future__ import annotations
@@ -15,10 +15,20 @@ _UPTO = (Window.unboundedPreceding, Window.currentRow)
 _BELOW = (Window.unboundedPreceding, -1)
 
 
-def cut_points(df: DataFrame, col: str, n: int = 64) -> list[float]:
+def bucket_count(spark) -> int:
+    """Buckets of the value range: as many as the session's shuffles have partitions, 64 to 4096.
+
+    A bucket's running total is one window partition, so it has to shrink as the data grows; the shuffle setting is what says
+    how much data there is.  The upper bound keeps the cut points a small list.
+    """
+    return min(4096, max(64, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def cut_points(df: DataFrame, col: str, n: int | None = None) -> list[float]:
     """At most ``n-1`` ascending values that split ``col`` into similar shares."""
+    n = n or bucket_count(df.sparkSession)
     probe = df.select(F.col(col).cast("double").alias("v"))
-    got = probe.approxQuantile("v", [i / n for i in range(1, n)], 0.005)
+    got = probe.approxQuantile("v", [i / n for i in range(1, n)], min(0.005, 0.3 / n))
     return sorted({float(x) for x in got if x == x})
 
 
