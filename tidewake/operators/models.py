@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions.scalars import unit_hash
 from .evaluate import auc, ece
-from .ordering import quantiles
+from .ordering import bucket_count, quantiles
 from .timeline import prior
 
 
@@ -279,8 +279,9 @@ def permuted(df, uid, col, seed=0) -> DataFrame:
     """The table with one column shuffled: row i in one hash order takes the value of row i in another."""
 
     def numbered(d, s, out):
-        d = d.withColumn("_u", unit_hash(uid, seed=s)).withColumn("_at", F.floor(F.col("_u") * 4096))
-        return prior(d, [], "_at", ("_u", uid), {out: ("count", F.lit(1))}, slice_secs=16).drop("_u", "_at")
+        d = d.withColumn("_u", unit_hash(uid, seed=s)).withColumn("_at", F.floor(F.col("_u") * (1 << 20)))
+        width = (1 << 20) // (4 * bucket_count(df.sparkSession))
+        return prior(d, [], "_at", ("_u", uid), {out: ("count", F.lit(1))}, slice_secs=width).drop("_u", "_at")
 
     a = numbered(df, f"{seed}a", "_i")
     b = numbered(df.select(uid, F.col(col).alias("_new")), f"{seed}b", "_i").select("_i", "_new")

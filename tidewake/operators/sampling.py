@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import unit_hash
-from .ordering import join_scan, quantiles, value_counts_scan
+from .ordering import bucket_count, join_scan, quantiles, value_counts_scan
 from .ranking import top_fraction
 from .timeline import prior
 
@@ -48,8 +48,8 @@ def group_kfold(df, key, k=5, seed=0, out="fold") -> DataFrame:
 
 def stratified_kfold(df, y, uid, k=5, seed=0, out="fold") -> DataFrame:
     """Per class, rows dealt to the folds in hash order, so class sizes differ by at most one."""
-    d = df.withColumn("_u", unit_hash(uid, seed=seed)).withColumn("_at", F.floor(F.col("_u") * 4096))
-    d = prior(d, y, "_at", ("_u", uid), {"_i": ("count", F.lit(1))}, slice_secs=16)
+    d = df.withColumn("_u", unit_hash(uid, seed=seed)).withColumn("_at", F.floor(F.col("_u") * (1 << 20)))
+    d = prior(d, y, "_at", ("_u", uid), {"_i": ("count", F.lit(1))}, slice_secs=(1 << 20) // (4 * bucket_count(df.sparkSession)))
     return d.withColumn(out, (F.col("_i") % k).cast("int")).drop("_u", "_at", "_i")
 
 

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from .joins import first_rows, pairs
+from .joins import first_rows
 from .ranking import top_fraction
 
 
@@ -38,7 +38,7 @@ def except_keys(a: DataFrame, b: DataFrame, key) -> DataFrame:
 
 
 def jaccard_pairs(df: DataFrame, key: str, member: str) -> DataFrame:
-    """Jaccard of the member sets of every pair of keys (keys are classes: few, members many).
+    """Jaccard of the member sets of every pair of keys that share a member; all other pairs have 0.
 
     Each member lists the keys that hold it; pairs are counted from those short lists and combined
     map-side, so no member set is ever collected.
@@ -49,10 +49,10 @@ def jaccard_pairs(df: DataFrame, key: str, member: str) -> DataFrame:
     i = lists.select("ks", F.posexplode("ks").alias("p", "a"))
     both = i.select("a", F.explode(F.slice("ks", F.col("p") + 2, F.size("ks"))).alias("b"))
     both = both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"))
-    allp = pairs(sizes, key).select(
-        F.col(f"{key}_a").alias("a"), F.col(f"{key}_b").alias("b"), (F.col("n_a") + F.col("n_b")).alias("s"))
-    j = allp.join(both, ["a", "b"], "left").withColumn("common", F.coalesce("common", F.lit(0)))
-    return j.select("a", "b", "common", (F.col("common") / (F.col("s") - F.col("common"))).alias("jaccard"))
+    for side in ("a", "b"):
+        both = both.join(sizes.select(F.col(key).alias(side), F.col("n").alias(f"n_{side}")), side)
+    union = F.col("n_a") + F.col("n_b") - F.col("common")
+    return both.select("a", "b", "common", (F.col("common") / union).alias("jaccard"))
 
 
 def topset_overlap(df: DataFrame, s1: str, s2: str, frac: float, uid: str) -> DataFrame:

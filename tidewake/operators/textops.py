@@ -177,6 +177,34 @@ def naive_bayes_predict(model, tf, doc, label) -> DataFrame:
     return s.groupBy(doc).agg(F.max_by(label, F.struct(score, F.col(label))).alias("prediction"), F.max(score).alias("log_posterior"))
 
 
+def bernoulli_nb(tf, doc, label, alpha=1.0) -> DataFrame:
+    """Bernoulli model as rows (label, term, gain): the log odds of a term's presence against those of a term that the class
+    lacks.  A null term holds ``level`` (class prior and log probability of an empty document) and ``odds`` of a lacking term."""
+    g = tf.select(label, doc, "term").distinct().groupBy(label, "term").agg(F.count(F.lit(1)).alias("n"))
+    docs = tf.select(label, doc).distinct().groupBy(label).agg(F.count(F.lit(1)).alias("docs"))
+    v, n_docs = tf.select("term").distinct().agg(F.count(F.lit(1))).scalar(), docs.agg(F.sum("docs")).scalar()
+    p, p0 = (F.col("n") + alpha) / (F.col("docs") + 2 * alpha), F.lit(alpha) / (F.col("docs") + 2 * alpha)
+    d = g.join(docs, label)
+    odds = lambda x: F.ln(x / (1 - x))
+    none = F.lit(None).cast("double")
+    m = d.select(label, "term", (odds(p) - odds(p0)).alias("gain"), none.alias("level"), none.alias("odds"))
+    base = d.groupBy(label, "docs").agg((F.sum(F.ln(1 - p) - F.ln(1 - p0)) + v * F.ln(1 - F.first(p0))).alias("empty"))
+    return m.unionByName(base.select(
+        label, F.lit(None).cast("string").alias("term"), none.alias("gain"), (F.ln(F.col("docs") / n_docs) + F.col("empty")).alias("level"), odds(p0).alias("odds")))
+
+
+def bernoulli_nb_predict(model, tf, doc, label) -> DataFrame:
+    """Class with the largest log posterior per document, from the presence of known terms."""
+    known = model.where("term IS NOT NULL").select(label, "term", "gain")
+    terms = tf.select(doc, "term").distinct()
+    gain = terms.join(known, "term").groupBy(doc, label).agg(F.sum("gain").alias("_gain"))
+    size = terms.join(known.select("term").distinct(), "term", "left_semi").groupBy(doc).agg(F.count(F.lit(1)).alias("_len"))
+    classes = model.where("term IS NULL").agg(F.sort_array(F.collect_list(F.struct(label, "level", "odds")))).scalar()  # one entry per class
+    s = size.withColumn("_c", F.explode(classes)).select(doc, "_len", "_c.*").join(gain, [doc, label], "left")
+    score = F.col("level") + F.col("_len") * F.col("odds") + F.coalesce("_gain", F.lit(0.0))
+    return s.groupBy(doc).agg(F.max_by(label, F.struct(score, F.col(label))).alias("prediction"), F.max(score).alias("log_posterior"))
+
+
 def informative_terms(tf, doc, label, a, b, k, alpha=0.5) -> DataFrame:
     """Terms with the largest ratio of presence rates between two classes."""
     n = tf.select(label, doc).distinct().groupBy().agg(

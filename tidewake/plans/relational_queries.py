@@ -78,6 +78,14 @@ def _(t):
     return rd.document_columns(d, "path", "/kb", "text")
 
 
+@query("S08b_scan_documents", "SELECT item_id, md5(text) AS h FROM benchmark")
+def _(t):
+    path = out_dir(t, "kb")
+    t.benchmark.select("item_id", "text").write.partitionBy("item_id").text(path)
+    d = rd.scan_documents(t.spark, path, "txt")
+    return d.select(F.regexp_extract("folder_label", r"item_id=(\d+)", 1).cast("bigint").alias("item_id"), F.md5(F.regexp_replace("text", r"\n$", "")).alias("h"))
+
+
 @query("S09_scan_sheets", "SELECT 'nation' AS sheet, count(*) AS n FROM nation UNION ALL SELECT 'region', count(*) FROM region")
 def _(t):
     a, b = out_dir(t, "sheet"), out_dir(t, "sheet")
@@ -402,8 +410,7 @@ def _(t):
 
 @query("U05_jaccard_pairs", """WITH m AS (SELECT DISTINCT p_brand AS k, l_suppkey AS m FROM lineitem JOIN part ON l_partkey = p_partkey), n AS (SELECT k, count(*) AS n FROM m GROUP BY k),
   c AS (SELECT x.k AS a, y.k AS b, count(*) AS c FROM m x JOIN m y ON x.m = y.m AND x.k < y.k GROUP BY ALL)
-  SELECT x.k AS a, y.k AS b, coalesce(c, 0) AS common, round(coalesce(c, 0) / CAST(x.n + y.n - coalesce(c, 0) AS DOUBLE), 6) AS jaccard
-  FROM n x JOIN n y ON x.k < y.k LEFT JOIN c ON c.a = x.k AND c.b = y.k""")
+  SELECT a, b, c AS common, round(c / CAST(x.n + y.n - c AS DOUBLE), 6) AS jaccard FROM c JOIN n x ON c.a = x.k JOIN n y ON c.b = y.k""")
 def _(t):
     m = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("p_brand").alias("k"), F.col("l_suppkey").alias("m"))
     return r(u.jaccard_pairs(m, "k", "m"), "jaccard")

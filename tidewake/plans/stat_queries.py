@@ -131,6 +131,18 @@ def _(t):
     return t.documents.select("doc_id", F.md5(tx.normalise_text("text")).alias("h"))
 
 
+@query("F13b_drop_mentions", "SELECT doc_id, md5(trim(" + rx("lower(text)", (r"https?://\S+", " "), (r"@\w+", " "), (r"#(\w+)", r"\1"), (r"\s+", " ")) + ")) AS h FROM documents")
+def _(t):
+    return t.documents.select("doc_id", F.md5(tx.drop_mentions("text")).alias("h"))
+
+
+@query("F15b_sentences", r"""WITH s AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), '\n+'), lambda x: trim(x) <> '') AS s FROM documents)
+  SELECT doc_id, len(s)::BIGINT AS n, md5(array_to_string(s, '|')) AS h FROM s""")
+def _(t):
+    s_ = tx.sentences("text")
+    return t.documents.select("doc_id", F.size(s_).cast("bigint").alias("n"), F.md5(F.array_join(s_, "|")).alias("h"))
+
+
 @query("F14_apply_rules", "SELECT doc_id, length(" + rx("text", (r"(?i)\bthe\b", "a"), (r"(?i)\btion", "shun"), (r"(?i)\band\b", "plus")) + ") AS n FROM documents")
 def _(t):
     rules = [(r"\bthe\b", "a"), (r"\btion", "shun"), (r"\band\b", "plus")]

@@ -60,6 +60,16 @@ def _(t):
     return n.ngrams(toks(t), 3)
 
 
+SENT_SQL = r"""s0 AS (SELECT doc_id, unnest(regexp_split_to_array(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), '\n+')) AS s FROM documents),
+  sn AS (SELECT ['<s>', '<s>', '<s>'] || regexp_extract_all(lower(s), '[a-z_]{2,}') || ['</s>'] AS w FROM s0 WHERE len(regexp_extract_all(lower(s), '[a-z_]{2,}')) > 0)"""
+
+
+@query("N03b_sentence_ngrams", f"""WITH {SENT_SQL}, p AS (SELECT w, unnest(generate_series(1, len(w) - 3)) AS i FROM sn)
+  SELECT w[i] AS w1, w[i + 1] AS w2, w[i + 2] AS w3, w[i + 3] AS w4, count(*) AS n FROM p GROUP BY ALL""")
+def _(t):
+    return n.ngrams(n.sentence_tokens(t.documents, "doc_id", "text"), 4)
+
+
 @query("N04_bigram_mle", f"WITH {pad_sql(2)} SELECT w1, w2, n, sum(n) OVER (PARTITION BY w1)::BIGINT AS context_n, round(n / (sum(n) OVER (PARTITION BY w1))::DOUBLE, 6) AS p FROM g2")
 def _(t):
     return r(n.bigram_mle(toks(t)), "p")
@@ -132,6 +142,16 @@ def _(t):
     return r(n.naive_bayes_predict(m, tf(t), "doc_id", "quality"), "log_posterior", digits=3)
 
 
+@query("N12d_bernoulli_nb", f"""WITH {LTF_SQL}, g AS (SELECT quality, term, count(DISTINCT doc_id) AS n FROM ltf GROUP BY ALL), dc AS (SELECT quality, count(DISTINCT doc_id)::DOUBLE AS docs FROM ltf GROUP BY 1),
+  vc AS (SELECT DISTINCT term FROM ltf), q AS (SELECT dc.quality, vc.term, (coalesce(n, 0) + 1) / (docs + 2) AS p FROM dc CROSS JOIN vc LEFT JOIN g ON g.quality = dc.quality AND g.term = vc.term),
+  base AS (SELECT quality, sum(ln(1 - p)) AS empty FROM q GROUP BY 1), pres AS (SELECT doc_id, quality, sum(ln(p / (1 - p))) AS gain FROM tf JOIN q USING (term) GROUP BY ALL),
+  s AS (SELECT doc_id, quality, ln(docs / (SELECT sum(docs) FROM dc)) + empty + gain AS score FROM pres JOIN base USING (quality) JOIN dc USING (quality))
+  SELECT doc_id, arg_max(quality, score) AS prediction, round(max(score), 3) AS log_posterior FROM s GROUP BY doc_id""")
+def _(t):
+    m = n.bernoulli_nb(labelled_tf(t), "doc_id", "quality")
+    return r(n.bernoulli_nb_predict(m, tf(t), "doc_id", "quality"), "log_posterior", digits=3)
+
+
 @query("N12c_informative_terms", f"""WITH {LTF_SQL}, m AS (SELECT count(DISTINCT doc_id) FILTER (quality = 1) AS na, count(DISTINCT doc_id) FILTER (quality = 0) AS nb FROM ltf), g AS (SELECT term, count(*) FILTER (quality = 1) AS a, count(*) FILTER (quality = 0) AS b FROM ltf GROUP BY 1)
   SELECT term, a, b, round(ratio, 6) AS ratio FROM (SELECT term, a, b, greatest(((a + 0.5) / (na + 1)) / ((b + 0.5) / (nb + 1)), ((b + 0.5) / (nb + 1)) / ((a + 0.5) / (na + 1)))::DOUBLE AS ratio FROM g, m) ORDER BY round(ratio, 9) DESC, term LIMIT 30""".replace("0.5", "0.5::DOUBLE"))
 def _(t):

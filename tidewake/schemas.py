@@ -1,27 +1,3 @@
-"""Fixed schemas; ids are strings, times are epoch seconds plus a timestamp."""
+"""Fixed schemas."""
 
-TRADES = (
-    "timestamp bigint, block_number bigint, log_index bigint, transaction_hash string, condition_id string, "
-    "market_id string, maker string, taker string, maker_direction string, taker_direction string, "
-    "nonusdc_side string, price double, usd_amount double, token_amount double"
-)
-MARKETS = (
-    "market_id string, condition_id string, event_id string, slug string, question string, outcomes string, "
-    "token_ids string, outcome_prices string, answer1 string, answer2 string, created_at timestamp, "
-    "end_date timestamp, volume double, winning_outcome_index int, cohort string"
-)
-QUOTES = "timestamp timestamp, price double, token_id string"
-WALLETS = (
-    "wallet string, fetch_status string, polygon_first_tx_ts bigint, first_usdc_inbound_ts bigint, funded_by_cex int, "
-    "outbound_ts array<bigint>, inbound_ts array<bigint>, cex_deposit_ts array<bigint>, "
-    "cex_deposit_amounts_usd array<double>"
-)
-PREDICTIONS = (
-    "model string, row_in_split bigint, market_id string, taker string, timestamp bigint, p_hat double, y int"
-)
-DOCUMENTS = (
-    "doc_id string, relative_path string, folder_label string, filename string, top_heading string, "
-    "is_metadata boolean, text string"
-)
-SERIES = "series_key string, ts timestamp, value double"
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"

@@ -71,8 +71,8 @@ def document_columns(df: DataFrame, path_col: str, root: str, text_col: str) ->
 def scan_documents(spark, root: str, ext="md") -> DataFrame:
     """One row per file below ``root``; files are read whole by the executors."""
     d = (
-        spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-        .option("pathGlobFilter", f"*.{ext}").text(root)
+        spark.read.option("recursiveFileLookup", True)
+        .option("pathGlobFilter", f"*.{ext}").text(root, wholetext=True)
         .select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("path"))
     )
     return document_columns(d, "path", root, "text")

@@ -71,8 +71,3 @@ def stream_running_state(sdf, key: str, ts: str, order: str, amount: str, item:
 def stream_enrich(sdf, dim: DataFrame, on) -> DataFrame:
     """Stream joined with a static table; the planner broadcasts it only below its size threshold."""
     return sdf.join(dim, on, "left")
-
-
-def apply_by_key(df: DataFrame, key, fn, schema: str) -> DataFrame:
-    """User hook: a pandas function per key.  A key's rows meet in one task, so it suits bounded groups."""
-    return df.groupBy(*([key] if isinstance(key, str) else key)).applyInPandas(fn, schema)
