@@ -22,10 +22,12 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import in_batches, row_slices
@@ -33,7 +35,7 @@ from .common import in_batches, row_slices
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 MODEL = os.environ.get("TIDEWAKE_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
-WORDS_KEPT = 200_000  #: words in a task's table; a full table is begun anew
+WORDS_KEPT = 450_000  #: words in a task's table; a full table is begun anew
 _NEVER = -float("inf")
 LONG_WORD = 64  #: longer words are not kept
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -148,7 +150,7 @@ def encode_pieces(docs: DataFrame, text: str = "text", model: str = MODEL) -> Da
         for b in row_slices(batches, text):
             got = [None if t is None else pieces.encode(t) for t in b.column(text).to_pylist()]
             ends = np.cumsum([0] + [0 if g is None else len(g[0]) for g in got]).astype(np.int32)
-            flat = np.fromiter((i for g in got if g for i in g[0]), np.int32, int(ends[-1]))
+            flat = np.fromiter(chain.from_iterable(g[0] for g in got if g), np.int32, int(ends[-1]))
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat), mask=pa.array([g is None for g in got]))
             scores = pa.array([None if g is None else g[1] for g in got], pa.float64())
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], ids, scores], names=[*keep, "ids", "score"])
@@ -163,7 +165,10 @@ def decode_pieces(encoded: DataFrame, ids: str = "ids", out: str = "decoded", mo
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load_pieces(model)
         for b in row_slices(batches, ids, 1 << 20):
-            texts = [None if i is None else pieces.decode(i) for i in b.column(ids).to_pylist()]
+            col = b.column(ids)
+            flat = col.flatten().to_numpy()
+            ends = np.cumsum(pc.fill_null(col.value_lengths(), 0).to_numpy(zero_copy_only=False)).tolist()
+            texts = [pieces.decode(flat[a:e].tolist()) if ok else None for a, e, ok in zip([0, *ends], ends, col.is_valid().to_pylist())]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(texts, pa.string())], names=[*keep, out])
 
     return in_batches(encoded).mapInArrow(run, _with(encoded.schema, **{out: "string"}))
