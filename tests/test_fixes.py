@@ -52,3 +52,14 @@ def test_more_shuffle_partitions_mean_smaller_buckets(spark):
         assert ordering.quantiles(d, "v", [0.5]).first()[0] == d.selectExpr("percentile(v, 0.5)").first()[0]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_tree_tables_and_text_svm(spark):
+    from tidewake.operators import models as m
+    d = spark.createDataFrame([(i, float(i % 10), float(i % 3), int(i % 10 > 4)) for i in range(200)], "id bigint, a double, b double, y int")
+    rules = m.tree_rules(spark, m.fit_tree(d, ["a", "b"], "y", 3), ["a", "b"]).collect()
+    assert any("(a <=" in r["rule"] for r in rules) and not any("feature" in r["rule"] for r in rules)
+    imp = {r["column"]: r["importance"] for r in m.importances(spark, m.fit_forest(d, ["a", "b"], "y", 10, 3), ["a", "b"]).collect()}
+    assert imp["a"] > 0.9 and sum(imp.values()) == pytest.approx(1.0)
+    t = spark.createDataFrame([(i, ["good", "fine", f"w{i % 7}"] if i % 2 else ["bad", "poor", f"w{i % 7}"], i % 2) for i in range(60)], "id int, tokens array<string>, y int")
+    assert m.score(m.fit_text_svm(t, "tokens", "y"), t, ["y"]).where("prediction <> y").count() == 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -190,6 +191,27 @@ def fit_linear_svm(train, cols, y, classes=2, iters=50):
     return _fit(train, cols, svc if classes == 2 else mlc.OneVsRest(classifier=svc, labelCol=y))
 
 
+def tree_rules(spark, model, cols) -> DataFrame:
+    """The rules of a tree, one line per node: (line, depth, rule); their number is bounded by the tree's depth."""
+    lines = model.stages[-1].toDebugString.rstrip().split("\n")[1:]
+    named = [re.sub(r"feature (\d+)", lambda m: cols[int(m[1])], x) for x in lines]
+    rows = [(i, len(x) - len(x.lstrip()) - 1, x.strip()) for i, x in enumerate(named)]
+    return spark.createDataFrame(rows, "line int, depth int, rule string")
+
+
+def importances(spark, model, cols) -> DataFrame:
+    """Importance of each column in a tree model: (column, importance), one row per column."""
+    rows = [(c, float(x)) for c, x in zip(cols, model.stages[-1].featureImportances.toArray())]
+    return spark.createDataFrame(rows, "column string, importance double")
+
+
+def fit_text_svm(train, tokens, y, features=1 << 16, iters=30, reg=0.01):
+    """Linear SVM on hashed TF-IDF features of token lists."""
+    return Pipeline(stages=[
+        mlf.HashingTF(inputCol=tokens, outputCol="_tf", numFeatures=features), mlf.IDF(inputCol="_tf", outputCol="features"),
+        mlc.LinearSVC(labelCol=y, maxIter=iters, regParam=reg)]).fit(train)
+
+
 def score(model, df, keep, p="p") -> DataFrame:
     """Kept columns, predicted class and, where the model has one, the probability of class 1."""
     d = model.transform(df)

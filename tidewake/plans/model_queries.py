@@ -156,6 +156,37 @@ classifier_query("T17_fit_mlp", lambda d: m.fit_mlp(d, FEATS, "quality", (8,), 2
 classifier_query("T18_fit_linear_svm", lambda d: m.fit_linear_svm(d, FEATS, "quality", iters=15))
 
 
+@query("T12b_multinomial")
+def _(t):
+    langs = F.array(*[F.lit(x) for x in ("de", "en", "es", "fr")])
+    d = doc_features(t).withColumn("y", F.array_position(langs, F.col("lang")) - 1).where("y >= 0")
+    model = m.fit_logistic(d.where("fold <> 0"), FEATS, "y", family="multinomial", iters=30)
+    return m.score(model, d.where("fold = 0"), ["doc_id", "y"]).select("doc_id", "y", "prediction")
+
+
+@query("T13b_tree_rules")
+def _(t):
+    return m.tree_rules(t.spark, m.fit_tree(split(t)[0], FEATS, "quality", 4, 5), FEATS)
+
+
+@query("T14b_forest_importance")
+def _(t):
+    return r(m.importances(t.spark, m.fit_forest(split(t)[0], FEATS, "quality", 20, 6), FEATS), "importance")
+
+
+@query("T14c_forest_regression")
+def _(t):
+    train, test = split(t)
+    return r(m.score(m.fit_forest(train, FEATS[1:], "log_chars", 20, 6, "regression"), test, ["doc_id"]), "prediction")
+
+
+@query("T18b_text_svm")
+def _(t):
+    d = toks(t).join(t.labels.select("doc_id", "quality"), "doc_id")
+    d = sm.stratified_kfold(d, "quality", "doc_id", 3)
+    return m.score(m.fit_text_svm(d.where("fold <> 0"), "tokens", "quality"), d.where("fold = 0"), ["doc_id", "quality"]).select("doc_id", "quality", "prediction")
+
+
 @query("T19_kmeans_sweep")
 def _(t):
     return r(cl.kmeans_sweep(doc_features(t), FEATS, [2, 3, 4]), "inertia", "silhouette")
