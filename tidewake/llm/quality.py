@@ -1,7 +1,7 @@
 """Operator 5: quality rules and a hashed n-gram logistic regression.
 
-Base rules are counts over the words, characters and lines of a whole text.  The model sees words, word pairs and character 2- to
-4-grams hashed into ``DIMENSIONS`` buckets, as shares of a text's n-grams.  It is fitted by MLlib on labelled quality rows and
+Base rules are counts over the words, characters and lines of a whole text.  The model sees words, word pairs and character 2- and
+3-grams hashed into ``DIMENSIONS`` buckets, as shares of a text's n-grams.  It is fitted by MLlib on labelled quality rows and
 calibrated (Platt: a logistic regression of the label on the margin) on labelled rows that were not used to fit.  All texts are
 scored in Arrow batches; a text is kept if it passes the base rules and its calibrated probability is at least ``keep_at``.
 
@@ -31,8 +31,9 @@ from .sentencepiece import _with
 
 BITS = 16
 DIMENSIONS = 1 << BITS
-MAX_TRAIN = 6000
+MAX_TRAIN = 4000
 SCALE = 100.0
+TRAIN_PARTS = 8
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 KEEP_AT = 0.5
@@ -70,7 +71,7 @@ def fails_base(n_words: int, n_repeat_words: int) -> bool:
 def _word_hash(word: str) -> int:
     got = _kept.get(word)
     if got is None:
-        if len(_kept) >= 150_000:
+        if len(_kept) >= 100_000:
             _kept.clear()
         got = _kept[word] = zlib.crc32(word.encode("utf-8", "surrogatepass"))
     return got
@@ -89,10 +90,9 @@ def hashed_grams(text: str | None, words: list[str]) -> np.ndarray:
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     two = c[:-1] << np.uint64(21) | c[1:]
     three = two[:-1] << np.uint64(21) | c[2:]
-    four = three[:-1] * np.uint64(0x100000001B3) + c[3:]
     one = np.uint64(1)
     return _bucket(np.concatenate([w * np.uint64(4) + one, (w[:-1] << np.uint64(32) | w[1:]) * np.uint64(5) + one, two * np.uint64(6) + one,
-                                   three * np.uint64(7) + one, four * np.uint64(9) + one]))
+                                   three * np.uint64(7) + one]))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train: int = MAX_TRAIN) -> DataFrame:
@@ -127,7 +127,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", max_
     seen = rows.groupBy("calibrate").agg(F.countDistinct("label").alias("n")).collect()
     if {r["calibrate"]: r["n"] for r in seen}.get(False, 0) < 2:
         return None
-    model = LogisticRegression(maxIter=40, regParam=reg, tol=1e-5).fit(rows.where("not calibrate"))
+    # a fixed number of parts: each step sends one gradient per part
+    model = LogisticRegression(maxIter=40, regParam=reg, tol=1e-5).fit(rows.where("not calibrate").coalesce(TRAIN_PARTS))
     weights, intercept = model.coefficients.toArray(), float(model.intercept)
     slope, shift = 1.0, 0.0
     if {r["calibrate"]: r["n"] for r in seen}.get(True, 0) == 2:
