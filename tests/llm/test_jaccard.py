@@ -91,7 +91,7 @@ def test_tree_prunes_only_what_cannot_link():
         at = rnd.integers(0, len(s), rnd.integers(0, 140))
         s[at] = rnd.integers(0, 1 << 63, len(at), dtype=np.uint64)
         sets.append(np.unique(s))
-    labels = jaccard.join_group(sets, np.zeros(len(sets), int))
+    labels = jaccard.join_group(sets)
     up = list(range(len(sets)))
 
     def find(i):

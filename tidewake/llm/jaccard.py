@@ -11,10 +11,11 @@ with the same nodes are one group.  A group of more than ``max_group`` nodes is
 that share a leader, in the second into all pairs of parts, so no task holds an unbounded group and no link is lost.
 
 *Signature trees.*  Within a group, sets are leaves with a bitmap of ``BITMAP`` bits; inner nodes hold the OR of their bitmaps,
-the range of sizes and the largest number of tokens that a leaf has beyond its bits.  Two trees (or one with itself) are
-descended together: a pair of nodes is dropped if the common bits plus that excess, or the size ranges, rule out the wanted
-overlap, or if both lie in one component already.  Leaf pairs that are left are decided on the whole sets.  Only a spanning
-forest of the links is given out, which keeps the components whole without listing all pairs of a group of copies.
+the range of sizes and the largest number of tokens that a leaf has beyond its bits.  A tree is descended together with itself:
+a pair of nodes is dropped if the common bits plus that excess, or the size ranges, rule out the wanted overlap, or if both lie
+in one component already.  Leaf pairs that are left are decided on the whole sets.  In the second step only bitmaps and sizes
+move to the groups, and texts only for the pairs that the trees leave.  Only a spanning forest of the links is given out, which
+keeps the components whole without listing all pairs of a group of copies.
 
 A null text, or one without words, has an empty set and is linked with nothing.  A text with fewer than ``n`` words has its
 whole sequence as one shingle.  Rows with a null id belong to no component (null).  Repeated rows are copies of each other.
@@ -107,13 +108,22 @@ def _set_hash(s: np.ndarray) -> tuple[int, int]:
     return (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63)
 
 
+def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Token bitmaps of sets: sets x words of 64 bits."""
+    bits = np.zeros((len(sets), BITMAP // 64), np.uint64)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    at = (np.concatenate(sets) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - BITMAP.bit_length() + 1)
+    np.bitwise_or.at(bits, (row, (at >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (at & np.uint64(63)))
+    return bits
+
+
 def describe_sets(docs: DataFrame, n: int = N) -> DataFrame:
-    """(doc_id, size, h1, h2) per document, and the partial token histograms of tasks as (block, counts) rows."""
+    """(doc_id, size, h1, h2, bits) per document, and the partial token histograms of tasks as (block, counts) rows."""
     cells, blocks = 1 << CELL_BITS, (1 << CELL_BITS) // BLOCK_CELLS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(cells, np.int64)
-        names = ["doc_id", "size", "h1", "h2", "block", "counts"]
+        names = ["doc_id", "size", "h1", "h2", "bits", "block", "counts"]
         none = lambda k, t: pa.nulls(k, t)
         for b in row_slices(batches, "text", SLICE_BYTES):
             sets = shingle_sets(b.column("text").to_pylist(), n)
@@ -122,14 +132,15 @@ def describe_sets(docs: DataFrame, n: int = N) -> DataFrame:
             seen[at.astype(np.int64)] += found
             k = len(rows)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), *[pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], none(k, pa.int32()), none(k, pa.binary())], names=names)
+                [b.column("doc_id"), *[pa.array([r[i] for r in rows], pa.int64()) for i in range(3)],
+                 pa.array([x.tobytes() for x in bitmaps(sets)], pa.binary()), none(k, pa.int32()), none(k, pa.binary())], names=names)
         if seen.any():
             parts = np.minimum(seen, 0xFFFFFFFF).astype(np.uint32).reshape(blocks, -1)
             yield pa.RecordBatch.from_arrays(
-                [*[none(blocks, pa.int64())] * 4, pa.array(range(blocks), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=names)
+                [*[none(blocks, pa.int64())] * 4, none(blocks, pa.binary()), pa.array(range(blocks), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=names)
 
     return in_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).mapInArrow(
-        run, "doc_id bigint, size bigint, h1 bigint, h2 bigint, block int, counts binary")
+        run, "doc_id bigint, size bigint, h1 bigint, h2 bigint, bits binary, block int, counts binary")
 
 
 def token_classes(parts: DataFrame) -> np.ndarray:
@@ -194,13 +205,7 @@ class _Forest:
 class SignatureTree:
     """Levels of nodes over ordered leaves, leaves first; each inner node covers ``FAN`` nodes below it."""
 
-    def __init__(self, sets: list[np.ndarray]):
-        n = len(sets)
-        bits = np.zeros((n, BITMAP // 64), np.uint64)
-        sizes = np.array([len(s) for s in sets], np.int64)
-        row = np.repeat(np.arange(n), sizes)
-        at = (np.concatenate(sets) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - BITMAP.bit_length() + 1)
-        np.bitwise_or.at(bits, (row, (at >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (at & np.uint64(63)))
+    def __init__(self, bits: np.ndarray, sizes: np.ndarray):
         excess = sizes - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
         self.levels = [(bits, sizes, sizes, excess)]
         while len(self.levels[-1][1]) > 1:
@@ -219,6 +224,31 @@ class SignatureTree:
         return out
 
 
+    def pairs(self, labels: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Leaf pairs i < j with different labels that neither bits nor sizes rule out."""
+        same = self.uniform(labels)
+        i, j = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        for level in range(len(self.levels) - 1, -1, -1):
+            bits, lo, hi, ex = self.levels[level]
+            keep = [np.zeros(0, bool)]
+            for s in range(0, len(i), 1 << 14):
+                a, b = i[s : s + (1 << 14)], j[s : s + (1 << 14)]
+                need = -(-percent * (lo[a] + lo[b]) // (100 + percent))
+                common = np.bitwise_count(bits[a] & bits[b]).sum(axis=1, dtype=np.int64)
+                can = (common + np.minimum(ex[a], ex[b]) >= need) & (100 * hi[a] >= percent * lo[b]) & (100 * hi[b] >= percent * lo[a])
+                keep.append(can & ((same[level][a] < 0) | (same[level][a] != same[level][b])))
+            keep = np.concatenate(keep)
+            i, j = i[keep], j[keep]
+            if level:
+                below = len(self.levels[level - 1][1])
+                kid = np.arange(FAN)
+                a = (i[:, None, None] * FAN + kid[None, :, None] + 0 * kid[None, None, :]).ravel()
+                b = (j[:, None, None] * FAN + kid[None, None, :] + 0 * kid[None, :, None]).ravel()
+                ok = (a < below) & (b < below) & (a <= b if level > 1 else a < b)
+                i, j = a[ok], b[ok]
+        return (i, j) if len(labels) > 1 else (i[:0], j[:0])
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     """Whether 100 * intersection >= percent * union."""
     if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
@@ -227,71 +257,65 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def join_group(sets: list[np.ndarray], part: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Component label (an index) of each set of a group.
-
-    ``part``: 0 or 1.  If both occur, pairs within one part are compared elsewhere and only pairs across parts count.
-    """
+def join_group(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
+    """Component label (an index) of each set of a group."""
     n = len(sets)
     low = np.array([s[0] for s in sets])
     order = np.lexsort((low, [len(s) for s in sets]))
-    sets, part = [sets[i] for i in order], part[order]
-    across = part.min() != part.max()
+    sets = [sets[i] for i in order]
     forest = _Forest(n)
     for i in range(1, n):  # neighbours in order and the first: joins most of a group of copies
         for j in {i - 1, 0}:
             if forest.find(i) != forest.find(j) and linked(sets[i], sets[j], percent):
                 forest.join(i, j)
-    tree = SignatureTree(sets)
-    same = tree.uniform(forest.labels())
-    i, j = np.zeros(1, np.int64), np.zeros(1, np.int64)
-    # down to the level above the leaves all pairs of a level are held: at most (n / FAN)^2
-    for level in range(len(tree.levels) - 1, -1, -1):
-        bits, lo, hi, ex = tree.levels[level]
-        keep = []
-        for s in range(0, len(i), 1 << 14):
-            a, b = i[s : s + (1 << 14)], j[s : s + (1 << 14)]
-            need = -(-percent * (lo[a] + lo[b]) // (100 + percent))
-            common = np.bitwise_count(bits[a] & bits[b]).sum(axis=1, dtype=np.int64)
-            can = (common + np.minimum(ex[a], ex[b]) >= need) & (100 * hi[a] >= percent * lo[b]) & (100 * hi[b] >= percent * lo[a])
-            keep.append(can & ((same[level][a] < 0) | (same[level][a] != same[level][b])))
-        keep = np.concatenate(keep) if keep else np.zeros(0, bool)
-        i, j = i[keep], j[keep]
-        if level:
-            below = len(tree.levels[level - 1][1])
-            kid = np.arange(FAN)
-            a = (i[:, None, None] * FAN + kid[None, :, None] + 0 * kid[None, None, :]).ravel()
-            b = (j[:, None, None] * FAN + kid[None, None, :] + 0 * kid[None, :, None]).ravel()
-            ok = (a < below) & (b < below) & (a <= b if level > 1 else a < b)
-            i, j = a[ok], b[ok]
-    if n > 1:
-        for a, b in zip(i.tolist(), j.tolist()):
-            if (not across or part[a] != part[b]) and forest.find(a) != forest.find(b) and linked(sets[a], sets[b], percent):
-                forest.join(a, b)
+    tree = SignatureTree(bitmaps(sets), np.array([len(s) for s in sets], np.int64))
+    for a, b in zip(*[x.tolist() for x in tree.pairs(forest.labels(), percent)]):
+        if forest.find(a) != forest.find(b) and linked(sets[a], sets[b], percent):
+            forest.join(a, b)
     labels = np.empty(n, np.int64)
     labels[order] = order[forest.labels()]
     return labels
 
 
+def candidate_pairs(groups: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs (a, b) of (grp, sub, part, node, size, bits, comp) rows that the trees of their group leave.
+
+    Where both parts 0 and 1 occur in a sub-group, pairs within a part are found in another one.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        size, part = table.column("size").to_numpy(), table.column("part").to_numpy()
+        node, comp = table.column("node").to_numpy(), table.column("comp").to_numpy()
+        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(size), -1)
+        order = np.lexsort((bits[:, 0], size))
+        size, part, node, comp, bits = size[order], part[order], node[order], comp[order], bits[order]
+        labels = np.unique(comp, return_inverse=True)[1]
+        i, j = SignatureTree(bits, size).pairs(labels, percent)
+        ok = (part[i] != part[j]) | (part.min() == part.max())
+        a, b = node[i[ok]], node[j[ok]]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return groups.groupBy("grp", "sub").applyInArrow(run, "a bigint, b bigint").distinct()
+
+
 def join_groups(groups: DataFrame, reps: DataFrame, docs: DataFrame, percent: int = PERCENT, n: int = N) -> DataFrame:
-    """Edges (a, b) within groups of (grp, sub, part, node) rows; texts are fetched by the nodes' documents."""
+    """Edges (a, b) within groups of (grp, sub, node) rows; texts are fetched by the nodes' documents."""
     # groups of one node have nothing to compare; ids are joined first, so texts move to their document and to their group only
     full = groups.groupBy("grp", "sub").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("grp", "sub")
     named = groups.join(full, ["grp", "sub"]).join(reps.select("node", "doc_id", "h2"), "node")
-    rows = named.join(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), "doc_id").select("grp", "sub", "part", "node", "h2", "text")
+    rows = named.join(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), "doc_id").select("grp", "sub", "node", "h2", "text")
 
     def run(table: pa.Table) -> pa.Table:
-        nodes, parts, sets, seen = [], [], [], set()
+        nodes, sets, seen = [], [], set()
         found = [s for b in row_slices(table.to_batches(), "text", SLICE_BYTES) for s in shingle_sets(b.column("text").to_pylist(), n)]
-        for node, h2, part, s in zip(*[table.column(c).to_pylist() for c in ("node", "h2", "part")], found):
-            if (node, part) not in seen and len(s) and _set_hash(s) == (node, h2):  # an id may stand for several texts
-                seen.add((node, part))
+        for node, h2, s in zip(table.column("node").to_pylist(), table.column("h2").to_pylist(), found):
+            if node not in seen and len(s) and _set_hash(s) == (node, h2):  # an id may stand for several texts
+                seen.add(node)
                 nodes.append(node)
-                parts.append(part)
                 sets.append(s)
         if len(sets) < 2:
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        labels = join_group(sets, np.array(parts), percent)
+        labels = join_group(sets, percent)
         nodes = np.array(nodes, np.int64)
         at = np.flatnonzero(labels != np.arange(len(labels)))
         return pa.table({"a": nodes[at], "b": nodes[labels[at]]})
@@ -305,7 +329,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, n: int = N, max_
     base = made.where("block is null")
     classes = token_classes(made.where("block is not null"))
     whole = base.where("doc_id is not null and size > 0")
-    reps = stored(whole.groupBy(F.col("h1").alias("node"), "h2").agg(F.min("doc_id").alias("doc_id")), "reps")
+    reps = stored(whole.groupBy(F.col("h1").alias("node"), "h2").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("bits").alias("bits")), "reps")
     tokens = prefix_tokens(docs.where("doc_id is not null"), classes, percent, n)
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi")
     held = stored(tokens.join(shared.select("token", "n", "lo"), "token").distinct(), "prefixes")
@@ -314,10 +338,10 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, n: int = N, max_
     popular = held.groupBy("node").agg(F.max(F.struct("n", "token", "lo")).alias("p")).select("node", "p.*")
     popular = popular.withColumn("parts", F.ceil(F.col("n") / max_group).cast("int"))
     first = popular.select("node", F.col("token").alias("grp"), "lo", "parts",
-                           F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("sub"), F.lit(0).alias("part"))
+                           F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("sub"))
     first = stored(first, "first-groups")
-    leaders = first.where("parts > 1").groupBy("grp", "sub").agg(F.min("lo").alias("node")).select("grp", "sub", F.lit(0).alias("part"), "node")
-    edges = stored(join_groups(first.select("grp", "sub", "part", "node").union(leaders).distinct(), reps, docs, percent, n), "edges")
+    leaders = first.where("parts > 1").groupBy("grp", "sub").agg(F.min("lo").alias("node")).select("grp", "sub", "node")
+    edges = stored(join_groups(first.select("grp", "sub", "node").union(leaders).distinct(), reps, docs, percent, n), "edges")
     comp = connected_components(edges)
 
     # second step: tokens whose nodes have not all met
@@ -335,7 +359,13 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, n: int = N, max_
     second = second.withColumn("p", mine).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     second = second.select(F.col("token").alias("grp"), (F.least("p", "q") * F.col("parts") + F.greatest("p", "q")).alias("sub"),
                            F.when(F.col("p") > F.col("q"), 1).otherwise(0).alias("part"), "node")
-    more = stored(join_groups(second, reps, docs, percent, n), "edges")
+    second = second.join(reps.select("node", "size", "bits"), "node").join(known.select("node", "comp"), "node")
+    pairs = stored(candidate_pairs(second, percent), "pairs")
+    # texts move for the pairs that the trees leave: each first node with its partners, in parts of bounded size
+    busy = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / max_group).cast("int").alias("parts"))
+    stars = pairs.join(busy, "a").select(F.col("a").alias("grp"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("sub"), F.array("a", "b").alias("ab"))
+    stars = stars.select("grp", "sub", F.explode("ab").alias("node")).distinct()
+    more = stored(join_groups(stars, reps, docs, percent, n), "edges")
     comp = connected_components(edges.union(more))
 
     of_set = reps.select("node", "h2", "doc_id").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
