@@ -154,10 +154,11 @@ def rolling(
     def frame(w: int):
         return Window.partitionBy(*keys, "_sl").orderBy(sec).rangeBetween(-w, -1)
 
-    # deviations are taken around a value of the slice, so large means do not cancel them
+    # deviations are taken around the slice's first value, so large means do not cancel them and later rows have no say
     for p, ks in kinds.items():
         if "std" in ks:
-            gap = F.col(f"{p}m") - F.avg(f"{p}m").over(Window.partitionBy(*keys, "_sl"))
+            upto = Window.partitionBy(*keys, "_sl").orderBy(sec).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            gap = F.col(f"{p}m") - F.first(f"{p}m", ignorenulls=True).over(upto)
             copies = copies.withColumn(f"{p}d", gap).withColumns({
                 f"{p}s1": F.col(f"{p}n") * F.col(f"{p}d"), f"{p}s2": F.col(f"{p}v") + F.col(f"{p}n") * F.col(f"{p}d") * F.col(f"{p}d")})
 
