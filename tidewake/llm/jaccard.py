@@ -42,7 +42,7 @@ BLOCK_CELLS = 1 << 14
 BITMAP = 2048
 FAN = 8
 MAX_GROUP = 1000
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -69,7 +69,7 @@ def word_hashes(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     blank = _BLANK[data]
     before = np.concatenate([[True], blank[:-1]])
     start, end = np.flatnonzero(before & ~blank), np.flatnonzero(~before & blank)
-    power, inverse = _powers(max(4 << 20, 1 << len(data).bit_length()))
+    power, inverse = _powers(max(2 << 20, 1 << len(data).bit_length()))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * power[: len(data)])])
     h = mix64((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
     edges = np.cumsum([len(r) + 1 for r in raw])

@@ -30,7 +30,7 @@ from .sentencepiece import _with
 TOP = 300
 MAX_N = 3
 MAX_LANGUAGES = 2000
-WORDS_KEPT = 150_000
+WORDS_KEPT = 80_000
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 _kept: dict[str, np.ndarray] = {}

@@ -35,7 +35,7 @@ from .common import in_batches, row_slices
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 MODEL = os.environ.get("TIDEWAKE_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
-WORDS_KEPT = 450_000  #: words in a task's table; a full table is begun anew
+WORDS_KEPT = 160_000  #: words in a task's table; a full table is begun anew
 _NEVER = -float("inf")
 LONG_WORD = 64  #: longer words are not kept
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
