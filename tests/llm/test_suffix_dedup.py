@@ -70,3 +70,31 @@ def test_repeated_rows_keep_alike_and_cut_characters(documents):
     want = brute([(1, t), (2, "x" + t)])
     assert {(d, n) for d, n, _ in by} == {(1, want[1][1]), (2, want[2][1])} and len(got) == 3
     assert suffix_dedup.remove_repeats(documents([])).count() == 0
+
+
+def by_text(df):
+    return {(r["doc_id"], r["text"]): (r["n_bytes"], r["n_removed"], len(r["removed"]), r["kept_sha256"]) for r in df.collect()}
+
+
+def test_texts_that_share_an_id_lose_only_their_own_repeats(documents):
+    """Null ids, shared ids and the largest id: a repeat in one text cuts nothing from another."""
+    rnd, ascii = random.Random(9), "abcdefghij"
+    s = text(rnd, 250, ascii)
+    alone = [text(rnd, n, ascii) for n in (700, 650, 600, 550)]
+    for d in (None, 7, (1 << 63) - 1):
+        rows = [(1, s), (d, text(rnd, 30, ascii) + s + text(rnd, 40, ascii)), *[(d, a) for a in alone], (d, alone[0])]
+        got = by_text(suffix_dedup.remove_repeats(documents(rows)))
+        want = brute(rows[:2])
+        assert got[rows[1]] == want[d] and want[d][1] == 250
+        assert all(got[d, a][1:3] == (0, 0) for a in alone), d
+
+
+def test_null_comes_after_the_largest_id_and_one_text_of_a_shared_id_stays(documents):
+    rnd = random.Random(10)
+    s, last = text(rnd, 300, "abcdefghij"), (1 << 63) - 1
+    got = by_text(suffix_dedup.remove_repeats(documents([(None, s), (last, s)])))
+    assert got[last, s][1] == 0 and got[None, s][1] == 300
+    for d in (None, 5):
+        texts = [text(rnd, 40, "kl") + s + text(rnd, 20, "mn") for _ in range(8)]
+        got = by_text(suffix_dedup.remove_repeats(documents([(d, t) for t in texts] * 2)))
+        assert sorted(n and min(n, 300) for _, n, _, _ in got.values()) == [0] + [300] * 7  # neighbours may agree by chance

@@ -22,8 +22,9 @@ them holds a row per byte.  Rows that are later than an equal run of the same ba
 of copies or a passage that a third of all documents hold is thin when its rank is sorted; counts are combined before the
 shuffle and the joins on ranks can be split by adaptive execution.  Rounds are written to the shared folder.
 
-A null text is empty.  A null id comes after all others.  Rows that share an id are taken for repeated rows of one document:
-each keeps and loses the same bytes.  Texts of any length are used whole; texts shorter than ``LENGTH`` lose nothing.
+A null text is empty.  A null id comes after all others.  A document is a distinct (id, text): rows that share both are repeated
+rows of it, and each keeps and loses the same bytes.  Texts that share an id, or have none, are documents of their own, in the order
+of a hash of the text; the key of a document is its id and that hash (127 bits).  Texts of any length are used whole; texts shorter than ``LENGTH`` lose nothing.
 Empty tables and further columns are allowed; columns of the same names as those added are replaced.
 """
 
@@ -34,7 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .common import in_batches, mix64, row_slices, stored
 from .sentencepiece import _with
@@ -45,7 +46,16 @@ SLICE_BYTES = 1 << 20
 LAST = (1 << 63) - 1
 _BASE = 0x9E3779B97F4A7C15
 _BYTE = np.random.default_rng(6).integers(0, 1 << 64, 256, dtype=np.uint64)
-_RUNS = "core bigint, full bigint, doc bigint, pos int, n int, off int, done boolean"
+KEY = ["doc", "h1", "h2"]
+_RUNS = "core bigint, full bigint, doc bigint, h1 bigint, h2 bigint, pos int, n int, off int, done boolean"
+
+
+def document_key(key: str, text: str) -> list[Column]:
+    """doc, h1, h2: documents are ordered by them; the sign of h1 puts a null id after the largest one."""
+    none = F.col(key).cast("bigint").isNull()
+    h1 = F.xxhash64(text)
+    return [F.coalesce(F.col(key).cast("bigint"), F.lit(LAST)), F.when(none, h1.bitwiseAND(F.lit(LAST))).otherwise(h1.bitwiseOR(F.lit(-LAST - 1))),
+            F.xxhash64(F.lit(6), text)]
 
 
 def _power(n: int) -> np.uint64:
@@ -105,8 +115,8 @@ def _joined(texts: list[str | None]):
     return np.frombuffer(b"".join(raw), np.uint8), sizes, starts
 
 
-def first_runs(texts: list[str | None], docs: np.ndarray):
-    """Runs of strings with one representative: core, full, doc, pos, n, off arrays."""
+def first_runs(texts: list[str | None]):
+    """Runs of strings with one representative: core, full, row, pos, n, off arrays."""
     data, sizes, starts = _joined(texts)
     n = len(data) - LENGTH + 1
     if n <= 0:
@@ -136,29 +146,34 @@ def first_runs(texts: list[str | None], docs: np.ndarray):
     first, last, anchor = p[head], p[tail], r[head]
     mine = row[first]
     full = _stretch(ranks(LENGTH), first, last, anchor - first)
-    return (_signed(k[anchor]), _signed(full), docs[mine], (first - starts[mine]).astype(np.int32), (last - first + 1).astype(np.int32),
+    return (_signed(k[anchor]), _signed(full), mine, (first - starts[mine]).astype(np.int32), (last - first + 1).astype(np.int32),
             (anchor - first).astype(np.int32))
 
 
-def _run_batch(arrays) -> pa.RecordBatch:
-    core, full, doc, pos, n, off = arrays
-    done = _later(core, full, doc, pos)
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (core, full, doc, pos, n, off, done)], names=["core", "full", "doc", "pos", "n", "off", "done"])
+def _run_batch(b: pa.RecordBatch, core, full, row, pos, n, off) -> pa.RecordBatch:
+    """Runs of the rows of ``b`` under the keys of their documents."""
+    key = [b.column(c).to_numpy() for c in KEY]
+    by = np.lexsort(key[::-1])
+    place = np.zeros(len(by), np.int64)  # rows of one document have one place
+    place[by[1:]] = np.cumsum(np.any([k[by[1:]] != k[by[:-1]] for k in key], axis=0))
+    done = _later(core, full, place[row], pos)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (core, full, *[k[row] for k in key], pos, n, off, done)],
+                                      names=["core", "full", *KEY, "pos", "n", "off", "done"])
 
 
 def list_first_runs(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in row_slices(batches, "text", SLICE_BYTES):
-            got = first_runs(b.column("text").to_pylist(), b.column("doc").to_numpy())
+            got = first_runs(b.column("text").to_pylist())
             if got:
-                yield _run_batch(got)
+                yield _run_batch(b, *got)
 
-    return in_batches(docs.select("doc", "text")).mapInArrow(run, _RUNS)
+    return in_batches(docs.select(*KEY, "text")).mapInArrow(run, _RUNS)
 
 
 def list_short_runs(docs: DataFrame, left: DataFrame) -> DataFrame:
     """Runs of at most ``STEP`` strings of the runs that are left, with the rank of each string in ``each``."""
-    per = left.groupBy("doc").agg(F.collect_list(F.struct("pos", "n", "off")).alias("runs"))  # bounded by the document's length
+    per = left.groupBy(*KEY).agg(F.collect_set(F.struct("pos", "n", "off")).alias("runs"))  # bounded by the document's length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in row_slices(batches, "text", SLICE_BYTES):
@@ -168,8 +183,6 @@ def list_short_runs(docs: DataFrame, left: DataFrame) -> DataFrame:
             flat = runs.flatten()
             pos, n, off = (flat.field(i).to_numpy().astype(np.int64) for i in range(3))
             mine = np.repeat(np.arange(len(count)), count)
-            ok = pos + n - 1 + LENGTH <= sizes[mine]  # rows of one id may differ
-            pos, n, off, mine = pos[ok], n[ok], off[ok], mine[ok]
             if not len(pos):
                 continue
             ranks = Ranks(data)
@@ -186,13 +199,12 @@ def list_short_runs(docs: DataFrame, left: DataFrame) -> DataFrame:
             first, last, own = p[head], p[tail], mine[which[head]]
             core = mix64(shared[first + away[head] - STEP * part[head]])
             full = _stretch(r100, first, last, away[head])
-            doc = b.column("doc").to_numpy()[own]
-            rows = _run_batch((_signed(core), _signed(full), doc, (first - starts[own]).astype(np.int32),
-                               (tail - head + 1).astype(np.int32), away[head].astype(np.int32)))
+            rows = _run_batch(b, _signed(core), _signed(full), own, (first - starts[own]).astype(np.int32),
+                              (tail - head + 1).astype(np.int32), away[head].astype(np.int32))
             each = pa.ListArray.from_arrays(pa.array(np.append(head, len(p)).astype(np.int32)), pa.array(_signed(r100[p])))
             yield pa.RecordBatch.from_arrays([*rows.columns, each], names=[*rows.schema.names, "each"])
 
-    return in_batches(docs.select("doc", "text").join(per, "doc")).mapInArrow(run, _RUNS + ", each array<bigint>")
+    return in_batches(docs.select(*KEY, "text").join(per, KEY)).mapInArrow(run, _RUNS + ", each array<bigint>")
 
 
 def settle(runs: DataFrame) -> DataFrame:
@@ -201,8 +213,8 @@ def settle(runs: DataFrame) -> DataFrame:
     alive = runs.join(seen, "core", "left").where("done or seen is not null").drop("seen")
     # settled rows need no rank: they are spread instead of meeting their group.  The rank has a shuffle of its own, so the join
     # above may be split where many stretches share a core
-    alive = alive.withColumn("apart", F.when(F.col("done"), F.xxhash64("doc", "pos"))).repartition("core", "full", "apart")
-    first = F.rank().over(W.partitionBy("core", "full", "apart").orderBy("doc", "pos")) == 1
+    alive = alive.withColumn("apart", F.when(F.col("done"), F.xxhash64(*KEY, "pos"))).repartition("core", "full", "apart")
+    first = F.rank().over(W.partitionBy("core", "full", "apart").orderBy(*KEY, "pos")) == 1
     ranked = alive.withColumn("gone", F.col("done") | ~first)
     return stored(ranked.drop("done", "apart"), "runs")
 
@@ -215,14 +227,14 @@ def still_open(ranked: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc, pos, n): strings pos .. pos + n - 1 of a document that start earlier elsewhere."""
+    """(doc, h1, h2, pos, n): strings pos .. pos + n - 1 of a document that start earlier elsewhere."""
     one = settle(list_first_runs(docs))
-    two = settle(list_short_runs(docs, stored(still_open(one).select("doc", "pos", "n", "off"), "open-runs")))
-    single = still_open(two).select("core", "doc", "pos", F.posexplode("each").alias("i", "full"))
-    single = single.select("core", "full", "doc", (F.col("pos") + F.col("i")).cast("int").alias("pos"), F.lit(1).alias("n"),
+    two = settle(list_short_runs(docs, stored(still_open(one).select(*KEY, "pos", "n", "off"), "open-runs")))
+    single = still_open(two).select("core", *KEY, "pos", F.posexplode("each").alias("i", "full"))
+    single = single.select("core", "full", *KEY, (F.col("pos") + F.col("i")).cast("int").alias("pos"), F.lit(1).alias("n"),
                            F.lit(0).alias("off"), F.lit(False).alias("done"))
     three = settle(single)
-    gone = [x.where("gone").select("doc", "pos", "n") for x in (one, two, three)]
+    gone = [x.where("gone").select(*KEY, "pos", "n") for x in (one, two, three)]
     return gone[0].union(gone[1]).union(gone[2])
 
 
@@ -233,10 +245,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             "kept": "binary", "kept_text": "string",
             "kept_sha256": "string"}
     keep = [c for c in docs.columns if c not in made]
-    doc = F.coalesce(F.col(key).cast("bigint"), F.lit(LAST))
-    spans = repeated_spans(docs.select(doc.alias("doc"), F.col(text).alias("text")))
-    per = spans.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list(F.struct("pos", "n")).alias("_spans"))
-    rows = docs.select(*keep).withColumn("_doc", doc).join(per, "_doc", "left").drop("_doc")
+    names = [f"_{c}" for c in KEY]
+    spans = repeated_spans(docs.select(*[k.alias(c) for k, c in zip(document_key(key, text), KEY)], F.col(text).alias("text")))
+    per = spans.groupBy(*[F.col(c).alias(x) for c, x in zip(KEY, names)]).agg(F.collect_set(F.struct("pos", "n")).alias("_spans"))
+    rows = docs.select(*keep, *[k.alias(x) for k, x in zip(document_key(key, text), names)]).join(per, names, "left").drop(*names)
     kind = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))
 
     def cut(t: str | None, spans):
