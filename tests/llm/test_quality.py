@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from tidewake.llm import quality
@@ -64,3 +65,29 @@ def test_edges(spark, documents):
     got = quality.score_quality(docs, None).collect()
     assert len(got) == 6 and {(r["doc_id"], r["kept"]) for r in got} == {(1, False), (2, False), (3, False), (4, True), (4, False), (None, False)}
     assert quality.score_quality(documents([]), None).count() == 0
+
+
+def test_grams_of_all_lengths_and_memory_of_long_texts(monkeypatch):
+    """Words, word pairs and 2- to 4-grams are all counted, alike for any run length, in bounded memory."""
+    import tracemalloc
+
+    rnd = random.Random(3)
+    weights = np.random.default_rng(3).normal(size=quality.DIMENSIONS)
+    texts = ["", " ", "a", "ab", "abc", "a b", *["".join(rnd.choice("abé \n\U0001f600") for _ in range(n)) for n in (15, 16, 17, 18, 19, 20, 33, 500)]]
+    whole = [(quality.gram_counts(t, WORDS.findall(t)), quality.mean_weight(weights, t, WORDS.findall(t))) for t in texts]
+    for t, ((at, n), _) in zip(texts, whole):
+        w, c = len(WORDS.findall(t)), len(t)
+        assert n.sum() == (w + w - 1 + sum(max(0, c - k) for k in (1, 2, 3)) if w else 0), t
+    monkeypatch.setattr(quality, "RUN", 16)
+    for t, ((at, n), m) in zip(texts, whole):
+        got = quality.gram_counts(t, WORDS.findall(t))
+        assert list(got[0]) == list(at) and list(got[1]) == list(n), t
+        assert quality.mean_weight(weights, t, WORDS.findall(t)) == pytest.approx(m)
+    monkeypatch.undo()
+    long = "ab cd " * 500_000
+    words = WORDS.findall(long)
+    tracemalloc.start()
+    quality.gram_counts(long, words), quality.mean_weight(weights, long, words)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 << 20

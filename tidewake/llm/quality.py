@@ -1,7 +1,8 @@
 """Operator 5: quality rules and a hashed n-gram logistic regression.
 
-Base rules are counts over the words, characters and lines of a whole text.  The model sees words, word pairs and character 2- and
-3-grams hashed into ``DIMENSIONS`` buckets, as shares of a text's n-grams.  It is fitted by MLlib on labelled quality rows and
+Base rules are counts over the words, characters and lines of a whole text.  The model sees words, word pairs and character 2- to
+4-grams hashed into ``DIMENSIONS`` buckets, as shares of a text's n-grams; n-grams are hashed and counted in overlapping runs, so a
+long text needs no more memory than a run.  It is fitted by MLlib on labelled quality rows and
 calibrated (Platt: a logistic regression of the label on the margin) on labelled rows that were not used to fit.  All texts are
 scored in Arrow batches; a text is kept if it passes the base rules and its calibrated probability is at least ``keep_at``.
 
@@ -31,8 +32,9 @@ from .sentencepiece import _with
 
 BITS = 16
 DIMENSIONS = 1 << BITS
-MAX_TRAIN = 4000
+MAX_TRAIN = 6000
 SCALE = 100.0
+RUN = 1 << 16
 TRAIN_PARTS = 8
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -82,17 +84,45 @@ def _bucket(h: np.ndarray) -> np.ndarray:
     return ((h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - BITS)
 
 
-def hashed_grams(text: str | None, words: list[str]) -> np.ndarray:
-    """Buckets of all n-grams of a text, repeats included."""
+def gram_runs(text: str | None, words: list[str]) -> Iterator[np.ndarray]:
+    """Buckets of all n-grams of a text, repeats included, from runs of ``RUN`` words or characters and what an n-gram reaches beyond."""
     if not words:
-        return np.zeros(0, np.uint64)
-    w = np.fromiter(map(_word_hash, words), np.uint64, len(words))
-    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    two = c[:-1] << np.uint64(21) | c[1:]
-    three = two[:-1] << np.uint64(21) | c[2:]
+        return
     one = np.uint64(1)
-    return _bucket(np.concatenate([w * np.uint64(4) + one, (w[:-1] << np.uint64(32) | w[1:]) * np.uint64(5) + one, two * np.uint64(6) + one,
-                                   three * np.uint64(7) + one]))
+    for at in range(0, len(words), RUN):
+        part = words[at : at + RUN + 1]
+        w = np.fromiter(map(_word_hash, part), np.uint64, len(part))
+        yield _bucket(w[:RUN] * np.uint64(4) + one)
+        yield _bucket((w[:-1] << np.uint64(32) | w[1:]) * np.uint64(5) + one)
+    for at in range(0, len(text), RUN):
+        c = np.frombuffer(text[at : at + RUN + 3].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        two = c[:-1] << np.uint64(21) | c[1:]
+        three = two[:-1] << np.uint64(21) | c[2:]
+        four = three[:-1] * np.uint64(0x100000001B3) + c[3:]
+        yield _bucket(two[:RUN] * np.uint64(6) + one)
+        yield _bucket(three[:RUN] * np.uint64(7) + one)
+        yield _bucket(four * np.uint64(9) + one)
+
+
+def gram_counts(text: str | None, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of a text's n-grams in order, and how often each occurs."""
+    runs = gram_runs(text, words)
+    if len(text or "") <= RUN:
+        grams = list(runs)
+        return np.unique(np.concatenate(grams), return_counts=True) if grams else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    total = np.zeros(DIMENSIONS, np.int64)
+    for grams in runs:
+        total += np.bincount(grams.astype(np.int64), minlength=DIMENSIONS)
+    at = np.flatnonzero(total)
+    return at, total[at]
+
+
+def mean_weight(weights: np.ndarray, text: str | None, words: list[str]) -> float:
+    """Mean weight of a text's n-grams."""
+    total, n = 0.0, 0
+    for grams in gram_runs(text, words):
+        total, n = total + float(weights[grams].sum()), n + len(grams)
+    return total / max(1, n)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train: int = MAX_TRAIN) -> DataFrame:
@@ -108,9 +138,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str = "quality", ma
         for b in row_slices(batches, "text"):
             out = []
             for t in b.column("text").to_pylist():
-                grams = hashed_grams(t, WORDS.findall(t or ""))
-                at, n = np.unique(grams, return_counts=True)
-                out.append((at.astype(np.int32), n * (SCALE / max(1, len(grams)))))
+                at, n = gram_counts(t, WORDS.findall(t or ""))
+                out.append((at.astype(np.int32), n * (SCALE / max(1, n.sum()))))
             yield pa.RecordBatch.from_arrays(
                 [b.column("label"), b.column("calibrate"), pa.array([x[0] for x in out], pa.list_(pa.int32())),
                  pa.array([x[1] for x in out], pa.list_(pa.float64()))], names=["label", "calibrate", "buckets", "shares"])
@@ -156,8 +185,7 @@ def score_quality(docs: DataFrame, model, text: str = "text", keep_at: float = K
                 if model is None:
                     margins.append(None)
                 else:
-                    at = hashed_grams(t, words)
-                    margins.append(model[1] + SCALE * float(model[0][at].sum()) / max(1, len(at)))
+                    margins.append(model[1] + SCALE * mean_weight(model[0], t, words))
             made = [pa.array(c, pa.bool_() if i == 5 else pa.int64()) for i, c in enumerate(zip(*counts))] if counts else [
                 pa.array([], pa.bool_() if i == 5 else pa.int64()) for i in range(6)]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], *made, pa.array(margins, pa.float64())], names=[*keep, *_COLUMNS])
