@@ -19,16 +19,23 @@ from .trades import TRADES_SQL, r, trades
 FEATS = ["log_chars", "word_share", "digit_share", "mark_share", "mean_word"]
 
 
-def doc_features(t):
-    """Labelled documents with five numeric features of their text."""
-    d = t.documents.join(t.labels, "doc_id")
+def text_features(d):
     ln = F.greatest(F.length("text"), F.lit(1))
     words = F.greatest(F.size(F.split("text", r"\s+")), F.lit(1))
-    d = d.select(
-        "doc_id", "lang", "source", "quality", "toxic", F.log1p(ln).alias("log_chars"), (words / ln).alias("word_share"),
+    return d.withColumn("text", F.coalesce("text", F.lit(""))).select(
+        *[c for c in ("doc_id", "lang", "source", "quality", "toxic") if c in d.columns], F.log1p(ln).alias("log_chars"), (words / ln).alias("word_share"),
         (F.regexp_count("text", F.lit("[0-9]")) / ln).alias("digit_share"), (F.regexp_count("text", F.lit("[^A-Za-z0-9 ]")) / ln).alias("mark_share"),
         (ln / words).alias("mean_word"))
-    return compact(sm.stratified_kfold(d, "quality", "doc_id", 3))
+
+
+def doc_features(t):
+    """All documents with five numeric features of their text; folds are dealt by a hash of the id."""
+    return compact(text_features(t.documents).withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(3)).cast("int")))
+
+
+def labelled_features(t):
+    """The labelled documents among them, for queries whose target is a label; folds are stratified by quality."""
+    return compact(sm.stratified_kfold(text_features(t.documents.join(t.labels, "doc_id")), "quality", "doc_id", 3))
 
 
 def compact(df, rows_per_task=100_000):
@@ -37,8 +44,8 @@ def compact(df, rows_per_task=100_000):
     return df.coalesce(max(1, -(-df.count() // rows_per_task)))
 
 
-def split(t):
-    d = doc_features(t)
+def split(t, features=doc_features):
+    d = features(t)
     return d.where("fold <> 0"), d.where("fold = 0")
 
 
@@ -143,7 +150,7 @@ def _(t):
 def classifier_query(name, fit):
     @query(name)
     def _(t):
-        tr, te = split(t)
+        tr, te = split(t, labelled_features)
         return m.score(fit(tr), te, ["doc_id", "quality"])
 
 
@@ -166,12 +173,12 @@ def _(t):
 
 @query("T13b_tree_rules")
 def _(t):
-    return m.tree_rules(t.spark, m.fit_tree(split(t)[0], FEATS, "quality", 4, 5), FEATS)
+    return m.tree_rules(t.spark, m.fit_tree(split(t, labelled_features)[0], FEATS, "quality", 4, 5), FEATS)
 
 
 @query("T14b_forest_importance")
 def _(t):
-    return r(m.importances(t.spark, m.fit_forest(split(t)[0], FEATS, "quality", 20, 6), FEATS), "importance")
+    return r(m.importances(t.spark, m.fit_forest(split(t, labelled_features)[0], FEATS, "quality", 20, 6), FEATS), "importance")
 
 
 @query("T14c_forest_regression")
@@ -284,7 +291,7 @@ def _(t):
 
 
 def oof(t):
-    d = doc_features(t)
+    d = labelled_features(t)
     return m.oof_predictions(d, lambda x: m.fit_logistic(x, FEATS, "quality", 0.01, iters=15), "fold", 3, ["doc_id", "quality", "fold"])
 
 
@@ -303,7 +310,7 @@ def _(t):
 
 @query("T31_oof_stack")
 def _(t):
-    d = doc_features(t)
+    d = labelled_features(t)
     a = m.oof_predictions(d, lambda x: m.fit_logistic(x, FEATS, "quality", 0.01, iters=15), "fold", 3, ["doc_id", "quality"]).withColumnRenamed("p", "p_logit").drop("prediction")
     b = m.oof_predictions(d, lambda x: m.fit_forest(x, FEATS, "quality", 10, 4), "fold", 3, ["doc_id"]).withColumnRenamed("p", "p_forest").drop("prediction")
     z = compact(a.join(b, "doc_id"))
@@ -312,7 +319,7 @@ def _(t):
 
 @query("T32_grid_search")
 def _(t):
-    d = doc_features(t)
+    d = labelled_features(t)
     folds = [(F.col("fold") != i, F.col("fold") == i) for i in range(2)]
     got = m.grid_search(d, lambda x, reg, l1: m.fit_logistic(x, FEATS, "quality", reg, l1, iters=8), [{"reg": a, "l1": b} for a in (0.001, 0.1) for b in (0.0, 1.0)], folds, "quality")
     return r(t.spark.createDataFrame([(g["reg"], g["l1"], float(a)) for g, a in got], "reg double, l1 double, auc double"), "auc")
@@ -320,7 +327,7 @@ def _(t):
 
 @query("T33_permutation_importance")
 def _(t):
-    tr, te = split(t)
+    tr, te = split(t, labelled_features)
     return r(m.permutation_importance(m.fit_logistic(tr, FEATS, "quality", 0.01), te, FEATS[:3], "quality", "doc_id", 1), "importance", "std")
 
 
