@@ -10,7 +10,7 @@ import corpus_pipeline
 from tidewake.llm.common import stored
 
 SF = "/root/testdata/sf0.001"
-NUMBERS = range(1, 11)
+NUMBERS = range(1, 14)
 
 
 def test_all_are_registered():

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bitcodes, jaccard, langid, licences, mixing, quality, sentencepiece, suffix_dedup, url_filter, warc
+from . import bitcodes, decontaminate, hard_negatives, jaccard, langid, lexical, licences, mixing, quality, sentencepiece, suffix_dedup, url_filter, warc
 from .registry import ORACLES, QUERIES, query
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -111,3 +111,61 @@ def op9_jaccard_join(spark, sf_dir):
 def op6_suffix_dedup(spark, sf_dir):
     cut = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cut.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("bigint").alias("n_spans"), "kept_sha256")
+
+
+SQL_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+SQL_TERM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # of a text in lower case
+
+
+@query("op11_lexical_search", f"""
+with d as (select row_number() over () as rid, doc_id, regexp_extract_all({SQL_LOWER}, '{SQL_TERM}') as t from documents),
+n as (select rid, doc_id, len(t)::bigint as n from d where len(t) > 0),
+whole as (select count(*)::bigint as docs, sum(n)::bigint as terms from n),
+q as (select distinct item_id, unnest(regexp_extract_all({SQL_LOWER}, '{SQL_TERM}')) as term from benchmark where item_id is not null),
+c as (select rid, term, count(*)::bigint as tf from (select rid, unnest(t) as term from d) where term in (select term from q) group by rid, term),
+w as (select term, floor(1000 * ln((2 * docs + 2)::double / (2 * df + 1)::double))::bigint as w from (select term, count(*) as df from c group by term), whole),
+s as (select item_id, rid, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms))))::bigint as score
+  from q join c using (term) join w using (term) join n using (rid), whole where doc_id is not null group by item_id, rid, doc_id),
+r as (select *, row_number() over (partition by item_id order by score desc, doc_id)::int as rank from s where score > 0)
+select item_id, rank, doc_id, score from r where rank <= 10
+""")
+def op11_lexical_search(spark, sf_dir):
+    return lexical.lexical_search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_hard_negatives", """
+with v as (select distinct vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+  [floor(256 * x::double)::bigint for x in embedding] as e from embeddings where vec_id is not null and label is not null and embedding is not null
+  and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+p as (select a.vec_id as anchor_id, a.label as al, c.vec_id, c.label, list_sum([x[1] * x[2] for x in list_zip(a.e, c.e)])::bigint as score
+  from v a join v c on a.vec_id <> c.vec_id and len(a.e) = len(c.e) where a.vec_id % 50 = 0),
+pos as (select *, row_number() over (partition by anchor_id order by score desc, vec_id) as r from p where label = al),
+neg as (select pos.anchor_id, pos.vec_id as positive_id, p.vec_id as negative_id, pos.score as positive_score, p.score as negative_score,
+  row_number() over (partition by pos.anchor_id, pos.vec_id order by p.score desc, p.vec_id)::int as rank
+  from pos join p on pos.anchor_id = p.anchor_id and p.label <> p.al and 50 * pos.score <= 100 * p.score and 100 * p.score <= 95 * pos.score where r <= 5)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from neg where rank <= 3
+""")
+def op12_hard_negatives(spark, sf_dir):
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine_hard_negatives(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, moved)
+
+
+@query("op13_decontaminate", f"""
+with d as (select row_number() over () as rid, doc_id, coalesce(regexp_extract_all({SQL_LOWER}, '{SQL_TERM}'), []) as t from documents),
+i as (select item_id, regexp_extract_all({SQL_LOWER}, '{SQL_TERM}') as t from benchmark where item_id is not null),
+w as (select distinct item_id, least(10, len(t)) as n, array_to_string(t[s : s + least(10, len(t)) - 1], ' ') as seq
+  from (select item_id, t, unnest(range(1, len(t) - least(10, len(t)) + 2)) as s from i where len(t) > 0)),
+p as (select rid, s, n, array_to_string(t[s : s + n - 1], ' ') as seq from (select rid, t, n, unnest(range(1, len(t) - n + 2)) as s
+  from d, (select distinct n from w))),
+m as (select rid, s, n, item_id from p join w using (n, seq)),
+hit as (select rid, count(distinct x)::bigint as n_hit from (select rid, unnest(range(s, s + n)) as x from m) group by rid),
+its as (select rid, count(*)::bigint as n_items, string_agg(item_id::varchar, ',' order by item_id::varchar) as items
+  from (select distinct rid, item_id from m) group by rid)
+select doc_id, len(t)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(items, '')) as items_sha256, n_hit is not null as contaminated from d left join hit using (rid) left join its using (rid)
+""")
+def op13_decontaminate(spark, sf_dir):
+    found = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    names = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(names, 256).alias("items_sha256"),
+                        (F.col("n_hit") > 0).alias("contaminated"))
