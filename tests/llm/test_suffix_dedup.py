@@ -98,3 +98,10 @@ def test_null_comes_after_the_largest_id_and_one_text_of_a_shared_id_stays(docum
         texts = [text(rnd, 40, "kl") + s + text(rnd, 20, "mn") for _ in range(8)]
         got = by_text(suffix_dedup.remove_repeats(documents([(d, t) for t in texts] * 2)))
         assert sorted(n and min(n, 300) for _, n, _, _ in got.values()) == [0] + [300] * 7  # neighbours may agree by chance
+
+
+def test_columns_of_any_name_are_kept(documents):
+    docs = documents([(1, "z" * 300), (2, "z" * 300)])
+    wide = docs.selectExpr("*", "'a' as _doc", "'b' as _spans", "'c' as _h1", "'d' as runs").collect()
+    got = suffix_dedup.remove_repeats(docs.selectExpr("*", "'a' as _doc", "'b' as _spans", "'c' as _h1", "'d' as runs")).collect()
+    assert len(got) == len(wide) and all((r["_doc"], r["_spans"], r["_h1"], r["runs"]) == ("a", "b", "c", "d") for r in got)

@@ -1,3 +1,4 @@
+from tidewake.llm import url_filter
 from tidewake.llm import url_filter as uf
 
 
@@ -59,3 +60,10 @@ def test_deep_paths_and_empty(spark):
 def test_native_plan(spark):
     plan = uf.judge_urls(pages(spark, ["http://a.com/1"]))._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "Cartesian", "NestedLoop"))
+
+
+def test_columns_of_any_name_are_kept(spark):
+    names = ["host", "template", "branch", "purity", "_r", "_ruled", "_ruled_", "n", "labelled", "blocked"]
+    pages = spark.createDataFrame([(1, "http://a.net/x"), (2, "http://b.org/y/1")], "page_id bigint, url string")
+    got = url_filter.judge_urls(pages.selectExpr("*", *[f"'{n}' as {n}" for n in names])).orderBy("page_id").collect()
+    assert [(r["host"], r["verdict"], r["_r"], r["_ruled"], r["n"]) for r in got] == [("a.net", "block", "_r", "_ruled", "n"), ("b.org", "allow", "_r", "_ruled", "n")]

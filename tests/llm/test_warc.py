@@ -1,5 +1,6 @@
 import gzip
 import hashlib
+import time
 
 from pyspark.sql import functions as F
 
@@ -57,3 +58,17 @@ def test_archives_are_gzip_members_and_roll_over(spark):
 
 def test_empty(spark):
     assert warc.archive_round_trip(pages(spark, [])).count() == 0
+
+
+def test_large_payloads_are_hashed_once(spark):
+    """The digest stands below the explode in the plan, and 40 MB are cut in seconds."""
+    rows = warc.chunk_rows(warc.plan_records(pages(spark, [(1, "u", "x")]), "page_id", "url", "html"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    at = {word: [i for i, line in enumerate(plan) if word in line] for word in ("Generate", "sha1(")}
+    assert len(at["sha1("]) == 1 and at["sha1("][0] > at["Generate"][0]
+    big = spark.range(1).select(F.lit(1).alias("key"), F.lit("u").alias("url"), F.repeat(F.lit("0123456789abcdef"), 40 * 65536).cast("binary").alias("payload"),
+                                F.lit("response").alias("record_type"), F.lit(None).cast("string").alias("refers_to"))
+    warc.chunk_rows(big).where("last").count()
+    start = time.time()
+    assert warc.chunk_rows(big).agg(F.sum(F.octet_length("data"))).first()[0] == 40 << 20
+    assert time.time() - start < 5

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import uuid
 
@@ -61,6 +62,40 @@ def in_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def release() -> None:
+    """Gives memory that a worker has freed back to the machine: workers live on after a task and would keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
+def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """``df.mapInArrow`` over batches of a bounded size; what the task has freed is released at its end."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return in_batches(df).mapInArrow(whole, schema)
+
+
+def extended(schema, **columns: str) -> str:
+    """DDL of ``schema`` with columns added or replaced."""
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields if f.name not in columns)
+    return own + "".join(f", {k} {v}" for k, v in columns.items())
+
+
+def fresh_name(columns, name: str) -> str:
+    """``name``, made longer until no column has it."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
 def row_slices(batches, column: str, limit: int = 4 << 20):
     """Record batches cut into runs of rows whose ``column`` (text or list) has about ``limit`` bytes or items; no row is split."""
     for b in batches:

@@ -18,8 +18,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import in_batches, row_slices
-from .sentencepiece import _with
+from .common import extended, map_arrow, row_slices
 
 #: Known sentences of public licences, by identifier (fixed values).
 SENTENCES = [
@@ -161,4 +160,4 @@ def scan_licences(docs: DataFrame, text: str = "text", sentences=SENTENCES, rule
             made = [pa.array(ids, kind), pa.array(list(map(scanner.licences, ids)), kind)]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], *made], names=[*keep, "sentence_ids", "licences"])
 
-    return in_batches(docs).mapInArrow(run, _with(docs.schema, sentence_ids="array<string>", licences="array<string>"))
+    return map_arrow(docs, run, extended(docs.schema, sentence_ids="array<string>", licences="array<string>"))

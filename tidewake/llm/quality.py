@@ -27,8 +27,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame, functions as F
 
-from .common import WORDS, in_batches, row_slices, stored
-from .sentencepiece import _with
+from .common import WORDS, extended, in_batches, map_arrow, row_slices, stored
 
 BITS = 16
 DIMENSIONS = 1 << BITS
@@ -191,7 +190,7 @@ def score_quality(docs: DataFrame, model, text: str = "text", keep_at: float = K
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], *made, pa.array(margins, pa.float64())], names=[*keep, *_COLUMNS])
 
     schema = docs.select(*keep).schema
-    scored = in_batches(docs.select(*keep)).mapInArrow(run, _with(schema, **_COLUMNS))
+    scored = map_arrow(docs.select(*keep), run, extended(schema, **_COLUMNS))
     slope, shift = (model[2], model[3]) if model else (1.0, 0.0)
     p = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("margin") * slope + shift)))
     verdict = ~F.col("base_failed") & F.coalesce(F.col("probability") >= keep_at, F.lit(True))

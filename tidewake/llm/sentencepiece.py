@@ -30,7 +30,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import in_batches, row_slices
+from .common import extended, map_arrow, row_slices
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -136,11 +136,6 @@ def load_pieces(path: str) -> Pieces:
     return Pieces.from_model(path)
 
 
-def _with(schema, **columns: str) -> str:
-    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields if f.name not in columns)
-    return own + "".join(f", {k} {v}" for k, v in columns.items())
-
-
 def encode_pieces(docs: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame:
     """``docs`` with ids (array of int) and score (the segmentation's, summed)."""
     keep = [c for c in docs.columns if c not in ("ids", "score")]
@@ -155,7 +150,7 @@ def encode_pieces(docs: DataFrame, text: str = "text", model: str = MODEL) -> Da
             scores = pa.array([None if g is None else g[1] for g in got], pa.float64())
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], ids, scores], names=[*keep, "ids", "score"])
 
-    return in_batches(docs).mapInArrow(run, _with(docs.schema, ids="array<int>", score="double"))
+    return map_arrow(docs, run, extended(docs.schema, ids="array<int>", score="double"))
 
 
 def decode_pieces(encoded: DataFrame, ids: str = "ids", out: str = "decoded", model: str = MODEL) -> DataFrame:
@@ -171,4 +166,4 @@ def decode_pieces(encoded: DataFrame, ids: str = "ids", out: str = "decoded", mo
             texts = [pieces.decode(flat[a:e].tolist()) if ok else None for a, e, ok in zip([0, *ends], ends, col.is_valid().to_pylist())]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(texts, pa.string())], names=[*keep, out])
 
-    return in_batches(encoded).mapInArrow(run, _with(encoded.schema, **{out: "string"}))
+    return map_arrow(encoded, run, extended(encoded.schema, **{out: "string"}))

@@ -37,8 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import in_batches, mix64, row_slices, stored
-from .sentencepiece import _with
+from .common import extended, fresh_name, map_arrow, mix64, row_slices, stored
 
 LENGTH, K, STEP = 100, 32, 8
 SHARED = LENGTH - STEP + 1
@@ -168,7 +167,7 @@ def list_first_runs(docs: DataFrame) -> DataFrame:
             if got:
                 yield _run_batch(b, *got)
 
-    return in_batches(docs.select(*KEY, "text")).mapInArrow(run, _RUNS)
+    return map_arrow(docs.select(*KEY, "text"), run, _RUNS)
 
 
 def list_short_runs(docs: DataFrame, left: DataFrame) -> DataFrame:
@@ -204,7 +203,7 @@ def list_short_runs(docs: DataFrame, left: DataFrame) -> DataFrame:
             each = pa.ListArray.from_arrays(pa.array(np.append(head, len(p)).astype(np.int32)), pa.array(_signed(r100[p])))
             yield pa.RecordBatch.from_arrays([*rows.columns, each], names=[*rows.schema.names, "each"])
 
-    return in_batches(docs.select(*KEY, "text").join(per, KEY)).mapInArrow(run, _RUNS + ", each array<bigint>")
+    return map_arrow(docs.select(*KEY, "text").join(per, KEY), run, _RUNS + ", each array<bigint>")
 
 
 def settle(runs: DataFrame) -> DataFrame:
@@ -245,9 +244,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             "kept": "binary", "kept_text": "string",
             "kept_sha256": "string"}
     keep = [c for c in docs.columns if c not in made]
-    names = [f"_{c}" for c in KEY]
+    names = [fresh_name(docs.columns, f"_{c}") for c in KEY]
+    found = fresh_name(docs.columns, "_spans")
     spans = repeated_spans(docs.select(*[k.alias(c) for k, c in zip(document_key(key, text), KEY)], F.col(text).alias("text")))
-    per = spans.groupBy(*[F.col(c).alias(x) for c, x in zip(KEY, names)]).agg(F.collect_set(F.struct("pos", "n")).alias("_spans"))
+    per = spans.groupBy(*[F.col(c).alias(x) for c, x in zip(KEY, names)]).agg(F.collect_set(F.struct("pos", "n")).alias(found))
     rows = docs.select(*keep, *[k.alias(x) for k, x in zip(document_key(key, text), names)]).join(per, names, "left").drop(*names)
     kind = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))
 
@@ -266,9 +266,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in row_slices(batches, text):
-            got = [cut(t, s) for t, s in zip(b.column(text).to_pylist(), b.column("_spans").to_pylist())]
+            got = [cut(t, s) for t, s in zip(b.column(text).to_pylist(), b.column(found).to_pylist())]
             types = [pa.int64(), pa.int64(), kind, pa.binary(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], *[pa.array([g[i] for g in got], t) for i, t in enumerate(types)]],
                                              names=[*keep, *made])
 
-    return in_batches(rows).mapInArrow(run, _with(docs.select(*keep).schema, **made))
+    return map_arrow(rows, run, extended(docs.select(*keep).schema, **made))

@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import LOWER, UPPER, ascii_lower, stored
+from .common import LOWER, UPPER, ascii_lower, fresh_name, stored
 
 #: (verdict, host, path): fixed values of the query's contract.
 RULES = [
@@ -98,22 +98,25 @@ def path_templates(urls: DataFrame, depth: int = 4, fanout: int = 50, rare: floa
 
 def judge_urls(pages: DataFrame, url: str = "url", rules=RULES, threshold: float = 0.8, strength: float = 4.0, prior: float = 0.2,
                **tree) -> DataFrame:
-    """``pages`` with host, path, rule, template, branch, purity and verdict."""
-    u = pages.withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
-    u = u.withColumn("_r", match_rule(F.col("host"), F.col("path"), rules)).withColumn("rule", F.col("_r.rule"))
-    u = u.withColumn("_ruled", F.col("_r.verdict")).drop("_r")
+    """``pages`` with host, path, rule, template, branch, purity and verdict; columns of these names are replaced."""
+    made = ("host", "path", "rule", "template", "branch", "purity", "verdict")
+    own = [c for c in pages.columns if c not in made]
+    ruled = fresh_name(pages.columns, "_ruled")
+    u = pages.select(*own, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
+    u = u.withColumn(ruled, match_rule(F.col("host"), F.col("path"), rules))
+    u = u.withColumn("rule", F.col(f"{ruled}.rule")).withColumn(ruled, F.col(f"{ruled}.verdict"))
     counted = u.groupBy("host", "path").agg(
         F.count(F.lit(1)).alias("n"),
-        F.count("_ruled").alias("labelled"),
-        F.count(F.when(F.col("_ruled") == "block", 1)).alias("blocked"),
+        F.count(ruled).alias("labelled"),
+        F.count(F.when(F.col(ruled) == "block", 1)).alias("blocked"),
     )
     t = path_templates(counted, **tree)
     purity = t.groupBy("host", "branch").agg(
         ((F.sum("blocked") + F.lit(strength * prior)) / (F.sum("labelled") + F.lit(strength))).alias("purity"))
     known = t.select("host", "path", "template", "branch").join(purity, ["host", "branch"])
     out = u.join(known, ["host", "path"], "left")
-    verdict = F.coalesce("_ruled", F.when(F.col("purity") >= threshold, F.lit("block")).otherwise(F.lit("allow")))
-    return out.withColumn("verdict", verdict).drop("_ruled")
+    verdict = F.coalesce(ruled, F.when(F.col("purity") >= threshold, F.lit("block")).otherwise(F.lit("allow")))
+    return out.withColumn("verdict", verdict).drop(ruled)
 
 
 def judge_sql(rules=RULES, depth: int = 4, fanout: int = 50, rare: float = 0.01, z: float = 3.0, threshold: float = 0.8,

@@ -60,10 +60,11 @@ def plan_records(pages: DataFrame, key: str, url: str, payload: str, min_revisit
 def chunk_rows(records: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Record rows as chunk rows; a record's chunks follow each other in its partition."""
     n = F.greatest(F.ceil(F.octet_length("payload") / F.lit(chunk_bytes)), F.lit(1))
-    rows = records.select(
+    # the digest is taken below the explode: beside it, the plan would hash the whole payload once per chunk
+    whole = records.select(
         F.col("key").cast("string").alias("key"), "url", "record_type", "refers_to",
-        F.octet_length("payload").cast("bigint").alias("size"), F.sha1("payload").alias("sha1"), "payload",
-        F.explode(F.sequence(F.lit(0).cast("bigint"), n.cast("bigint") - 1)).alias("chunk_no"))
+        F.octet_length("payload").cast("bigint").alias("size"), F.sha1("payload").alias("sha1"), "payload")
+    rows = whole.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), n.cast("bigint") - 1)).alias("chunk_no"))
     cut = F.substring(F.col("payload"), (F.col("chunk_no") * chunk_bytes + 1).cast("int"), F.lit(chunk_bytes))
     last = (F.col("chunk_no") + 1) * chunk_bytes >= F.col("size")
     return rows.select("key", "url", "record_type", "refers_to", "size", "sha1", "chunk_no", cut.alias("data"), last.alias("last"))
@@ -149,7 +150,6 @@ def write_archives(chunks: DataFrame, folder: str, date: str = "2020-01-01T00:00
             schema=pa.schema([("path", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())]))
 
     spark = chunks.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     store, base = fs.FileSystem.from_uri(folder)
     store.create_dir(base, recursive=True)
     in_batches(chunks).mapInArrow(write, _MANIFEST).write.parquet(f"{folder}/manifest")
