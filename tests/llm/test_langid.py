@@ -1,5 +1,8 @@
 import zlib
+from collections import Counter
 
+import duckdb
+import numpy as np
 from pyspark.sql import functions as F
 
 from tidewake.llm import langid
@@ -16,16 +19,65 @@ def test_held_out_accuracy(spark):
     assert len(out) > 100 and sum(out) / len(out) > 0.98
 
 
-def test_distance_by_hand():
-    ranker = langid.Ranker({"aa": {97: 0, 98: 1}, "bb": {98: 0}}, top=3)
-    # n-grams of "ab b": b twice; " b" and "b " and " a", "ab" ... only the three most frequent count
-    grams, n = langid._counts(langid.letter_words("ab b"))
-    mine = [g for _, g in sorted(zip((-n).tolist(), grams.tolist()))][:3]
-    want = {}
-    for lang, prof in (("aa", {97: 0, 98: 1}), ("bb", {98: 0})):
-        want[lang] = sum(abs(prof[g] - i) if g in prof else 3 for i, g in enumerate(mine))
-    best = min(sorted(want), key=want.get)
-    assert ranker.predict("ab b") == (best, 1 - want[best] / 9)
+def grams(text):
+    """1- to 3-grams of padded words, letter by letter."""
+    out = Counter()
+    for w in "".join(c if c.isalpha() else " " for c in (text or "").lower()).split():
+        p = f" {w} "
+        out.update(c for c in w)
+        out.update(p[i : i + 2] for i in range(len(p) - 1))
+        out.update(p[i : i + 3] for i in range(len(p) - 2))
+    return out
+
+
+def packed(gram):
+    n = 0
+    for c in gram:
+        n = n << 21 | ord(c)
+    return n
+
+
+def ranked(counts, top):
+    return sorted(counts, key=lambda g: (-counts[g], packed(g)))[:top]
+
+
+def texts():
+    docs = [r[0] for r in duckdb.sql(f"select text from '{SF}/documents.parquet' order by doc_id limit 150").fetchall()]
+    return [*docs, None, "", "12 ?!", "İstanbul ΟΔΟΣ ß ǅ", "𝒜𝒷 日本語 한국어 ab", "x" * 5000, "_a_b1c"]
+
+
+def test_counts_against_brute_force(monkeypatch):
+    every = texts()
+    for piece in (1 << 20, 300):  # texts counted whole, and in pieces
+        monkeypatch.setattr(langid, "PIECE", piece)
+        owner, gram, n = langid.count_grams(every, np.arange(len(every)))
+        got = [dict(zip(gram[owner == i].tolist(), n[owner == i].tolist())) for i in range(len(every))]
+        assert got == [{packed(g): c for g, c in grams(t).items()} for t in every]
+
+
+def test_profiles_against_brute_force(documents, monkeypatch):
+    monkeypatch.setattr(langid, "SLICE_BYTES", 20_000)
+    rows = [(i, t, (None, "aa", "bb", "cc")[i % 4]) for i, t in enumerate(texts())]
+    sums = {}
+    for _, t, lang in rows:
+        if lang:
+            sums.setdefault(lang, Counter()).update(grams(t))
+    got = langid.collect_profiles(langid.learn_profiles(documents(rows).repartition(3), top=50), 50)
+    assert got == {k: {packed(g): i for i, g in enumerate(ranked(c, 50))} for k, c in sums.items()}
+
+
+def test_distances_against_brute_force(documents):
+    rows = [(i, t, ("aa", "bb", "cc")[i % 3]) for i, t in enumerate(texts())]
+    profiles = langid.collect_profiles(langid.learn_profiles(documents(rows), top=60), 60)
+    names, scores = langid.Ranker(profiles, 60).predict([r[1] for r in rows])
+    for (_, t, _), name, score in zip(rows, names, scores):
+        mine = [packed(g) for g in ranked(grams(t), 60)]
+        if not mine:
+            assert (name, score) == ("und", 0.0)
+            continue
+        apart = {k: sum(abs(p[g] - i) if g in p else 60 for i, g in enumerate(mine)) for k, p in profiles.items()}
+        best = min(sorted(apart), key=apart.get)
+        assert name == best and abs(score - (1 - apart[best] / (60 * len(mine)))) < 1e-12
 
 
 def test_edges(documents):
