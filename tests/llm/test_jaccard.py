@@ -107,3 +107,30 @@ def test_tree_prunes_only_what_cannot_link():
     want = [find(i) for i in range(len(sets))]
     groups = lambda x: {frozenset(np.flatnonzero(np.array(x) == k)) for k in set(x)}
     assert groups(labels.tolist()) == groups(want) and len(groups(want)) > 1
+
+
+def test_bitmaps_prune_sets_of_any_length():
+    rnd = np.random.default_rng(4)
+    for n in (20, 400, 4000, 30_000):
+        sets = [np.unique(rnd.integers(0, 1 << 63, n + int(rnd.integers(0, n // 4)), dtype=np.uint64)) for _ in range(40)]
+        sets.append(np.sort(np.concatenate([sets[0][: len(sets[0]) * 9 // 10], rnd.integers(0, 1 << 63, len(sets[0]) // 10, dtype=np.uint64)])))
+        sets.sort(key=len)  # two of them share nine tenths
+        sizes = np.array([len(s) for s in sets])
+        i, j = jaccard.possible_pairs([jaccard.bitmap(s) for s in sets], sizes, np.arange(len(sets)), 75)
+        found = {tuple(sorted(p)) for p in zip(i.tolist(), j.tolist())}
+        linked = {(a, b) for b in range(len(sets)) for a in range(b) if jaccard.linked(sets[a], sets[b])}
+        assert len(linked) == 1 and linked <= found and len(found) <= 3
+
+
+def test_groups_give_members_not_pairs(spark):
+    """A group of near copies in components of their own gives each member once."""
+    rnd = np.random.default_rng(5)
+    base = rnd.integers(0, 1 << 63, 300, dtype=np.uint64)
+    rows = []
+    for k in range(60):
+        s = np.unique(np.concatenate([base, rnd.integers(0, 1 << 63, 5, dtype=np.uint64)]))
+        rows.append((1, 0, 0, k, len(s), bytearray(jaccard.bitmap(s).tobytes()), k))
+    other = np.unique(rnd.integers(0, 1 << 63, 300, dtype=np.uint64))
+    rows.append((1, 0, 0, 99, len(other), bytearray(jaccard.bitmap(other).tobytes()), 99))
+    df = spark.createDataFrame(rows, "grp bigint, sub int, part int, node bigint, size bigint, bits binary, comp bigint")
+    assert sorted(r["node"] for r in jaccard.candidate_members(df).collect()) == list(range(60))

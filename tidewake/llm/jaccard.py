@@ -10,12 +10,14 @@ group per node.  Then the tokens are taken whose nodes are neither all of one co
 with the same nodes are one group.  A group of more than ``max_group`` nodes is split by a hash: in the first step into parts
 that share a leader, in the second into all pairs of parts, so no task holds an unbounded group and no link is lost.
 
-*Signature trees.*  Within a group, sets are leaves with a bitmap of ``BITMAP`` bits; inner nodes hold the OR of their bitmaps,
-the range of sizes and the largest number of tokens that a leaf has beyond its bits.  A tree is descended together with itself:
-a pair of nodes is dropped if the common bits plus that excess, or the size ranges, rule out the wanted overlap, or if both lie
-in one component already.  Leaf pairs that are left are decided on the whole sets.  In the second step only bitmaps and sizes
-move to the groups, and texts only for the pairs that the trees leave.  Only a spanning forest of the links is given out, which
-keeps the components whole without listing all pairs of a group of copies.
+*Signature trees.*  Within a group, sets are leaves with a bitmap of ``TOKEN_BITS`` to twice as many bits a token, a power of two in
+all, so sets of one size class have one length and a longer bitmap is folded to meet a shorter one.  Inner nodes hold the OR of
+their bitmaps, the range of sizes and the largest number of tokens that a leaf has beyond its bits.  Trees of equal and of
+neighbouring classes are descended together: a pair of nodes is dropped if the common bits plus that excess, or the size ranges,
+rule out the wanted overlap, or if both lie in one component already.  Leaf pairs that are left are decided on the whole sets.  In
+the second step only bitmaps and sizes move to the groups; they say which members have a possible partner, and the texts of these
+alone follow, to be decided where they meet.  Only a spanning forest of the links is given out: rows grow with the members of a
+group, never with its pairs, and the components are whole.
 
 A null text, or one without words, has an empty set and is linked with nothing.  A text with fewer than ``n`` words has its
 whole sequence as one shingle.  Rows with a null id belong to no component (null).  Repeated rows are copies of each other.
@@ -39,7 +41,7 @@ N = 5
 PERCENT = 75
 CELL_BITS = 20  #: cells of the token histogram
 BLOCK_CELLS = 1 << 14
-BITMAP = 2048
+TOKEN_BITS = 4
 FAN = 8
 MAX_GROUP = 1000
 SLICE_BYTES = 1 << 20
@@ -108,12 +110,12 @@ def _set_hash(s: np.ndarray) -> tuple[int, int]:
     return (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63)
 
 
-def bitmaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Token bitmaps of sets: sets x words of 64 bits."""
-    bits = np.zeros((len(sets), BITMAP // 64), np.uint64)
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    at = (np.concatenate(sets) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - BITMAP.bit_length() + 1)
-    np.bitwise_or.at(bits, (row, (at >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (at & np.uint64(63)))
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """Token bitmap of a set; halves of it OR-ed together are the bitmap of half the length."""
+    words = 1 << max(0, -(-TOKEN_BITS * len(s) // 64) - 1).bit_length()
+    at = (s * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(24)) & np.uint64(64 * words - 1)
+    bits = np.zeros(words, np.uint64)
+    np.bitwise_or.at(bits, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
     return bits
 
 
@@ -133,7 +135,7 @@ def describe_sets(docs: DataFrame, n: int = N) -> DataFrame:
             k = len(rows)
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), *[pa.array([r[i] for r in rows], pa.int64()) for i in range(3)],
-                 pa.array([x.tobytes() for x in bitmaps(sets)], pa.binary()), none(k, pa.int32()), none(k, pa.binary())], names=names)
+                 pa.array([bitmap(x).tobytes() for x in sets], pa.binary()), none(k, pa.int32()), none(k, pa.binary())], names=names)
         if seen.any():
             parts = np.minimum(seen, 0xFFFFFFFF).astype(np.uint32).reshape(blocks, -1)
             yield pa.RecordBatch.from_arrays(
@@ -203,50 +205,69 @@ class _Forest:
 
 
 class SignatureTree:
-    """Levels of nodes over ordered leaves, leaves first; each inner node covers ``FAN`` nodes below it."""
+    """Levels of nodes over ordered leaves of one bitmap length, leaves first; an inner node covers ``FAN`` nodes below it."""
 
-    def __init__(self, bits: np.ndarray, sizes: np.ndarray):
+    def __init__(self, bits: np.ndarray, sizes: np.ndarray, labels: np.ndarray):
         excess = sizes - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
-        self.levels = [(bits, sizes, sizes, excess)]
+        self.levels = [(bits, sizes, sizes, excess, labels)]
         while len(self.levels[-1][1]) > 1:
-            b, lo, hi, ex = self.levels[-1]
+            b, lo, hi, ex, lab = self.levels[-1]
             start = np.arange(0, len(lo), FAN)
+            one, other = np.minimum.reduceat(lab, start), np.maximum.reduceat(lab, start)
             self.levels.append((np.bitwise_or.reduceat(b, start), np.minimum.reduceat(lo, start), np.maximum.reduceat(hi, start),
-                                np.maximum.reduceat(ex, start)))
+                                np.maximum.reduceat(ex, start), np.where(one == other, one, -1)))  # -1: several components below
 
-    def uniform(self, labels: np.ndarray) -> list[np.ndarray]:
-        """Per level, the component of a node whose leaves share one, else -1."""
-        out = [labels]
-        while len(out[-1]) > 1:
-            start = np.arange(0, len(out[-1]), FAN)
-            lo, hi = np.minimum.reduceat(out[-1], start), np.maximum.reduceat(out[-1], start)
-            out.append(np.where(lo == hi, lo, -1))
-        return out
+    def level(self, i: int):
+        return self.levels[min(i, len(self.levels) - 1)]
 
-
-    def pairs(self, labels: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-        """Leaf pairs i < j with different labels that neither bits nor sizes rule out."""
-        same = self.uniform(labels)
+    def meet(self, other: SignatureTree, percent: int) -> tuple[np.ndarray, np.ndarray]:
+        """Leaf pairs of different labels that neither bits nor sizes rule out; i < j where a tree meets itself."""
         i, j = np.zeros(1, np.int64), np.zeros(1, np.int64)
-        for level in range(len(self.levels) - 1, -1, -1):
-            bits, lo, hi, ex = self.levels[level]
-            keep = [np.zeros(0, bool)]
-            for s in range(0, len(i), 1 << 14):
-                a, b = i[s : s + (1 << 14)], j[s : s + (1 << 14)]
-                need = -(-percent * (lo[a] + lo[b]) // (100 + percent))
-                common = np.bitwise_count(bits[a] & bits[b]).sum(axis=1, dtype=np.int64)
-                can = (common + np.minimum(ex[a], ex[b]) >= need) & (100 * hi[a] >= percent * lo[b]) & (100 * hi[b] >= percent * lo[a])
-                keep.append(can & ((same[level][a] < 0) | (same[level][a] != same[level][b])))
+        for level in range(max(len(self.levels), len(other.levels)) - 1, -1, -1):
+            bits, lo, hi, ex, lab = self.level(level)
+            bits2, lo2, hi2, ex2, lab2 = other.level(level)
+            keep, step = [np.zeros(0, bool)], max(1, (1 << 20) // bits.shape[1])
+            for s in range(0, len(i), step):
+                a, b = i[s : s + step], j[s : s + step]
+                need = -(-percent * (lo[a] + lo2[b]) // (100 + percent))
+                can = (100 * hi[a] >= percent * lo2[b]) & (100 * hi2[b] >= percent * lo[a]) & ((lab[a] < 0) | (lab[a] != lab2[b]))
+                at = np.flatnonzero(can)
+                common = np.bitwise_count(bits[a[at]] & bits2[b[at]]).sum(axis=1, dtype=np.int64)
+                can[at] = common + np.minimum(ex[a[at]], ex2[b[at]]) >= need[at]
+                keep.append(can)
             keep = np.concatenate(keep)
             i, j = i[keep], j[keep]
             if level:
-                below = len(self.levels[level - 1][1])
                 kid = np.arange(FAN)
                 a = (i[:, None, None] * FAN + kid[None, :, None] + 0 * kid[None, None, :]).ravel()
                 b = (j[:, None, None] * FAN + kid[None, None, :] + 0 * kid[None, :, None]).ravel()
-                ok = (a < below) & (b < below) & (a <= b if level > 1 else a < b)
+                ok = (a < len(self.level(level - 1)[1])) & (b < len(other.level(level - 1)[1]))
+                if self is other:
+                    ok &= a <= b if level > 1 else a < b
                 i, j = a[ok], b[ok]
-        return (i, j) if len(labels) > 1 else (i[:0], j[:0])
+        return (i, j) if self is not other or len(self.levels) > 1 else (i[:0], j[:0])
+
+
+def possible_pairs(bits: list[np.ndarray], sizes: np.ndarray, labels: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of sets with different labels that may be linked, by trees of bitmap lengths; sets are in the order of their size."""
+    lengths = np.array([len(b) for b in bits])
+    places = {int(w): np.flatnonzero(lengths == w) for w in np.unique(lengths)}
+    tree = lambda at, m: SignatureTree(m, sizes[at], labels[at])
+    first, second = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for w, at in places.items():
+        mine = np.stack([bits[x] for x in at])
+        own = tree(at, mine)
+        for w2, there in places.items():
+            if w2 < w or 100 * sizes[at].max() < percent * sizes[there].min():
+                continue
+            if w2 == w:
+                i, j = own.meet(own, percent)
+            else:
+                folded = np.bitwise_or.reduce(np.stack([bits[x] for x in there]).reshape(len(there), w2 // w, w), axis=1)
+                i, j = own.meet(tree(there, folded), percent)
+            first.append(at[i])
+            second.append(there[j])
+    return np.concatenate(first), np.concatenate(second)
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
@@ -268,8 +289,8 @@ def join_group(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
         for j in {i - 1, 0}:
             if forest.find(i) != forest.find(j) and linked(sets[i], sets[j], percent):
                 forest.join(i, j)
-    tree = SignatureTree(bitmaps(sets), np.array([len(s) for s in sets], np.int64))
-    for a, b in zip(*[x.tolist() for x in tree.pairs(forest.labels(), percent)]):
+    pairs = possible_pairs([bitmap(s) for s in sets], np.array([len(s) for s in sets], np.int64), forest.labels(), percent)
+    for a, b in zip(*[x.tolist() for x in pairs]):
         if forest.find(a) != forest.find(b) and linked(sets[a], sets[b], percent):
             forest.join(a, b)
     labels = np.empty(n, np.int64)
@@ -277,25 +298,24 @@ def join_group(sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
     return labels
 
 
-def candidate_pairs(groups: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a, b) of (grp, sub, part, node, size, bits, comp) rows that the trees of their group leave.
+def candidate_members(groups: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The rows (grp, sub, node) of (grp, sub, part, node, size, bits, comp) that have a possible partner in their group.
 
     Where both parts 0 and 1 occur in a sub-group, pairs within a part are found in another one.
     """
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(key, table):
         size, part = table.column("size").to_numpy(), table.column("part").to_numpy()
         node, comp = table.column("node").to_numpy(), table.column("comp").to_numpy()
-        bits = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(len(size), -1)
-        order = np.lexsort((bits[:, 0], size))
-        size, part, node, comp, bits = size[order], part[order], node[order], comp[order], bits[order]
-        labels = np.unique(comp, return_inverse=True)[1]
-        i, j = SignatureTree(bits, size).pairs(labels, percent)
+        bits = [np.frombuffer(x, np.uint64) for x in table.column("bits").to_pylist()]
+        order = np.lexsort(([int(b[0]) for b in bits], size))
+        size, part, node, comp, bits = size[order], part[order], node[order], comp[order], [bits[i] for i in order]
+        i, j = possible_pairs(bits, size, np.unique(comp, return_inverse=True)[1], percent)
         ok = (part[i] != part[j]) | (part.min() == part.max())
-        a, b = node[i[ok]], node[j[ok]]
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        found = np.unique(np.concatenate([node[i[ok]], node[j[ok]]]))
+        return pa.table([pa.array(np.full(len(found), k.as_py()), t) for k, t in zip(key, (pa.int64(), pa.int32()))] + [pa.array(found)], names=["grp", "sub", "node"])
 
-    return groups.groupBy("grp", "sub").applyInArrow(run, "a bigint, b bigint").distinct()
+    return groups.groupBy("grp", "sub").applyInArrow(run, "grp bigint, sub int, node bigint")
 
 
 def join_groups(groups: DataFrame, reps: DataFrame, docs: DataFrame, percent: int = PERCENT, n: int = N) -> DataFrame:
@@ -360,12 +380,9 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, n: int = N, max_
     second = second.select(F.col("token").alias("grp"), (F.least("p", "q") * F.col("parts") + F.greatest("p", "q")).alias("sub"),
                            F.when(F.col("p") > F.col("q"), 1).otherwise(0).alias("part"), "node")
     second = second.join(reps.select("node", "size", "bits"), "node").join(known.select("node", "comp"), "node")
-    pairs = stored(candidate_pairs(second, percent), "pairs")
-    # texts move for the pairs that the trees leave: each first node with its partners, in parts of bounded size
-    busy = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / max_group).cast("int").alias("parts"))
-    stars = pairs.join(busy, "a").select(F.col("a").alias("grp"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("sub"), F.array("a", "b").alias("ab"))
-    stars = stars.select("grp", "sub", F.explode("ab").alias("node")).distinct()
-    more = stored(join_groups(stars, reps, docs, percent, n), "edges")
+    # texts move for the members that the trees leave, to be decided in the group
+    near = stored(candidate_members(second, percent), "members")
+    more = stored(join_groups(near, reps, docs, percent, n), "edges")
     comp = connected_components(edges.union(more))
 
     of_set = reps.select("node", "h2", "doc_id").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
