@@ -52,3 +52,18 @@ def test_edges(documents):
     by = sorted((r["doc_id"], r["size"], r["source_size"], r["target"], r["copies"]) for r in got)
     assert [b[:4] for b in by] == [(1, 0, 0, 0.0), (2, 0, 0, 0.0), (3, 2, 4, 6.0), (3, 2, 4, 6.0)] and sum(b[4] for b in by) == 3
     assert mixing.mix_sources(documents([])).count() == 0
+
+
+def test_columns_of_any_name_are_kept(documents):
+    docs = documents([(i, "w " * (i % 7), None, f"s{i % 3}") for i in range(60)])
+    plain = {r["doc_id"]: (r["copies"], r["target"]) for r in mixing.mix_sources(docs).collect()}
+    names = ["_source", "_e", "_g", "_slice", "_start", "_end", "row", "key", "w", "level", "fits"]
+    wide = mixing.mix_sources(docs.selectExpr("*", *[f"'{n}' as {n}" for n in names], "'x' as size", "'y' as copies"))
+    rows = wide.collect()
+    assert {r["doc_id"]: (r["copies"], r["target"]) for r in rows} == plain
+    assert all(r[n] == n for r in rows for n in names)
+
+
+def test_texts_are_shuffled_once_at_most(documents):
+    plan = mixing.mix_sources(documents([(1, "a b", None, "s")]))._jdf.queryExecution().executedPlan().toString()
+    assert sum("text" in line for line in plan.split("\n") if "Window" in line or "Aggregate" in line) == 0

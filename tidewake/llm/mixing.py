@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .common import WORD
+from .common import WORD, fresh_name, stored
 
 WEIGHTS = (3, 1, 2)
 SHARE, CAP = 1.5, 2.0
@@ -77,12 +77,25 @@ def systematic_copies(docs: DataFrame, group: str, expected: str, order: str, ke
         "_g", "_slice", "_e", "_start", "_end")
 
 
-def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = "mix") -> DataFrame:
-    """``docs`` with size, source_size, target, expected and copies; ``F.sequence(1, copies)`` explodes them."""
-    own = [c for c in docs.columns if c not in ("size", "source_size", "target", "expected", "copies")]
-    sized = docs.select(*own).withColumn("size", n_words(F.col("text")))
-    targets = source_targets(sized.select("source", "size"), weights, share, cap)
-    names = targets.withColumnRenamed("source", "_source")
-    rows = sized.join(names, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+def mix_sizes(sized: DataFrame, key: str = "doc_id", weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = "mix") -> DataFrame:
+    """Rows (``key``, source, size, further columns of the caller) with source_size, target, expected and copies."""
+    targets = source_targets(sized.select("source", "size"), weights, share, cap).withColumnRenamed("source", "_source")
+    rows = sized.join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     rows = rows.withColumn("expected", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
-    return systematic_copies(rows, "source", "expected", "size", "doc_id", seed)
+    return systematic_copies(rows, "source", "expected", "size", key, seed)
+
+
+def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, seed: str = "mix") -> DataFrame:
+    """``docs`` (doc_id, text, source, any others) with size, source_size, target, expected and copies; ``F.sequence(1, copies)``
+    explodes them.
+
+    The rows are stored under a number first.  Sums, sorts and windows see numbers, sizes and sources; texts meet their copies
+    once, at the end.  Further columns may have any names; those of the columns added are replaced.
+    """
+    made = ["size", "source_size", "target", "expected", "copies"]
+    own = [c for c in docs.columns if c not in made]
+    row = fresh_name(docs.columns, "row")
+    rows = stored(docs.select(*own, F.monotonically_increasing_id().alias(row)), "mix-rows")
+    narrow = rows.select(F.col(row).alias("row"), F.col("doc_id").alias("key"), "source", n_words(F.col("text")).alias("size"))
+    got = mix_sizes(narrow, "key", weights, share, cap, seed)
+    return rows.join(got.select(F.col("row").alias(row), *made), row).drop(row)

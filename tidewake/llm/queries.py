@@ -49,7 +49,8 @@ select doc_id, size, source_size, target, size * ((hi >> 24) - ((hi - e) >> 24))
 
 @query("op3_mix_sources", OP3_SQL)
 def op3_mix_sources(spark, sf_dir):
-    mixed = mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    docs = table(spark, sf_dir, "documents")
+    mixed = mixing.mix_sizes(docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size")))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
