@@ -1,3 +1,7 @@
+import random
+
+import duckdb
+
 from tidewake.llm import url_filter
 from tidewake.llm import url_filter as uf
 
@@ -57,6 +61,42 @@ def test_deep_paths_and_empty(spark):
     assert uf.judge_urls(pages(spark, [])).count() == 0
 
 
+def test_branches_merge_at_every_level(spark):
+    """Thin blocked branches deep in the tree are pooled; the mixed one beside them is not."""
+    rules = [("block", "a.com", f"/shop/item/{k}/buy/9") for k in "pqr"] + [("allow", "a.com", "/shop/item/s/buy/9")]
+    urls = [f"http://a.com/shop/item/{k}/buy/9{i}" for k in "pqrs" for i in range(7)] + ["http://a.com/shop/item/p/buy/1", "http://a.com/shop/item/s/buy/1", "http://a.com/shop/item/t/buy/1"]
+    got = judged(spark, urls, rules=rules)
+    assert got[0]["branch"] == got[7]["branch"] == got[14]["branch"] == "/shop/item/*/buy/*" != got[21]["branch"]
+    assert [got[i]["verdict"] for i in (28, 29, 30)] == ["block", "allow", "allow"]
+    one = judged(spark, urls[:7] + urls[28:29], rules=rules)  # seven labels alone do not reach the threshold
+    assert one[7]["verdict"] == "allow"
+
+
+def test_wildcards_at_any_depth(spark):
+    words = [f"{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
+    got = judged(spark, [f"http://a.com/1/x/y/z/v/{w}/{i % 3}" for i, w in enumerate(words * 2)] + ["http://a.com/1/x/y/z/v"], rare=0.02)
+    assert {r["template"] for r in got.values()} == {"/*/x/y/z/v/*/*", "/*/x/y/z/v"}
+
+
+def test_matches_sql(spark):
+    """Rules that label many branches at several levels, against the SQL."""
+    rnd = random.Random(3)
+    word = lambda n: "".join(rnd.choice("abcdef") for _ in range(n))
+    rules = [("block", "net", f"/{a}/") for a in "abc"] + [("allow", "net", f"/{a}/") for a in "de"] + [("block", "x.org", f"/a/{b}/") for b in "abcd"]
+    urls = []
+    for _ in range(1500):
+        k = rnd.randint(0, 5)
+        urls.append(f"http://{rnd.choice(['x.net', 'y.net', 'x.org'])}/" + "/".join(rnd.choice([word(1), word(1), word(3), str(rnd.randint(0, 99)), "p.html"]) for _ in range(k)))
+    urls += [None, "", "x://", "http://x.net", "http://x.net/", "http://x.net//a/"]
+    df = pages(spark, urls)
+    con = duckdb.connect()
+    con.register("pages", df.toPandas())
+    how = {"fanout": 8, "rare": 0.05, "threshold": 0.7}
+    want = sorted(con.sql(uf.judge_sql(rules, **how)).fetchall(), key=str)
+    got = sorted((tuple(r) for r in uf.judge_urls(df, rules=rules, **how).select("page_id", "host", "path", "rule", "verdict").collect()), key=str)
+    assert got == want and sum(r[4] == "block" and r[3] is None for r in got) > 0
+
+
 def test_native_plan(spark):
     plan = uf.judge_urls(pages(spark, ["http://a.com/1"]))._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "Cartesian", "NestedLoop"))

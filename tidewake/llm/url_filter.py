@@ -3,15 +3,16 @@
 Every URL is split into host and path.  A fixed rule list decides where a rule fits; those URLs are the labelled
 examples.  The others are judged by the template of their path:
 
-1. *Generalise.*  Level by level below each host, a segment becomes a wildcard if it holds a digit, or if its node has
-   more than ``fanout`` children and the segment has less than ``rare`` of the node's URLs.  A file extension is kept.
-2. *Merge.*  Branches of a node that differ in one literal only and whose block rates agree within ``z`` standard errors
-   of the rate of all labelled siblings become one branch; unlabelled branches merge among themselves only, so they
-   never inherit a verdict from labelled siblings.
+1. *Generalise.*  Level by level below each host, as deep as the paths go, a segment becomes a wildcard if it holds a digit, or if
+   its node has more than ``fanout`` children and the segment has less than ``rare`` of the node's URLs.  A file ending is kept.
+2. *Merge.*  From the last level to the first, branches of a node that differ in one literal only and whose block rates agree
+   within ``z`` standard errors of the rate of all labelled siblings become one branch; unlabelled branches stay on their own, so
+   they never inherit a verdict from labelled siblings.
 3. *Reject.*  A template is blocked if ``(blocked + strength * prior) / (labelled + strength) >= threshold``.
 
 All counting is done on distinct (host, path) rows with counts, so a host with a third of all URLs is combined before the
-shuffle; URLs come back to templates by a join on the whole (host, path), which spreads a hot host's URLs.
+shuffle.  Branches and purity are worked out per template, few rows, which the paths meet once; URLs come back to their paths by a
+join on the whole (host, path), which spreads a hot host's URLs.
 
 Nulls and URLs without ``://`` have an empty host and path and are judged as such; tables may be empty; repeated rows give
 repeated results.  Extra columns of the input are ignored.
@@ -19,7 +20,7 @@ repeated results.  Extra columns of the input are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .common import LOWER, UPPER, ascii_lower, fresh_name, stored
 
@@ -56,48 +57,65 @@ def match_rule(host: Column, path: Column, rules=RULES) -> Column:
     return pick
 
 
-def path_templates(urls: DataFrame, depth: int = 4, fanout: int = 50, rare: float = 0.01, z: float = 3.0) -> DataFrame:
-    """Templates of (host, path, n, labelled, blocked) rows, one row per (host, path).
+def _general(seg: Column) -> Column:
+    """A segment as a wildcard that keeps a file ending."""
+    return F.concat(F.lit("*"), F.regexp_extract(seg, "(\\.[a-z]{2,5})?$", 0))
 
-    Adds ``template`` (generalised) and ``branch`` (after merging).  Segments from ``depth`` on are one last segment.
+
+def path_templates(urls: DataFrame, fanout: int = 50, rare: float = 0.01) -> DataFrame:
+    """(host, path, template) of (host, path, n) rows: the tree is walked level by level, as deep as the paths go.
+
+    Segments with a digit are wildcards.  Of a node's literal segments, those of a share below ``rare`` are, where the node has
+    more than ``fanout`` of them.  A node with no more paths than that cannot have so many segments at any level below, so once
+    all nodes are that small the rest of every path follows in one step.
     """
-    parts = F.split(F.regexp_replace("path", "^/", ""), "/")
-    cur = urls.withColumn("_seg", parts).withColumn("_k", F.size("_seg"))
-    for i in range(depth):
-        one = F.get("_seg", F.lit(i)) if i < depth - 1 else F.array_join(F.slice("_seg", depth, F.greatest(F.col("_k"), F.lit(1))), "/")
-        cur = cur.withColumn(f"_s{i}", F.when(F.col("_k") > i, one))
-    cur = cur.drop("_seg").withColumn("_t", F.lit(""))
-    for i in range(depth):
-        seg = F.col(f"_s{i}")
-        star = F.concat(F.lit("*"), F.regexp_extract(seg, "(\\.[a-z]{2,5})?$", 0))
-        # literals only are counted: segments with a digit are wildcards whatever their share
-        lit = cur.where(seg.isNotNull() & ~seg.rlike("[0-9]")).groupBy("host", "_t", f"_s{i}").agg(F.sum("n").alias("_n"))
-        node = lit.groupBy("host", "_t").agg(F.count(F.lit(1)).alias("_kids"), F.sum("_n").alias("_all"))
-        wild = (
-            lit.join(node.where(F.col("_kids") > fanout), ["host", "_t"])
-            .where(F.col("_n") < F.lit(rare) * F.col("_all"))
-            .select("host", "_t", f"_s{i}", F.lit(True).alias("_wild"))
-        )
-        wild = stored(wild, "rare-segments")  # a level needs the one above it: few rows, and plans stay linear in depth
-        cur = cur.join(wild, ["host", "_t", f"_s{i}"], "left")
-        step = F.when(F.coalesce("_wild", F.lit(False)) | seg.rlike("[0-9]"), star).otherwise(seg)
-        cur = cur.withColumn("_t", F.when(seg.isNotNull(), F.concat("_t", F.lit("/"), step)).otherwise(F.col("_t"))).drop("_wild")
-    cur = stored(cur.select(*urls.columns, F.col("_t").alias("template")), "templates")
-    # branches of one node: templates that differ in their first literal only
-    lead = F.regexp_extract("template", "^/([^/*]+)/", 1)
-    tail = F.when(lead != "", F.regexp_replace("template", "^/[^/*]+/", "/*/")).otherwise(F.col("template"))
-    per = cur.groupBy("host", "template").agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b")).withColumn("tail", tail)
-    pool = per.where("l > 0").groupBy("host", "tail").agg(F.sum("l").alias("pl"), F.sum("b").alias("pb"))
-    p = F.col("pb") / F.col("pl")
-    # at least one URL's worth of spread, so that pure pools accept pure branches only
-    alike = F.abs(F.col("b") / F.col("l") - p) <= F.lit(z) * F.sqrt(p * (1 - p) / F.col("l"))
-    merged = F.when((F.col("l") == 0), F.concat(F.lit("unlabelled:"), "tail")).when(alike, F.col("tail")).otherwise(F.col("template"))
-    names = per.join(pool, ["host", "tail"], "left").select("host", "template", merged.alias("branch"))
-    return cur.join(names, ["host", "template"])
+    cur = urls.select("host", "path", "n", F.split(F.regexp_replace("path", "^/", ""), "/").alias("seg"), F.lit("").alias("t"))
+    level = 0
+    while True:
+        left = cur.where(F.size("seg") > level)
+        most = left.groupBy("host", "t").agg(F.count(F.lit(1)).alias("paths")).agg(F.max("paths")).first()[0]
+        if not most or most <= fanout:
+            break
+        seg = F.get("seg", F.lit(level))
+        literal = left.where(~seg.rlike("[0-9]")).groupBy("host", "t", seg.alias("s")).agg(F.sum("n").alias("m"))
+        node = literal.groupBy("host", "t").agg(F.count(F.lit(1)).alias("kids"), F.sum("m").alias("whole")).where(F.col("kids") > fanout)
+        wild = literal.join(node, ["host", "t"]).where(F.col("m") < F.lit(rare) * F.col("whole")).select("host", "t", "s", F.lit(True).alias("wild"))
+        cur = cur.withColumn("s", seg).join(wild, ["host", "t", "s"], "left")
+        step = F.when(F.coalesce("wild", F.lit(False)) | seg.rlike("[0-9]"), _general(seg)).otherwise(seg)
+        cur = cur.withColumn("t", F.when(seg.isNotNull(), F.concat("t", F.lit("/"), step)).otherwise(F.col("t"))).drop("wild", "s")
+        cur = stored(cur, "templates")  # a level needs the one above it: plans stay linear in depth
+        level += 1
+    rest = F.transform(F.slice("seg", level + 1, F.greatest(F.size("seg"), F.lit(1))), lambda x: F.when(x.rlike("[0-9]"), _general(x)).otherwise(x))
+    whole = F.when(F.size("seg") > level, F.concat("t", F.lit("/"), F.array_join(rest, "/"))).otherwise(F.col("t"))
+    return cur.select("host", "path", whole.alias("template"))
+
+
+def merge_branches(templates: DataFrame, z: float = 3.0) -> DataFrame:
+    """(host, template, branch) of (host, template, labelled, blocked) rows, one per template.
+
+    From the last level to the first, the branches of a node that lead on alike (they differ in one segment) are pooled; those whose
+    share of blocked URLs lies within ``z`` standard errors of the pool's become one branch, with a wildcard in that place.  A
+    template without a label is a branch of its own.
+    """
+    known = templates.where("labelled > 0").select("host", "template", F.col("labelled").alias("l"), F.col("blocked").alias("b"),
+                                                   F.split(F.expr("substring(template, 2)"), "/").alias("seg"))
+    each = known.select("host", F.size("seg").alias("k"), F.posexplode("seg").alias("i", "s")).groupBy("host", "k", "i").agg(F.min("s").alias("a"), F.max("s").alias("z"))
+    for i in sorted((r["i"] for r in each.where("a <> z").select("i").distinct().collect()), reverse=True):
+        known = known.withColumn("tail", F.transform("seg", lambda x, j: F.when(j == i, F.lit("*")).otherwise(x)))
+        own, pool = W.partitionBy("host", "seg"), W.partitionBy("host", "tail")
+        at = F.get("seg", F.lit(i))
+        known = known.withColumns({"nl": F.sum("l").over(own), "nb": F.sum("b").over(own)}).withColumns({
+            "p": F.sum("b").over(pool) / F.sum("l").over(pool), "many": F.min(at).over(pool) != F.max(at).over(pool)})
+        # at least one URL's worth of spread, so that pure pools accept pure branches only
+        alike = F.abs(F.col("nb") / F.col("nl") - F.col("p")) <= F.lit(z) * F.sqrt(F.col("p") * (1 - F.col("p")) / F.col("nl"))
+        known = known.withColumn("seg", F.when((F.size("seg") > i) & F.col("many") & alike, F.col("tail")).otherwise(F.col("seg")))
+        known = stored(known.select("host", "template", "l", "b", "seg"), "branches")
+    alone = templates.where("labelled = 0").select("host", "template", F.concat(F.lit("unlabelled:"), "template").alias("branch"))
+    return known.select("host", "template", F.concat(F.lit("/"), F.array_join("seg", "/")).alias("branch")).union(alone)
 
 
 def judge_urls(pages: DataFrame, url: str = "url", rules=RULES, threshold: float = 0.8, strength: float = 4.0, prior: float = 0.2,
-               **tree) -> DataFrame:
+               fanout: int = 50, rare: float = 0.01, z: float = 3.0) -> DataFrame:
     """``pages`` with host, path, rule, template, branch, purity and verdict; columns of these names are replaced."""
     made = ("host", "path", "rule", "template", "branch", "purity", "verdict")
     own = [c for c in pages.columns if c not in made]
@@ -110,51 +128,55 @@ def judge_urls(pages: DataFrame, url: str = "url", rules=RULES, threshold: float
         F.count(ruled).alias("labelled"),
         F.count(F.when(F.col(ruled) == "block", 1)).alias("blocked"),
     )
-    t = path_templates(counted, **tree)
-    purity = t.groupBy("host", "branch").agg(
+    counted = stored(counted, "paths")
+    paths = path_templates(counted, fanout, rare)
+    per = stored(counted.join(paths, ["host", "path"]).groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked")), "per-template")
+    # names and purity are worked out per template; the paths meet them once
+    named = per.join(merge_branches(per, z), ["host", "template"])
+    purity = named.groupBy("host", "branch").agg(
         ((F.sum("blocked") + F.lit(strength * prior)) / (F.sum("labelled") + F.lit(strength))).alias("purity"))
-    known = t.select("host", "path", "template", "branch").join(purity, ["host", "branch"])
+    known = paths.join(named.join(purity, ["host", "branch"]).select("host", "template", "branch", "purity"), ["host", "template"])
     out = u.join(known, ["host", "path"], "left")
     verdict = F.coalesce(ruled, F.when(F.col("purity") >= threshold, F.lit("block")).otherwise(F.lit("allow")))
     return out.withColumn("verdict", verdict).drop(ruled)
 
 
-def judge_sql(rules=RULES, depth: int = 4, fanout: int = 50, rare: float = 0.01, z: float = 3.0, threshold: float = 0.8,
+def judge_sql(rules=RULES, depth: int = 8, fanout: int = 50, rare: float = 0.01, z: float = 3.0, threshold: float = 0.8,
               strength: float = 4.0, prior: float = 0.2) -> str:
-    """DuckDB SQL of the query over ``pages``."""
+    """DuckDB SQL of the query over ``pages`` for paths of at most ``depth`` levels."""
     fits = [f"when (host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '{p}') then " for _, h, p in _ordered(rules)]
     rule = "case " + " ".join(f + f"'{h + p}'" for f, (_, h, p) in zip(fits, _ordered(rules))) + " end"
     ruled = "case " + " ".join(f + f"'{v}'" for f, (v, _, _) in zip(fits, _ordered(rules))) + " end"
-    segs = ", ".join(
-        f"case when len(seg) > {i} then seg[{i + 1}] end as s{i}" if i < depth - 1
-        else f"case when len(seg) > {i} then array_to_string(seg[{depth}:], '/') end as s{i}" for i in range(depth))
     ctes = [
         "u0 as (select page_id, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), "
         f"'{UPPER}', '{LOWER}'), '') as host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') as path from pages)",
         f"u as (select *, {rule} as rule, {ruled} as ruled from u0)",
         "c as (select host, path, count(*) n, count(ruled) l, count(*) filter (where ruled = 'block') b from u group by all)",
-        "g as (select *, string_split(regexp_replace(path, '^/', ''), '/') as seg from c)",
-        f"t0 as (select host, path, n, l, b, {segs}, '' as t from g)",
+        "t0 as (select *, string_split(regexp_replace(path, '^/', ''), '/') as seg, '' as t from c)",
     ]
     for i in range(depth):
-        star = f"'*' || regexp_extract(s{i}, '(\\.[a-z]{{2,5}})?$')"
+        s = f"seg[{i + 1}]"
+        star = f"'*' || regexp_extract({s}, '(\\.[a-z]{{2,5}})?$')"
         ctes += [
-            f"k{i} as (select host, t, s{i}, sum(n) m from t{i} where s{i} is not null and not regexp_matches(s{i}, '[0-9]') group by all)",
-            f"w{i} as (select host, t, s{i}, true as wild from k{i} join (select host, t, count(*) kids, sum(m) a from k{i} group by all) "
+            f"k{i} as (select host, t, {s} as s, sum(n) m from t{i} where {s} is not null and not regexp_matches({s}, '[0-9]') group by all)",
+            f"w{i} as (select host, t, s, true as wild from k{i} join (select host, t, count(*) kids, sum(m) a from k{i} group by all) "
             f"using (host, t) where kids > {fanout} and m < {rare} * a)",
-            f"t{i + 1} as (select host, path, n, l, b, {', '.join(f's{j}' for j in range(depth))}, case when s{i} is null then t else t || '/' || "
-            f"case when coalesce(wild, false) or regexp_matches(s{i}, '[0-9]') then {star} else s{i} end end as t "
-            f"from t{i} left join w{i} using (host, t, s{i}))",
+            f"t{i + 1} as (select g.host, path, n, l, b, seg, case when {s} is null then g.t else g.t || '/' || "
+            f"case when coalesce(wild, false) or regexp_matches({s}, '[0-9]') then {star} else {s} end end as t "
+            f"from t{i} g left join w{i} w on g.host = w.host and g.t = w.t and {s} = w.s)",
+        ]
+    ctes += [f"per as (select host, t, sum(l)::double l, sum(b)::double b from t{depth} group by host, t)",
+             f"m{depth} as (select host, t, l, b, string_split(substring(t, 2), '/') as seg from per where l > 0)"]
+    for i in reversed(range(depth)):
+        ctes += [
+            f"x{i} as (select *, list_transform(seg, lambda x, j: case when j = {i + 1} then '*' else x end) as tail from m{i + 1})",
+            f"y{i} as (select *, sum(l) over (partition by host, seg) nl, sum(b) over (partition by host, seg) nb, sum(b) over w / sum(l) over w as p, "
+            f"min(seg[{i + 1}]) over w <> max(seg[{i + 1}]) over w as many from x{i} window w as (partition by host, tail))",
+            f"m{i} as (select host, t, l, b, case when len(seg) > {i} and many and abs(nb / nl - p) <= {z} * sqrt(p * (1 - p) / nl) then tail else seg end as seg from y{i})",
         ]
-    alike = f"abs(l / pl0 - pb / pl) <= {z} * sqrt(pb / pl * (1 - pb / pl) / l)".replace("l / pl0", "b / l")
     ctes += [
-        "per as (select host, t, sum(l)::double l, sum(b)::double b, case when regexp_matches(t, '^/[^/*]+/') "
-        f"then regexp_replace(t, '^/[^/*]+/', '/*/') else t end as tail from t{depth} group by host, t)",
-        "pool as (select host, tail, sum(l) pl, sum(b) pb from per where l > 0 group by all)",
-        f"br as (select host, t, case when l = 0 then 'unlabelled:' || tail when {alike} then tail else t end as branch "
-        "from per left join pool using (host, tail))",
-        f"pur as (select host, branch, (sum(b) + {strength * prior}) / (sum(l) + {strength}) as purity "
-        f"from t{depth} join br using (host, t) group by all)",
+        "br as (select host, t, '/' || array_to_string(seg, '/') as branch from m0 union all select host, t, 'unlabelled:' || t from per where l = 0)",
+        f"pur as (select host, branch, (sum(b) + {strength * prior}) / (sum(l) + {strength}) as purity from per join br using (host, t) group by all)",
         f"known as (select host, path, purity from t{depth} join br using (host, t) join pur using (host, branch))",
     ]
     return (f"with {', '.join(ctes)} select page_id, host, path, rule, coalesce(ruled, case when purity >= {threshold} "
