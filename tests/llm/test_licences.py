@@ -1,3 +1,6 @@
+import random
+import re
+
 from tidewake.llm import licences as lic
 
 MIT = """The MIT License (MIT)
@@ -28,24 +31,79 @@ def test_every_known_sentence_is_found():
 def test_rules_are_ordered():
     s = lic.Scanner()
     ids = s.identifiers(MIT)
-    assert ids == ["mit-title", "mit-grant", "mit-notice", "as-is"] and s.licences(ids) == ["MIT", "MIT"]
-    assert s.licences(["mit-grant"]) == [] and s.licences(["gpl-redistribute", "gpl-hope", "cc-by-note"]) == ["GPL-3.0-or-later", "CC-BY-4.0"]
+    assert ids == ["mit-title", "mit-grant", "mit-notice", "as-is"] and s.licences(ids) == ["MIT"]
+    assert s.licences(["mit-grant"]) == [] and s.licences(["GPL-3-redistribute", "gpl-hope", "cc-by-note"]) == ["GPL-3.0-or-later", "CC-BY-4.0"]
+
+
+def brute(text):
+    """Every known sentence tried as text at every place, and every rule at every identifier; nothing is taken from the scanner."""
+    low = re.sub(r"[^\W_]+", lambda m: m[0] + "\0", text.lower())  # \0 ends a word
+    plain, cuts = "", {0}
+    for piece in re.split(r"(\0)", low):
+        if piece == "\0":
+            continue
+        letters = re.sub(r"[\W_]", "", piece)
+        gap = piece[: len(piece) - len(letters)] if letters else piece
+        if "\n" in gap or re.search(r"[.!?;:]\s", gap):
+            cuts.add(len(plain))
+        if letters:
+            plain += letters + " "
+    cuts.add(len(plain))
+    ids, at = [], 0
+    while at < len(plain):
+        hits = []
+        for name, s in lic.SENTENCES:
+            key = " ".join(re.findall(r"[^\W_]+", s.lower())) + " "
+            if plain.startswith(key, at) and at in cuts and at + len(key) in cuts:
+                hits.append((len(key), name))
+        if hits:
+            n, name = max(hits)
+            ids.append(name)
+            at += n
+        else:
+            at = plain.index(" ", at) + 1
+    out, rest = [], ids
+    while rest:
+        hit = next(((k, w) for k, w in lic.RULES if tuple(rest[: len(w)]) == w), None)
+        out += [hit[0]] if hit else []
+        rest = rest[len(hit[1]) if hit else 1 :]
+    return ids, out
 
 
 def test_matches_brute_force():
-    """Against trying every run of lines of every sentence."""
     s = lic.Scanner()
-    texts = [MIT, MIT.upper().replace("\n", "\r\n"), "x\n".join(t for _, t in lic.SENTENCES), "\n".join(t for _, t in lic.SENTENCES), "no licence here"]
+    rnd = random.Random(8)
+    known = [t for _, t in lic.SENTENCES]
+    texts = [MIT, MIT.upper().replace("\n", "\r\n"), "x\n".join(known), "\n".join(known), "no licence here", "a licence_note x: MIT License; b"]
+    for _ in range(150):
+        parts = [rnd.choice(known) if rnd.random() < 0.7 else rnd.choice(["some words", "more of it.", "License", "the program:"]) for _ in range(rnd.randint(1, 8))]
+        t = rnd.choice(["\n", " ", "\n\n", " x "]).join(parts)
+        if rnd.random() < 0.5:  # wrapped lines, and a changed word
+            w = t.split(" ")
+            w[rnd.randrange(len(w))] += rnd.choice(["", "", "x"])
+            t = "".join(x + rnd.choice([" ", " ", " ", "\n"]) for x in w)
+        texts.append(t)
     for t in texts:
-        want = []
-        for part in lic._END.split(t.lower()):
-            lines = [x for x in map(lic.normalise, part.split("\n")) if x]
-            i = 0
-            while i < len(lines):
-                hit = next((j for j in range(len(lines), i, -1) if " ".join(lines[i:j]) in s.known), None)
-                want += [s.known[" ".join(lines[i:hit])]] if hit else []
-                i = hit or i + 1
-        assert s.identifiers(t) == want
+        ids = s.identifiers(t)
+        assert (ids, s.licences(ids)) == brute(t), t
+
+
+def notice(name, version, what="program"):
+    return (f"This {what} is free software; you can redistribute it and/or\nmodify it under the terms of the GNU {name} Public\nLicense as published by the Free "
+            f"Software Foundation; either\nversion {version} of the License, or (at your option) any later version.\n\nThis {what} is distributed in the hope that "
+            f"it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\nMERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU\n"
+            f"{name} Public License for more details.\n")
+
+
+def test_notices_of_one_family_are_told_apart():
+    s = lic.Scanner()
+    scan = lambda t: s.licences(s.identifiers(t))
+    assert scan(notice("General", "2")) == ["GPL-2.0-or-later"] and scan(notice("General", "3")) == ["GPL-3.0-or-later"]
+    assert scan(notice("Library General", "2", "library")) == ["LGPL-2.0-or-later"] and scan(notice("Lesser General", "2.1", "library")) == ["LGPL-2.1-or-later"]
+    assert scan(notice("Affero General", "3")) == ["AGPL-3.0-or-later"]
+    assert scan("either version 2 of the License, or (at your option) any later version.") == []
+    assert scan("                                 Apache License\n                           Version 2.0, January 2004\n\n   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n") == ["Apache-2.0"]
+    assert scan(MIT + "\n\n" + MIT) == ["MIT", "MIT"]
 
 
 def test_edges(documents):
