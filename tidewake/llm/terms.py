@@ -65,9 +65,9 @@ def shingle_prints(words: np.ndarray, n: int) -> np.ndarray:
 
 
 def bit_table(prints: DataFrame, column: str, size: int) -> tuple[np.ndarray, int]:
-    """(packed bits, log2 of their number) of the fingerprints in ``column``: about 16 cells for each of ``size`` of them, and
+    """(packed bits, log2 of their number) of the fingerprints in ``column``: about 512 cells for each of ``size`` of them, and
     never more than 2^MAX_BITS.  Built by a bitmap aggregate; the driver gets at most 2,048 rows of 4 KB."""
-    bits = min(MAX_BITS, max(MIN_BITS, int(16 * size).bit_length()))
+    bits = min(MAX_BITS, max(MIN_BITS, int(512 * size).bit_length()))
     h = F.col(column)
     cells = prints.select(F.explode(F.array(F.shiftrightunsigned(h, 64 - bits), F.shiftrightunsigned(F.shiftleft(h, MAX_BITS), 64 - bits))).alias("cell"))
     parts = cells.groupBy(F.shiftright("cell", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("cell") % 32768).alias("bits"))
