@@ -34,7 +34,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import in_batches, mix64, row_slices, stored
+from .common import in_batches, map_arrow, mix64, release, row_slices, stored
 from .graph import connected_components
 
 N = 5
@@ -44,7 +44,8 @@ BLOCK_CELLS = 1 << 14
 TOKEN_BITS = 4
 FAN = 8
 MAX_GROUP = 1000
-SLICE_BYTES = 1 << 20
+LARGE_GROUP = 8 << 20  #: bytes of texts after which a worker gives memory back
+SLICE_BYTES = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
 _BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -71,7 +72,7 @@ def word_hashes(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     blank = _BLANK[data]
     before = np.concatenate([[True], blank[:-1]])
     start, end = np.flatnonzero(before & ~blank), np.flatnonzero(~before & blank)
-    power, inverse = _powers(max(2 << 20, 1 << len(data).bit_length()))
+    power, inverse = _powers(max(1 << 20, 1 << len(data).bit_length()))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * power[: len(data)])])
     h = mix64((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
     edges = np.cumsum([len(r) + 1 for r in raw])
@@ -141,8 +142,8 @@ def describe_sets(docs: DataFrame, n: int = N) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [*[none(blocks, pa.int64())] * 4, none(blocks, pa.binary()), pa.array(range(blocks), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=names)
 
-    return in_batches(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).mapInArrow(
-        run, "doc_id bigint, size bigint, h1 bigint, h2 bigint, bits binary, block int, counts binary")
+    return map_arrow(
+        docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), run, "doc_id bigint, size bigint, h1 bigint, h2 bigint, bits binary, block int, counts binary")
 
 
 def token_classes(parts: DataFrame) -> np.ndarray:
@@ -180,7 +181,7 @@ def prefix_tokens(docs: DataFrame, classes: np.ndarray, percent: int = PERCENT,
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(nodes))], names=["token", "node"])
 
-    return in_batches(docs.select("text")).mapInArrow(run, "token bigint, node bigint")
+    return map_arrow(docs.select("text"), run, "token bigint, node bigint")
 
 
 class _Forest:
@@ -338,6 +339,9 @@ def join_groups(groups: DataFrame, reps: DataFrame, docs: DataFrame, percent: in
         labels = join_group(sets, percent)
         nodes = np.array(nodes, np.int64)
         at = np.flatnonzero(labels != np.arange(len(labels)))
+        if table.nbytes > LARGE_GROUP:
+            del table, found, sets
+            release()
         return pa.table({"a": nodes[at], "b": nodes[labels[at]]})
 
     return rows.groupBy("grp", "sub").applyInArrow(run, "a bigint, b bigint")

@@ -30,8 +30,8 @@ from .common import extended, map_arrow, row_slices
 TOP = 300
 MAX_N = 3
 MAX_LANGUAGES = 2000
-SLICE_BYTES = 1 << 20
-PIECE = 1 << 20  #: characters of a very long text that are counted at once
+SLICE_BYTES = 1 << 19
+PIECE = 1 << 19  #: characters of a very long text that are counted at once
 MERGE = 1 << 20  #: n-gram counts that a learning task holds before it passes them on
 UNKNOWN = "und"
 _NO_LETTER = re.compile(r"[\W\d_]")

@@ -38,6 +38,7 @@ MODEL = os.environ.get("TIDEWAKE_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 WORDS_KEPT = 160_000  #: words in a task's table; a full table is begun anew
 _NEVER = -float("inf")
 LONG_WORD = 64  #: longer words are not kept
+SLICE_BYTES = 1 << 20
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -142,13 +143,14 @@ def encode_pieces(docs: DataFrame, text: str = "text", model: str = MODEL) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load_pieces(model)
-        for b in row_slices(batches, text):
+        for b in row_slices(batches, text, SLICE_BYTES):
             got = [None if t is None else pieces.encode(t) for t in b.column(text).to_pylist()]
             ends = np.cumsum([0] + [0 if g is None else len(g[0]) for g in got]).astype(np.int32)
             flat = np.fromiter(chain.from_iterable(g[0] for g in got if g), np.int32, int(ends[-1]))
             ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat), mask=pa.array([g is None for g in got]))
             scores = pa.array([None if g is None else g[1] for g in got], pa.float64())
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], ids, scores], names=[*keep, "ids", "score"])
+        pieces.table.clear()  # the worker lives on, and with it the vocabulary; the words are the task's
 
     return map_arrow(docs, run, extended(docs.schema, ids="array<int>", score="double"))
 
@@ -159,7 +161,7 @@ def decode_pieces(encoded: DataFrame, ids: str = "ids", out: str = "decoded", mo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load_pieces(model)
-        for b in row_slices(batches, ids, 1 << 20):
+        for b in row_slices(batches, ids, 1 << 18):
             col = b.column(ids)
             flat = col.flatten().to_numpy()
             ends = np.cumsum(pc.fill_null(col.value_lengths(), 0).to_numpy(zero_copy_only=False)).tolist()
