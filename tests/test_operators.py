@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tidewake.functions import scalars as s, text as tx
-from tidewake.operators import cluster, evaluate, joins, models, nearest, ordering, ranking, sampling, series, strategy, textops
+from tidewake.operators import cluster, evaluate, isolation, joins, models, nearest, ordering, ranking, sampling, series, strategy, textops
 from tidewake.streaming import streams
 
 
@@ -131,7 +131,7 @@ def test_iforest_ranks_an_outlier_first(spark):
     rng = np.random.default_rng(0)
     x = np.vstack([rng.normal(0, 1, size=(500, 2)), [[9, 9]]])
     d = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(x)], "id bigint, x double, y double")
-    out = cluster.iforest_score(d, d, "id", ["x", "y"], 20, 64)
+    out = isolation.iforest_score(d, "id", ["x", "y"], n_trees=20, sample=64)
     assert out.orderBy(F.col("anomaly").desc()).first().id == 500
 
 

@@ -145,8 +145,8 @@ def quantile_table(df, cols, qs=(0.01, 0.05, 0.95, 0.99)) -> DataFrame:
     return reduce(DataFrame.unionByName, tabs)
 
 
-def mean_shift(df, cols, split, a, b, top=15) -> DataFrame:
-    """|mean_b - mean_a| over the pooled deviation, the largest ``top`` columns."""
+def mean_shift(df, cols, split, a, b, top=None) -> DataFrame:
+    """|mean_b - mean_a| over the pooled deviation per column, or of the largest ``top`` columns."""
     parts = []
     for i, c in enumerate(cols):
         for tag, v in (("a", a), ("b", b)):
@@ -160,7 +160,7 @@ def mean_shift(df, cols, split, a, b, top=15) -> DataFrame:
         for i, c in enumerate(cols)
     ]
     d = g.select(F.explode(F.array(*cells)).alias("m")).select("m.*")
-    return d.orderBy(F.col("shift").desc(), "column").limit(top)
+    return d.orderBy(F.col("shift").desc(), "column").limit(top) if top else d
 
 
 def n_distinct(df, col, by=None, approx=False) -> DataFrame:
@@ -364,3 +364,13 @@ def event_window_counts(df, sec, amount, events, event_sec, event_id, hours=48)
 def daily_volume(df, ts, amount) -> DataFrame:
     """Rows and volume per day."""
     return df.groupBy(F.to_date(ts).alias("day")).agg(F.count(F.lit(1)).alias("n"), F.sum(amount).alias("volume"))
+
+
+def to_config_json(df, by, parts: dict[str, Column], out="config") -> DataFrame:
+    """one nested JSON object per group; ``parts`` maps its names, in order, to aggregates: values, lists or structs.
+
+    Lists gather a group, so groups should be of the size of a configuration.
+    """
+    g = df.groupBy(*_keys(by)).agg(*[c.alias(f"_p{i}") for i, c in enumerate(parts.values())])
+    fields = [F.col(f"_p{i}").alias(n) for i, n in enumerate(parts)]
+    return g.select(*_keys(by), F.to_json(F.struct(*fields)).alias(out))

@@ -14,9 +14,8 @@ from pyspark.sql.window import Window
 
 from ..session import cut_lineage
 from .models import _fit
-from .nearest import block_topk
+from .nearest import block_topk, center_topk
 from .ranking import topk_by
-from .sampling import sample_n
 
 
 def fit_kmeans(df, cols, k):
@@ -36,7 +35,7 @@ def kmeans_sweep(df, cols, ks) -> DataFrame:
 
 def kmeans_step(points, centers, uid, cid, vec) -> tuple[DataFrame, DataFrame]:
     """Assignment to the nearest centre (ties to the smaller id) and the new means."""
-    a = block_topk(points, centers, uid, cid, vec, 1, metric="l2").select(uid, F.col(cid).alias("cluster"), (-F.col("score")).alias("sq_dist"))
+    a = center_topk(points, centers, uid, cid, vec, 1, metric="l2").select(uid, F.col(cid).alias("cluster"), (-F.col("score")).alias("sq_dist"))
     d = points.select(uid, F.posexplode(F.col(vec).cast("array<double>")).alias("i", "x")).join(a.select(uid, "cluster"), uid)
     m = d.groupBy("cluster", "i").agg(F.avg("x").alias("m"))
     c = m.groupBy("cluster").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias(vec))
@@ -143,9 +142,9 @@ def dbscan(df, uid, cols, eps, min_samples) -> DataFrame:
     return core_out.unionByName(border).withColumnRenamed("id", uid)
 
 
-def knn_classify(train, test, uid, tid, vec, y, k) -> DataFrame:
-    """Majority vote of the k nearest training rows (ties to the smaller label)."""
-    n = block_topk(test, train, uid, tid, vec, k, metric="l2")
+def knn_classify(train, test, uid, tid, vec, y, k, search=block_topk) -> DataFrame:
+    """Majority vote of the k nearest training rows (ties to the smaller label); ``search`` may be ``lsh_topk``."""
+    n = search(test, train, uid, tid, vec, k, metric="l2")
     n = n.join(train.select(tid, F.col(y).alias("_y")), tid)
     v = n.groupBy(uid, "_y").agg(F.count(F.lit(1)).alias("_n"))
     return v.groupBy(uid).agg(F.min_by("_y", F.struct(-F.col("_n"), F.col("_y"))).alias("prediction"))
@@ -160,70 +159,6 @@ def knn_grid(train, test, uid, tid, vec, y, ks) -> DataFrame:
     return p.join(test.select(uid, F.col(y).alias("_t")), uid).groupBy("k").agg(F.avg((F.col("_p") == F.col("_t")).cast("int")).alias("accuracy"))
 
 
-def _avg_path(n):
-    return np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + 0.5772156649015329) - 2 * (n - 1) / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
-
-
-def _grow(x, depth, limit, rng, out):
-    i = len(out)
-    out.append(None)
-    lo, hi = x.min(0), x.max(0)
-    open_ = np.flatnonzero(hi > lo)
-    if depth >= limit or len(x) <= 1 or not len(open_):
-        out[i] = (-1, 0.0, -1, -1, depth + float(_avg_path(np.array(len(x)))))
-        return i
-    f = int(rng.choice(open_))
-    cut = float(rng.uniform(lo[f], hi[f]))
-    l = _grow(x[x[:, f] < cut], depth + 1, limit, rng, out)
-    r = _grow(x[x[:, f] >= cut], depth + 1, limit, rng, out)
-    out[i] = (f, cut, l, r, 0.0)
-    return i
-
-
-def iforest_score(train, df, uid, cols, n_trees=50, sample=256, seed=0, out="anomaly") -> DataFrame:
-    """Isolation-forest score, scaled by the training minimum and maximum and clipped to [0, 1].
-
-    One hashed sample of n_trees*sample rows (fixed by the parameters, not by the data) grows the
-    trees; rows are scored in Arrow batches against the small tree arrays.
-    """
-    picked = sample_n(train.dropna(subset=list(cols)), uid, n_trees * sample, seed).select(uid, *cols).toPandas().sort_values(uid)
-    x = picked[list(cols)].to_numpy(dtype=float)
-    rng = np.random.default_rng(seed)
-    x = x[rng.permutation(len(x))]
-    per = max(2, min(sample, len(x)))
-    trees = []
-    for t in range(n_trees):
-        part = x[t * per:(t + 1) * per] if (t + 1) * per <= len(x) else x[rng.choice(len(x), per, replace=False)]
-        nodes: list = []
-        _grow(part, 0, math.ceil(math.log2(per)), rng, nodes)
-        a = np.array(nodes)
-        trees.append((a[:, 0].astype(int), a[:, 1], a[:, 2].astype(int), a[:, 3].astype(int), a[:, 4]))
-    norm = float(_avg_path(np.array(per)))
-
-    @F.pandas_udf("double")
-    def path_score(*vals: pd.Series) -> pd.Series:
-        m = np.column_stack([v.to_numpy(dtype=float) for v in vals])
-        m = np.nan_to_num(m)
-        total = np.zeros(len(m))
-        for f, c, l, r, h in trees:
-            at = np.zeros(len(m), dtype=int)
-            while True:
-                inner = f[at] >= 0
-                if not inner.any():
-                    break
-                rows = np.flatnonzero(inner)
-                left = m[rows, f[at[rows]]] < c[at[rows]]
-                at[rows] = np.where(left, l[at[rows]], r[at[rows]])
-            total += h[at]
-        return pd.Series(np.power(2.0, -total / len(trees) / norm))
-
-    raw = path_score(*[F.col(c).cast("double") for c in cols])
-    st = train.select(raw.alias("s")).agg(F.struct(F.min("s").alias("a"), F.max("s").alias("z"))).scalar()
-    d = df.withColumn("_raw", raw).withColumn("_st", st)
-    scaled = (F.col("_raw") - F.col("_st.a")) / F.nullif(F.col("_st.z") - F.col("_st.a"), F.lit(0.0))
-    return d.withColumn(out, F.when(scaled.isNotNull(), F.least(F.greatest(scaled, F.lit(0.0)), F.lit(1.0)))).drop("_raw", "_st")
-
-
 def zscore_flags(df, col, z=3.0, out="z_flag") -> DataFrame:
     """|x - mean| / std above z."""
     st = df.agg(F.struct(F.avg(col).alias("m"), F.stddev_samp(col).alias("s"))).scalar()

@@ -5,16 +5,22 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml import classification as mlc, clustering as mlcl, feature as mlf, regression as mlr
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from ..functions.scalars import unit_hash
+from ..session import cut_lineage
 from .evaluate import auc, ece
-from .ordering import bucket_count, quantiles
+from .isotonic import apply_isotonic, fit_isotonic
+from .ordering import bucket_count, join_scan, quantiles, value_counts_scan
+from .sampling import ts_cv
 from .timeline import prior
 
 
@@ -52,11 +58,21 @@ def impute(train, df, cols, strategy="mean") -> DataFrame:
 
 
 def encode_ordinal(df, col, order=None, out=None) -> DataFrame:
-    """Position in a given order, or in the alphabetical order of the (few) categories."""
+    """Position in a given order, or in the alphabetical order of the categories.
+
+    Without an order the categories are numbered inside buckets of their first two characters, shifted by the buckets before, and
+    meet the rows by a join, so there may be any number of them.
+    """
     out = out or f"{col}_code"
-    labels = F.array(*[F.lit(x) for x in order]) if order else df.agg(F.sort_array(F.collect_set(col))).scalar()
-    pos = F.array_position(labels, F.col(col))
-    return df.withColumn(out, F.when(pos > 0, pos - 1))
+    if order:
+        pos = F.array_position(F.array(*[F.lit(x) for x in order]), F.col(col))
+        return df.withColumn(out, F.when(pos > 0, pos - 1))
+    d = df.select(F.col(col).alias("_c")).where("_c is not null").distinct().withColumn("_b", F.substring(F.col("_c").cast("string"), 1, 2))
+    d = d.withColumn("_i", F.row_number().over(Window.partitionBy("_b").orderBy("_c")) - 1)
+    before = Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
+    start = d.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_s"))
+    codes = d.join(start, "_b").select("_c", (F.col("_s") + F.col("_i")).cast("bigint").alias(out))
+    return df.drop(out).join(codes, F.col(col) == F.col("_c"), "left").drop("_c")
 
 
 def one_hot(df, col, values, prefix=None) -> DataFrame:
@@ -234,18 +250,6 @@ def regime_stats(model, df, value, vol) -> DataFrame:
     return g.withColumn("regime", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("volatility")) - 1)  # k rows
 
 
-def fit_isotonic(oof, p, y):
-    """Monotone calibration fitted on out-of-fold scores."""
-    return mlr.IsotonicRegression(featuresCol="_f", labelCol=y, predictionCol="_iso").fit(
-        oof.withColumn("_f", F.col(p).cast("double")).withColumn(y, F.col(y).cast("double")))
-
-
-def apply_isotonic(model, df, p, out="p_cal", eps=1e-6) -> DataFrame:
-    """Calibrated score, kept inside (eps, 1-eps)."""
-    d = model.transform(df.withColumn("_f", F.col(p).cast("double")))
-    return d.withColumn(out, F.greatest(F.lit(eps), F.least(F.lit(1 - eps), F.col("_iso")))).drop("_f", "_iso")
-
-
 def fit_platt(val, p, y):
     """Logistic regression on the score's log odds."""
     return fit_logistic(_logit(val.select(p, y), p), ["_logit"], y)
@@ -285,16 +289,36 @@ def fit_stack(oof, cols, y):
     return fit_logistic(oof, cols, y)
 
 
-def grid_search(df, fit: Callable, grid: list[dict], folds: list[tuple[Column, Column]], y) -> list[tuple[dict, float]]:
-    """Mean AUC of each setting over (train filter, test filter) folds, best first."""
-    out = []
-    for g in grid:
-        aucs = []
-        for tr, te in folds:
-            a = auc(score(fit(df.where(tr), **g), df.where(te), [y]), y, "p").first()["auc"]
-            aucs.append(a if a is not None else 0.5)
-        out.append((g, sum(aucs) / len(aucs)))
-    return sorted(out, key=lambda x: -x[1])
+def cv_rows(df, fold, k) -> DataFrame:
+    """Rows listed once per fold they join: role ``test`` in their own, ``train`` in the others."""
+    return df.withColumn("_own", F.col(fold)).withColumn(fold, F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).withColumn(
+        "role", F.when(F.col("_own") == F.col(fold), "test").otherwise("train")).drop("_own")
+
+
+def time_folds(df, t, k) -> DataFrame:
+    """``k`` expanding folds over time: rows are cut into k + 1 equal periods (rows of one instant stay together), fold f trains
+    on the first f + 1 periods and tests on the next one (columns fold and role)."""
+    s = value_counts_scan(df, t)
+    period = F.least(F.lit(k), F.floor((F.col("n_below") / F.col("n_all")) * (k + 1))).cast("int")
+    return ts_cv(join_scan(df, s.select(t, period.alias("_period")), t), "_period", 1, 1, k).drop("_period")
+
+
+def grid_search(rows, fit: Callable, grid: list[dict], y, threads=4) -> DataFrame:
+    """(setting, mean AUC over folds, number of folds) of every setting, from the fold table ``rows`` (fold, role).
+
+    The fits of all settings and folds run concurrently; their test scores are rated in one pass.  A fold of one class counts 0.5.
+    """
+    folds = sorted(r[0] for r in rows.select("fold").distinct().collect())
+
+    def run(job):
+        i, f = job
+        model = fit(rows.where((F.col("fold") == f) & (F.col("role") == "train")), **grid[i])
+        return score(model, rows.where((F.col("fold") == f) & (F.col("role") == "test")), [y]).select(F.lit(i).alias("setting"), F.lit(f).alias("fold"), y, "p")
+
+    with ThreadPool(threads) as pool:
+        parts = pool.map(inheritable_thread_target(rows.sparkSession)(run), [(i, f) for i in range(len(grid)) for f in folds])
+    each = auc(cut_lineage(reduce(DataFrame.unionByName, parts)), y, "p", by=["setting", "fold"])
+    return each.groupBy("setting").agg(F.avg(F.coalesce("auc", F.lit(0.5))).alias("auc"), F.count(F.lit(1)).alias("folds"))
 
 
 def permuted(df, uid, col, seed=0) -> DataFrame:
@@ -339,49 +363,78 @@ def group_identity_audit(train, test, cols, group, n_trees=30, depth=6) -> DataF
 # ---- topics and vectors of text ---------------------------------------------------------------
 
 
-def _counts(df, tokens, vocab, min_df, tfidf):
-    stages = [mlf.CountVectorizer(inputCol=tokens, outputCol="_tf", vocabSize=vocab, minDF=min_df)]
-    if tfidf:
-        stages.append(mlf.IDF(inputCol="_tf", outputCol="_v"))
-    return stages, ("_v" if tfidf else "_tf")
+def term_ids(df, tokens) -> DataFrame:
+    """(term, id) with ids 0, 1, 2, ...: terms are numbered inside hash buckets, which are shifted by the sizes of those before."""
+    d = df.select(F.explode(tokens).alias("term")).distinct().withColumn("_b", F.pmod(F.xxhash64("term"), F.lit(bucket_count(df.sparkSession))))
+    d = d.withColumn("_i", F.row_number().over(Window.partitionBy("_b").orderBy("term")) - 1)
+    before = Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # one row per bucket
+    start = d.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_s"))
+    return d.join(start, "_b").select("term", (F.col("_s") + F.col("_i")).cast("int").alias("id"))
+
+
+class TopicModel:
+    """Topics over all terms.  The terms stay a table: vectors are built and topics are named by joins on term ids."""
+
+    def __init__(self, terms: DataFrame, n_terms: int, tfidf: bool):
+        self.terms, self.n_terms, self.tfidf = terms, n_terms, tfidf
+        self.column = "_v" if tfidf else "_tf"
 
+    def vectors(self, df, doc, tokens) -> DataFrame:
+        """``df`` with the term counts of its documents; terms not met in the fit are left out."""
+        size = self.n_terms
+        pack = F.udf(lambda cells: Vectors.sparse(size, [c["id"] for c in cells or ()], [c["n"] for c in cells or ()]), VectorUDT())
+        n = df.select(doc, F.explode(tokens).alias("term")).join(self.terms, "term").groupBy(doc, "id").agg(F.count(F.lit(1)).cast("double").alias("n"))
+        cells = n.groupBy(doc).agg(F.sort_array(F.collect_list(F.struct("id", "n"))).alias("_cells"))  # one document's terms
+        return df.join(cells, doc, "left").withColumn("_tf", pack("_cells")).drop("_cells")
 
-def lda(df, tokens, k, vocab=1 << 30, min_df=1, tfidf=False, iters=20):
-    """LDA pipeline on counts (or TF-IDF weights) of all terms; ``vocab`` and ``min_df`` cut only on request."""
-    stages, col = _counts(df, tokens, vocab, min_df, tfidf)
-    return Pipeline(stages=[*stages, mlcl.LDA(k=k, featuresCol=col, seed=0, maxIter=iters)]).fit(df)
+    def transform(self, df, doc, tokens) -> DataFrame:
+        v = self.vectors(df, doc, tokens)
+        return self.model.transform(self.idf.transform(v) if self.tfidf else v).drop("_tf", "_v")
 
 
-def top_words(model, n=10) -> DataFrame:
+def lda(df, doc, tokens, k, tfidf=False, iters=20) -> TopicModel:
+    """LDA on counts (or TF-IDF weights) of all terms."""
+    terms = cut_lineage(term_ids(df, tokens))
+    out = TopicModel(terms, terms.count(), tfidf)
+    v = cut_lineage(out.vectors(df.select(doc, tokens), doc, tokens).select(doc, "_tf"))
+    if tfidf:
+        out.idf = mlf.IDF(inputCol="_tf", outputCol="_v").fit(v)
+        v = out.idf.transform(v)
+    out.model = mlcl.LDA(k=k, featuresCol=out.column, seed=0, maxIter=iters).fit(v)
+    return out
+
+
+def top_words(model: TopicModel, n=10) -> DataFrame:
     """(topic, rank, term, weight); rank 0 is the weakest of the n words."""
-    vocab = model.stages[0].vocabulary
-    d = model.stages[-1].describeTopics(n)
-    w = F.array(*[F.lit(x) for x in vocab])
+    d = model.model.describeTopics(n)
     e = d.select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("i", "z"))
-    return e.select("topic", (F.lit(n - 1) - F.col("i")).alias("rank"), F.get(w, F.col("z.termIndices")).alias("term"), F.col("z.termWeights").alias("weight"))
+    e = e.select("topic", (F.lit(n - 1) - F.col("i")).alias("rank"), F.col("z.termIndices").alias("id"), F.col("z.termWeights").alias("weight"))
+    return e.join(model.terms, "id").select("topic", "rank", "term", "weight")
 
 
-def allocate(model, df, doc) -> DataFrame:
+def allocate(model: TopicModel, df, doc, tokens="tokens") -> DataFrame:
     """Topic mixture and main topic of (unseen) documents."""
-    d = model.transform(df).withColumn("mixture", vector_to_array("topicDistribution"))
+    d = model.transform(df, doc, tokens).withColumn("mixture", vector_to_array("topicDistribution"))
     return d.select(doc, "mixture", (F.array_position("mixture", F.array_max("mixture")) - 1).alias("topic"))
 
 
-def select_k(df, doc, tokens, y, tf, fold, ks) -> DataFrame:
+def select_k(df, doc, tokens, y, tf, fold, ks, threads=4) -> DataFrame:
     """Mean coherence and held-out macro-F1 of a classifier on topic mixtures per k, ranked by the
     sum of both ranks."""
     from .evaluate import classification_report
     from .textops import umass
 
-    rows = []
-    for k in ks:
-        m = lda(df.where(F.col(fold) != 0), tokens, k)
+    def run(k):
+        m = lda(df.where(F.col(fold) != 0), doc, tokens, k)
         coh = umass(tf, doc, top_words(m).select("topic", "rank", "term")).agg(F.avg("coherence")).first()[0]
-        t = m.transform(df)
+        t = cut_lineage(m.transform(df, doc, tokens).select(fold, y, "topicDistribution"))
         clf = mlc.LogisticRegression(featuresCol="topicDistribution", labelCol=y).fit(t.where(F.col(fold) != 0))
         p = clf.transform(t.where(F.col(fold) == 0)).withColumn("prediction", F.col("prediction").cast("int"))
         f1 = classification_report(p, y, "prediction").where("label = 'macro avg'").first()["f1"]
-        rows.append((k, float(coh), float(f1)))
+        return k, float(coh), float(f1)
+
+    with ThreadPool(threads) as pool:  # the values of k are fitted concurrently
+        rows = pool.map(inheritable_thread_target(df.sparkSession)(run), list(ks))
     d = df.sparkSession.createDataFrame(rows, "k int, coherence double, macro_f1 double")
     w = Window.partitionBy(F.lit(0))  # one row per k
     s = F.rank().over(w.orderBy(F.col("coherence").desc())) + F.rank().over(w.orderBy(F.col("macro_f1").desc()))
@@ -394,8 +447,16 @@ def word2vec_docs(df, tokens, size=32, min_count=1, out="vector", partitions=8):
     return m, m.transform(df).withColumn(out, vector_to_array("_w2v")).drop("_w2v")
 
 
-def lsa(df, tokens, k=32, vocab=1000, min_df=2, out="vector"):
-    """TF-IDF vectors projected on k principal directions and scaled to length 1."""
-    stages, col = _counts(df, tokens, vocab, min_df, True)
-    m = Pipeline(stages=[*stages, mlf.PCA(k=k, inputCol=col, outputCol="_pca"), mlf.Normalizer(inputCol="_pca", outputCol="_lsa")]).fit(df)
-    return m, m.transform(df).withColumn(out, vector_to_array("_lsa")).drop("_tf", "_v", "_pca", "_lsa")
+def cluster_taxonomy(vectors, doc, vec, k=None, out="class_label") -> DataFrame:
+    """Classes by k-means over document vectors, for a knowledge base whose folders and headings name none.
+
+    ``k`` defaults to the square root of the documents, 2 to 8.  Classes are named by the order of their smallest document id, so
+    a re-run gives the same names.
+    """
+    n = vectors.count()
+    k = k or max(2, min(8, int(n**0.5)))
+    d = cut_lineage(vectors.select(doc, array_to_vector(F.col(vec)).alias("features")))
+    got = mlcl.KMeans(k=k, seed=0, maxIter=50).fit(d).transform(d).select(doc, "prediction")
+    first = got.groupBy("prediction").agg(F.min(doc).alias("_first"))
+    named = first.select("prediction", F.concat(F.lit("cluster_"), F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_first"))).alias(out))  # k rows
+    return got.join(named, "prediction").select(doc, out)

@@ -1,8 +1,14 @@
-"""Exact nearest neighbours as blocked co-groups with a per-task top-k.
+"""Nearest neighbours with a per-task top-k.
 
-Queries are cut into ``B`` blocks and base rows into ``S`` slices by hash; every (block, slice)
+``block_topk`` is exact: queries are cut into ``B`` blocks and base rows into ``S`` slices by hash; every (block, slice)
 meets in one bounded task that keeps only k rows per query, so neither side is broadcast and no
 pair list is shuffled.  A final ranking merges the S partial lists.
+
+``center_topk`` is exact as well, for a base of a few vectors such as class centroids: below a checked size these are sent to the
+points, which then move nowhere; beyond it, it is ``block_topk``.
+
+``lsh_topk`` is the locality-sensitive form for many queries: rows meet in buckets of random projections, so a vector is copied
+once per table, however many queries there are, and every meeting is reranked by the exact score.
 """
 
 from __future__ import annotations
@@ -13,6 +19,42 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
 
+CENTER_CELLS = 1 << 20  #: numbers in a base that may be sent to all tasks: 8 MB
+
+
+def _id_kind(df: DataFrame, col: str) -> str:
+    kind = dict(df.dtypes)[col]
+    return "bigint" if kind in ("tinyint", "smallint", "int", "bigint") else kind
+
+
+def _scores(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
+    """Rows of x against rows of y; rounded, so that equal vectors tie whatever the block shape."""
+    if metric == "cosine":
+        s = (x @ y.T) / np.maximum(np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)), 1e-300)
+    else:
+        s = 2 * (x @ y.T) - (x * x).sum(1)[:, None] - (y * y).sum(1)[None, :]
+    return np.round(s, 12)
+
+
+def _meeting(k: int, metric: str, exclude_self: bool):
+    """A task that gives the k best base rows (right) of each query (left)."""
+
+    def part(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"q": left["_id"][:0], "b": right["_id"][:0], "score": np.zeros(0)})
+        right = right.sort_values("_id")
+        ids = right["_id"].to_numpy()
+        s = _scores(np.vstack(left["_v"].to_numpy()), np.vstack(right["_v"].to_numpy()), metric)
+        if exclude_self:
+            s[left["_id"].to_numpy()[:, None] == ids[None, :]] = -np.inf
+        kk = min(k, len(ids))
+        top = np.argsort(-s, axis=1, kind="stable")[:, :kk]
+        d = pd.DataFrame({"q": np.repeat(left["_id"].to_numpy(), kk), "b": ids[top.ravel()], "score": np.take_along_axis(s, top, axis=1).ravel()})
+        return d[np.isfinite(d["score"])]
+
+    return part
+
+
 def block_topk(
     queries: DataFrame, base: DataFrame, qid: str, bid: str, vec: str, k: int, metric="cosine", bias: str | None = None,
     restrict: str | None = None, q_block=2048, b_slice=50_000, exclude_self=False,
@@ -20,11 +62,10 @@ def block_topk(
     """Top-k base rows per query: (qid, bid, score, rank); ties go to the smaller base id.
 
     ``metric`` is cosine (largest first) or l2 (smallest squared distance first, score negative).
-    ``restrict`` names a column both sides must share.  Ids may be of any type; integers come back as bigint.
+    ``restrict`` names a column both sides must share; it is a key of the meetings.  Ids may be of any type; integers come back
+    as bigint.
     """
-    whole = ("tinyint", "smallint", "int", "bigint")
-    kinds = [dict(d.dtypes)[c] for d, c in ((queries, qid), (base, bid))]
-    q_kind, b_kind = ["bigint" if k in whole else k for k in kinds]
+    q_kind, b_kind = _id_kind(queries, qid), _id_kind(base, bid)
     n_q, n_b = queries.count(), base.count()
     blocks, slices = max(1, -(-n_q // q_block)), max(1, -(-n_b // b_slice))
     group = F.col(restrict).cast("string") if restrict else F.lit("")
@@ -39,36 +80,90 @@ def block_topk(
         F.pmod(F.xxhash64(bid), F.lit(slices)).cast("int").alias("_slc"),
     )
 
-    def part(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"q": left["_id"][:0], "b": right["_id"][:0], "score": np.zeros(0)})
-        found = []
-        for g, lg in left.groupby("_g"):
-            rg = right[right["_g"] == g]
-            if not len(rg):
-                continue
-            rg = rg.sort_values("_id")
-            x, y = np.vstack(lg["_v"].to_numpy()), np.vstack(rg["_v"].to_numpy())
-            ids = rg["_id"].to_numpy()
-            if metric == "cosine":
-                nx, ny = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
-                s = (x @ y.T) / np.maximum(np.outer(nx, ny), 1e-300)
-            else:
-                s = 2 * (x @ y.T) - (x * x).sum(1)[:, None] - (y * y).sum(1)[None, :]
-            s = np.round(s, 12)  # equal vectors tie whatever the block shape
-            if exclude_self:
-                s[lg["_id"].to_numpy()[:, None] == ids[None, :]] = -np.inf
-            kk = min(k, len(ids))
-            top = np.argsort(-s, axis=1, kind="stable")[:, :kk]
-            sc = np.take_along_axis(s, top, axis=1).ravel()
-            d = pd.DataFrame({"q": np.repeat(lg["_id"].to_numpy(), kk), "b": ids[top.ravel()], "score": sc})
-            found.append(d[np.isfinite(d["score"])])
-        return pd.concat(found) if found else empty
-
     got = (
-        q.groupBy("_blk", "_slc").cogroup(b.groupBy("_blk", "_slc"))
-        .applyInPandas(part, f"q {q_kind}, b {b_kind}, score double")
+        q.groupBy("_g", "_blk", "_slc").cogroup(b.groupBy("_g", "_blk", "_slc"))
+        .applyInPandas(_meeting(k, metric, exclude_self), f"q {q_kind}, b {b_kind}, score double")
     )
     # at most k * slices rows per query reach the ranking
     w = Window.partitionBy("q").orderBy(F.col("score").desc(), "b")
     ranked = got.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
     return ranked.withColumnsRenamed({"q": qid, "b": bid if bid != qid else f"{bid}_base"})
+
+
+def center_topk(points: DataFrame, centers: DataFrame, uid: str, cid: str, vec: str, k: int, metric="cosine", limit=CENTER_CELLS) -> DataFrame:
+    """Top-k centres per point, as ``block_topk``; centres of at most ``limit`` numbers go to the points instead of meeting them."""
+    rows = centers.select(F.col(cid).cast(_id_kind(centers, cid)).alias("c"), F.col(vec).cast("array<double>").alias("v")).where("v is not null").limit(limit + 1)
+    size = rows.agg(F.coalesce(F.sum(F.size("v") + 1), F.lit(0))).first()[0]
+    if size > limit:
+        return block_topk(points, centers, uid, cid, vec, k, metric)
+    found = sorted((r["c"], r["v"]) for r in rows.collect())
+    names = [c for c, _ in found]
+    y = np.array([v for _, v in found], float)
+    shared = points.sparkSession.sparkContext.broadcast(y)
+
+    @F.pandas_udf("array<struct<i:int,score:double>>")
+    def best(v: pd.Series) -> pd.Series:
+        out = np.full(len(v), None, object)
+        there = np.flatnonzero(v.notna().to_numpy())
+        if len(there) and len(shared.value):
+            s = _scores(np.vstack(v.to_numpy()[there]).astype(float), shared.value, metric)
+            top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+            for row, t, sc in zip(there, top.tolist(), np.take_along_axis(s, top, axis=1).tolist()):
+                out[row] = [{"i": i, "score": x} for i, x in zip(t, sc)]
+        return pd.Series(out)
+
+    got = points.select(F.col(uid).cast(_id_kind(points, uid)).alias(uid), best(F.col(vec).cast("array<double>")).alias("_b"))
+    got = got.select(uid, F.posexplode("_b").alias("_p", "_x"))
+    labels = F.array(*[F.lit(c) for c in names]).cast(f"array<{_id_kind(centers, cid)}>")
+    name = cid if cid != uid else f"{cid}_base"
+    return got.select(uid, F.get(labels, F.col("_x.i")).alias(name), F.col("_x.score").alias("score"), (F.col("_p") + 1).cast("bigint").alias("rank"))
+
+
+def lsh_topk(
+    queries: DataFrame, base: DataFrame, qid: str, bid: str, vec: str, k: int, metric="cosine", tables=16, directions=16, probes=2,
+    slice_rows=50_000, exclude_self=False, seed=0,
+) -> DataFrame:
+    """Approximate top-k base rows per query: (qid, bid, score, rank), scores exact, ties to the smaller base id.
+
+    In each of ``tables`` a vector is projected on ``directions`` random directions; its bucket is the direction, with its sign, of
+    the largest projection, so vectors of a small angle tend to share it.  A query opens its ``probes`` best buckets per table.
+    Buckets of more than ``slice_rows`` base rows are met in slices.  More tables and probes give more recall; vectors are compared
+    by angle, so under ``l2`` their lengths should be alike.  A query whose buckets hold nobody has no rows.
+    """
+    kinds = _id_kind(queries, qid), _id_kind(base, bid)
+
+    def buckets(n: int):
+        @F.pandas_udf("array<int>")
+        def code(v: pd.Series) -> pd.Series:
+            out = np.full(len(v), None, object)
+            there = np.flatnonzero(v.notna().to_numpy())
+            if len(there):
+                x = np.vstack(v.to_numpy()[there]).astype(float)
+                turn = np.random.default_rng(seed).standard_normal((tables, x.shape[1], directions))
+                codes = []
+                for t in range(tables):
+                    p = x @ turn[t]
+                    best = np.argsort(-np.concatenate([p, -p], axis=1), axis=1, kind="stable")[:, :n]
+                    codes.append(best + 2 * directions * t)
+                for row, c in zip(there, np.concatenate(codes, axis=1).tolist()):
+                    out[row] = c
+            return pd.Series(out)
+
+        return code
+
+    def dealt(df, key, kind, n):
+        d = df.select(F.col(key).cast(kind).alias("_id"), F.col(vec).cast("array<double>").alias("_v"))
+        return d.withColumn("_bucket", F.explode(buckets(n)("_v")))
+
+    there = dealt(base, bid, kinds[1], 1)
+    size = there.groupBy("_bucket").agg(F.ceil(F.count(F.lit(1)) / slice_rows).cast("int").alias("_slices"))  # a row per bucket
+    there = there.join(size, "_bucket").withColumn("_slc", F.pmod(F.xxhash64("_id"), F.col("_slices")).cast("int"))
+    asked = dealt(queries, qid, kinds[0], probes).join(size, "_bucket").withColumn("_slc", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1)))
+    got = (
+        asked.select("_id", "_v", "_bucket", "_slc").groupBy("_bucket", "_slc")
+        .cogroup(there.select("_id", "_v", "_bucket", "_slc").groupBy("_bucket", "_slc"))
+        .applyInPandas(_meeting(k, metric, exclude_self), f"q {kinds[0]}, b {kinds[1]}, score double")
+    )
+    w = Window.partitionBy("q").orderBy(F.col("score").desc(), "b")
+    ranked = got.distinct().withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
+    return ranked.withColumnsRenamed({"q": qid, "b": bid if bid != qid else f"{bid}_base"})

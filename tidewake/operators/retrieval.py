@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from .nearest import block_topk
+from .index import bm25_index, match_index, search_index
+from .nearest import block_topk, center_topk
 from .ranking import topk_by
 from .sampling import with_replicates
 
@@ -61,7 +62,7 @@ def assign(df, uid, vec, cents, label) -> DataFrame:
 
 
 def _nearest(df, uid, vec, cents, label, k):
-    return block_topk(df.select(uid, F.col(vec).alias("_vec")), cents.select(label, F.col("centroid").alias("_vec")), uid, label, "_vec", k)
+    return center_topk(df.select(uid, F.col(vec).alias("_vec")), cents.select(label, F.col("centroid").alias("_vec")), uid, label, "_vec", k)
 
 
 def membership(df, uid, vec, own, cents, label, n_classes, threshold=0.25) -> DataFrame:
@@ -72,7 +73,7 @@ def membership(df, uid, vec, own, cents, label, n_classes, threshold=0.25) -> Da
 
 def align_topics(topics, tid, tvec, kb, kid, kvec, n_kb, strong=0.6, multi=0.4) -> DataFrame:
     """Single / multi / gap decision from the similarities of a topic to the knowledge-base classes."""
-    d = block_topk(topics.select(tid, F.col(tvec).alias("_vec")), kb.select(kid, F.col(kvec).alias("_vec")), tid, kid, "_vec", n_kb)
+    d = center_topk(topics.select(tid, F.col(tvec).alias("_vec")), kb.select(kid, F.col(kvec).alias("_vec")), tid, kid, "_vec", n_kb)
     g = d.groupBy(tid).agg(
         F.max("score").alias("best"), F.max_by(kid, "score").alias("best_class"), F.sum((F.col("score") >= multi).cast("int")).alias("n_multi"))
     dec = F.when((F.col("best") >= strong) & (F.col("n_multi") <= 1), "single").when(F.col("n_multi") >= 2, "multi").when(
@@ -85,24 +86,9 @@ def dense_topk(q, c, qid, cid, vec, k, restrict=None) -> DataFrame:
     return block_topk(q, c, qid, cid, vec, k, restrict=restrict)
 
 
-def bm25_topk(q_tf, c_tf, qid, cid, n_docs: Column, k, k1=1.5, b=0.75, epsilon=0.25, restrict=None) -> DataFrame:
-    """Okapi BM25 top-k; a negative idf is replaced by epsilon times the mean idf.
-
-    Postings meet query terms in an equi-join whose hot terms the adaptive skew join splits; scores are
-    summed per (query, doc) with map-side combining and cut by a salted top-k.
-    """
-    df_ = c_tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    df_ = df_.withColumn("_idf", F.ln((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    floor = df_.agg(F.avg("_idf") * epsilon).scalar()
-    df_ = df_.withColumn("idf", F.when(F.col("_idf") < 0, floor).otherwise(F.col("_idf"))).select("term", "idf")
-    q = q_tf.select(qid, "term", F.col("tf").alias("_qtf"), *([restrict] if restrict else [])).join(df_, "term")
-    dl = c_tf.groupBy(cid).agg(F.sum("tf").alias("_dl"))
-    avgdl = dl.agg(F.sum("_dl")).scalar() / n_docs
-    on = ["term", *([restrict] if restrict else [])]
-    j = c_tf.join(dl, cid).join(q, on)
-    s = F.col("_qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("_dl") / avgdl))
-    g = j.groupBy(qid, cid).agg(F.round(F.sum(s), 9).alias("score"))
-    return topk_by(g, qid, "score", cid, k)
+def bm25_topk(q_tf, c_tf, qid, cid, n_docs: Column, k, k1=1.5, b=0.75, epsilon=0.25) -> DataFrame:
+    """Okapi BM25 top-k over an index built here; keep the index to search it again."""
+    return search_index(bm25_index(c_tf, cid, n_docs, k1, b, epsilon), q_tf, qid, cid, k)
 
 
 def rrf(lists: list[DataFrame], qid, cid, k, k0=60) -> DataFrame:
@@ -130,7 +116,7 @@ def rerank_lexical(cand, q_tf, c_tf, qid, cid, n_docs: Column, k) -> DataFrame:
     return topk_by(g, qid, "score", cid, k)
 
 
-def retrieval_at_k(ranked, gold, qid, cid, ks, arch="arch", b=100, seed=0) -> DataFrame:
+def retrieval_at_k(ranked, gold, qid, cid, ks, arch="arch", b=500, seed=0) -> DataFrame:
     """Share of queries with a gold item in the first k, with a bootstrap interval, per architecture."""
     archs = ranked.select(arch).distinct()
     q = gold.select(qid).distinct().withColumn("_archs", archs.agg(F.sort_array(F.collect_set(arch))).scalar())
@@ -167,9 +153,9 @@ def route(arch, q, c, qid, cid, vec, label, k, classes=None, rules=None, sparse=
         cl = classes
         if arch == "B" and rules is not None:
             cl = rules.unionByName(classes.join(rules, qid, "left_anti"))
-        qq = q.join(cl.select(qid, label).distinct(), qid)
-        # one sub-query per (query, class): same query id, merged by score afterwards
-        got = block_topk(qq.withColumn("_qc", F.xxhash64(qid, label)), c, "_qc", cid, vec, k, restrict=label)
-        got = got.join(qq.select(F.xxhash64(qid, label).alias("_qc"), qid), "_qc").groupBy(qid, cid).agg(F.max("score").alias("score"))
+        # one sub-query per (query, class), merged by score afterwards
+        both = F.to_json(F.struct(F.col(qid).alias("q"), F.col(label).alias("l")))
+        qq = q.join(cl.select(qid, label).distinct(), qid).withColumn("_qc", both)
+        got = block_topk(qq, c, "_qc", cid, vec, k, restrict=label).join(qq.select("_qc", qid), "_qc").groupBy(qid, cid).agg(F.max("score").alias("score"))
         out = topk_by(got, qid, "score", cid, k)
     return out.select(qid, cid, "score", "rank").withColumn("arch", F.lit(arch))

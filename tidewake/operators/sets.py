@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from .joins import first_rows
@@ -37,20 +39,46 @@ def except_keys(a: DataFrame, b: DataFrame, key) -> DataFrame:
     return a.select(*keys).distinct().join(b.select(*keys).distinct(), keys, "left_anti")
 
 
-def jaccard_pairs(df: DataFrame, key: str, member: str) -> DataFrame:
+def jaccard_pairs(df: DataFrame, key: str, member: str, block=512, members_per_slice=8192) -> DataFrame:
     """Jaccard of the member sets of every pair of keys that share a member; all other pairs have 0.
 
-    Each member lists the keys that hold it; pairs are counted from those short lists and combined
-    map-side, so no member set is ever collected.
+    Keys are cut into blocks and members into slices; a task takes two blocks of keys of one slice and counts what they share by a
+    matrix product, so a member that very many keys hold is spread over blocks and only counts leave a task.
     """
-    d = df.select(key, member).distinct()
-    sizes = d.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    lists = d.groupBy(member).agg(F.sort_array(F.collect_list(key)).alias("ks"))
-    i = lists.select("ks", F.posexplode("ks").alias("p", "a"))
-    both = i.select("a", F.explode(F.slice("ks", F.col("p") + 2, F.size("ks"))).alias("b"))
-    both = both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"))
+    d = df.select(F.col(key).alias("k"), F.col(member).alias("m")).where("k is not null and m is not null").distinct()
+    sizes = d.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    n = d.agg(F.approx_count_distinct("k").alias("k"), F.approx_count_distinct("m").alias("m")).first()
+    blocks, slices = max(1, -(-n["k"] // block)), max(1, -(-n["m"] // members_per_slice))
+    kind = dict(d.dtypes)["k"]
+    spot = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
+    d = d.select("k", "m", spot("k", blocks).alias("own"), spot("m", slices).alias("slice"))
+    left = d.withColumn("a", F.col("own")).withColumn("b", F.explode(F.sequence(F.col("own"), F.lit(blocks - 1))))
+    right = d.toDF(*d.columns).withColumn("b", F.col("own")).withColumn("a", F.explode(F.sequence(F.lit(0), F.col("own"))))
+
+    def count(key, l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        at = pd.concat([l["m"], r["m"]]).drop_duplicates().reset_index(drop=True)
+        place = pd.Series(at.index, index=at)
+
+        def table(x):
+            keys, i = np.unique(x["k"].to_numpy(), return_inverse=True)
+            m = np.zeros((len(keys), len(at)), np.float32)  # counts of a slice are far below 2^24
+            m[i, place[x["m"]].to_numpy()] = 1.0
+            return keys, m
+
+        (lk, x), (rk, y) = table(l), table(r)
+        both = x @ y.T if len(lk) and len(rk) else np.zeros((len(lk), len(rk)))
+        p, q = np.nonzero(both)
+        keep = lk[p] < rk[q] if key[0] == key[1] else np.ones(len(p), bool)
+        p, q = p[keep], q[keep]
+        one, two = lk[p], rk[q]
+        swap = one > two
+        return pd.DataFrame({"a": np.where(swap, two, one), "b": np.where(swap, one, two), "common": both[p, q].astype("int64")})
+
+    cols = ["k", "m", "a", "b", "slice"]
+    both = left.select(*cols).groupBy("a", "b", "slice").cogroup(right.select(*cols).groupBy("a", "b", "slice")).applyInPandas(
+        count, f"a {kind}, b {kind}, common bigint").groupBy("a", "b").agg(F.sum("common").alias("common"))
     for side in ("a", "b"):
-        both = both.join(sizes.select(F.col(key).alias(side), F.col("n").alias(f"n_{side}")), side)
+        both = both.join(sizes.select(F.col("k").alias(side), F.col("n").alias(f"n_{side}")), side)
     union = F.col("n_a") + F.col("n_b") - F.col("common")
     return both.select("a", "b", "common", (F.col("common") / union).alias("jaccard"))
 

@@ -7,13 +7,14 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import scalars as s, text as tx
-from ..operators import aggregate as ag, cluster as cl, evaluate as ev, models as m, sampling as sm, textops as n
+from ..operators import aggregate as ag, cluster as cl, evaluate as ev, factor as fa, isolation, isotonic, models as m, sampling as sm, textops as n
+from ..operators.nearest import lsh_topk
 from ..schemas import EVENTS
 from ..session import shared_dir
 from ..streaming import streams as st
 from .registry import query
 from .series_queries import MS, monthly
-from .text_queries import labelled_tf, tf, toks
+from .text_queries import TF_SQL, labelled_tf, n_docs, tf, toks
 from .trades import TRADES_SQL, r, trades
 
 FEATS = ["log_chars", "word_share", "digit_share", "mark_share", "mean_word"]
@@ -255,10 +256,17 @@ def _(t):
     return r(cl.knn_grid(tr, te, "vec_id", "b_id", "embedding", "label", [1, 3, 5, 9]), "accuracy")
 
 
+@query("T24c_knn_lsh", "SELECT count(*) AS n, true AS all_predicted FROM embeddings WHERE vec_id % 4 = 0")
+def _(t):
+    tr, te = knn_sides(t)
+    d = te.select("vec_id").join(cl.knn_classify(tr, te, "vec_id", "b_id", "embedding", "label", 5, lsh_topk), "vec_id", "left")
+    return d.agg(F.count("*").alias("n"), F.bool_and(F.col("prediction").isNotNull()).alias("all_predicted"))
+
+
 @query("T25_iforest_score")
 def _(t):
     d = t.lineitem.select((F.col("l_orderkey") * 1000000 + F.col("l_partkey")).alias("uid"), "l_quantity", "l_extendedprice", "l_discount")
-    return r(cl.iforest_score(d, d, "uid", ["l_quantity", "l_extendedprice", "l_discount"], 25, 128), "anomaly")
+    return r(isolation.iforest_score(d, "uid", ["l_quantity", "l_extendedprice", "l_discount"], F.col("uid") % 5 != 0), "anomaly")
 
 
 @query("T26_zscore_flags", "WITH s AS (SELECT avg(value) AS m, stddev_samp(value) AS s FROM events) SELECT event_id, round((value - m) / s, 6) AS z, (abs((value - m) / s) > 3)::INTEGER AS z_flag FROM events, s")
@@ -302,6 +310,27 @@ def _(t):
     return r(d.select("doc_id", "quality", "p", "p_cal"), "p", "p_cal")
 
 
+PAV_SQL = """WITH d AS (SELECT round(o_totalprice / 5000)::DOUBLE AS p, (o_orderstatus = 'F')::INTEGER AS y FROM orders),
+  g AS (SELECT p, sum(y)::DOUBLE AS s, count(*)::DOUBLE AS n FROM d GROUP BY 1), c AS (SELECT p, row_number() OVER w AS i, sum(s) OVER w AS cs, sum(n) OVER w AS cn, s, n FROM g WINDOW w AS (ORDER BY p)),
+  a AS (SELECT i.p, j.i AS j, min((k.cs - j.cs + j.s) / (k.cn - j.cn + j.n)) AS low FROM c i JOIN c j ON j.i <= i.i JOIN c k ON k.i >= i.i GROUP BY i.p, j.i),
+  f AS (SELECT p, max(low) AS v FROM a GROUP BY 1)"""
+
+
+def price_scores(t):
+    return t.orders.select("o_orderkey", F.round(F.col("o_totalprice") / 5000).alias("p"), (F.col("o_orderstatus") == "F").cast("int").alias("y"))
+
+
+@query("T29b_isotonic_blocks", f"{PAV_SQL} SELECT min(p) AS lo, max(p) AS hi, round(v, 9) AS value FROM f GROUP BY v")
+def _(t):
+    return r(isotonic.fit_isotonic(price_scores(t), "p", "y").select("lo", "hi", "value"), "value", digits=9)
+
+
+@query("T29c_isotonic_scores", f"{PAV_SQL} SELECT o_orderkey, round(least(greatest(v, 1e-6), 1 - 1e-6), 6) AS p_cal FROM orders JOIN f ON round(o_totalprice / 5000) = p")
+def _(t):
+    d = price_scores(t)
+    return r(isotonic.apply_isotonic(isotonic.fit_isotonic(d, "p", "y"), d, "p").select("o_orderkey", "p_cal"), "p_cal")
+
+
 @query("T30_fit_calibrator")
 def _(t):
     best, _, result = m.fit_calibrator(compact(oof(t)), "p", "quality", "fold", 3)
@@ -317,18 +346,36 @@ def _(t):
     return r(m.score(m.fit_stack(z, ["p_logit", "p_forest"], "quality"), z, ["doc_id", "quality", "p_logit", "p_forest"]), "p_logit", "p_forest", "p")
 
 
+GRID = [{"reg": a, "l1": b} for a in (0.001, 0.1) for b in (0.0, 1.0)]
+
+
+def search(t, rows):
+    got = m.grid_search(rows, lambda x, reg, l1: m.fit_logistic(x, FEATS, "quality", reg, l1), GRID, "quality")
+    setting = F.array(*[F.struct(F.lit(g["reg"]).alias("reg"), F.lit(g["l1"]).alias("l1")) for g in GRID])[F.col("setting")]
+    return r(got.withColumn("_g", setting).select("_g.reg", "_g.l1", "folds", "auc"), "auc")
+
+
 @query("T32_grid_search")
 def _(t):
-    d = labelled_features(t)
-    folds = [(F.col("fold") != i, F.col("fold") == i) for i in range(2)]
-    got = m.grid_search(d, lambda x, reg, l1: m.fit_logistic(x, FEATS, "quality", reg, l1, iters=8), [{"reg": a, "l1": b} for a in (0.001, 0.1) for b in (0.0, 1.0)], folds, "quality")
-    return r(t.spark.createDataFrame([(g["reg"], g["l1"], float(a)) for g, a in got], "reg double, l1 double, auc double"), "auc")
+    return search(t, compact(m.cv_rows(labelled_features(t), "fold", 3)))
+
+
+@query("T32b_grid_search_time")
+def _(t):
+    return search(t, compact(m.time_folds(labelled_features(t).drop("fold"), "doc_id", 5)))
+
+
+@query("T32c_time_folds", """WITH p AS (SELECT o_orderkey, least(5, floor((rank() OVER (ORDER BY o_orderdate) - 1) / (count(*) OVER ())::DOUBLE * 6)) AS period FROM orders)
+  SELECT fold::INTEGER AS fold, CASE WHEN period <= fold THEN 'train' ELSE 'test' END AS role, count(*) AS n FROM p, (SELECT unnest([0, 1, 2, 3, 4]) AS fold) WHERE period <= fold + 1 GROUP BY ALL""")
+def _(t):
+    d = t.orders.select("o_orderkey", F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("sec"))
+    return m.time_folds(d, "sec", 5).groupBy("fold", "role").agg(F.count("*").alias("n"))
 
 
 @query("T33_permutation_importance")
 def _(t):
     tr, te = split(t, labelled_features)
-    return r(m.permutation_importance(m.fit_logistic(tr, FEATS, "quality", 0.01), te, FEATS[:3], "quality", "doc_id", 1), "importance", "std")
+    return r(m.permutation_importance(m.fit_logistic(tr, FEATS, "quality", 0.01), te, FEATS, "quality", "doc_id"), "importance", "std")
 
 
 @query("T34_group_identity_audit")
@@ -349,33 +396,52 @@ def doc_tokens(t):
 
 @query("N17_lda_topics")
 def _(t):
-    d = compact(toks(t), 20_000)
-    mod = m.lda(d, "tokens", 4, iters=5)
-    return r(m.top_words(mod), "weight", digits=4)
+    return r(m.top_words(m.lda(compact(toks(t), 20_000), "doc_id", "tokens", 4)), "weight", digits=4)
 
 
 @query("N17b_lda_allocation")
 def _(t):
-    d = compact(toks(t), 20_000)
-    return m.allocate(m.lda(d, "tokens", 4, tfidf=True, iters=5), n.tokens_of(t.benchmark, "item_id", "text"), "item_id").select("item_id", "topic")
+    model = m.lda(compact(toks(t), 20_000), "doc_id", "tokens", 4, tfidf=True)
+    return m.allocate(model, n.tokens_of(t.benchmark, "item_id", "text"), "item_id").select("item_id", "topic")
+
+
+@query("N17c_term_ids", f"WITH {TF_SQL}, v AS (SELECT count(DISTINCT term) AS n FROM tk) SELECT n AS terms, n AS ids, (n - 1)::INTEGER AS last FROM v")
+def _(t):
+    return m.term_ids(toks(t), "tokens").agg(F.count_distinct("term").alias("terms"), F.count_distinct("id").alias("ids"), F.max("id").alias("last"))
 
 
 @query("N19_select_k")
 def _(t):
     d = compact(doc_tokens(t), 20_000)
-    return r(m.select_k(d, "doc_id", "tokens", "quality", tf(t), "fold", [2, 3]), "coherence", "macro_f1", digits=4)
+    return r(m.select_k(d, "doc_id", "tokens", "quality", tf(t), "fold", range(2, 9)), "coherence", "macro_f1", digits=4)
+
+
+@query("N23b_cluster_taxonomy")
+def _(t):
+    d = t.documents.select("doc_id", F.lit("").alias("folder"), F.lit("").alias("heading"))
+    vectors = lambda _: m.cluster_taxonomy(latent(t)[1], "doc_id", "vector")
+    return n.derive_taxonomy(d, ["folder", "heading"], vectors).select("doc_id", "class_label")
 
 
 @query("N37_word2vec_docs")
 def _(t):
-    _, d = m.word2vec_docs(compact(toks(t), 20_000), "tokens", 16, 20)
+    _, d = m.word2vec_docs(compact(toks(t), 20_000), "tokens", 16)
     return d.select("doc_id", F.size("vector").alias("dims"), F.round(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)), 4).alias("norm"))
 
 
+def latent(t):
+    return fa.lsa(tf(t), t.documents, "doc_id", n_docs(t), 8)
+
+
 @query("N38_lsa")
 def _(t):
-    _, d = m.lsa(compact(toks(t), 20_000), "tokens", 8, 300)
-    return d.select("doc_id", F.transform("vector", lambda x: F.round(x, 4)).alias("vector"))
+    return latent(t)[1].select("doc_id", F.transform("vector", lambda x: F.round(x, 4)).alias("vector"))
+
+
+@query("N38b_singular_values")
+def _(t):
+    values, _ = latent(t)
+    return r(t.spark.createDataFrame([(i + 1, float(x)) for i, x in enumerate(values)], "component int, singular_value double"), "singular_value")
 
 
 # ---- X ----

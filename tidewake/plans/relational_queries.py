@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as s, text as tx
 from ..operators import joins as j, project as p, ranking as k, sets as u
-from ..operators.nearest import block_topk
+from ..operators.nearest import block_topk, lsh_topk
 from ..session import shared_dir
-from ..sources import readers as rd, writers as wr
+from ..sources import readers as rd, versions as vs, writers as wr
 from .registry import query
 from .trades import TRADES_SQL, r, trades
 
@@ -104,6 +104,17 @@ def _(t):
     return d.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
+@query("S10b_replace_table", "SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice) * 2, 2) AS total FROM orders GROUP BY 1")
+def _(t):
+    path = out_dir(t, "table")
+    vs.replace_table(t.orders.select("o_orderkey", "o_orderstatus", "o_totalprice"), path)
+    old = vs.read_table(t.spark, path)
+    vs.replace_table(old.withColumn("o_totalprice", F.col("o_totalprice") * 2), path)  # of its own rows
+    vs.stage(old.limit(1), path)  # a job that died before it published
+    d = vs.read_table(t.spark, path)
+    return d.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
 @query("S11_sink_bucketed", "SELECT count(*) AS n, count(DISTINCT o_custkey) AS keys FROM orders")
 def _(t):
     path = wr.sink_bucketed(t.orders.select("o_orderkey", "o_custkey"), out_dir(t, "bk"), "o_custkey", 8)
@@ -126,6 +137,19 @@ def _(t):
     return d.agg(F.count("*").alias("n"), F.sum("o_custkey").alias("key_sum"))
 
 
+@query("S13b_new_shards", "SELECT 2 AS first, 1 AS second, 0 AS third, count(*) AS n, CAST(sum(o_custkey) AS BIGINT) AS key_sum FROM orders")
+def _(t):
+    base, out = out_dir(t, "arriving"), out_dir(t, "covered")
+    taken = []
+    for shards in ([0, 1], [2], []):
+        for i in shards:
+            wr.sink_parquet(t.orders.where(F.pmod("o_orderkey", F.lit(3)) == i).select("o_orderkey", "o_custkey").coalesce(1), f"{base}/shard{i}")
+        vs.stage_new_shards(t.spark, base, out)  # a run that died before it published
+        taken.append(vs.take_new_shards(t.spark, base, out))
+    d = vs.read_shards(t.spark, out).agg(F.count("*").alias("n"), F.sum("o_custkey").alias("key_sum"))
+    return d.select(*[F.lit(x).alias(c) for x, c in zip(taken, ("first", "second", "third"))], "n", "key_sum")
+
+
 # ---- P ----
 @query("P01_to_canonical_trades", """SELECT CAST(event_id AS VARCHAR) AS trade_id, CAST(floor(epoch(ts)) AS BIGINT) AS timestamp,
   upper(event_type) AS direction, value AS usd_amount, to_timestamp(floor(epoch(ts)))::TIMESTAMP AS ts_dt FROM events""")
@@ -345,6 +369,20 @@ def _(t):
     return r(d, "score").select("q_id", "vec_id", "score", "rank")
 
 
+@query("J13b_lsh_join")
+def _(t):
+    q = t.embeddings.select(F.col("vec_id").alias("q_id"), "embedding")
+    return r(lsh_topk(q, t.embeddings, "q_id", "vec_id", "embedding", 5, exclude_self=True), "score").select("q_id", "vec_id", "score", "rank")
+
+
+@query("J13c_lsh_recall", "SELECT count(*) AS queries, true AS recall_90 FROM embeddings")
+def _(t):
+    q = t.embeddings.select(F.col("vec_id").alias("q_id"), "embedding")
+    exact, found = [f(q, t.embeddings, "q_id", "vec_id", "embedding", 5, exclude_self=True).select("q_id", "vec_id") for f in (block_topk, lsh_topk)]
+    per = exact.join(found.withColumn("hit", F.lit(1)), ["q_id", "vec_id"], "left").groupBy("q_id").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("share"))
+    return per.agg(F.count("*").alias("queries"), (F.avg("share") >= 0.9).alias("recall_90"))
+
+
 # ---- K ----
 @query("K01_top_fraction", "SELECT o_orderkey FROM orders QUALIFY row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) <= greatest(1, floor(count(*) OVER () * 0.01))")
 def _(t):

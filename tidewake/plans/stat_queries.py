@@ -169,9 +169,17 @@ def _(t):
                               F.col("text").rlike(r"[A-Z][a-z]+ing\b").cast("int").alias("has_ing"))
 
 
-@query("F18_sanitise_markup", "SELECT page_id, length(trim(" + rx("html", (r"data:image/[^;]+;base64,[A-Za-z0-9+/=\s]+", ""), (r"!\[.*?\]\(.*?\)", ""), (r"<[^>]+>", " "), (r"\b[A-Za-z0-9+/]{40,}\b", ""), (r"[ \t]+", " "), (r"\n{3,}", "\n\n")) + ")) AS n FROM pages")
+PAGE_SQL = r"""p AS (SELECT page_id, html || chr(10) || '| a | b |' || chr(10) || '|:---|---:|' || chr(10) || '![x](y.png) ' || repeat('QUJD', 12) || '== data:image/png;base64,QUJD end' AS html FROM pages),
+  l AS (SELECT page_id, list_filter(string_split(regexp_replace(html, 'data:[^;,\s]+;base64,[A-Za-z0-9+/=]*|!\[[^\]]*\]\([^)]*\)|<[^<>]*>', ' ', 'g'), chr(10)), lambda x: NOT regexp_matches(x, '^[\s|:+=-]*---[\s|:+=-]*$')) AS ls FROM p),
+  w AS (SELECT page_id, array_to_string(list_transform(ls, lambda x: coalesce(array_to_string(list_filter(regexp_split_to_array(x, '\s+'), lambda y: y <> '' AND NOT regexp_matches(y, '^[A-Za-z0-9+/]{40,}={0,2}$')), ' '), '')), chr(10)) AS t FROM l),
+  z AS (SELECT page_id, regexp_replace(regexp_replace(t, '\n\n+', chr(10) || chr(10), 'g'), '^\n+|\n+$', '', 'g') AS t FROM w)"""
+
+
+@query("F18_sanitise_markup", f"WITH {PAGE_SQL} SELECT page_id, length(t) AS n, md5(t) AS digest FROM z")
 def _(t):
-    return t.pages.select("page_id", F.length(tx.sanitise_markup("html")).cast("bigint").alias("n"))
+    extra = "\n| a | b |\n|:---|---:|\n![x](y.png) " + "QUJD" * 12 + "== data:image/png;base64,QUJD end"
+    d = t.pages.select("page_id", tx.sanitise_markup(F.concat("html", F.lit(extra))).alias("t"))
+    return d.select("page_id", F.length("t").cast("bigint").alias("n"), F.md5("t").alias("digest"))
 
 
 @query("F19_slugify", "SELECT event_id, regexp_replace(regexp_replace(lower(props || event_type), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM events")
@@ -216,9 +224,9 @@ def _(t):
 @query("F26_to_config_json", """SELECT r_regionkey, '{"region":"' || r_name || '","nations":[' || string_agg('"' || n_name || '"', ',' ORDER BY n_name) || '],"n":' || count(*) || '}' AS config
   FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY r_regionkey, r_name""")
 def _(t):
-    d = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_regionkey", "r_name").agg(
-        F.sort_array(F.collect_set("n_name")).alias("nations"), F.count("*").alias("n"))
-    return d.select("r_regionkey", F.to_json(F.struct(F.col("r_name").alias("region"), "nations", "n")).alias("config"))
+    d = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    parts = {"region": F.first("r_name"), "nations": F.sort_array(F.collect_set("n_name")), "n": F.count("*")}
+    return a.to_config_json(d, "r_regionkey", parts)
 
 
 # ---- A ----

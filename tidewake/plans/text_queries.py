@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as s, text as tx
 from ..operators import retrieval as rt, textops as n
+from ..session import cut_lineage
 from .registry import query
 from .trades import r
 
@@ -114,7 +115,11 @@ def _(t):
     return r(n.tfidf(tf(t), "doc_id", n_docs(t)), "weight")
 
 
-@query("N10b_tfidf_bigrams")
+BG_SQL = f"""g0 AS (SELECT doc_id, {TOK} AS w FROM documents), gk AS (SELECT doc_id, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] for i in range(1, len(w))])) AS term FROM g0),
+  gt AS (SELECT doc_id, term, count(*) AS tf FROM gk GROUP BY ALL), gd AS (SELECT term, count(*) AS df FROM gt GROUP BY 1), gw AS (SELECT doc_id, term, tf, df, tf * (ln((1 + {NDOC}) / (1 + df)::DOUBLE) + 1) AS w FROM gt JOIN gd USING (term))"""
+
+
+@query("N10b_tfidf_bigrams", f"WITH {BG_SQL} SELECT doc_id, term, tf, df, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM gw")
 def _(t):
     d = n.term_counts(n.add_bigram_tokens(toks(t)), "doc_id")
     return r(n.tfidf(d, "doc_id", n_docs(t)), "weight")
@@ -271,13 +276,16 @@ def _(t):
     return rt.keyword_route(tf(t), "doc_id", k, "quality", t.documents)
 
 
-@query("N26b_precision_curve", f"""WITH {KW_SQL}, h AS (SELECT doc_id, labels.quality AS y, kw.quality AS route, n, count(*) AS m FROM tf JOIN kw USING (term) JOIN labels USING (doc_id), (SELECT unnest(generate_series(3, 30)) AS n) WHERE rank <= n GROUP BY ALL),
-  b AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY doc_id, n ORDER BY m DESC, route) = 1), p AS (SELECT n, route, avg((route = y)::INTEGER) AS p FROM b GROUP BY ALL) SELECT n::INTEGER AS n, round(sum(p) / 2, 6) AS precision_macro FROM p GROUP BY 1""")
+CURVE_SQL = f"""{KW_SQL}, h AS (SELECT doc_id, labels.quality AS y, kw.quality AS route, n, count(*) AS m FROM tf JOIN kw USING (term) JOIN labels USING (doc_id), (SELECT unnest(generate_series(3, 30)) AS n) WHERE rank <= n GROUP BY ALL),
+  b AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY doc_id, n ORDER BY m DESC, route) = 1), p AS (SELECT n, route, avg((route = y)::INTEGER) AS p FROM b GROUP BY ALL), cv AS (SELECT n::INTEGER AS n, round(sum(p) / 2, 6) AS precision_macro FROM p GROUP BY 1)"""
+
+
+@query("N26b_precision_curve", f"WITH {CURVE_SQL} SELECT n, precision_macro FROM cv")
 def _(t):
     return r(rt.precision_curve(tf(t), "doc_id", keywords(t), "quality", t.labels, "quality", list(range(3, 31))), "precision_macro")
 
 
-@query("N26c_keyword_elbow")
+@query("N26c_keyword_elbow", f"WITH {CURVE_SQL}, gn AS (SELECT *, precision_macro - coalesce(lag(precision_macro) OVER (ORDER BY n), 0) AS g FROM cv) SELECT coalesce(min(n) FILTER (WHERE g <= 0.01), arg_max(n, precision_macro)) AS keyword_n FROM gn")
 def _(t):
     return rt.elbow(rt.precision_curve(tf(t), "doc_id", keywords(t), "quality", t.labels, "quality", list(range(3, 31))))
 
@@ -326,13 +334,29 @@ BM_SQL = f"""{TF_SQL}, {QF_SQL}, df0 AS (SELECT term, ln(({NDOC} - count(*) + 0.
   bt AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM bm QUALIFY rank <= 20)"""
 
 
-def bm25(t, k=20):
-    return rt.bm25_topk(qf(t), tf(t), "item_id", "doc_id", n_docs(t), k)
+class Retrieval:
+    """Term tables, index and ranked lists of one query, each built and stored once."""
+
+    def __init__(self, t):
+        self.n = n_docs(t)
+        self.tf = cut_lineage(n.term_counts(toks(t), "doc_id"))
+        self.qf = cut_lineage(qf(t))
+
+    def bm25(self, k=20):
+        return cut_lineage(rt.search_index(rt.bm25_index(self.tf, "doc_id", self.n), self.qf, "item_id", "doc_id", k))
+
+    def lexical(self, ranked):
+        return cut_lineage(rt.rerank_lexical(ranked, self.qf, self.tf, "item_id", "doc_id", self.n, 10))
+
+    def gold(self):
+        """The document with the most matched terms."""
+        one = self.qf.select("item_id", "term", F.lit(1).alias("tf"))
+        return rt.search_index(rt.match_index(self.tf, "doc_id", self.n), one, "item_id", "doc_id", 1).select("item_id", "doc_id")
 
 
 @query("N30_bm25_topk", f"WITH {BM_SQL} SELECT item_id, doc_id, round(score, 5) AS score, rank FROM bt")
 def _(t):
-    return r(bm25(t), "score", digits=5).select("item_id", "doc_id", "score", "rank")
+    return r(Retrieval(t).bm25(), "score", digits=5).select("item_id", "doc_id", "score", "rank")
 
 
 LEXR_SQL = f"""{BM_SQL}, ti AS (SELECT term, ln((1 + {NDOC}) / (1 + count(*))::DOUBLE) + 1 AS w FROM tf GROUP BY 1), dw AS (SELECT doc_id, term, tf * w / sqrt(sum(tf * w * tf * w) OVER (PARTITION BY doc_id)) AS w FROM tf JOIN ti USING (term)),
@@ -340,40 +364,37 @@ LEXR_SQL = f"""{BM_SQL}, ti AS (SELECT term, ln((1 + {NDOC}) / (1 + count(*))::D
   lk AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM lr QUALIFY rank <= 10)"""
 
 
-def lexical(t):
-    return rt.rerank_lexical(bm25(t), qf(t), tf(t), "item_id", "doc_id", n_docs(t), 10)
-
-
 @query("N32_rerank_lexical", f"WITH {LEXR_SQL} SELECT item_id, doc_id, round(score, 6) AS score, rank FROM lk")
 def _(t):
-    return r(lexical(t), "score").select("item_id", "doc_id", "score", "rank")
+    parts = Retrieval(t)
+    return r(parts.lexical(parts.bm25()), "score").select("item_id", "doc_id", "score", "rank")
 
 
 @query("N31_rrf", f"WITH {LEXR_SQL}, f AS (SELECT item_id, doc_id, round(sum(1 / (60 + rank)::DOUBLE), 12) AS score FROM (SELECT item_id, doc_id, rank FROM bt UNION ALL SELECT item_id, doc_id, rank FROM lk) GROUP BY ALL) SELECT item_id, doc_id, round(score, 9) AS score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM f QUALIFY rank <= 10")
 def _(t):
-    return r(rt.rrf([bm25(t), lexical(t)], "item_id", "doc_id", 10), "score", digits=9).select("item_id", "doc_id", "score", "rank")
+    parts = Retrieval(t)
+    first = parts.bm25()
+    return r(rt.rrf([first, parts.lexical(first)], "item_id", "doc_id", 10), "score", digits=9).select("item_id", "doc_id", "score", "rank")
 
 
 GOLD_SQL = "gd AS (SELECT item_id, doc_id FROM (SELECT item_id, doc_id, count(*) AS c FROM qf JOIN tf USING (term) GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY c DESC, doc_id) = 1)"
 
 
-def gold(t):
-    g = qf(t).select("item_id", "term").join(tf(t).select("doc_id", "term"), "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("c"))
-    return g.groupBy("item_id").agg(F.min_by("doc_id", F.struct(-F.col("c"), F.col("doc_id"))).alias("doc_id"))
-
-
 @query("N33_retrieval_at_k", f"""WITH {LEXR_SQL}, {GOLD_SQL}, rk AS (SELECT 'bm25' AS arch, item_id, doc_id, rank FROM bt UNION ALL SELECT 'lexical', item_id, doc_id, rank FROM lk), h AS (SELECT arch, item_id, min(rank) AS r FROM rk JOIN gd USING (item_id, doc_id) GROUP BY ALL)
   SELECT arch, k, round(avg((coalesce(r, 1000) <= k)::INTEGER), 6) AS hit_rate, count(*) AS n FROM gd CROSS JOIN (VALUES ('bm25'), ('lexical')) a(arch) CROSS JOIN (VALUES (1), (5), (10)) z(k) LEFT JOIN h USING (arch, item_id) GROUP BY ALL""")
 def _(t):
-    rk = bm25(t).withColumn("arch", F.lit("bm25")).unionByName(lexical(t).withColumn("arch", F.lit("lexical")))
-    d = rt.retrieval_at_k(rk, gold(t), "item_id", "doc_id", [1, 5, 10])
+    parts = Retrieval(t)
+    first = parts.bm25()
+    rk = first.withColumn("arch", F.lit("bm25")).unionByName(parts.lexical(first).withColumn("arch", F.lit("lexical")))
+    d = rt.retrieval_at_k(rk, parts.gold(), "item_id", "doc_id", [1, 5, 10])
     return r(d.select("arch", "k", "hit_rate", "n"), "hit_rate")
 
 
 @query("N33b_retrieval_interval")
 def _(t):
-    rk = bm25(t).withColumn("arch", F.lit("bm25"))
-    return r(rt.retrieval_at_k(rk, gold(t), "item_id", "doc_id", [1, 5, 10]), "hit_rate", "lo", "hi")
+    parts = Retrieval(t)
+    rk = parts.bm25().withColumn("arch", F.lit("bm25"))
+    return r(rt.retrieval_at_k(rk, parts.gold(), "item_id", "doc_id", [1, 5, 10]), "hit_rate", "lo", "hi")
 
 
 def arch_parts(t):
@@ -384,7 +405,16 @@ def arch_parts(t):
     return q, c, scored
 
 
-@query("N34_route_architectures")
+ROUTE_SQL = f"""{CEN}, rk AS (SELECT vec_id AS q_id, label, s, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, label) AS rank FROM sm),
+  rl AS (SELECT vec_id AS q_id FROM e JOIN events ON vec_id = event_id GROUP BY 1 HAVING max(value) > 100),
+  mc AS (SELECT *, max((s >= 0.35)::INTEGER) OVER (PARTITION BY q_id) AS one FROM rk),
+  cls AS (SELECT 'A' AS arch, q_id, label FROM rk WHERE rank = 1 UNION ALL SELECT 'B', q_id, 0 FROM rl UNION ALL SELECT 'B', q_id, label FROM rk WHERE rank = 1 AND q_id NOT IN (SELECT q_id FROM rl)
+    UNION ALL SELECT 'C', q_id, label FROM mc WHERE s >= 0.35 OR (one = 0 AND rank <= 2) UNION ALL SELECT 'F', q_id, label FROM rk WHERE rank <= 2),
+  cand AS (SELECT arch, q_id, b.vec_id, list_cosine_similarity(x.v, b.v) AS s FROM cls JOIN e x ON x.vec_id = q_id JOIN e b ON b.label = cls.label
+    UNION ALL SELECT 'D', x.vec_id, b.vec_id, list_cosine_similarity(x.v, b.v) FROM e x, e b)"""
+
+
+@query("N34_route_architectures", f"WITH {ROUTE_SQL} SELECT arch, q_id, vec_id, round(s, 6) AS score, row_number() OVER (PARTITION BY arch, q_id ORDER BY s DESC, vec_id) AS rank FROM cand QUALIFY rank <= 3")
 def _(t):
     q, c, scored = arch_parts(t)
     one, two = scored.where("rank = 1").select("q_id", "label"), scored.where("rank <= 2").select("q_id", "label")
@@ -405,6 +435,20 @@ def _(t):
     return r(d.drop("arch"), "score")
 
 
+HYBRID_SQL = f"""{BM_SQL}, ve AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), dn AS (SELECT q.vec_id AS item_id, c.vec_id AS doc_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.v, c.v), 12) DESC, c.vec_id) AS rank
+    FROM ve q JOIN benchmark ON q.vec_id = item_id, ve c QUALIFY rank <= 20),
+  fs AS (SELECT item_id, doc_id, round(sum(1 / (60 + rank)::DOUBLE), 12) AS score FROM (SELECT item_id, doc_id, rank FROM bt UNION ALL SELECT item_id, doc_id, rank FROM dn) GROUP BY ALL)"""
+
+
+@query("N34c_hybrid", f"WITH {HYBRID_SQL} SELECT item_id, doc_id, round(score, 9) AS score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM fs WHERE item_id IN (SELECT vec_id FROM ve) QUALIFY rank <= 20")
+def _(t):
+    sparse = Retrieval(t).bm25()
+    c = t.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding")
+    q = t.embeddings.join(t.benchmark, F.col("vec_id") == F.col("item_id")).select("item_id", "embedding")
+    d = rt.route("D", q, c, "item_id", "doc_id", "embedding", None, 20, sparse=sparse.join(q.select("item_id"), "item_id", "left_semi"))
+    return r(d, "score", digits=9).select("item_id", "doc_id", "score", "rank")
+
+
 @query("N35_flag_access_request", r"SELECT role, sum(regexp_matches(text, '(?i)\b(change[\s_]?request|CR[-\s]?\d+|access\s+(to|for)|role\s+access|request(ing)?\s+access)\b')::INTEGER)::BIGINT AS flagged, count(*) AS n FROM (SELECT role, text || CASE WHEN turn % 5 = 0 THEN ' Requesting access to it' ELSE '' END AS text FROM conversations) GROUP BY 1")
 def _(t):
     d = t.conversations.withColumn("text", F.concat("text", F.when(F.col("turn") % 5 == 0, " Requesting access to it").otherwise("")))
