@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import cut_lineage
 
-TREES, SAMPLE = 200, 50_000  # as the reference's forest
+TREES, SAMPLE = 200, 50_000
 _EULER = 0.5772156649015329
 _TREE = "tree int, size int, feature binary, cut binary, child binary, height binary"
 
