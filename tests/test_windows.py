@@ -1,6 +1,7 @@
 """Row-ordered and time-windowed features on hand-made frames: ties, interleaved keys, edges, skew."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -52,6 +53,24 @@ def test_rolling_equals_plain_range_frame(spark, kind):
         assert x is None or abs(got[r.id] - x) < 1e-6
 
 
+def test_rolling_reads_no_frame_again(spark):
+    """Every frame starts where its block starts; a frame that slides is re-read for each second."""
+    d = frame(spark, random_rows(50, 3))
+    specs = {f"{k}{s}": (s, k, F.col("v")) for k in ("sum", "count", "avg", "min", "max", "std") for s in (300, 3600)}
+    plan = rolling(d, "k", "sec", specs)._jdf.queryExecution().optimizedPlan().toString()
+    frames = re.findall(r"specifiedwindowframe\((\w+), ([^,]+),", plan)
+    assert frames and {start for _, start in frames} == {"unboundedpreceding$()"}
+
+
+def test_rolling_of_several_widths_around_block_edges(spark):
+    rows = [(k, s, i, float(s % 7)) for i, (k, s) in enumerate((k, s) for k in "ab" for s in [*range(-25, 45), 60, 61, 90] if (s + ord(k)) % 3)]
+    d = frame(spark, rows)
+    got = {r.id: (r.s, r.n, r.m) for r in rolling(d, "k", "sec", {"s": (10, "sum", F.col("v")), "n": (30, "count", F.lit(1)), "m": (7, "max", F.col("v"))}).collect()}
+    for k, t, i, _ in rows:
+        seen = {w: [v for k2, t2, _, v in rows if k2 == k and t - w <= t2 < t] for w in (7, 10, 30)}
+        assert got[i] == (sum(seen[10]), len(seen[30]), max(seen[7], default=None))
+
+
 def test_rolling_edge_and_ties(spark):
     # the edge t-W counts, the same second does not
     d = frame(spark, [("a", 0, 1, 1.0), ("a", 300, 2, 2.0), ("a", 300, 3, 4.0), ("a", 600, 4, 8.0), ("a", 901, 5, 1.0)])

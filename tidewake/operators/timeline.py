@@ -5,8 +5,9 @@ Two building blocks carry the whole W group:
 ``prior``    row-ordered scans (counts, sums, max, last value) strictly before the current row.
              Rows are windowed inside (key, time slice); the state of earlier slices comes from
              per-slice totals, which are combined map-side before they shuffle.
-``rolling``  time windows ``[t-W, t)``.  Rows are first collapsed to one row per (key, second), so
-             a window task sees at most ``2*slice`` rows however hot the key is.
+``rolling``  time windows ``[t-W, t)``.  Rows are first collapsed to one row per (key, second), then
+             cut into blocks of W seconds: a window is the end of one block and the start of the next,
+             both running totals, so a task sees at most ``2*W`` rows of a block and reads each once.
 
 ``sec`` is the integer epoch second, ``order`` the unique row order inside a key.
 """
@@ -118,7 +119,8 @@ def rolling(
     """Add time-window statistics over ``[t-W, t)``; rows of the same second never see each other.
 
     ``specs`` maps a new column to ``(W seconds, kind, expression)`` with kind in sum, count, avg,
-    min, max, std.  sum and count of an empty window are 0, the rest null.
+    min, max, std.  sum and count of an empty window are 0, the rest null.  Blocks are as wide as the
+    window; ``slice_secs`` has no effect any more.
     """
     keys = _names(keys)
     exprs: dict[str, Column] = {}
@@ -145,44 +147,71 @@ def rolling(
             aggs.append(F.max(c).alias(f"{p}hi"))
     grain = base.where(F.col(sec).isNotNull()).groupBy(*keys, sec).agg(*aggs)
 
-    widest = max(w for w, _, _ in specs.values())
-    width = max(widest, slice_secs)
-    home = F.floor(F.col(sec) / width)
-    near_end = F.col(sec) >= (home + 1) * width - widest
-    copies = grain.withColumn("_sl", F.explode(F.when(near_end, F.array(home, home + 1)).otherwise(F.array(home))))
+    # a block is as wide as the window, so [t-W, t) is the end of one block and the start of the next: both are running
+    # totals, and no frame is read again for each row.  A row asks the block before it through a copy at t-W.
+    holes = {c: F.when(~F.col("_tail"), F.col(c)).alias(c) for c in grain.columns if c not in (*keys, sec)}
+    piece = [F.struct(F.lit(w).alias("_w"), (F.floor(F.col(sec) / w) - back).alias("_b"), (F.col(sec) - back * w).alias("_at"),
+                      F.lit(bool(back)).alias("_tail")) for w in sorted({w for w, _, _ in specs.values()}) for back in (0, 1)]
+    copies = grain.withColumn("_c", F.explode(F.array(*piece))).select("*", "_c.*").drop("_c")
+    copies = copies.select(*keys, sec, "_w", "_b", "_at", "_tail", *holes.values())
+    block = Window.partitionBy(*keys, "_w", "_b")
+    up, down = block.orderBy("_at", "_tail"), block.orderBy(F.col("_at").desc(), "_tail")
+    start, end = up.rowsBetween(*_BEFORE), down.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    # deviations are taken around the first value met, so large means do not cancel them and later rows have no say
+    for p, ks in kinds.items():
+        if "std" in ks:
+            for side, w in (("a", up.rowsBetween(Window.unboundedPreceding, Window.currentRow)), ("z", end)):
+                gap = F.col(f"{p}m") - F.first(f"{p}m", ignorenulls=True).over(w)
+                copies = copies.withColumn(f"{p}d", gap).withColumns({
+                    f"{p}{side}1": F.col(f"{p}n") * F.col(f"{p}d"), f"{p}{side}2": F.col(f"{p}v") + F.col(f"{p}n") * F.col(f"{p}d") * F.col(f"{p}d")})
 
-    def frame(w: int):
-        return Window.partitionBy(*keys, "_sl").orderBy(sec).rangeBetween(-w, -1)
+    def part_of(fn, head, tail=None):
+        return F.when(F.col("_tail"), fn(tail or head).over(end)).otherwise(fn(head).over(start))
 
-    # deviations are taken around the slice's first value, so large means do not cancel them and later rows have no say
+    parts, sides = {}, [("h", ~F.col("_tail")), ("t", F.col("_tail"))]
     for p, ks in kinds.items():
+        if ks & {"sum", "avg"}:
+            parts[f"{p}s"] = part_of(F.sum, f"{p}s")
+        if ks & {"count", "avg", "std"}:
+            parts[f"{p}n"] = part_of(F.sum, f"{p}n")
+        if "min" in ks:
+            parts[f"{p}lo"] = part_of(F.min, f"{p}lo")
+        if "max" in ks:
+            parts[f"{p}hi"] = part_of(F.max, f"{p}hi")
         if "std" in ks:
-            upto = Window.partitionBy(*keys, "_sl").orderBy(sec).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            gap = F.col(f"{p}m") - F.first(f"{p}m", ignorenulls=True).over(upto)
-            copies = copies.withColumn(f"{p}d", gap).withColumns({
-                f"{p}s1": F.col(f"{p}n") * F.col(f"{p}d"), f"{p}s2": F.col(f"{p}v") + F.col(f"{p}n") * F.col(f"{p}d") * F.col(f"{p}d")})
+            parts |= {f"{p}f": part_of(lambda c: F.first(c, ignorenulls=True), f"{p}m"), f"{p}1": part_of(F.sum, f"{p}a1", f"{p}z1"),
+                      f"{p}2": part_of(F.sum, f"{p}a2", f"{p}z2")}
+    halves = copies.select(*keys, sec, "_w", "_tail", *[c.alias(n) for n, c in parts.items()])
 
     cols = []
     for name, (w, kind, _) in specs.items():
-        p, fr = part[name], frame(w)
+        p, here = part[name], F.col("_w") == w
+
+        def both(fn, c):
+            return fn(F.when(here, F.col(c)))
+
         if kind == "sum":
-            c = F.coalesce(F.sum(f"{p}s").over(fr), F.lit(0.0))
+            c = F.coalesce(both(F.sum, f"{p}s"), F.lit(0.0))
         elif kind == "count":
-            c = F.coalesce(F.sum(f"{p}n").over(fr), F.lit(0))
+            c = F.coalesce(both(F.sum, f"{p}n"), F.lit(0))
         elif kind == "min":
-            c = F.min(f"{p}lo").over(fr)
+            c = both(F.min, f"{p}lo")
         elif kind == "max":
-            c = F.max(f"{p}hi").over(fr)
+            c = both(F.max, f"{p}hi")
+        elif kind == "avg":
+            n = both(F.sum, f"{p}n")
+            c = both(F.sum, f"{p}s") / F.when(n > 0, n)
         else:
-            n = F.sum(f"{p}n").over(fr)
-            if kind == "avg":
-                c = F.sum(f"{p}s").over(fr) / F.when(n > 0, n)
-            else:
-                s, q = F.sum(f"{p}s1").over(fr), F.sum(f"{p}s2").over(fr)
-                c = F.sqrt(F.greatest((q - s * s / n) / F.when(n > 1, n - 1), F.lit(0.0)))
-                c = F.when(n > 1, c)
+            n, f, s, q = ({k: F.max(F.when(here & side, F.col(f"{p}{x}"))) for k, side in sides} for x in "nf12")
+            mean = {k: s[k] / F.when(n[k] > 0, n[k]) for k in n}
+            inner = {k: F.coalesce(q[k] - s[k] * mean[k], F.lit(0.0)) for k in n}
+            total = F.coalesce(n["h"], F.lit(0)) + F.coalesce(n["t"], F.lit(0))
+            gap = (f["h"] - f["t"]) + (mean["h"] - mean["t"])
+            between = F.coalesce(gap * gap * n["h"] * n["t"] / F.when(total > 0, total), F.lit(0.0))
+            c = F.when(total > 1, F.sqrt(F.greatest((inner["h"] + inner["t"] + between) / (total - 1), F.lit(0.0))))
         cols.append(c.alias(name))
-    stats = copies.select(*keys, sec, "_sl", *cols).where(F.col("_sl") == home).drop("_sl")
+    stats = halves.groupBy(*keys, sec).agg(*cols)
     stats = stats.select(
         *[F.col(k).alias(f"_k_{k}") for k in keys], F.col(sec).alias("_k_sec"), *[F.col(n) for n in specs]
     )
