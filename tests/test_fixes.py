@@ -2,10 +2,11 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewake.operators import aggregate, cluster, joins, nearest, timeline
+from tidewake.operators import aggregate, cluster, joins, nearest, series, strategy, timeline
 
 
 def test_neighbours_keep_string_ids(spark):
@@ -63,3 +64,9 @@ def test_tree_tables_and_text_svm(spark):
     assert imp["a"] > 0.9 and sum(imp.values()) == pytest.approx(1.0)
     t = spark.createDataFrame([(i, ["good", "fine", f"w{i % 7}"] if i % 2 else ["bad", "poor", f"w{i % 7}"], i % 2) for i in range(60)], "id int, tokens array<string>, y int")
     assert m.score(m.fit_text_svm(t, "tokens", "y"), t, ["y"]).where("prediction <> y").count() == 0
+
+
+def test_kelly_growth_beyond_the_doubles(spark):
+    d = spark.range(20_000).select("id", F.col("id").alias("sec"), F.lit(0.9).alias("p"), F.lit(0.5).alias("pm"), F.lit(1).alias("y"))
+    got = strategy.kelly_compound(d, "p", "pm", "y", "sec", ["sec", "id"], 0.1).first()
+    assert got["log_growth"] == pytest.approx(20_000 * math.log(1.05), rel=1e-9)

@@ -130,7 +130,7 @@ def slippage_grid(df, p_hat, mip, y, sec, order, thresholds, slips, floor=0.05,
 
 def kelly_compound(df, p_hat, mip, y, sec, order, thr, cap=0.05, b0=10_000.0) -> DataFrame:
     """Compounded bankroll under capped Kelly stakes; the fraction does not depend on the bankroll,
-    so the path is a running sum of logs."""
+    so the path is a running sum of logs. ``log_growth`` stays finite where the bankroll leaves the doubles."""
     m = clip(F.col(mip), 1e-3, 1 - 1e-3)
     edge = F.col(p_hat) - F.col(mip)
     follow = edge > thr
@@ -144,7 +144,7 @@ def kelly_compound(df, p_hat, mip, y, sec, order, thr, cap=0.05, b0=10_000.0) ->
     g = d.agg(F.count(F.lit(1)).alias("triggers"), F.sum(((F.col("_f") > 0) & (F.col("_r") > 0)).cast("int")).alias("wins"))
     x = path_extremes(d, None, sec, order, "_lg").agg(F.max(F.struct("total", "lowest"))).scalar()
     return g.withColumn("_x", x).select(
-        "triggers", "wins", (F.exp("_x.total") * b0).alias("bankroll"),
+        "triggers", "wins", F.col("_x.total").alias("log_growth"), (F.exp("_x.total") * b0).alias("bankroll"),
         (F.least(F.lit(1.0), F.exp("_x.lowest")) * b0).alias("min_bankroll"))
 
 

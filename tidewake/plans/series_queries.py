@@ -93,7 +93,7 @@ def _(t):
   SELECT count(*) AS triggers, sum((f > 0 AND rr > 0)::INTEGER)::BIGINT AS wins, round(sum(ln(1 + f * rr)), 5) AS log_growth, round(least(1.0, exp((SELECT lo FROM {dd_sql('k3', '', 'ln(1 + f * rr)')}))) * 10000, 3) AS min_bankroll FROM k3"""))
 def _(t):
     d = b.kelly_compound(bets(t), "p", "pm", "y", "sec", ["sec", "id"], 0.1, cap=0.01)
-    return d.select("triggers", "wins", F.round(F.ln(F.col("bankroll") / 10000), 5).alias("log_growth"), F.round("min_bankroll", 3).alias("min_bankroll"))
+    return d.select("triggers", "wins", F.round("log_growth", 5).alias("log_growth"), F.round("min_bankroll", 3).alias("min_bankroll"))
 
 
 @query("B06_pnl_by", BT(f" SELECT market, count(*) AS n, round(avg(y), 6) AS hit_rate, round(sum({PNL}), 3) AS total_pnl FROM bt GROUP BY 1"))
