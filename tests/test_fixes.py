@@ -66,6 +66,15 @@ def test_tree_tables_and_text_svm(spark):
     assert m.score(m.fit_text_svm(t, "tokens", "y"), t, ["y"]).where("prediction <> y").count() == 0
 
 
+def test_dickey_fuller_of_large_levels(spark):
+    v = np.random.default_rng(3).normal(size=80).cumsum()
+    got = []
+    for level, scale in ((0.0, 1.0), (2e9, 1e7)):
+        d = spark.createDataFrame([("k", i, float(level + scale * x)) for i, x in enumerate(v)], "k string, t int, v double")
+        got.append(series.adf(d, "k", "t", "v", 1, "trend").first()["adf"])
+    assert got[1] == pytest.approx(got[0], rel=1e-6)
+
+
 def test_kelly_growth_beyond_the_doubles(spark):
     d = spark.range(20_000).select("id", F.col("id").alias("sec"), F.lit(0.9).alias("p"), F.lit(0.5).alias("pm"), F.lit(1).alias("y"))
     got = strategy.kelly_compound(d, "p", "pm", "y", "sec", ["sec", "id"], 0.1).first()

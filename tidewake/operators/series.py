@@ -168,37 +168,43 @@ def kpss(df, key, t, v, lags, null="level") -> DataFrame:
 def grouped_ols(df, key, y: Column, xs: dict[str, Column]) -> DataFrame:
     """Least squares per key with intercept: (key, term, beta, se, t, n, r2, sigma).
 
-    The cross products are plain sums with map-side combining; only the small normal equations of a
-    key reach numpy.
+    Means and co-moments are aggregated with map-side combining, so large levels do not cancel them; only the
+    small normal equations of a key, scaled to correlations, reach numpy.
     """
     keys = _keys(key)
     names = ["(intercept)", *xs]
-    d = df.select(*keys, y.cast("double").alias("_y"), F.lit(1.0).alias("_x0"),
+    d = df.select(*keys, y.cast("double").alias("_y"),
                   *[c.cast("double").alias(f"_x{i + 1}") for i, c in enumerate(xs.values())]).dropna()
     p = len(names)
-    cross = [F.sum(F.col(f"_x{i}") * F.col(f"_x{j}")) for i in range(p) for j in range(i, p)]
+    cols = [f"_x{i}" for i in range(1, p)]
     g = d.groupBy(*keys).agg(
-        F.array(*cross).alias("_xx"), F.array(*[F.sum(F.col(f"_x{i}") * F.col("_y")) for i in range(p)]).alias("_xy"),
-        F.sum(F.col("_y") * F.col("_y")).alias("_yy"), F.sum("_y").alias("_sy"), F.count("_y").alias("n"))
+        F.array(*[F.covar_pop(a, b) for i, a in enumerate(cols) for b in cols[i:]]).cast("array<double>").alias("_xx"),
+        F.array(*[F.covar_pop(a, "_y") for a in cols]).cast("array<double>").alias("_xy"),
+        F.array(*[F.avg(a) for a in cols]).cast("array<double>").alias("_mx"),
+        F.var_pop("_y").alias("_yy"), F.avg("_y").alias("_my"), F.count("_y").alias("n"))
     out = "struct<beta:array<double>,se:array<double>,r2:double,sigma:double>"
 
     @F.pandas_udf(out)
-    def solve(xx: pd.Series, xy: pd.Series, yy: pd.Series, sy: pd.Series, n: pd.Series) -> pd.DataFrame:
+    def solve(xx: pd.Series, xy: pd.Series, mx: pd.Series, yy: pd.Series, my: pd.Series, n: pd.Series) -> pd.DataFrame:
         rows = []
-        iu = np.triu_indices(p)
-        for a, b, s2, s1, m in zip(xx, xy, yy, sy, n):
-            mat = np.zeros((p, p))
+        iu = np.triu_indices(p - 1)
+        for a, b, mean, s2, mid, m in zip(xx, xy, mx, yy, my, n):
+            mat = np.zeros((p - 1, p - 1))
             mat[iu] = a
             mat = mat + np.triu(mat, 1).T
-            inv = np.linalg.pinv(mat, hermitian=True)
-            beta = inv @ np.asarray(b)
-            rss = max(float(s2 - beta @ np.asarray(b)), 0.0)
+            unit = np.sqrt(np.maximum(np.diag(mat), 0))
+            unit = np.divide(1, unit, out=np.zeros_like(unit), where=unit > 0)  # a constant column has no slope
+            inv = np.linalg.pinv(mat * np.outer(unit, unit), rcond=1e-13, hermitian=True) * np.outer(unit, unit)
+            b, mean = np.asarray(b, dtype=float), np.asarray(mean, dtype=float)
+            slope = inv @ b
+            rss = max(float(s2 - slope @ b), 0.0) * m
             sig2 = rss / (m - p) if m > p else np.nan
-            tss = s2 - s1 * s1 / m
-            rows.append((beta, np.sqrt(np.maximum(np.diag(inv), 0) * sig2), 1 - rss / tss if tss > 0 else np.nan, np.sqrt(sig2)))
+            beta = np.concatenate([[mid - slope @ mean], slope])
+            spread = np.concatenate([[1 + mean @ inv @ mean], np.maximum(np.diag(inv), 0)]) / m
+            rows.append((beta, np.sqrt(spread * sig2), 1 - rss / (s2 * m) if s2 > 0 else np.nan, np.sqrt(sig2)))
         return pd.DataFrame(rows, columns=["beta", "se", "r2", "sigma"])
 
-    g = g.withColumn("_f", solve("_xx", "_xy", "_yy", "_sy", "n"))
+    g = g.withColumn("_f", solve("_xx", "_xy", "_mx", "_yy", "_my", "n"))
     terms = F.transform(
         F.arrays_zip(F.array(*[F.lit(x) for x in names]).alias("term"), F.col("_f.beta").alias("beta"), F.col("_f.se").alias("se")),
         lambda z: z)
