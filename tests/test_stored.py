@@ -187,6 +187,23 @@ def test_singular_values_equal_an_exact_svd(spark):
     assert len(names) > 60  # no term is left out
 
 
+def test_products_of_blocks_and_slices(spark, monkeypatch):
+    """Several blocks of documents; terms of one document are numbers on the diagonal and meet nothing."""
+    monkeypatch.setattr(factor, "CELLS", 60)
+    rnd = np.random.default_rng(5)
+    a = np.where(rnd.random((50, 30)) < 0.2, rnd.random((50, 30)), 0.0)
+    lone = rnd.random(50)
+    rows = [(f"d{i}", f"t{j}", float(a[i, j])) for i, j in zip(*np.nonzero(a))] + [(f"d{i}", f"only{i}", float(x)) for i, x in enumerate(lone)]
+    cells = spark.createDataFrame(rows, "doc string, term string, w double")
+    s = np.linalg.svd(np.hstack([a, np.diag(lone)]), compute_uv=False)
+    values, got = factor.truncated_svd(cells, "doc", 4)
+    assert values == pytest.approx(s[:4], rel=1e-4)
+    assert got.count() == 50
+    blocks, places = factor.pack(cells, "doc", 6, 3)
+    terms = {x for r in blocks.collect() for x in np.frombuffer(r["terms"], np.int64).tolist()}
+    assert len(terms) == int(((a > 0).sum(axis=0) > 1).sum()) and blocks.count() == 3 and places.count() == 50
+
+
 def test_clusters_have_stable_names(spark):
     rows = [(i, [1.0, 0.1 * (i % 3)] if i % 2 else [0.1 * (i % 5), 1.0]) for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id bigint, vector array<double>")

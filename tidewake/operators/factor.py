@@ -1,10 +1,13 @@
 """Latent semantic vectors by a truncated singular value decomposition of a sparse table in long form.
 
-The matrix is a table of (document, term, weight) cells, its factors are tables of ``width`` double columns keyed by document or by
-term.  A product is a join on the shared key and a sum per column, combined map-side: nothing is indexed, hashed or cut, so the
-vocabulary may be of any size and never leaves the executors.  Subspace iteration multiplies by the matrix and its transpose; the
-columns are made orthonormal by the eigenvectors of their ``width`` x ``width`` Gram matrix.  Tasks add up their part of it, and
-these sums are the only numbers that reach the driver.  Iteration ends when the wanted singular values settle.
+The matrix is a table of (document, term, weight) cells.  They are packed once into blocks of documents, each a few binary columns:
+places and weights of its cells and the ids of its terms.  A product with the matrix and its transpose is then a sum per block and
+term, which meets the sums of other blocks in slices of the terms and goes back to the blocks that asked, so what is shuffled grows
+with the terms of the blocks and not with cells times columns.  A term of one document only adds to that document's diagonal entry:
+these terms, most of a vocabulary, are kept as one number per document, exactly.  The vocabulary may be of any size and never leaves
+the executors.  Subspace iteration makes the columns orthonormal by the eigenvectors of their ``width`` x ``width`` Gram matrix.
+Blocks add up their part of it, and these sums are the only numbers that reach the driver.  Iteration ends when the wanted singular
+values settle.
 """
 
 from __future__ import annotations
@@ -13,14 +16,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from ..session import cut_lineage
+from ..session import stored
 
 OVER = 16  #: columns beyond those wanted
 STEPS = 2  #: products with the matrix and its transpose before the columns are made orthonormal again
 ROUNDS, TOLERANCE = 30, 1e-4
+CELLS = 1_500_000  #: cells of a block
 
 
 def tfidf_cells(tf: DataFrame, doc: str, n_docs: Column) -> DataFrame:
@@ -36,43 +41,126 @@ def _names(width: int) -> list[str]:
     return [f"v{i}" for i in range(width)]
 
 
-def multiply(cells: DataFrame, factor: DataFrame, on: str, to: str, width: int) -> DataFrame:
-    """Sum of w * factor row over the cells of each ``to``."""
-    return cells.join(factor, on).groupBy(to).agg(*[F.sum(F.col("w") * F.col(v)).alias(v) for v in _names(width)])
-
-
-def _matrix(batch: pa.RecordBatch, width: int) -> np.ndarray:
-    return np.column_stack([batch.column(v).to_numpy() for v in _names(width)])
-
-
-def gram(factor: DataFrame, width: int) -> np.ndarray:
-    """``width`` x ``width`` inner products of the columns."""
+def _bytes(arrays) -> pa.Array:
+    return pa.array([np.ascontiguousarray(a).tobytes() for a in arrays], pa.binary())
+
+
+def _read(row: dict, name: str, kind=np.float64) -> np.ndarray:
+    return np.frombuffer(row[name], kind)
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """One row at a time: rows hold whole blocks."""
+    for b in batches:
+        for i in range(b.num_rows):
+            yield b.slice(i, 1).to_pylist()[0]
+
+
+def pack(cells: DataFrame, doc: str, slices: int, blocks: int) -> tuple[DataFrame, DataFrame]:
+    """(blocks of cells, (block, place, document)): cells of shared terms as (row, column, w), of other terms as sums of squares."""
+    shared = cells.groupBy("term").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("term", F.monotonically_increasing_id().alias("id"))
+    block = F.pmod(F.xxhash64(doc), F.lit(blocks)).cast("int")
+    d = cells.join(stored(shared), "term", "left").select(block.alias("_b"), F.col(doc).alias("_doc"), "id", "w")
+    kind = dict(d.dtypes)["_doc"]
+
+    def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        docs = t["_doc"].combine_chunks().dictionary_encode()
+        order = pc.sort_indices(docs.dictionary).to_numpy()
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        i, w = place[docs.indices.to_numpy()], t["w"].to_numpy()
+        held = t["id"].is_valid().to_numpy()
+        ids = t["id"].drop_null().to_numpy()
+        own = np.unique(ids)
+        own = own[np.lexsort((own, own % slices))]  # a slice's terms stand together
+        by_id = np.argsort(own)
+        j = by_id[np.searchsorted(own, ids, sorter=by_id)].astype(np.int32)
+        lone = np.bincount(i[~held], w[~held] ** 2, len(order))
+        cols = {n: _bytes([a]) for n, a in (("rows", i[held]), ("cols", j), ("ws", w[held]), ("terms", own.astype(np.int64)), ("lone", lone))}
+        names = docs.dictionary.take(pa.array(order))
+        return pa.table({"_b": pa.array([key[0].as_py()], pa.int32()), **cols, "docs": pa.ListArray.from_arrays(pa.array([0, len(names)], pa.int32()), names)})
+
+    got = stored(d.groupBy("_b").applyInArrow(run, f"_b int, rows binary, cols binary, ws binary, terms binary, lone binary, docs array<{kind}>"))
+    return got.drop("docs"), got.select("_b", F.posexplode("docs").alias("_i", doc))
+
+
+def multiply(blocks: DataFrame, x: DataFrame, slices: int, width: int) -> DataFrame:
+    """(block, columns) of the matrix times its transpose times the columns ``x``."""
+    both = blocks.join(x, "_b")
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in _rows(batches):
+            i, j, w, terms = _read(r, "rows", np.int32), _read(r, "cols", np.int32), _read(r, "ws"), _read(r, "terms", np.int64)
+            v = _read(r, "x").reshape(width, -1)
+            sums = np.stack([np.bincount(j, w * c[i], len(terms)) for c in v])
+            ends = np.searchsorted(terms % slices, np.arange(slices + 1))
+            for s in np.flatnonzero(np.diff(ends)):
+                at = slice(ends[s], ends[s + 1])
+                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([r["_b"]], pa.int32()), _bytes([terms[at]]), _bytes([sums[:, at]])], names=["_s", "_b", "ids", "m"])
+
+    def reply(t: pa.Table) -> pa.Table:
+        ids = [np.frombuffer(z, np.int64) for z in t["ids"].to_pylist()]
+        parts = np.concatenate([np.frombuffer(z, np.float64).reshape(width, -1) for z in t["m"].to_pylist()], axis=1)
+        terms, at = np.unique(np.concatenate(ids), return_inverse=True)
+        total = np.stack([np.bincount(at, c, len(terms)) for c in parts])
+        ends = np.cumsum([0, *map(len, ids)])
+        back = (total[:, at[a:b]] for a, b in zip(ends, ends[1:]))
+        return pa.table({"_s": t["_s"], "_b": t["_b"], "m": _bytes(back)})
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        r = left.to_pylist()[0]
+        i, j, w, v = _read(r, "rows", np.int32), _read(r, "cols", np.int32), _read(r, "ws"), _read(r, "x").reshape(width, -1)
+        y = v * _read(r, "lone")
+        if right.num_rows:
+            got = sorted(zip(right["_s"].to_pylist(), right["m"].to_pylist()))
+            sums = np.concatenate([np.frombuffer(m, np.float64).reshape(width, -1) for _, m in got], axis=1)
+            y += np.stack([np.bincount(i, w * c[j], v.shape[1]) for c in sums])
+        return pa.table({"_b": left["_b"], "x": _bytes([y])})
+
+    asked = both.mapInArrow(ask, "_s int, _b int, ids binary, m binary")
+    back = asked.groupBy("_s").applyInArrow(reply, "_s int, _b int, m binary")
+    return stored(both.groupBy("_b").cogroup(back.groupBy("_b")).applyInArrow(meet, "_b int, x binary"))
+
+
+def gram(x: DataFrame, y: DataFrame, width: int) -> np.ndarray:
+    """``width`` x ``width`` inner products of the columns of ``x`` and ``y``, made symmetric."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((width, width))
-        for b in batches:
-            m = _matrix(b, width)
-            total += m.T @ m
-        yield pa.RecordBatch.from_pydict({"i": np.arange(width * width, dtype=np.int32), "x": total.ravel()})
+        for r in _rows(batches):
+            total += _read(r, "x").reshape(width, -1) @ _read(r, "y").reshape(width, -1).T
+        yield pa.RecordBatch.from_pydict({"i": np.arange(width * width, dtype=np.int32), "v": total.ravel()})
 
-    got = factor.select(*_names(width)).mapInArrow(add, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
+    both = x.join(y.withColumnRenamed("x", "y"), "_b") if y is not x else x.withColumn("y", F.col("x"))
+    got = both.select("x", "y").mapInArrow(add, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()
     g = np.zeros(width * width)
     for r in got:
-        g[r["i"]] = r["x"]
+        g[r["i"]] = r["v"]
     g = g.reshape(width, width)
     return (g + g.T) / 2
 
 
-def turn(factor: DataFrame, key: str, m: np.ndarray) -> DataFrame:
-    """Rows times the matrix ``m``."""
-    kind, made = dict(factor.dtypes)[key], _names(m.shape[1])
+def turn(x: DataFrame, m: np.ndarray) -> DataFrame:
+    """Columns times the matrix ``m``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in _rows(batches):
+            v = m.T @ _read(r, "x").reshape(m.shape[0], -1)
+            yield pa.RecordBatch.from_arrays([pa.array([r["_b"]], pa.int32()), _bytes([v])], names=["_b", "x"])
+
+    return x.select("_b", "x").mapInArrow(run, "_b int, x binary")
+
+
+def unpack(x: DataFrame, width: int) -> DataFrame:
+    """(block, place, v0 .. ) from blocks of columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = _matrix(b, m.shape[0]) @ m
-            yield pa.RecordBatch.from_arrays([b.column(key), *[pa.array(x[:, j]) for j in range(m.shape[1])]], names=[key, *made])
+        for r in _rows(batches):
+            v = _read(r, "x").reshape(width, -1)
+            n = v.shape[1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, r["_b"], np.int32)), pa.array(np.arange(n, dtype=np.int32)), *map(pa.array, v)], names=["_b", "_i", *_names(width)])
 
-    return factor.select(key, *_names(m.shape[0])).mapInArrow(run, f"`{key}` {kind}, " + ", ".join(f"{v} double" for v in made))
+    return x.select("_b", "x").mapInArrow(run, "_b int, _i int, " + ", ".join(f"{v} double" for v in _names(width)))
 
 
 def _whiten(g: np.ndarray) -> np.ndarray:
@@ -88,29 +176,36 @@ def truncated_svd(cells: DataFrame, doc: str, k: int, over=OVER, rounds=ROUNDS,
     The sign of each direction is the one that makes the sum of its document column positive.
     """
     width = k + over
-    cells = cut_lineage(cells.select(doc, "term", "w"))
-    # a random start per term: hashed uniforms need no table
-    start = [(F.shiftrightunsigned(F.xxhash64("term", F.lit(i), F.lit(seed)), 11) / float(1 << 53) - 0.5).alias(v) for i, v in enumerate(_names(width))]
-    docs = multiply(cells, cells.select("term").distinct().select("term", *start), "term", doc, width)
+    cells.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))  # rows hold whole blocks
+    cells = stored(cells.select(doc, "term", "w"))
+    count = max(1, -(-cells.count() // CELLS))
+    slices = 2 * count
+    blocks, places = pack(cells, doc, slices, count)
+
+    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in _rows(batches):
+            v = np.random.default_rng((seed, r["_b"])).uniform(-0.5, 0.5, (width, len(r["lone"]) // 8))
+            yield pa.RecordBatch.from_arrays([pa.array([r["_b"]], pa.int32()), _bytes([v])], names=["_b", "x"])
+
+    docs = basis = multiply(blocks, blocks.select("_b", "lone").mapInArrow(start, "_b int, x binary"), slices, width)
     before = np.zeros(k)
     for _ in range(rounds):
-        docs = cut_lineage(docs)
-        g = gram(docs, width)
-        basis = turn(docs, doc, _whiten(g))
+        g = gram(docs, docs, width)
+        basis = turn(docs, _whiten(g))
         # after STEPS products with the matrix and its transpose the Gram matrix holds powers of the singular values
         values = np.maximum(np.linalg.eigvalsh(g)[::-1][:k], 0.0) ** (1 / (4 * STEPS))
         if np.abs(values - before).max(initial=0.0) <= tolerance * max(values[0], 1e-300):
             break
         before, docs = values, basis
         for _ in range(STEPS):
-            docs = multiply(cells, multiply(cells, docs, doc, "term", width), "term", doc, width)
-    terms = multiply(cells, basis, doc, "term", width)  # the matrix's part in the subspace
-    squares, vectors = np.linalg.eigh(gram(terms, width))
+            docs = multiply(blocks, docs, slices, width)
+    basis = stored(basis)
+    squares, vectors = np.linalg.eigh(gram(basis, multiply(blocks, basis, slices, width), width))  # the matrix's part in the subspace
     values = np.sqrt(np.maximum(squares[::-1], 0.0))
-    rows = turn(basis, doc, vectors[:, ::-1][:, :k] * values[:k])
+    rows = unpack(turn(basis, vectors[:, ::-1][:, :k] * values[:k]), k)
     sums = rows.agg(*[F.sum(v).alias(v) for v in _names(k)]).first()
-    signs = np.array([-1.0 if (sums[v] or 0.0) < 0 else 1.0 for v in _names(k)])
-    return values[:k], turn(rows, doc, np.diag(signs))
+    signs = {v: -1.0 if (sums[v] or 0.0) < 0 else 1.0 for v in _names(k)}
+    return values[:k], rows.join(places, ["_b", "_i"]).select(doc, *[(F.col(v) * x).alias(v) for v, x in signs.items()])
 
 
 def lsa(tf: DataFrame, docs: DataFrame, doc: str, n_docs: Column, k=32, out="vector", **how) -> tuple[np.ndarray, DataFrame]:
