@@ -127,6 +127,15 @@ def test_similar_items_over_blocks(spark):
                 assert got[a, b][0] == len(us) and math.isclose(got[a, b][1], c, abs_tol=1e-8)
 
 
+def test_similar_items_of_light_and_heavy_users(spark):
+    """Pairs of light users and block sums of heavy ones add up; few copies are made where items fill many blocks."""
+    rng = random.Random(7)
+    rows = [(u, i, float(rng.randrange(1, 6))) for u in range(40) for i in range(12) if rng.random() < (0.9 if u % 3 else 0.4)]
+    d = spark.createDataFrame(rows, "u bigint, i bigint, v double")
+    runs = [sorted(tuple(r) for r in cluster.similar_items(d, "u", "i", "v", 5, 100, block=4, users_per_slice=10, heavy=h).collect()) for h in (0, 6, 512)]
+    assert len(runs[0]) == 132 and runs[0] == runs[1] == runs[2]
+
+
 def test_iforest_ranks_an_outlier_first(spark):
     rng = np.random.default_rng(0)
     x = np.vstack([rng.normal(0, 1, size=(500, 2)), [[9, 9]]])

@@ -12,7 +12,7 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from ..session import cut_lineage
+from ..session import cut_lineage, stored
 from .models import _fit
 from .nearest import block_topk, center_topk
 from .ranking import topk_by
@@ -177,21 +177,51 @@ def item_stats(ratings, item, rating) -> DataFrame:
     return ratings.groupBy(item).agg(F.count(rating).alias("n"), F.avg(rating).alias("mean"))
 
 
-def similar_items(ratings, user, item, rating, min_n, k, block=2048, users_per_slice=4096) -> DataFrame:
+def similar_items(ratings, user, item, rating, min_n, k, block=2048, users_per_slice=4096, heavy=512) -> DataFrame:
     """Pearson correlation over co-raters for every item pair with at least min_n of them, top-k per item.
 
-    Items rated fewer than min_n times cannot qualify and leave first.  Items are cut into blocks and
-    users into slices; a task takes two item blocks of one slice and adds up the six co-rating sums, so a
-    heavy user is spread over blocks and only sums leave a task.  Dense slices use matrix products, thin
-    ones add up their co-ratings directly; block and slice sizes bound both.
+    Items rated fewer than min_n times cannot qualify and leave first.  Users of at most ``heavy`` items meet their items
+    in pairs, so copies grow with the ratings; pairs are counted first, and only those with min_n co-raters get sums.  For
+    heavier users items are cut into blocks and users into slices; a task takes two item blocks of one slice and adds up the
+    six co-rating sums, so a heavy user is spread over blocks and only sums leave a task.  Dense slices use matrix products,
+    thin ones add up their co-ratings directly; block and slice sizes bound both.
     """
     r = ratings.groupBy(user, item).agg(F.avg(rating).alias("v"))
-    often = r.groupBy(item).agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") >= min_n)
-    n_items, n_users = often.count(), r.agg(F.approx_count_distinct(user)).first()[0]
+    often = r.groupBy(item).agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") >= min_n).select(item)
+    d = r.join(often, item).select(F.col(user).alias("u"), F.col(item).cast("bigint").alias("i"), "v")
+    d = stored(d.join(d.groupBy("u").agg(F.count(F.lit(1)).alias("_c")), "u"))
+    light, big = d.where(F.col("_c") <= heavy).select("u", "i", "v"), d.where(F.col("_c") > heavy).select("u", "i", "v")
+    names = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+    n_big = big.select("u").distinct().count()
+    rest = stored(_block_sums(big, block, users_per_slice, n_big, names)) if n_big else None
+
+    def pairs(x):
+        return x.alias("l").join(x.alias("r"), (F.col("l.u") == F.col("r.u")) & (F.col("l.i") < F.col("r.i")))
+
+    met = pairs(light.select("u", "i")).select(F.col("l.i").alias("i"), F.col("r.i").alias("j"), F.lit(1.0).alias("n"))
+    if n_big:
+        met = met.unionByName(rest.select("i", "j", "n"))
+    enough = stored(met.groupBy("i", "j").agg(F.sum("n").alias("n")).where(F.col("n") >= min_n).select("i", "j"))
+    able = enough.select("i").union(enough.select(F.col("j").alias("i"))).distinct()
+    x, y = F.col("l.v"), F.col("r.v")
+    sums = {"n": F.lit(1.0), "sx": x, "sy": y, "sxx": x * x, "syy": y * y, "sxy": x * y}
+    got = pairs(light.join(able, "i", "left_semi")).select(F.col("l.i").alias("i"), F.col("r.i").alias("j"), *[c.alias(nm) for nm, c in sums.items()])
+    if n_big:
+        got = got.unionByName(rest)
+    g = got.join(enough, ["i", "j"], "left_semi").groupBy("i", "j").agg(*[F.sum(nm).alias(nm) for nm in names])
+    n = F.col("n")
+    vx, vy = n * F.col("sxx") - F.col("sx") * F.col("sx"), n * F.col("syy") - F.col("sy") * F.col("sy")
+    corr = (n * F.col("sxy") - F.col("sx") * F.col("sy")) / F.sqrt(vx * vy)
+    g = g.where((vx > 1e-9) & (vy > 1e-9)).select("i", "j", n.cast("bigint").alias("n"), F.round(corr, 9).alias("corr"))
+    two = g.unionByName(g.select(F.col("j").alias("i"), F.col("i").alias("j"), "n", "corr"))
+    return topk_by(two, "i", "corr", "j", k).withColumnsRenamed({"i": item, "j": f"similar_{item}"})
+
+
+def _block_sums(r, block, users_per_slice, n_users, names) -> DataFrame:
+    """The six sums per item pair i < j over the ratings (u, i, v), each from pairs of item blocks in slices of users."""
+    n_items = r.agg(F.approx_count_distinct("i")).first()[0]
     blocks, slices = max(1, -(-n_items // block)), max(1, -(-n_users // users_per_slice))
-    d = r.join(often, item).select(
-        F.col(user).alias("u"), F.col(item).cast("bigint").alias("i"), "v",
-        F.pmod(F.xxhash64(item), F.lit(blocks)).cast("int").alias("_b"), F.pmod(F.xxhash64(user, F.lit("s")), F.lit(slices)).cast("int").alias("_s"))
+    d = r.select("u", "i", "v", F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("int").alias("_b"), F.pmod(F.xxhash64("u", F.lit("s")), F.lit(slices)).cast("int").alias("_s"))
     left = d.withColumn("a", F.col("_b")).withColumn("b", F.explode(F.sequence(F.col("_b"), F.lit(blocks - 1))))
     right = d.toDF(*d.columns).withColumn("b", F.col("_b")).withColumn("a", F.explode(F.sequence(F.lit(0), F.col("_b"))))
 
@@ -204,8 +234,6 @@ def similar_items(ratings, user, item, rating, min_n, k, block=2048, users_per_s
         m[ui, ii] = 1.0
         return items, x, m
 
-    names = ["n", "sx", "sy", "sxx", "syy", "sxy"]
-
     def part(key, l: pd.DataFrame, rr: pd.DataFrame) -> pd.DataFrame:
         users = np.intersect1d(l["u"].to_numpy(), rr["u"].to_numpy())
         l, rr = l[l["u"].isin(users)], rr[rr["u"].isin(users)]
@@ -230,10 +258,5 @@ def similar_items(ratings, user, item, rating, min_n, k, block=2048, users_per_s
 
     got = left.groupBy("a", "b", "_s").cogroup(right.groupBy("a", "b", "_s")).applyInPandas(
         part, "i bigint, j bigint, n double, sx double, sy double, sxx double, syy double, sxy double")
-    g = got.groupBy("i", "j").agg(*[F.sum(x).alias(x) for x in names]).where(F.col("n") >= min_n)
-    n = F.col("n")
-    vx, vy = n * F.col("sxx") - F.col("sx") * F.col("sx"), n * F.col("syy") - F.col("sy") * F.col("sy")
-    corr = (n * F.col("sxy") - F.col("sx") * F.col("sy")) / F.sqrt(vx * vy)
-    g = g.where((vx > 1e-9) & (vy > 1e-9)).select("i", "j", n.cast("bigint").alias("n"), F.round(corr, 9).alias("corr"))
-    two = g.unionByName(g.select(F.col("j").alias("i"), F.col("i").alias("j"), "n", "corr"))
-    return topk_by(two, "i", "corr", "j", k).withColumnsRenamed({"i": item, "j": f"similar_{item}"})
+    turned = {"i": "j", "j": "i", "sx": "sy", "sy": "sx", "sxx": "syy", "syy": "sxx"}  # blocks are in order, their items are not
+    return got.select(*[F.when(F.col("i") > F.col("j"), F.col(turned.get(c, c))).otherwise(F.col(c)).alias(c) for c in got.columns])
