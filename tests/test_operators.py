@@ -3,8 +3,11 @@
 import math
 import random
 import tempfile
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from tidewake.functions import scalars as s, text as tx
@@ -91,6 +94,35 @@ def test_nearest_over_many_blocks(spark):
     assert {(r.q, r.b) for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_meetings_score_few_pairs_at_once(metric):
+    """Every row of a large meeting gets its exact neighbours, ties to the smaller id, within a tenth of the product matrix."""
+    rng = np.random.default_rng(1)
+    x, y = rng.normal(size=(3000, 8)), rng.normal(size=(12_000, 8))
+    y[5000:9000] = y[0]
+    x[:20] = y[0]
+    side = lambda v: pa.table({"_id": np.arange(len(v)), "_v": pa.array(list(v))})
+    tracemalloc.start()
+    got = nearest._meeting(5, metric, False)(side(x), side(y))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3000 * 12_000 * 8 / 4
+    xy, xx, yy = x[:200] @ y.T, (x[:200] ** 2).sum(1)[:, None], (y**2).sum(1)
+    s = np.round(xy / np.sqrt(xx * yy) if metric == "cosine" else 2 * xy - xx - yy, 11)
+    want = np.argsort(-s, axis=1, kind="stable")[:, :5]
+    assert (got["b"].to_numpy().reshape(3000, 5)[:200] == want).all()
+    assert np.allclose(got["score"].to_numpy().reshape(3000, 5)[:200], np.take_along_axis(s, want, axis=1), atol=1e-10)
+
+
+def test_restricted_meetings_are_cut_by_group(spark):
+    """A base row is copied to the blocks of its own group's queries only."""
+    d = spark.range(200).select("id", (F.col("id") % 10).alias("g"), F.array(F.col("id") * 1.0, F.lit(1.0)).alias("v"))
+    near = nearest.block_topk(d.withColumnRenamed("id", "q"), d, "q", "id", "v", 1, "l2", restrict="g", q_block=20, b_slice=20)
+    assert {(r["q"], r["id"]) for r in near.collect()} == {(i, i) for i in range(200)}
+    sizes = nearest.group_parts(d.select(F.col("g").alias("_g")), d.select(F.col("g").alias("_g")), 20, 20).collect()
+    assert len(sizes) == 10 and all((r["_blks"], r["_slcs"]) == (1, 1) for r in sizes)
+
+
 def naive_dbscan(x, eps, m):
     d = ((x[:, None] - x[None]) ** 2).sum(-1) <= eps * eps
     core = d.sum(1) >= m
