@@ -56,3 +56,26 @@ def test_edges(spark):
     got = bitcodes.nearest_neighbours(table(spark, vectors, ids), F.col("id") % 20 == 0).collect()
     assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got] == [(0, 1, 7, 2.0)]
     assert bitcodes.nearest_neighbours(table(spark, []), F.col("id") % 20 == 0).count() == 0
+
+
+def test_most_pairs_are_dropped_by_products():
+    """Loose bounds leave many pairs; few of them are scored one by one, and the best are those of brute force."""
+    rng = np.random.default_rng(3)
+    v = rng.standard_normal((6000, 64))
+    v[4000:4050] = v[0]
+    ids = np.arange(len(v))
+    codes, norm, corr = bitcodes.encode(v)
+    seen = []
+
+    class Counted(np.ndarray):
+        def __getitem__(self, at):
+            if isinstance(at, np.ndarray):
+                seen.append(len(at))
+            return np.asarray(self)[at]
+
+    q, i, s = bitcodes.search_group(ids[:300], v[:300], ids, v.view(Counted), codes, norm, corr, 20)
+    assert sum(seen) < 300 * len(v) / 8
+    want = v[:300] @ v.T
+    want[np.arange(300), np.arange(300)] = -np.inf
+    best = np.argsort(-np.round(want, 9), axis=1, kind="stable")[:, :20]
+    assert (i.reshape(300, 20) == best).all()

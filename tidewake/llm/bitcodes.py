@@ -29,6 +29,7 @@ from .common import in_batches, stored
 QUERY_BITS = 8
 EPS = 4.0
 BLOCK, SLICE, CHUNK = 2048, 8192, 512
+PRODUCT = 32  #: a pair scored by itself costs about as much as so many products of a chunk
 SEED = 20
 
 
@@ -85,6 +86,7 @@ def search_group(q_ids, queries, ids, vectors, codes, norm, corr, k: int, eps: f
     nq = len(queries)
     best_s, best_i = np.full((nq, k), -np.inf), np.full((nq, k), np.iinfo(np.int64).max)
     spread = eps * np.sqrt(np.maximum(0.0, 1.0 - corr * corr)) / corr / np.sqrt(max(1, dim - 1)) * norm
+    slack = 4 * dim * np.finfo(float).eps * planes.norm * norm.max(initial=0.0)  # more than a product of the chunk can be off
 
     def take(qi, vi):
         """Reranks (query, vector) pairs, ordered by query, into the best lists."""
@@ -103,12 +105,16 @@ def search_group(q_ids, queries, ids, vectors, codes, norm, corr, k: int, eps: f
         room = spread[a:b] * planes.norm[:, None] + planes.slack[:, None] * (norm[a:b] / corr[a:b])
         other = ids[a:b][None, :] != q_ids[:, None]
         first = np.zeros(guess.shape, bool)
-        if b - a > k:  # the likely best first: they raise the bar for the rest
+        if b - a > k and not np.isfinite(best_s[:, -1]).all():  # the likely best first: they set the bar for the rest
             np.put_along_axis(first, np.argpartition(-guess, k, axis=1)[:, :k], True, axis=1)
         first &= other & (guess + room >= best_s[:, -1:])
         qi, vi = np.nonzero(first)
         take(qi, vi + a)
         qi, vi = np.nonzero(other & ~first & (guess + room >= best_s[:, -1:]))
+        if len(qi) * PRODUCT > guess.size:  # many pairs are left: the products of the whole chunk say which of them can be among the best
+            product = queries @ vectors[a:b].T
+            near = ~(product[qi, vi] < best_s[qi, -1] - slack[qi])
+            qi, vi = qi[near], vi[near]
         take(qi, vi + a)
     q, j = np.nonzero(np.isfinite(best_s))
     return q, best_i[q, j], best_s[q, j]
