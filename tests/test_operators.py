@@ -123,6 +123,22 @@ def test_restricted_meetings_are_cut_by_group(spark):
     assert len(sizes) == 10 and all((r["_blks"], r["_slcs"]) == (1, 1) for r in sizes)
 
 
+def test_tfidf_by_blocks_sends_terms_not_counts(spark):
+    """Weights of token lists over many blocks are those of the long form; only terms of two blocks and more come back."""
+    rng = random.Random(4)
+    lists = [[rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(rng.randint(0, 30))] for _ in range(80)] + [["only", "here", "only"], None, ["a b", "a", "b"]]
+    d = spark.createDataFrame([(i % 82, i % 2, x) for i, x in enumerate(lists)], "id int, side int, tokens array<string>")
+    n_docs = d.agg(F.count(F.lit(1))).scalar()
+    for pairs in (False, True):
+        long = textops.term_counts(textops.add_bigram_tokens(d) if pairs else d, "id")
+        key = lambda x: sorted((r["id"], r["term"], r["tf"], r["df"], round(r["weight"], 12)) for r in x.collect())
+        got = textops.token_tfidf(d, "id", n_docs, pairs=pairs, block=10)
+        assert key(got) == key(textops.tfidf(long, "id", n_docs)) and len({r["term"] for r in got.collect()}) > 10
+    some = textops.token_tfidf(d, "id", n_docs, keep=["side"], rows=F.col("id") < 5, block=10).collect()
+    assert {r["id"] for r in some} <= set(range(5)) and all(r["side"] == r["id"] % 2 for r in some if r["id"])
+    assert {(r["term"], r["df"]) for r in some} <= {(r["term"], r["df"]) for r in textops.tfidf(textops.term_counts(d, "id"), "id", n_docs).collect()}
+
+
 def naive_dbscan(x, eps, m):
     d = ((x[:, None] - x[None]) ** 2).sum(-1) <= eps * eps
     core = d.sum(1) >= m
