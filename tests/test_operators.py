@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewake.functions import scalars as s, text as tx
-from tidewake.operators import cluster, evaluate, isolation, joins, models, nearest, ordering, ranking, sampling, series, strategy, textops
+from tidewake.operators import cluster, evaluate, isolation, joins, models, nearest, ordering, ranking, retrieval, sampling, series, strategy, textops
 from tidewake.streaming import streams
 
 
@@ -128,17 +128,28 @@ def test_tfidf_by_blocks_sends_terms_not_counts(spark):
     rng = random.Random(4)
     lists = [[rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(rng.randint(0, 30))] for _ in range(80)] + [["only", "here", "only"], None, ["a b", "a", "b"]]
     d = spark.createDataFrame([(i % 82, i % 2, x) for i, x in enumerate(lists)], "id int, side int, tokens array<string>")
+    d = d.withColumn("both", F.array(F.lit(1), F.lit(2)))
     n_docs = d.agg(F.count(F.lit(1))).scalar()
     for pairs in (False, True):
         long = textops.term_counts(textops.add_bigram_tokens(d) if pairs else d, "id")
         key = lambda x: sorted((r["id"], r["term"], r["tf"], r["df"], round(r["weight"], 12)) for r in x.collect())
         got = textops.token_tfidf(d, "id", n_docs, pairs=pairs, block=10)
         assert key(got) == key(textops.tfidf(long, "id", n_docs)) and len({r["term"] for r in got.collect()}) > 10
-    some = textops.token_tfidf(d, "id", n_docs, keep=["side"], rows=F.col("id") < 5, block=10).collect()
-    assert {r["id"] for r in some} <= set(range(5)) and all(r["side"] == r["id"] % 2 for r in some if r["id"])
+    some = textops.token_tfidf(d, "id", n_docs, keep=["side", "both"], rows=F.col("id") < 5, block=10).collect()
+    assert {r["id"] for r in some} <= set(range(5)) and all((r["side"], r["both"]) == (r["id"] % 2, [1, 2]) for r in some if r["id"])
     assert {(r["term"], r["df"]) for r in some} <= {(r["term"], r["df"]) for r in textops.tfidf(textops.term_counts(d, "id"), "id", n_docs).collect()}
 
 
+def test_only_keywords_become_rows(spark):
+    d = spark.createDataFrame([(1, ["a", "x", "a"]), (1, ["a", "b"]), (2, ["y"]), (3, None)], "id int, tokens array<string>")
+    k = spark.createDataFrame([("p", "a", 1), ("q", "b", 1), ("q", "a", 2)], "label string, term string, rank bigint")
+    got = retrieval.keyword_terms(d, "id", "tokens", k)
+    assert sorted(map(tuple, got.collect())) == [(1, "a"), (1, "b")]
+    gold = spark.createDataFrame([(1, "q"), (2, "p")], "id int, label string")
+    curve = retrieval.precision_curve(got, "id", k, "label", gold, "label", [1, 2])
+    assert sorted((r["n"], r["precision_macro"]) for r in curve.collect()) == [(1, 0.0), (2, 0.5)]
+
+
 def naive_dbscan(x, eps, m):
     d = ((x[:, None] - x[None]) ** 2).sum(-1) <= eps * eps
     core = d.sum(1) >= m
