@@ -150,6 +150,17 @@ def test_only_keywords_become_rows(spark):
     assert sorted((r["n"], r["precision_macro"]) for r in curve.collect()) == [(1, 0.0), (2, 0.5)]
 
 
+def test_bernoulli_predicts_from_token_lists(spark):
+    """Blocks of token lists give the prediction of the long form, for documents without known terms as well."""
+    rng = random.Random(5)
+    d = spark.createDataFrame([(i % 58, i % 3, [rng.choice("abcdefgh") for _ in range(rng.randint(0, 9))]) for i in range(60)] + [(90, 0, None)], "id int, y int, tokens array<string>")
+    model = textops.bernoulli_nb(textops.term_counts(d.where("id < 20"), "id", keep=["y"]), "id", "y")
+    every = d.unionByName(spark.createDataFrame([(91, 0, ["zz"]), (92, 0, ["zz", "a", "a"])], d.schema))
+    key = lambda x: sorted((r["id"], r["prediction"], round(r["log_posterior"], 9)) for r in x.collect())
+    got = key(textops.bernoulli_nb_predict_tokens(model, every, "id", "y", every.agg(F.count(F.lit(1))).scalar(), block=7))
+    assert got == key(textops.bernoulli_nb_predict(model, textops.term_counts(every, "id"), "id", "y")) and 92 in {g[0] for g in got} and 91 not in {g[0] for g in got}
+
+
 def naive_dbscan(x, eps, m):
     d = ((x[:, None] - x[None]) ** 2).sum(-1) <= eps * eps
     core = d.sum(1) >= m
