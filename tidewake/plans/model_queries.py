@@ -396,12 +396,12 @@ def doc_tokens(t):
 
 @query("N17_lda_topics")
 def _(t):
-    return r(m.top_words(m.lda(compact(toks(t), 20_000), "doc_id", "tokens", 4)), "weight", digits=4)
+    return r(m.top_words(m.lda(toks(t), "doc_id", "tokens", 4)), "weight", digits=4)
 
 
 @query("N17b_lda_allocation")
 def _(t):
-    model = m.lda(compact(toks(t), 20_000), "doc_id", "tokens", 4, tfidf=True)
+    model = m.lda(toks(t), "doc_id", "tokens", 4, tfidf=True)
     return m.allocate(model, n.tokens_of(t.benchmark, "item_id", "text"), "item_id").select("item_id", "topic")
 
 
@@ -412,8 +412,7 @@ def _(t):
 
 @query("N19_select_k")
 def _(t):
-    d = compact(doc_tokens(t), 20_000)
-    return r(m.select_k(d, "doc_id", "tokens", "quality", tf(t), "fold", range(2, 9)), "coherence", "macro_f1", digits=4)
+    return r(m.select_k(doc_tokens(t), "doc_id", "tokens", "quality", toks(t), "fold", range(2, 9)), "coherence", "macro_f1", digits=4)
 
 
 @query("N23b_cluster_taxonomy")
