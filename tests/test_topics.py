@@ -44,6 +44,12 @@ def test_models_side_by_side_send_only_totals(spark):
     assert all(abs(sum(x) - 1) < 1e-6 for i in range(60) for x in got[i])
 
 
+def test_every_block_has_a_turn(spark):
+    counted = topics.count_blocks(spark.range(90).select(F.col("id").alias("doc_id"), F.array(F.lit("a")).alias("tokens")), "doc_id", "tokens", 30)
+    placed = topics.place(counted, spark.createDataFrame([("a", 0, 90)], "term string, id int, df bigint"), 1, None, 4, turns=3)
+    assert placed.where("_turn < 3").count() == counted.count() and placed.select("_turn").distinct().count() == 3
+
+
 # ---- N30, N33 ----
 def test_counts_of_blocks_make_the_same_index(spark):
     rnd = np.random.default_rng(5)

@@ -96,7 +96,7 @@ def count_blocks(df: DataFrame, doc: str, tokens: str, blocks: int) -> DataFrame
     return stored(d.groupBy("_b").applyInArrow(run, f"_b int, docs array<{kind}>, ends binary, cols binary, n binary, terms array<string>, seen array<bigint>"))
 
 
-def place(counted: DataFrame, terms: DataFrame, slices: int, idf_of: int | None, parts: int) -> DataFrame:
+def place(counted: DataFrame, terms: DataFrame, slices: int, idf_of: int | None, parts: int, turns: int = TURNS) -> DataFrame:
     """Stored (_turn, _b, docs, ends, cols, n, ids, spans): terms as ids, a slice's together; counts times IDF with ``idf_of`` documents."""
     asked = counted.select("_b", F.posexplode("terms").alias("_i", "term")).join(terms, "term").select(F.col("_b").alias("_at"), "_i", "id", "df")
     kind = dict(counted.dtypes)["docs"]
@@ -113,7 +113,7 @@ def place(counted: DataFrame, terms: DataFrame, slices: int, idf_of: int | None,
         if idf_of is not None:
             n = n * np.log((idf_of + 1) / (right["df"].to_numpy()[order] + 1))[cols]
         spans = np.searchsorted(ids[order] % slices, np.arange(slices + 1))
-        return pa.table({"_turn": pa.array([left["_b"][0].as_py() % TURNS], pa.int32()), "_b": left["_b"], "docs": left["docs"], "ends": _bytes([ends.astype(np.int64)]),
+        return pa.table({"_turn": pa.array([left["_b"][0].as_py() % turns], pa.int32()), "_b": left["_b"], "docs": left["docs"], "ends": _bytes([ends.astype(np.int64)]),
                          "cols": _bytes([cols.astype(np.int64)]), "n": _bytes([n]), "ids": _bytes([ids[order]]), "spans": _bytes([spans.astype(np.int64)])})
 
     # a number of partitions of one's own: blocks are few bytes and much work
@@ -272,7 +272,7 @@ def fit_topics(df, doc, tokens, ks, tfidf=False, turns=TURNS, seed=0) -> TopicMo
     terms = stored(number_terms(terms))
     n_terms = terms.count()
     slices = max(1, -(-n_terms // SLICE))
-    placed = place(counted, terms, slices, docs if tfidf else None, min(256, 3 * blocks))
+    placed = place(counted, terms, slices, docs if tfidf else None, min(256, 3 * blocks), turns)
     drop_stored(counted)
     topics = Topics(spark, n_terms, ks, slices, seed)
     parts = min(256, 3 * -(-blocks // turns))
