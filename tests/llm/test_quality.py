@@ -91,3 +91,23 @@ def test_grams_of_all_lengths_and_memory_of_long_texts(monkeypatch):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 16 << 20
+
+
+def test_fit_reads_vectors_without_python(spark):
+    """The stored sample is read as sparse vectors: no step of the fit hands its rows to Python workers again."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    made = quality.training_rows(docs, labels)
+    rows = quality.stored(made, "quality-test", quality._READ)
+    assert "Python" not in rows._jdf.queryExecution().executedPlan().toString()
+    texts = {r["text"] for r in docs.join(labels.where("quality is not null"), "doc_id").collect()}
+    want = sorted((list(at), list(n * (quality.SCALE / max(1, n.sum())))) for at, n in (quality.gram_counts(t, WORDS.findall(t or "")) for t in texts))
+    seen = {(tuple(r["features"].indices), tuple(r["features"].values)) for r in rows.collect() if r["features"].size == quality.DIMENSIONS}
+    assert sorted((list(i), list(v)) for i, v in seen) == want
+
+
+def test_fit_runs_no_python_rows(spark, monkeypatch):
+    """The fit asks for no Python UDF."""
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    monkeypatch.setattr(quality.F, "udf", lambda *a, **k: pytest.fail("a Python UDF in the fit"))
+    weights, _, slope, _ = quality.fit_quality(docs, labels)
+    assert len(weights) == quality.DIMENSIONS and slope > 0

@@ -23,11 +23,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
-from .common import WORDS, extended, in_batches, map_arrow, row_slices, stored
+from .common import WORDS, extended, map_arrow, row_slices, stored
 
 BITS = 16
 DIMENSIONS = 1 << BITS
@@ -40,6 +42,9 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 KEEP_AT = 0.5
 _COLUMNS = {"n_words": "bigint", "word_chars": "bigint", "n_symbols": "bigint", "n_dup_lines": "bigint", "n_repeat_words": "bigint",
             "base_failed": "boolean", "margin": "double"}
+#: A training row as Python makes it, and as it is read again: the parts of a sparse vector are a vector there.
+_MADE = "label double, calibrate boolean, features struct<type: tinyint, size: int, indices: array<int>, values: array<double>>"
+_READ = StructType([StructField("label", DoubleType()), StructField("calibrate", BooleanType()), StructField("features", VectorUDT())])
 _kept: dict[str, int] = {}
 
 
@@ -125,7 +130,7 @@ def mean_weight(weights: np.ndarray, text: str | None, words: list[str]) -> floa
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train: int = MAX_TRAIN) -> DataFrame:
-    """(label, buckets, shares, calibrate) of the labelled sample."""
+    """(label, calibrate, features) of the labelled sample, features as the parts of a sparse vector."""
     named = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).alias("label"))
     total = named.count()
     share = min(1.0, max_train / max(1, total))
@@ -139,19 +144,19 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str = "quality", ma
             for t in b.column("text").to_pylist():
                 at, n = gram_counts(t, WORDS.findall(t or ""))
                 out.append((at.astype(np.int32), n * (SCALE / max(1, n.sum()))))
+            parts = [pa.array(np.zeros(len(out), np.int8)), pa.array(np.full(len(out), DIMENSIONS, np.int32)),
+                     pa.array([x[0] for x in out], pa.list_(pa.int32())), pa.array([x[1] for x in out], pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays(
-                [b.column("label"), b.column("calibrate"), pa.array([x[0] for x in out], pa.list_(pa.int32())),
-                 pa.array([x[1] for x in out], pa.list_(pa.float64()))], names=["label", "calibrate", "buckets", "shares"])
+                [b.column("label"), b.column("calibrate"), pa.StructArray.from_arrays(parts, ["type", "size", "indices", "values"])],
+                names=["label", "calibrate", "features"])
 
     rows = docs.select("doc_id", "text").join(F.broadcast(few.limit(2 * max_train)), "doc_id")  # at most 2 * max_train ids
-    return in_batches(rows).mapInArrow(features, "label double, calibrate boolean, buckets array<int>, shares array<double>")
+    return map_arrow(rows, features, _MADE)
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train: int = MAX_TRAIN, reg: float = 0.01):
     """(weights, intercept, slope, shift) or None: p = 1 / (1 + exp(-(slope * margin + shift)))."""
-    rows = stored(training_rows(docs, labels, label, max_train), "quality-sample")
-    vector = F.udf(lambda i, v: Vectors.sparse(DIMENSIONS, i, v), VectorUDT())
-    rows = rows.select("label", "calibrate", vector("buckets", "shares").alias("features"))
+    rows = stored(training_rows(docs, labels, label, max_train), "quality-sample", _READ)  # no Python from here on
     seen = rows.groupBy("calibrate").agg(F.countDistinct("label").alias("n")).collect()
     if {r["calibrate"]: r["n"] for r in seen}.get(False, 0) < 2:
         return None
@@ -160,8 +165,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", max_
     weights, intercept = model.coefficients.toArray(), float(model.intercept)
     slope, shift = 1.0, 0.0
     if {r["calibrate"]: r["n"] for r in seen}.get(True, 0) == 2:
-        margin = F.udf(lambda r: Vectors.dense([float(r[1])]), VectorUDT())
-        scored = model.transform(rows.where("calibrate")).select("label", margin(vector_to_array("rawPrediction")).alias("features"))
+        margins = model.transform(rows.where("calibrate")).select("label", vector_to_array("rawPrediction")[1].alias("margin"))
+        scored = VectorAssembler(inputCols=["margin"], outputCol="features").transform(margins).select("label", "features")
         platt = LogisticRegression(maxIter=50, regParam=1e-3, standardization=False).fit(scored)
         slope, shift = float(platt.coefficients[0]), float(platt.intercept)
         if slope <= 0:  # an uninformative margin must not be turned round
