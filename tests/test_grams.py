@@ -1,5 +1,6 @@
 """N-gram counts by blocks: brute force, odd lists, cut blocks, and what is shuffled."""
 
+import random
 from collections import Counter
 
 import numpy as np
@@ -55,3 +56,19 @@ def test_no_row_per_ngram_is_shuffled(spark):
     assert "Aggregate" not in sent and "Generate" not in sent and "MapInArrow" in sent
     rows = df.select("tokens").mapInArrow(grams._deal(4, True, grams.PARTS), "_p int, words array<string>, grams binary, n binary")
     assert rows.count() <= grams.PARTS
+
+
+def test_sentences_from_bytes_equal_the_column_functions(spark):
+    """Sentence n-grams without a regular expression per sentence: the same lists as ``sentence_tokens``."""
+    rnd = random.Random(5)
+    parts = ["ab", "c", "Dé", "_x", "İI", "\u212aq", "ΑΣ", "ß", ".", "!", "?", " ", "\n", "\r", "\t", "\x0b", "\x0c", "\u00a0", "\u2028", "7", "\U0001f600", "ab ", ". ", "..\n"]
+    texts = [None, "", " ", ".", "ab", "a", ". ab", "ab.", "ab.cd", "\n\nab", *["".join(rnd.choice(parts) for _ in range(rnd.randint(1, 40))) for _ in range(3000)]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    for d in (df, docs, df.where("false")):
+        want = n.sentence_tokens(d, "doc_id", "text").select("tokens")
+        assert Counter(tuple(r[0]) for r in want.collect()) == Counter(
+            tuple(x) for b in grams.sentence_lists(iter(d.select("text").toArrow().to_batches(max_chunksize=700))) for x in b.column(0).to_pylist())
+        a, b = n.ngrams(want, 4), n.sentence_ngrams(d, "text", 4)
+        assert a.exceptAll(b).count() == b.exceptAll(a).count() == 0
+    assert "regexp" not in n.sentence_ngrams(df, "text", 4)._jdf.queryExecution().optimizedPlan().toString()

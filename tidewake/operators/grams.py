@@ -86,9 +86,30 @@ def _blocks(batches: Iterator[pa.RecordBatch], size: int = BLOCK) -> Iterator[pa
         yield pa.concat_arrays(held)
 
 
-def _deal(n: int, padded: bool, parts: int):
+_TOKEN, _BLANK, _STOP = (np.isin(np.arange(256), list(x)) for x in (b"abcdefghijklmnopqrstuvwxyz_", b" \t\n\x0b\f\r", b".!?"))
+
+
+def sentence_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Token lists of the sentences with a token, as ``textops.sentence_tokens`` gives them, read from the bytes of whole texts."""
+    for batch in batches:
+        text = "\n".join(x for x in batch.column(0).to_pylist() if x).lower() + "\n"
+        b = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+        inside = _TOKEN[b]
+        edges = np.flatnonzero(np.diff(np.r_[False, inside, False]))
+        start, size = edges[::2], edges[1::2] - edges[::2]
+        inside[start[size < 2]] = False  # a token has two letters
+        start, size = start[size >= 2], size[size >= 2]
+        # a sentence ends at a line break, and at a stop before a blank
+        ended = np.cumsum((b == 10) | (_STOP[b] & np.r_[_BLANK[b[1:]], False]))[start]
+        first = np.flatnonzero(np.r_[True, ended[1:] != ended[:-1]]) if len(start) else np.zeros(0, np.int64)
+        ends = np.r_[0, np.cumsum(size)].astype(np.int32)
+        words = pa.StringArray.from_buffers(len(start), pa.py_buffer(ends), pa.py_buffer(b[inside]))
+        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.r_[first, len(start)], pa.int32()), words)], names=["t"])
+
+
+def _deal(n: int, padded: bool, parts: int, read=iter):
     def run(batches):
-        for lists in _blocks(batches):
+        for lists in _blocks(read(batches)):
             cols, words = _windows(lists, n, padded)
             cols, total = _counted(cols, max(1, len(words)))
             h = np.array([0 if w is None else zlib.crc32(w.encode("utf-8", "surrogatepass")) + 1 for w in words], np.uint64)
@@ -103,10 +124,12 @@ def _deal(n: int, padded: bool, parts: int):
             own, rows, counts = [], [], []
             for a, z in zip(first, [*first[1:], len(part)]):
                 used, local = np.unique(grams[:, a:z], return_inverse=True)
-                own.append([words[i] for i in used])
+                own.append(used)
                 rows.append(local.astype(_kind(len(used))).tobytes())
                 counts.append(total[a:z].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(part[first] if len(part) else [], pa.int32()), pa.array(own, pa.list_(pa.string())),
+            ends = np.cumsum([0, *map(len, own)])
+            own = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(words, pa.string()).take(pa.array(np.concatenate([np.zeros(0, np.int64), *own]))))
+            yield pa.RecordBatch.from_arrays([pa.array(part[first] if len(part) else [], pa.int32()), own,
                                               pa.array(rows, pa.binary()), pa.array(counts, pa.binary())], names=["_p", "words", "grams", "n"])
 
     return run
@@ -132,9 +155,9 @@ def _gather(n: int):
     return run
 
 
-def count_grams(df: DataFrame, tokens: Column, n: int, padded: bool = True, parts: int = PARTS) -> DataFrame:
-    """(w1..wn, n) over the token lists of ``df``."""
+def count_grams(df: DataFrame, tokens: Column, n: int, padded: bool = True, parts: int = PARTS, read=iter) -> DataFrame:
+    """(w1..wn, n) over the token lists of ``df``, or over those that ``read`` makes of the column's batches."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
-    dealt = df.select(tokens.alias("t")).mapInArrow(_deal(n, padded, parts), "_p int, words array<string>, grams binary, n binary")
+    dealt = df.select(tokens.alias("t")).mapInArrow(_deal(n, padded, parts, read), "_p int, words array<string>, grams binary, n binary")
     schema = ", ".join(f"w{i + 1} string" for i in range(n)) + ", n bigint"
     return dealt.repartition(max(1, parts // 4), "_p").groupBy("_p").applyInArrow(_gather(n), schema)
