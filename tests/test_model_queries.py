@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tidewake.operators import models
 from tidewake.plans import load_all
 from tidewake.plans.model_queries import FEATS, doc_features, labelled_features
 from tidewake.plans.registry import Tables
@@ -25,3 +26,11 @@ def test_unlabelled_documents_are_predicted(spark, name):
     assert got.join(t.labels, "doc_id", "left_anti").count() > 0
     want = doc_features(t).where("fold = 0").where(F.col("lang").isin("de", "en", "es", "fr") | F.lit(name != "T12b_multinomial"))
     assert got.count() == want.count()
+
+
+def test_importance_of_the_column_that_decides(spark):
+    rows = [(i, float(i % 10), float(i * 7 % 13), int(i % 10 > 4)) for i in range(400)]
+    d = spark.createDataFrame(rows, "id bigint, a double, b double, y int")
+    got = models.permutation_importance(models.fit_logistic(d, ["a", "b"], "y", 0.01), d, ["a", "b"], "y", "id", 2).collect()
+    drop = {r["column"]: r["importance"] for r in got}
+    assert len(drop) == 2 and drop["a"] > 0.3 and abs(drop["b"]) < 0.05 and all(r["std"] is not None for r in got)
