@@ -22,6 +22,7 @@ from .ordering import bucket_count, join_scan, quantiles, value_counts_scan
 from .sampling import ts_cv
 from .timeline import prior
 from .topics import TopicModel, best_terms, fit_topics, number_terms
+from .wordvec import WordVectors, fit_words
 
 
 def _stats(train, aggs: dict[str, Column]) -> Column:
@@ -413,10 +414,10 @@ def select_k(df, doc, tokens, y, corpus, fold, ks, threads=4) -> DataFrame:
     return d.withColumn("rank_sum", s)
 
 
-def word2vec_docs(df, tokens, size=32, min_count=1, out="vector", partitions=8):
-    """Word2Vec fitted on the token lists in ``partitions`` parallel parts; documents are the mean of their word vectors."""
-    m = mlf.Word2Vec(vectorSize=size, minCount=min_count, numPartitions=partitions, inputCol=tokens, outputCol="_w2v", seed=0, maxIter=1).fit(df)
-    return m, m.transform(df).withColumn(out, vector_to_array("_w2v")).drop("_w2v")
+def word2vec_docs(df, doc, tokens, size=32, min_count=1, out="vector") -> tuple[WordVectors, DataFrame]:
+    """Skip-gram vectors fitted on the token lists, and (doc, vector): documents are the mean of their word vectors."""
+    m, placed, parts = fit_words(df, doc, tokens, size, min_count)
+    return m, m.mean_vectors(placed, doc, parts, out)
 
 
 def cluster_taxonomy(vectors, doc, vec, k=None, out="class_label") -> DataFrame:

@@ -424,7 +424,7 @@ def _(t):
 
 @query("N37_word2vec_docs")
 def _(t):
-    _, d = m.word2vec_docs(compact(toks(t), 20_000), "tokens", 16)
+    _, d = m.word2vec_docs(toks(t), "doc_id", "tokens", 16)
     return d.select("doc_id", F.size("vector").alias("dims"), F.round(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)), 4).alias("norm"))
 
 
