@@ -204,6 +204,34 @@ def test_products_of_blocks_and_slices(spark, monkeypatch):
     assert len(terms) == int(((a > 0).sum(axis=0) > 1).sum()) and blocks.count() == 3 and places.count() == 50
 
 
+def test_vectors_from_tokens_leave_no_steps_behind(spark, monkeypatch):
+    """Two documents a block, one block a group: the same decomposition, and only its result stays on disk."""
+    monkeypatch.setattr(factor, "CELLS", 60)
+    monkeypatch.setattr(factor, "GROUP", 1)
+    rnd = np.random.default_rng(8)
+    docs = [(f"d{i}", " ".join([f"t{'abcdefghij'[min(int(z), 10) - 1]}" for z in rnd.zipf(1.5, 20)] + [f"only_{'x' * (i + 1)}"])) for i in range(12)] + [("d12", ""), ("d13", None)]
+    df = spark.createDataFrame(docs, "doc_id string, text string")
+    cells = factor.tfidf_cells(textops.term_counts(textops.tokens_of(df, "doc_id", "text"), "doc_id"), "doc_id", df.agg(F.count(F.lit(1))).scalar()).collect()
+    names = sorted({r["term"] for r in cells})
+    a = np.zeros((14, len(names)))
+    for r in cells:
+        a[int(r["doc_id"][1:]), names.index(r["term"])] = r["w"]
+    u, s, _ = np.linalg.svd(a, full_matrices=False)
+    before = set(os.listdir(shared_dir(spark)))
+    values, got = factor.lsa_tokens(df, "doc_id", textops.tokenize("text"), F.length("text") / 4, 4)
+    assert values == pytest.approx(s[:4], rel=1e-5)
+    left = [x for x in os.listdir(shared_dir(spark)) if x not in before and any(f.startswith("part-") for _, _, fs in os.walk(f"{shared_dir(spark)}/{x}") for f in fs)]
+    assert len(left) == 1
+    v = {r["doc_id"]: np.array(r["vector"]) for r in got.collect()}
+    assert len(v) == 14 and not v["d12"].any() and not v["d13"].any()
+    want = u[:, :4] * s[:4]
+    want /= np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-12)
+    assert all(abs(v[f"d{i}"] @ v[f"d{j}"] - want[i] @ want[j]) < 1e-3 for i in range(12) for j in range(i))
+    monkeypatch.setattr(factor, "CELLS", 10**6)
+    whole, _ = factor.lsa_tokens(df, "doc_id", textops.tokenize("text"), F.length("text"), 4, rounds=1)
+    assert whole == pytest.approx(s[:4], rel=1e-3)  # rounds that end before the values settle
+
+
 def test_clusters_have_stable_names(spark):
     rows = [(i, [1.0, 0.1 * (i % 3)] if i % 2 else [0.1 * (i % 5), 1.0]) for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id bigint, vector array<double>")

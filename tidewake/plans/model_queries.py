@@ -14,7 +14,7 @@ from ..session import shared_dir
 from ..streaming import streams as st
 from .registry import query
 from .series_queries import MS, monthly
-from .text_queries import TF_SQL, labelled_tf, n_docs, tf, toks
+from .text_queries import TF_SQL, labelled_tf, toks
 from .trades import TRADES_SQL, r, trades
 
 FEATS = ["log_chars", "word_share", "digit_share", "mark_share", "mean_word"]
@@ -429,7 +429,7 @@ def _(t):
 
 
 def latent(t):
-    return fa.lsa(tf(t), t.documents, "doc_id", n_docs(t), 8)
+    return fa.lsa_tokens(t.documents.select("doc_id", "text"), "doc_id", tx.tokenize("text", r"[a-z_]{2,}"), F.length("text") / 12, 8)
 
 
 @query("N38_lsa")
