@@ -113,7 +113,7 @@ def train(word: np.ndarray, near: np.ndarray, ends: np.ndarray, nodes: np.ndarra
     path, want = np.full((len(size), size.max(initial=0)), len(y) - 1, np.int32), np.zeros((len(size), size.max(initial=0)), np.float32)
     held = np.arange(path.shape[1]) < size[:, None]
     path[held], want[held] = nodes, 1 - bits
-    order = rng.permutation(len(word))
+    order = rng.permutation(np.arange(len(word), dtype=np.int32))
     order = order[np.argsort(word[order], kind="stable")]
     word, near = word[order], np.r_[near[order], np.full(STEP, len(x) - 1)].astype(np.int32)
     begin = np.flatnonzero(np.diff(word, prepend=-1))
@@ -260,7 +260,7 @@ class WordVectors:
                 return pa.table({c: pa.array([], t) for c, t in kinds.items()})
             ends, codes, ids = _block(left)
             rng = np.random.default_rng((seed, left["_b"][0].as_py()))
-            word, near = pairs(codes, ends, rng)
+            word, near = pairs(codes.astype(np.int32), ends, rng)
             stops, nodes, bits = paths(ids, num)
             above, nodes = np.unique(nodes, return_inverse=True)
             x, y = read.vectors(right, "x", ids), read.vectors(right, "y", above)
