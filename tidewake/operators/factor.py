@@ -151,7 +151,7 @@ def pack_tokens(df: DataFrame, doc: str, tokens: Column, slices: int, blocks: in
     for g in range(groups):
         part = counted.where(F.col("_g") == g)
         asked = part.select(F.col("_b").alias("_at"), F.posexplode("terms").alias("_i", "term")).join(terms, "term").select("_at", "_i", "id", "df")
-        left, right = part.drop("_g", "seen").repartition(2 * GROUP, "_b"), asked.repartition(2 * GROUP, "_at")
+        left, right = part.drop("_g", "seen").repartition(min(2 * GROUP, slices), "_b"), asked.repartition(min(2 * GROUP, slices), "_at")
         made.append(stored(left.groupBy("_b").cogroup(right.groupBy("_at")).applyInArrow(run, f"{BLOCK_SCHEMA}, docs {kind}")))
         drop_stored(_folder(counted, f"_g={g}", part))
     drop_stored(terms)
@@ -230,7 +230,7 @@ def advance(part: DataFrame, x: DataFrame, totals: DataFrame, slices: int, width
     asks = part.select("_b", "terms").mapInArrow(ask, "_s int, _b int, ids binary")
     back = totals.repartition(few, "_s").groupBy("_s").cogroup(asks.repartition(few, "_s").groupBy("_s")).applyInArrow(reply, "_b int, _s int, m binary")
     back = back.unionByName(x.select("_b", F.lit(-1).alias("_s"), F.col("x").alias("m")))
-    return part.select(*_PARTS).repartition(2 * GROUP, "_b").groupBy("_b").cogroup(back.repartition(2 * GROUP, "_b").groupBy("_b")).applyInArrow(meet, STATE)
+    return part.select(*_PARTS).repartition(min(2 * GROUP, slices), "_b").groupBy("_b").cogroup(back.repartition(min(2 * GROUP, slices), "_b").groupBy("_b")).applyInArrow(meet, STATE)
 
 
 def _take_in(states: Iterator[DataFrame], slices: int, width: int) -> tuple[list[DataFrame], DataFrame]:
